@@ -171,3 +171,68 @@ calib AS (
 def q_calibrated_threshold(spark, sf_dir):
     """Best grid threshold on the training rows, and F1 nearest 0.5."""
     return M.calibrated_threshold(q_threshold_sweep(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- text features
+
+from claimlens.operators import tfidf as T  # noqa: E402
+
+
+def _tf(spark, sf_dir, cfg):
+    c = S.claims(spark, sf_dir)
+    return T.term_counts(c, "text_concat", cfg)
+
+
+@register("word_term_counts", Q.with_base(
+    "SELECT row_id, term, CAST(count(*) AS BIGINT) AS tf FROM grams GROUP BY row_id, term",
+    Q.word_grams_cte()))
+def q_word_term_counts(spark, sf_dir):
+    """T1 + T2: lower-cased word tokens, 1-3 grams, counted per row."""
+    return _tf(spark, sf_dir, T.WORD)
+
+
+@register("char_term_counts", Q.with_base(
+    "SELECT row_id, term, CAST(count(*) AS BIGINT) AS tf FROM grams GROUP BY row_id, term",
+    Q.char_grams_cte()))
+def q_char_term_counts(spark, sf_dir):
+    """In-word char 2-5 grams counted per row."""
+    return _tf(spark, sf_dir, T.CHAR)
+
+
+def _tfidf(spark, sf_dir, cfg):
+    return T.tfidf(S.claims(spark, sf_dir), "text_concat", cfg, fit_on=("data_type", "TRAIN"))
+
+
+_VOCAB_SELECT = "SELECT term, idx, df, ctf, round(idf, 12) AS idf FROM vocab"
+_WEIGHT_SELECT = "SELECT row_id, term, idx, round(weight, 12) AS weight FROM weights"
+
+
+@register("word_vocabulary", Q.with_base(_VOCAB_SELECT, Q.word_grams_cte(), Q.tfidf_ctes(80_000)))
+def q_word_vocabulary(spark, sf_dir):
+    """T4 + T6: vocabulary fitted on TRAIN (df >= 2, top 80,000 by count), smoothed idf."""
+    return _tfidf(spark, sf_dir, T.WORD)[1].withColumn("idf", F.round("idf", 12))
+
+
+@register("word_tfidf", Q.with_base(_WEIGHT_SELECT, Q.word_grams_cte(), Q.tfidf_ctes(80_000)))
+def q_word_tfidf(spark, sf_dir):
+    """Sublinear tf x idf, L2-normalised, every row weighted by the TRAIN vocabulary."""
+    return _tfidf(spark, sf_dir, T.WORD)[0].withColumn("weight", F.round("weight", 12))
+
+
+@register("char_vocabulary", Q.with_base(_VOCAB_SELECT, Q.char_grams_cte(), Q.tfidf_ctes(100_000)))
+def q_char_vocabulary(spark, sf_dir):
+    """T4 + T6 for char 2-5 grams (top 100,000)."""
+    return _tfidf(spark, sf_dir, T.CHAR)[1].withColumn("idf", F.round("idf", 12))
+
+
+@register("char_tfidf", Q.with_base(_WEIGHT_SELECT, Q.char_grams_cte(), Q.tfidf_ctes(100_000)))
+def q_char_tfidf(spark, sf_dir):
+    """T5-T8 for char 2-5 grams."""
+    return _tfidf(spark, sf_dir, T.CHAR)[0].withColumn("weight", F.round("weight", 12))
+
+
+@register("word_tfidf_vectors")
+def q_word_tfidf_vectors(spark, sf_dir):
+    """One sparse (indices, values) row per claim, indices = alphabetical term rank."""
+    w, _ = _tfidf(spark, sf_dir, T.WORD)
+    return T.assemble_vectors(w)

@@ -110,3 +110,39 @@ def auc_cte(name: str, src: str, by: str = "") -> str:
 
 
 THRESHOLD_VALUES = "(VALUES " + ", ".join(f"({i}, {t!r})" for i, t in enumerate(THRESHOLDS)) + ") AS g(t_idx, threshold)"
+
+
+def word_grams_cte(src: str = "enriched", text: str = "text_concat", extra: str = "data_type") -> str:
+    """Word 1-3 grams per row (one row per occurrence)."""
+    def g(n):
+        return f"list_transform(range(1, len(k) - {n - 2}), lambda i: array_to_string(k[i:i + {n - 1}], ' '))"
+    return f"""tok AS (
+  SELECT row_id, {extra}, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS k FROM {src}),
+grams AS (
+  SELECT row_id, {extra}, unnest(list_concat(list_concat(k, {g(2)}), {g(3)})) AS term FROM tok)"""
+
+
+def char_grams_cte(src: str = "enriched", text: str = "text_concat", extra: str = "data_type") -> str:
+    """In-word char 2-5 grams per row (one row per occurrence)."""
+    return f"""words AS (
+  SELECT row_id, {extra}, ' ' || w || ' ' AS p FROM (
+    SELECT row_id, {extra}, unnest(string_split_regex(lower(coalesce({text}, '')), '{WHITESPACE_CLASS}+')) AS w FROM {src})
+  WHERE w <> ''),
+grams AS (
+  SELECT row_id, {extra}, unnest(flatten(list_transform(range(2, least(5, length(p)) + 1),
+         lambda n: list_transform(range(1, length(p) - n + 2), lambda i: substring(p, i, n))))) AS term
+  FROM words)"""
+
+
+def tfidf_ctes(max_features: int) -> str:
+    return f"""tf AS (SELECT row_id, data_type, term, CAST(count(*) AS BIGINT) AS tf FROM grams GROUP BY row_id, data_type, term),
+ndocs AS (SELECT count(*) AS n FROM enriched WHERE data_type = 'TRAIN'),
+v0 AS (
+  SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM tf WHERE data_type = 'TRAIN'
+  GROUP BY term HAVING count(*) >= 2 ORDER BY ctf DESC, term LIMIT {max_features}),
+vocab AS (
+  SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS idx, df, ctf,
+         ln((1.0 + CAST(n AS DOUBLE)) / (1.0 + CAST(df AS DOUBLE))) + 1.0 AS idf
+  FROM v0 CROSS JOIN ndocs),
+raw_w AS (SELECT tf.row_id, tf.term, v.idx, (1.0 + ln(CAST(tf.tf AS DOUBLE))) * v.idf AS _w FROM tf JOIN vocab v USING (term)),
+weights AS (SELECT row_id, term, idx, _w / sqrt(sum(_w * _w) OVER (PARTITION BY row_id)) AS weight FROM raw_w)"""
