@@ -236,3 +236,65 @@ def q_word_tfidf_vectors(spark, sf_dir):
     """One sparse (indices, values) row per claim, indices = alphabetical term rank."""
     w, _ = _tfidf(spark, sf_dir, T.WORD)
     return T.assemble_vectors(w)
+
+
+# ---------------------------------------------------------------- splits
+
+from claimlens.operators import splits as X  # noqa: E402
+
+SEEDS = list(range(10))
+SEEDS_SQL = "(SELECT range AS seed FROM range(10))"
+# the reference holds out 150 of 800 rows
+HOLDOUT_FRACTION = 150 / 800
+
+
+@register("stratified_kfold", Q.with_base(
+    "SELECT row_id, label, fold FROM folds",
+    Q.kfold_cte("folds", "enriched", "(SELECT 42 AS seed)", 5)))
+def q_stratified_kfold(spark, sf_dir):
+    """5 stratified folds, seed 42, negatives laid out first."""
+    return X.stratified_kfold(S.claims(spark, sf_dir), k=5, seed=42)
+
+
+@register("repeated_kfold", Q.with_base(
+    "SELECT seed, row_id, label, fold FROM folds",
+    Q.kfold_cte("folds", "enriched", SEEDS_SQL, 5)))
+def q_repeated_kfold(spark, sf_dir):
+    """Stratified 5-fold assignment for seeds 0-9 over all rows."""
+    return X.repeated_stratified_kfold(S.claims(spark, sf_dir), seeds=SEEDS, k=5)
+
+
+_HOLDOUT_CTE = f"""cc AS (SELECT label, count(*) AS n_c FROM enriched GROUP BY label),
+tot AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil({HOLDOUT_FRACTION!r} * sum(n_c)) AS BIGINT) AS n_train FROM cc),
+q0 AS (SELECT label, (n_train * n_c) // n AS fl, (n_train * n_c) % n AS rem, n_train FROM cc CROSS JOIN tot),
+q AS (SELECT label, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, label) <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
+hr AS (
+  SELECT s.seed, e.row_id, e.label,
+         row_number() OVER (PARTITION BY s.seed, e.label ORDER BY {Q.md5_key('s.seed', 'e.row_id')}, e.row_id) - 1 AS rk
+  FROM enriched e CROSS JOIN {SEEDS_SQL} s),
+holdout AS (SELECT seed, row_id, label, CASE WHEN rk < quota THEN 'train' ELSE 'test' END AS role FROM hr JOIN q USING (label))"""
+
+
+@register("stratified_holdout", Q.with_base("SELECT * FROM holdout", _HOLDOUT_CTE))
+def q_stratified_holdout(spark, sf_dir):
+    """Re-stratified holdouts (150/800 of the rows to test) for seeds 0-9."""
+    return X.stratified_holdout(S.claims(spark, sf_dir), test_size=HOLDOUT_FRACTION, seeds=SEEDS)
+
+
+_FEWSHOT_CTE = f"""fs AS (
+  SELECT row_id, mani_news, original_news_article, mani_status, label,
+         row_number() OVER (PARTITION BY label ORDER BY {Q.md5_key('42')}, row_id) AS rn
+  FROM enriched WHERE data_type = 'TRAIN'),
+examples AS (
+  SELECT row_id, mani_news AS claim, original_news_article AS article, mani_status AS status, label,
+         CAST(row_number() OVER (ORDER BY {Q.md5_key('42', salt='shuffle:')}, row_id) AS INTEGER) AS position
+  FROM fs WHERE rn <= CASE WHEN label = 1 THEN 2 ELSE 1 END)"""
+
+
+@register("few_shot_examples", Q.with_base("SELECT * FROM examples", _FEWSHOT_CTE))
+def q_few_shot_examples(spark, sf_dir):
+    """X4 + X5: 2 positive + 1 negative TRAIN examples (seed 42), shuffled."""
+    tr = S.claims(spark, sf_dir).filter(F.col("data_type") == "TRAIN")
+    ex = X.few_shot_sample(tr, k=3, seed=42)
+    return ex.select("row_id", F.col("mani_news").alias("claim"), F.col("original_news_article").alias("article"),
+                     F.col("mani_status").alias("status"), "label", "position")

@@ -146,3 +146,18 @@ vocab AS (
   FROM v0 CROSS JOIN ndocs),
 raw_w AS (SELECT tf.row_id, tf.term, v.idx, (1.0 + ln(CAST(tf.tf AS DOUBLE))) * v.idf AS _w FROM tf JOIN vocab v USING (term)),
 weights AS (SELECT row_id, term, idx, _w / sqrt(sum(_w * _w) OVER (PARTITION BY row_id)) AS weight FROM raw_w)"""
+
+
+def md5_key(seed: str, row: str = "row_id", salt: str = "") -> str:
+    return f"md5(CAST({seed} AS VARCHAR) || ':{salt}' || CAST({row} AS VARCHAR))"
+
+
+def kfold_cte(name: str, src: str, seeds: str, k: int) -> str:
+    """Folds for every seed of ``seeds`` (a VALUES list of seed)."""
+    return f"""{name}_cc AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+{name}_st AS (SELECT label, coalesce(sum(n_c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {name}_cc),
+{name} AS (
+  SELECT s.seed, e.row_id, e.label,
+         CAST((st.start + row_number() OVER (PARTITION BY s.seed, e.label
+               ORDER BY {md5_key('s.seed', 'e.row_id')}, e.row_id) - 1) % {k} AS INTEGER) AS fold
+  FROM {src} e CROSS JOIN {seeds} s JOIN {name}_st st ON st.label = e.label)"""
