@@ -298,3 +298,189 @@ def q_few_shot_examples(spark, sf_dir):
     ex = X.few_shot_sample(tr, k=3, seed=42)
     return ex.select("row_id", F.col("mani_news").alias("claim"), F.col("original_news_article").alias("article"),
                      F.col("mani_status").alias("status"), "label", "position")
+
+
+# ---------------------------------------------------------------- repeated evaluation with fixed scores
+
+from claimlens.functions import prompts as P  # noqa: E402
+from claimlens.functions import scoring as SC  # noqa: E402
+from claimlens.operators import reports as R  # noqa: E402
+from claimlens.operators import windows as WN  # noqa: E402
+
+
+def _round(df: DataFrame, cols, digits: int = 12) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def fold_scores(spark, sf_dir, threshold: float = 0.5) -> DataFrame:
+    """F1-macro of every held-out fold (10 seeds x 5 folds) under fixed scores."""
+    c = S.claims(spark, sf_dir)
+    folds = X.repeated_stratified_kfold(c, seeds=SEEDS, k=5)
+    j = folds.join(S.scored_view(c).select("row_id", "score"), "row_id") \
+        .withColumn("prediction", M.apply_threshold("score", threshold))
+    m = M.with_f1_metrics(M.confusion_counts(j, by=["seed", "fold"]))
+    return m.select("seed", "fold", "n", "f1_macro")
+
+
+def official_f1(spark, sf_dir, threshold: float = 0.5) -> DataFrame:
+    t = S.scored(spark, sf_dir).filter(F.col("data_type") == "TEST")
+    return M.with_f1_metrics(M.confusion_counts(_pred(t, threshold))).select("f1_macro")
+
+
+def restratified_scores(spark, sf_dir, threshold: float = 0.5) -> DataFrame:
+    """Per seed: F1-macro on the re-stratified test rows and both sides' positive %."""
+    c = S.claims(spark, sf_dir)
+    h = X.stratified_holdout(c, HOLDOUT_FRACTION, SEEDS).join(S.scored_view(c).select("row_id", "score"), "row_id")
+    test = _pred(h.filter(F.col("role") == "test"), threshold)
+    f1 = M.with_f1_metrics(M.confusion_counts(test, by=["seed"])).select("seed", "f1_macro")
+    pct = h.groupBy("seed").agg(
+        (F.avg(F.when(F.col("role") == "train", F.col("label").cast("double"))) * 100.0).alias("train_mani_pct"),
+        (F.avg(F.when(F.col("role") == "test", F.col("label").cast("double"))) * 100.0).alias("test_mani_pct"))
+    return f1.join(pct, "seed")
+
+
+_FOLDS = Q.kfold_cte("folds", "enriched", SEEDS_SQL, 5)
+
+
+@register("fold_scores", Q.with_base(
+    "SELECT seed, fold, n, round(f1_macro, 12) AS f1_macro FROM fold_scores", _FOLDS, Q.fold_scores_cte(),
+    scored=True))
+def q_fold_scores(spark, sf_dir):
+    """X6 + A7 over X2: held-out F1-macro of 50 (seed, fold) runs."""
+    return _round(fold_scores(spark, sf_dir), ["f1_macro"])
+
+
+@register("fold_score_summary", Q.with_base(Q.summary_select("fold_scores"), _FOLDS, Q.fold_scores_cte(),
+                                            scored=True))
+def q_fold_score_summary(spark, sf_dir):
+    """N, mean, population std, se and 95% CI of the 50 fold scores."""
+    s = M.score_summary(fold_scores(spark, sf_dir))
+    return _round(s, ["mean", "std", "se", "ci_lower", "ci_upper"])
+
+
+@register("running_mean", Q.with_base(
+    """SELECT seed, runs_done, round(running_mean, 12) AS running_mean FROM (
+  SELECT seed, fold, count(*) OVER w AS runs_done, avg(f1_macro) OVER w AS running_mean,
+         row_number() OVER (PARTITION BY seed ORDER BY seed DESC, fold DESC) AS _r
+  FROM fold_scores WINDOW w AS (ORDER BY seed, fold ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE _r = 1""",
+    _FOLDS, Q.fold_scores_cte(), scored=True))
+def q_running_mean(spark, sf_dir):
+    """Mean of all fold scores so far, after each seed."""
+    return _round(WN.running_mean(fold_scores(spark, sf_dir)), ["running_mean"])
+
+
+@register("ci_verdict", Q.with_base(
+    f"""SELECT s.*, round(o.f1_macro, 12) AS baseline,
+       (o.f1_macro < s.ci_lower_raw OR o.f1_macro > s.ci_upper_raw) AS outside_ci
+FROM (SELECT count(f1_macro) AS n, avg(f1_macro) AS mean_raw,
+             avg(f1_macro) - 1.96 * (stddev_pop(f1_macro) / sqrt(count(f1_macro))) AS ci_lower_raw,
+             avg(f1_macro) + 1.96 * (stddev_pop(f1_macro) / sqrt(count(f1_macro))) AS ci_upper_raw
+      FROM fold_scores) s0
+CROSS JOIN official o
+CROSS JOIN LATERAL (SELECT s0.n AS n, round(s0.mean_raw, 12) AS mean, round(s0.ci_lower_raw, 12) AS ci_lower,
+                           round(s0.ci_upper_raw, 12) AS ci_upper, s0.ci_lower_raw, s0.ci_upper_raw) s""",
+    _FOLDS, Q.fold_scores_cte(), Q.official_cte(), scored=True).replace("SELECT s.*,", "SELECT s.n, s.mean, s.ci_lower, s.ci_upper,"))
+def q_ci_verdict(spark, sf_dir):
+    """Does the official-split score fall outside the folds' 95% CI?"""
+    s = M.score_summary(fold_scores(spark, sf_dir))
+    v = M.ci_verdict(s, official_f1(spark, sf_dir).scalar())
+    return _round(v.select("n", "mean", "ci_lower", "ci_upper", "baseline", "outside_ci"),
+                  ["mean", "ci_lower", "ci_upper", "baseline"])
+
+
+_HOLD = _HOLDOUT_CTE
+
+
+@register("restratified_scores", Q.with_base(
+    """SELECT r.seed, round(r.f1_macro, 12) AS f1_macro, round(p.train_mani_pct, 12) AS train_mani_pct,
+       round(p.test_mani_pct, 12) AS test_mani_pct
+FROM restrat r JOIN (
+  SELECT h.seed, avg(CASE WHEN h.role = 'train' THEN CAST(s.label AS DOUBLE) END) * 100.0 AS train_mani_pct,
+         avg(CASE WHEN h.role = 'test' THEN CAST(s.label AS DOUBLE) END) * 100.0 AS test_mani_pct
+  FROM holdout h JOIN scored s USING (row_id) GROUP BY h.seed) p USING (seed)""",
+    _HOLD, Q.restrat_cte(), scored=True))
+def q_restratified_scores(spark, sf_dir):
+    """M9 shape with fixed scores: per-seed re-stratified F1 and class shares."""
+    return _round(restratified_scores(spark, sf_dir), ["f1_macro", "train_mani_pct", "test_mani_pct"])
+
+
+@register("shift_verdict", Q.with_base(
+    """SELECT n, round(mean, 12) AS mean, round(baseline, 12) AS baseline, round(mean - baseline, 12) AS diff,
+       round(half, 12) AS ci_half_width, abs(mean - baseline) > half AS significant,
+       (mean - baseline) > half AS significant_gain
+FROM (SELECT count(f1_macro) AS n, avg(f1_macro) AS mean,
+             1.96 * (stddev_pop(f1_macro) / sqrt(count(f1_macro))) AS half FROM restrat) s
+CROSS JOIN (SELECT f1_macro AS baseline FROM official) o""",
+    _HOLD, Q.restrat_cte(), Q.official_cte(), scored=True))
+def q_shift_verdict(spark, sf_dir):
+    """Re-stratified mean vs the official split, within the CI or not."""
+    s = M.score_summary(restratified_scores(spark, sf_dir))
+    v = M.shift_verdict(s, official_f1(spark, sf_dir).scalar())
+    return _round(v.select("n", "mean", "baseline", "diff", "ci_half_width", "significant", "significant_gain"),
+                  ["mean", "baseline", "diff", "ci_half_width"])
+
+
+# ---------------------------------------------------------------- prompts and replies
+
+# The reply cases of the parsing table (FIXTURES 3.3), in order.
+REPLIES = ["NO_MANI", "No mani.", "MANI", "not manipulated", "no manipulation", "yes",
+           "genuine", "", "Romania", "eyes", "cannot tell"]
+_REPLIES_SQL = "[" + ", ".join(Q.lit(r) for r in REPLIES) + "]"
+
+
+def _parse_sql(x: str) -> str:
+    u = f"upper(coalesce({x}, ''))"
+    return (f"CAST(CASE WHEN contains({u}, 'NO_MANI') OR contains({u}, 'NO MANI') THEN 0 "
+            f"WHEN contains({u}, 'MANI') OR contains({u}, 'YES') THEN 1 ELSE 0 END AS INTEGER)")
+
+
+def _test_rows(spark, sf_dir):
+    return S.claims(spark, sf_dir).filter(F.col("data_type") == "TEST")
+
+
+def _nan(x):
+    return f"coalesce({x}, 'nan')"
+
+
+_ZS_SQL = (f"{Q.lit(P.PROMPT_HEAD + 'Claim: ')} || {_nan('mani_news')} || {Q.lit(chr(10) * 2 + 'Article: ')} || "
+           f"substr({_nan('original_news_article')}, 1, {P.ARTICLE_PREFIX}) || {Q.lit(chr(10) * 2 + P.ZERO_SHOT_QUESTION)}")
+
+
+@register("zero_shot_prompts", Q.with_base(
+    f"SELECT row_id, {_ZS_SQL} AS prompt FROM enriched WHERE data_type = 'TEST'"))
+def q_zero_shot_prompts(spark, sf_dir):
+    """P6 + P9 + P10: zero-shot prompt per TEST row (article cut to 600 code points by the template)."""
+    return _test_rows(spark, sf_dir).select("row_id", P.zero_shot_prompt().alias("prompt"))
+
+
+_EX_SQL = (f"string_agg('Example ' || CAST(position AS VARCHAR) || {Q.lit(':' + chr(10) + 'Claim: ')} || {_nan('claim')} || "
+           f"{Q.lit(chr(10) + 'Article: ')} || substr({_nan('article')}, 1, {P.EXAMPLE_PREFIX}) || "
+           f"{Q.lit(chr(10) + 'Answer: ')} || {_nan('status')} || {Q.lit(chr(10) * 2)}, '' ORDER BY position)")
+_FS_SQL = (f"{Q.lit(P.PROMPT_HEAD)} || ex.t || {Q.lit('Now analyze this:' + chr(10) + 'Claim: ')} || {_nan('mani_news')} || "
+           f"{Q.lit(chr(10) + 'Article: ')} || substr({_nan('original_news_article')}, 1, {P.ARTICLE_PREFIX}) || "
+           f"{Q.lit(chr(10) + P.FEW_SHOT_TAIL)}")
+
+
+def _few_shot_examples(spark, sf_dir):
+    return q_few_shot_examples(spark, sf_dir)
+
+
+@register("few_shot_prompts", Q.with_base(
+    f"SELECT row_id, {_FS_SQL} AS prompt FROM enriched CROSS JOIN (SELECT {_EX_SQL} AS t FROM examples) ex "
+    f"WHERE data_type = 'TEST'", _FEWSHOT_CTE))
+def q_few_shot_prompts(spark, sf_dir):
+    """3-shot prompt per TEST row; the example text is one scalar subquery."""
+    ex = P.examples_text(_few_shot_examples(spark, sf_dir))
+    return _test_rows(spark, sf_dir).select("row_id", P.few_shot_prompt(ex).alias("prompt"))
+
+
+@register("reply_labels", Q.with_base(
+    f"SELECT row_id, list_extract({_REPLIES_SQL}, CAST(row_id % 11 AS INTEGER) + 1) AS response, "
+    f"{_parse_sql(f'list_extract({_REPLIES_SQL}, CAST(row_id % 11 AS INTEGER) + 1)')} AS pred "
+    f"FROM enriched WHERE data_type = 'TEST'"))
+def q_reply_labels(spark, sf_dir):
+    """Replies mapped to labels (substring rules, in order)."""
+    arr = F.array(*[F.lit(r) for r in REPLIES])
+    t = _test_rows(spark, sf_dir).select("row_id", F.element_at(arr, (F.col("row_id") % 11).cast("int") + 1)
+                                          .alias("response"))
+    return t.select("row_id", "response", P.parse_reply_label("response").alias("pred"))

@@ -161,3 +161,34 @@ def kfold_cte(name: str, src: str, seeds: str, k: int) -> str:
          CAST((st.start + row_number() OVER (PARTITION BY s.seed, e.label
                ORDER BY {md5_key('s.seed', 'e.row_id')}, e.row_id) - 1) % {k} AS INTEGER) AS fold
   FROM {src} e CROSS JOIN {seeds} s JOIN {name}_st st ON st.label = e.label)"""
+
+
+def lit(s: str) -> str:
+    """A SQL string literal (newlines kept, quotes doubled)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fold_scores_cte(threshold: float = 0.5) -> str:
+    j = "(SELECT f.seed, f.fold, s.label, s.score FROM folds f JOIN scored s USING (row_id)) j"
+    return f"""fold_counts AS ({counts(j, f'CAST(score > {threshold!r} AS INTEGER)', 'seed, fold')}),
+fold_scores AS (SELECT seed, fold, n, {F1_MACRO} AS f1_macro FROM fold_counts)"""
+
+
+def summary_select(src: str, value: str = "f1_macro", prefix: str = "") -> str:
+    return f"""SELECT count({value}) AS {prefix}n, round(avg({value}), 12) AS {prefix}mean,
+       round(stddev_pop({value}), 12) AS {prefix}std,
+       round(stddev_pop({value}) / sqrt(count({value})), 12) AS {prefix}se,
+       round(avg({value}) - 1.96 * (stddev_pop({value}) / sqrt(count({value}))), 12) AS {prefix}ci_lower,
+       round(avg({value}) + 1.96 * (stddev_pop({value}) / sqrt(count({value}))), 12) AS {prefix}ci_upper
+FROM {src}"""
+
+
+def official_cte(threshold: float = 0.5, name: str = "official") -> str:
+    return f"""{name}_c AS ({counts("(SELECT * FROM scored WHERE data_type = 'TEST') t", f'CAST(score > {threshold!r} AS INTEGER)')}),
+{name} AS (SELECT {F1_MACRO} AS f1_macro FROM {name}_c)"""
+
+
+def restrat_cte(threshold: float = 0.5, name: str = "restrat") -> str:
+    j = f"(SELECT h.seed, h.role, s.label, s.score FROM holdout h JOIN scored s USING (row_id) WHERE h.role = 'test') j"
+    return f"""{name}_c AS ({counts(j, f'CAST(score > {threshold!r} AS INTEGER)', 'seed')}),
+{name} AS (SELECT seed, {F1_MACRO} AS f1_macro FROM {name}_c)"""
