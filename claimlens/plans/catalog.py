@@ -484,3 +484,160 @@ def q_reply_labels(spark, sf_dir):
     t = _test_rows(spark, sf_dir).select("row_id", F.element_at(arr, (F.col("row_id") % 11).cast("int") + 1)
                                           .alias("response"))
     return t.select("row_id", "response", P.parse_reply_label("response").alias("pred"))
+
+
+# ---------------------------------------------------------------- prompt evaluation (M12 with a stub model)
+
+from claimlens.plans import prompt_eval as PE  # noqa: E402
+
+
+def stub_model(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a user model: picks a reply by prompt length."""
+    return [REPLIES[len(p) % len(REPLIES)] for p in prompts]
+
+
+def prompt_replies(spark, sf_dir) -> DataFrame:
+    test = _test_rows(spark, sf_dir)
+    return PE.evaluate_prompts(test, _few_shot_examples(spark, sf_dir), stub_model)
+
+
+_PROMPTS_CTE = f"""pr AS (
+  SELECT row_id, label, 'zero_shot' AS strategy, {_ZS_SQL} AS prompt FROM enriched WHERE data_type = 'TEST'
+  UNION ALL
+  SELECT row_id, label, 'few_shot_3', {_FS_SQL} FROM enriched CROSS JOIN (SELECT {_EX_SQL} AS t FROM examples) ex
+  WHERE data_type = 'TEST'),
+replies AS (
+  SELECT row_id, label, strategy, list_extract({_REPLIES_SQL}, CAST(length(prompt) % 11 AS INTEGER) + 1) AS response
+  FROM pr),
+parsed AS (SELECT row_id, label, strategy, response, {_parse_sql('response')} AS prediction FROM replies)"""
+
+
+@register("prompt_replies", Q.with_base("SELECT * FROM parsed", _FEWSHOT_CTE, _PROMPTS_CTE))
+def q_prompt_replies(spark, sf_dir):
+    """J1 + M12 + P12: TEST rows x strategies -> prompt -> model reply -> label."""
+    return prompt_replies(spark, sf_dir)
+
+
+@register("prompt_eval", Q.with_base(
+    f"SELECT c.*, {Q.METRICS} FROM ({Q.counts('parsed', 'prediction', 'strategy')}) c",
+    _FEWSHOT_CTE, _PROMPTS_CTE))
+def q_prompt_eval(spark, sf_dir):
+    """A11 per prompt strategy over the parsed replies."""
+    return PE.strategy_metrics(prompt_replies(spark, sf_dir))
+
+
+@register("running_f1", Q.with_base(
+    f"""SELECT strategy, n, {Q.F1_MACRO} AS f1_macro FROM (
+  SELECT strategy,
+    count(*) OVER w AS n,
+    sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) OVER w AS tp,
+    sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) OVER w AS fp,
+    sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) OVER w AS fn,
+    sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) OVER w AS tn
+  FROM parsed WINDOW w AS (PARTITION BY strategy ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE n % 10 = 0""", _FEWSHOT_CTE, _PROMPTS_CTE))
+def q_running_f1(spark, sf_dir):
+    """F1-macro so far after every 10th reply, per strategy."""
+    return PE.running_strategy_f1(prompt_replies(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- logits, leaderboard, model choice
+
+_LOGITS = "[CAST(row_id % 7 AS DOUBLE) / 4.0, score * 3.0]"
+
+
+@register("score_logits", Q.with_base(
+    f"""SELECT row_id, CASE WHEN l1 > l0 THEN 'MANI' ELSE 'NO_MANI' END AS prediction,
+       round(greatest(p0, p1), 4) AS confidence, round(p1, 4) AS prob_mani, round(p0, 4) AS prob_no_mani
+FROM (SELECT row_id, l0, l1, exp(l0 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p0,
+             exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p1
+      FROM (SELECT row_id, CAST(row_id % 7 AS DOUBLE) / 4.0 AS l0, score * 3.0 AS l1 FROM scored))""", scored=True))
+def q_score_logits(spark, sf_dir):
+    """P14 (+ P15 rounding): softmax of two-class logits -> name, confidence, class probabilities."""
+    s = S.scored(spark, sf_dir).select(
+        "row_id", F.array((F.col("row_id") % 7).cast("double") / 4.0, F.col("score") * 3.0).alias("logits"))
+    return SC.score_logits(s).drop("logits")
+
+
+def _fixture_result_row(spark, sf_dir):
+    t = _pred(S.scored(spark, sf_dir).filter(F.col("data_type") == "TEST"))
+    e = M.evaluate(t, score="score")
+    return e.select(F.lit("scored view").alias("model"), F.lit("Fixture").alias("type"),
+                    F.lit("-").alias("strategy"), "accuracy", "f1_macro", "f1_mani", "roc_auc")
+
+
+_LEADER_SQL = Q.with_base(
+    f"""SELECT model, type, strategy, round(accuracy, 4) AS accuracy, round(f1_macro, 4) AS f1_macro,
+       round(f1_mani, 4) AS f1_mani, round(roc_auc, 4) AS roc_auc FROM (
+  SELECT * FROM (VALUES {", ".join("(" + ", ".join(Q.lit(v) if isinstance(v, str) else ("NULL" if v is None else repr(float(v))) for v in r) + ")" for r in R.PUBLISHED_RESULTS)})
+    AS p(model, type, strategy, accuracy, f1_macro, f1_mani, roc_auc)
+  UNION ALL
+  SELECT 'scored view', 'Fixture', '-', {Q.ACCURACY}, {Q.F1_MACRO}, {Q.F1_POS}, (SELECT roc_auc FROM auc)
+  FROM ({Q.counts("(SELECT * FROM scored WHERE data_type = 'TEST') t", 'CAST(score > 0.5 AS INTEGER)')})
+  UNION ALL
+  SELECT 'reply stub', 'Prompted', strategy, {Q.ACCURACY}, {Q.F1_MACRO}, {Q.F1_POS}, NULL
+  FROM ({Q.counts('parsed', 'prediction', 'strategy')}))""",
+    Q.auc_cte("auc", "(SELECT * FROM scored WHERE data_type = 'TEST')"), _FEWSHOT_CTE, _PROMPTS_CTE, scored=True)
+
+
+@register("leaderboard", _LEADER_SQL)
+def q_leaderboard(spark, sf_dir):
+    """O1 + S7 + U1: published rows and results computed here, sorted by F1-macro."""
+    pe = PE.strategy_metrics(prompt_replies(spark, sf_dir)).select(
+        F.lit("reply stub").alias("model"), F.lit("Prompted").alias("type"), "strategy",
+        "accuracy", "f1_macro", "f1_mani")
+    lb = R.leaderboard([R.inline_results(spark), _fixture_result_row(spark, sf_dir), pe])
+    return SC.round_metrics(lb)
+
+
+# threshold variants of the scored view play the models of J4 / A18
+MODEL_THRESHOLDS = [("score>0.3", 0.3), ("score>0.5", 0.5), ("score>0.7", 0.7)]
+
+
+def _split_gain(spark, sf_dir):
+    off, rs = [], []
+    for pos, (name, t) in enumerate(MODEL_THRESHOLDS):
+        off.append(official_f1(spark, sf_dir, t).select(F.lit(name).alias("model"), F.lit(pos).alias("position"),
+                                                        F.col("f1_macro").alias("official_f1")))
+        rs.append(restratified_scores(spark, sf_dir, t).agg(F.avg("f1_macro").alias("restratified_f1"))
+                  .select(F.lit(name).alias("model"), "restratified_f1"))
+    return R.split_gain(R.union_all(off), R.union_all(rs))
+
+
+def _gain_sql():
+    parts, ctes = [], []
+    for pos, (name, t) in enumerate(MODEL_THRESHOLDS):
+        tag = f"m{pos}"
+        ctes += [Q.official_cte(t, f"off_{tag}"), Q.restrat_cte(t, f"rs_{tag}")]
+        parts.append(f"SELECT {Q.lit(name)} AS model, {pos} AS position, (SELECT f1_macro FROM off_{tag}) AS official_f1, "
+                     f"(SELECT avg(f1_macro) FROM rs_{tag}) AS restratified_f1")
+    return ctes, " UNION ALL ".join(parts)
+
+
+_GAIN_CTES, _GAIN_BODY = _gain_sql()
+
+
+@register("split_gain", Q.with_base(
+    f"""SELECT model, position, round(official_f1, 12) AS official_f1, round(restratified_f1, 12) AS restratified_f1,
+       round(restratified_f1 - official_f1, 12) AS gained FROM ({_GAIN_BODY})""", _HOLD, *_GAIN_CTES, scored=True))
+def q_split_gain(spark, sf_dir):
+    """Official vs re-stratified F1 per model, joined on the model name."""
+    return _round(_split_gain(spark, sf_dir), ["official_f1", "restratified_f1", "gained"])
+
+
+@register("best_model", Q.with_base(
+    f"""SELECT model, position, round(official_f1, 12) AS f1_macro FROM ({_GAIN_BODY})
+ORDER BY official_f1 DESC, position LIMIT 1""", _HOLD, *_GAIN_CTES, scored=True))
+def q_best_model(spark, sf_dir):
+    """A18 + O2: the model with the best official F1-macro (first wins ties)."""
+    g = _split_gain(spark, sf_dir).select("model", "position", F.col("official_f1").alias("f1_macro"))
+    return _round(R.best_by(g, "f1_macro", "position"), ["f1_macro"])
+
+
+@register("best_checkpoint", Q.with_base(
+    """SELECT seed * 5 + fold AS epoch, round(f1_macro, 12) AS f1_macro FROM fold_scores
+ORDER BY f1_macro DESC, seed * 5 + fold LIMIT 1""", _FOLDS, Q.fold_scores_cte(), scored=True))
+def q_best_checkpoint(spark, sf_dir):
+    """Highest F1-macro row of a per-epoch validation log (the fold runs as epochs)."""
+    log = fold_scores(spark, sf_dir).select((F.col("seed") * 5 + F.col("fold")).alias("epoch"), "f1_macro")
+    return _round(R.best_checkpoint(log, "f1_macro", ("epoch",)), ["f1_macro"])
