@@ -50,13 +50,16 @@ BROADCAST_LIMIT_BYTES = 512 * 1024 * 1024
 
 
 def term_counts(df: DataFrame, text_col: str, cfg: TfidfConfig, id_col: str = "row_id",
-                keep: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
+                keep: tuple[str, ...] = (), prepartitioned: bool = False) -> DataFrame:
     """(id, keep..., term, tf): n-gram counts per row.
 
     ``keep`` columns must be functionally dependent on the id (e.g. split).
+    Input not already hash-partitioned by the id is repartitioned (texts move
+    once, before the n-grams multiply them).
     """
     d = df.select(id_col, *keep, text_col)
-    d = d.repartition(partitions, id_col) if partitions else d.repartition(id_col)
+    if not prepartitioned:
+        d = d.repartition(id_col)
     g = d.select(id_col, *keep, F.explode(cfg.ngrams(text_col)).alias("term"))
     return g.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -105,13 +108,15 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str = "row_id",
 
 
 def tfidf(df: DataFrame, text_col: str, cfg: TfidfConfig, fit_on: tuple[str, str] | None = None,
-          id_col: str = "row_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+          id_col: str = "row_id", keep: tuple[str, ...] = (),
+          prepartitioned: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fit the vocabulary on rows where ``fit_on[0] == fit_on[1]`` (all rows
     if None) and weight every row -> (weights, vocabulary)."""
     cols = tuple(dict.fromkeys([*keep, *([fit_on[0]] if fit_on else [])]))
     # the term table feeds both the vocabulary and the weights: persist it so
     # the n-grams are generated once (lost blocks are recomputed from lineage)
-    tf = term_counts(df, text_col, cfg, id_col, keep=cols).persist(StorageLevel.MEMORY_AND_DISK)
+    tf = term_counts(df, text_col, cfg, id_col, keep=cols, prepartitioned=prepartitioned) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     if fit_on is None:
         n_docs, tf_fit = df.count(), tf
     else:

@@ -180,7 +180,7 @@ from claimlens.operators import tfidf as T  # noqa: E402
 
 def _tf(spark, sf_dir, cfg):
     c = S.claims(spark, sf_dir)
-    return T.term_counts(c, "text_concat", cfg)
+    return T.term_counts(c, "text_concat", cfg, prepartitioned=S.PARTITIONED_BY_ID)
 
 
 @register("word_term_counts", Q.with_base(
@@ -200,7 +200,8 @@ def q_char_term_counts(spark, sf_dir):
 
 
 def _tfidf(spark, sf_dir, cfg):
-    return T.tfidf(S.claims(spark, sf_dir), "text_concat", cfg, fit_on=("data_type", "TRAIN"))
+    return T.tfidf(S.claims(spark, sf_dir), "text_concat", cfg, fit_on=("data_type", "TRAIN"),
+                   prepartitioned=S.PARTITIONED_BY_ID)
 
 
 _VOCAB_SELECT = "SELECT term, idx, df, ctf, round(idf, 12) AS idf FROM vocab"

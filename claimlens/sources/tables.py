@@ -20,6 +20,7 @@ from claimlens.functions.text import (
 RAW_COLUMNS = ("mani_news", "original_news_article", "mani_status",
                "altered_excerpt", "category", "data_type")
 SPLITS = ("TRAIN", "TEST")
+PARTITIONED_BY_ID = True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +35,12 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     recreate a train/test prior shift.  The join of documents with labels is
     left to the planner: AQE turns it into a broadcast join only when the
     labels side is measured small, otherwise it stays a shuffled join.
+    The result is hash-partitioned by ``row_id`` (``PARTITIONED_BY_ID``).
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # Hash-partition the texts by id once: a shuffled join with the labels
+    # reuses this partitioning, and every per-row operator downstream (text
+    # cleaning, n-gram counts, norms, vectors) runs without another exchange.
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source").repartition("doc_id")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id")
     return d.select(
