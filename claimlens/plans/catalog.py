@@ -642,3 +642,104 @@ def q_best_checkpoint(spark, sf_dir):
     """Highest F1-macro row of a per-epoch validation log (the fold runs as epochs)."""
     log = fold_scores(spark, sf_dir).select((F.col("seed") * 5 + F.col("fold")).alias("epoch"), "f1_macro")
     return _round(R.best_checkpoint(log, "f1_macro", ("epoch",)), ["f1_macro"])
+
+
+# ---------------------------------------------------------------- model fits (no SQL oracle: optimisation)
+
+from claimlens.operators import linear as LN  # noqa: E402
+from claimlens.operators import models as MDL  # noqa: E402
+from claimlens.plans import baseline as BL  # noqa: E402
+from claimlens.plans import robustness as RB  # noqa: E402
+
+
+def _model_eval(spark, sf_dir, cfg, spec, name):
+    _, preds = BL.fit_text_model(S.claims(spark, sf_dir), cfg, spec)
+    return BL.evaluate_test(preds, spec).select(F.lit(name).alias("model"), "*")
+
+
+@register("word_lr_evaluate")
+def q_word_lr_evaluate(spark, sf_dir):
+    """M1 + M2 + A11 (flagship): word 1-3 gram TF-IDF + balanced LR, TRAIN -> TEST metrics."""
+    return _model_eval(spark, sf_dir, T.WORD, LN.LOGREG, "TF-IDF (word) + LR")
+
+
+@register("char_lr_evaluate")
+def q_char_lr_evaluate(spark, sf_dir):
+    """M1 + M2 + A11 on char 2-5 gram features."""
+    return _model_eval(spark, sf_dir, T.CHAR, LN.LOGREG, "TF-IDF (char) + LR")
+
+
+@register("word_svm_evaluate")
+def q_word_svm_evaluate(spark, sf_dir):
+    """M3 + M4 + A11: squared-hinge SVM (C=0.5, penalised intercept); no probability, AUC NULL."""
+    return _model_eval(spark, sf_dir, T.WORD, LN.SVM, "TF-IDF + LinearSVC")
+
+
+@register("word_lr_predictions")
+def q_word_lr_predictions(spark, sf_dir):
+    """M2: class and P(class 1) for every TEST row, joined to the truth by key."""
+    _, preds = BL.fit_text_model(S.claims(spark, sf_dir), T.WORD, LN.LOGREG)
+    return preds.filter(F.col("data_type") == "TEST").select("row_id", "label", "prob", "prediction")
+
+
+@register("top_features")
+def q_top_features(spark, sf_dir):
+    """M5 + O2: 20 most MANI- and 20 most NO_MANI-predictive word n-grams."""
+    m, _ = BL.fit_text_model(S.claims(spark, sf_dir), T.WORD, LN.LOGREG)
+    return MDL.top_features(m.coef, 20)
+
+
+def _train(spark, sf_dir):
+    return S.claims(spark, sf_dir).filter(F.col("data_type") == "TRAIN")
+
+
+@register("cv_scores")
+def q_cv_scores(spark, sf_dir):
+    """M6 + M11: 5-fold CV on TRAIN, vocabulary and model refitted per fold."""
+    return BL.cross_val_scores(_train(spark, sf_dir), T.WORD, LN.LOGREG)
+
+
+@register("oof_probabilities")
+def q_oof_probabilities(spark, sf_dir):
+    """M7: out-of-fold P(MANI) for every TRAIN row."""
+    c = S.claims(spark, sf_dir)
+    tr = c.filter(F.col("data_type") == "TRAIN")
+    return RB.oof_probabilities(RB.shared_term_counts(tr), tr.select("row_id", "label"))
+
+
+@register("calibration_report")
+def q_calibration_report(spark, sf_dir):
+    """A15-A17 with a real model: OOF sweep on TRAIN, default vs calibrated on TEST."""
+    c = S.claims(spark, sf_dir)
+    tr = c.filter(F.col("data_type") == "TRAIN")
+    oof = RB.oof_probabilities(RB.shared_term_counts(tr), tr.select("row_id", "label"))
+    _, preds = BL.fit_text_model(c, T.WORD, LN.LOGREG)
+    return RB.calibration_report(oof, preds.filter(F.col("data_type") == "TEST"))
+
+
+@register("repeated_kfold_eval")
+def q_repeated_kfold_eval(spark, sf_dir):
+    """M8: 10 seeds x 5 folds = 50 refits over all rows -> 50 F1-macro scores."""
+    c = S.claims(spark, sf_dir)
+    return RB.repeated_kfold_runs(RB.shared_term_counts(c), c.select("row_id", "label"))
+
+
+@register("restratified_eval")
+def q_restratified_eval(spark, sf_dir):
+    """M9: 10 re-stratified holdouts -> F1-macro and the class share of each side."""
+    c = S.claims(spark, sf_dir)
+    return RB.restratified_runs(RB.shared_term_counts(c), c.select("row_id", "label"))
+
+
+@register("robustness_report")
+def q_robustness_report(spark, sf_dir):
+    """The four-section robustness report (67 fits), rounded for the sink."""
+    return RB.rounded_report(RB.robustness_report(S.claims(spark, sf_dir)))
+
+
+@register("baseline_models")
+def q_baseline_models(spark, sf_dir):
+    """Char-LR, word-LR, word-SVM with CV means; ``best`` marks the winner."""
+    res = BL.run_baselines(S.claims(spark, sf_dir))
+    best = BL.best_baseline(res).select("position").scalar()
+    return res.withColumn("best", F.col("position") == best)

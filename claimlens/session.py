@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "claimlens") -> SparkSession:
+                app_name: str = "claimlens", driver_memory: str = "16g") -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
     On a cluster the master and most settings come from ``spark-submit``;
@@ -19,6 +19,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
