@@ -46,8 +46,10 @@ def fit_text_model(claims: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec,
     spark = claims.sparkSession
     weights, vocab = T.tfidf(claims, text_col, cfg, fit_on=("data_type", "TRAIN"), prepartitioned=prepartitioned)
     d = vocab.count()
+    # weights feed the fit and the scoring: generate them once
+    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
     rows = claims.select("row_id", "data_type", "label")
-    vec = MD.with_vectors(rows, weights)
+    vec = MD.with_vectors(rows, weights).persist(StorageLevel.MEMORY_AND_DISK)
     w, info = MD.fit(vec.filter(F.col("data_type") == "TRAIN"), d, spec)
     coef = MD.coefficient_table(spark, w, vocab).persist(StorageLevel.MEMORY_AND_DISK)
     preds = MD.predict(weights, rows, coef, float(w[-1]), spec)
