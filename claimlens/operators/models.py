@@ -92,9 +92,7 @@ def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.Tfidf
     st = tf.join(tr.select("run", "row_id"), "row_id").groupBy("run", "term") \
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
     if cfg.max_features is not None:
-        # rank <= k lets Spark keep only each partition's top rows per run before the shuffle
-        top = Window.partitionBy("run").orderBy(F.desc("ctf"), F.asc("term"))
-        st = st.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= cfg.max_features).drop("_r")
+        st = TF.top_k_by_count(st, cfg.max_features, by=("run",))
     alpha = Window.partitionBy("run").orderBy("term")   # at most max_features rows per run
     voc = st.join(F.broadcast(ndocs), "run").select(
         "run", "term", (F.row_number().over(alpha) - 1).alias("idx"),

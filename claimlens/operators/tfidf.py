@@ -69,6 +69,30 @@ def idf_col(n_docs: Column, df_col: Column) -> Column:
     return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
+def top_k_by_count(df: DataFrame, k: int, count_col: str = "ctf", key: str = "term",
+                   by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` rows with the largest ``count_col`` per ``by`` group, ties by
+    ``key`` ascending -- exact, and without a single-task sort.
+
+    A histogram of the (integer) counts gives every count value the number of
+    rows above it; all rows of a count value that fits entirely under ``k``
+    are kept (at most k such values survive, so that table is broadcast).
+    Only the boundary count value is ranked by key, in key-prefix buckets with
+    exact offsets (see ``splits.ranked``)."""
+    from claimlens.operators.splits import ranked
+    by = list(by)
+    hist = df.groupBy(*by, count_col).agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*by).orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, -1)
+    cut = hist.select(*by, count_col, "_m", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_above")) \
+        .filter(F.col("_above") < k)
+    j = df.join(F.broadcast(cut), [*by, count_col])   # bounded: at most k count values per group
+    whole = j.filter(F.col("_above") + F.col("_m") <= k).drop("_m", "_above")
+    edge = j.filter(F.col("_above") + F.col("_m") > k).withColumn("_one", F.lit(0))
+    r = ranked(edge, F.col(key), label="_one", by=[*by, count_col], id_col=key, prefix_len=2)
+    part = r.filter(F.col("_rank") < F.lit(k) - F.col("_above")).drop("_m", "_above", "_one", "_pos", "_rank")
+    return whole.unionByName(part)
+
+
 def fit_vocabulary(tf: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
     """(term, idx, df, ctf, idf) from the *fit* rows' term counts.
 
@@ -79,7 +103,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
     v = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")) \
         .filter(F.col("df") >= cfg.min_df)
     if cfg.max_features is not None:
-        v = v.orderBy(F.desc("ctf"), F.asc("term")).limit(cfg.max_features)
+        v = top_k_by_count(v, cfg.max_features)
     # at most max_features rows: ranking them in one window is bounded work
     w = Window.orderBy("term")
     return v.select("term", (F.row_number().over(w) - 1).cast("long").alias("idx"), "df", "ctf",

@@ -743,3 +743,102 @@ def q_baseline_models(spark, sf_dir):
     res = BL.run_baselines(S.claims(spark, sf_dir))
     best = BL.best_baseline(res).select("position").scalar()
     return res.withColumn("best", F.col("position") == best)
+
+
+# ---------------------------------------------------------------- A17 / A19 on the scored view (SQL-checkable)
+
+def calibration_fixed(spark, sf_dir) -> DataFrame:
+    """Threshold from the TRAIN sweep applied to TEST rows: default vs calibrated."""
+    sc = S.scored(spark, sf_dir)
+    cal = M.calibrated_threshold(M.threshold_sweep(sc.filter(F.col("data_type") == "TRAIN")))
+    t = cal.select("calibrated_threshold").scalar()
+    test = sc.filter(F.col("data_type") == "TEST").select(
+        "label", M.apply_threshold("score").alias("p_default"), (F.col("score") > t).cast("int").alias("p_cal"))
+    dflt = M.with_f1_metrics(M.confusion_counts(test, prediction="p_default")).select("f1_macro").scalar()
+    calf = M.with_f1_metrics(M.confusion_counts(test, prediction="p_cal")).select("f1_macro").scalar()
+    return cal.select("calibrated_threshold", dflt.alias("default_threshold_f1"), calf.alias("calibrated_f1")) \
+        .withColumn("difference", F.col("calibrated_f1") - F.col("default_threshold_f1"))
+
+
+_CAL_TEST_CTE = f"""cal_t AS (SELECT calibrated_threshold AS t FROM calib),
+cal_c AS ({Q.counts("(SELECT s.label, s.score, c.t FROM scored s CROSS JOIN cal_t c WHERE s.data_type = 'TEST') x", 'CAST(score > t AS INTEGER)')}),
+def_c AS ({Q.counts("(SELECT * FROM scored WHERE data_type = 'TEST') x", 'CAST(score > 0.5 AS INTEGER)')}),
+calfix AS (
+  SELECT (SELECT t FROM cal_t) AS calibrated_threshold,
+         (SELECT {Q.F1_MACRO} FROM def_c) AS default_threshold_f1,
+         (SELECT {Q.F1_MACRO} FROM cal_c) AS calibrated_f1)"""
+
+
+@register("calibration_fixed", Q.with_base(
+    """SELECT calibrated_threshold, round(default_threshold_f1, 12) AS default_threshold_f1,
+       round(calibrated_f1, 12) AS calibrated_f1, round(calibrated_f1 - default_threshold_f1, 12) AS difference
+FROM calfix""", _SWEEP_SQL, _CALIB_CTE, _CAL_TEST_CTE, scored=True))
+def q_calibration_fixed(spark, sf_dir):
+    """A15-A17 + P13 with fixed scores: calibrated on TRAIN, applied to TEST."""
+    return _round(calibration_fixed(spark, sf_dir), ["default_threshold_f1", "calibrated_f1", "difference"])
+
+
+_ROBUST_COLS = ["original_f1_macro", "train_mani_pct", "test_mani_pct", "default_threshold_f1",
+                "calibrated_threshold", "calibrated_f1", "kfold_n_runs", "kfold_mean_f1", "kfold_std_f1",
+                "kfold_ci_95_lower", "kfold_ci_95_upper", "restrat_n_seeds", "restrat_mean_f1",
+                "restrat_std_f1", "restrat_ci_95_lower", "restrat_ci_95_upper"]
+
+
+@register("robustness_fixed", Q.with_base(
+    f"""SELECT round((SELECT f1_macro FROM official), 4) AS original_f1_macro,
+       round((SELECT avg(CAST(label AS DOUBLE)) FROM enriched WHERE data_type = 'TRAIN') * 100.0, 1) AS train_mani_pct,
+       round((SELECT avg(CAST(label AS DOUBLE)) FROM enriched WHERE data_type = 'TEST') * 100.0, 1) AS test_mani_pct,
+       round((SELECT default_threshold_f1 FROM calfix), 4) AS default_threshold_f1,
+       round((SELECT calibrated_threshold FROM calfix), 2) AS calibrated_threshold,
+       round((SELECT calibrated_f1 FROM calfix), 4) AS calibrated_f1,
+       k.n AS kfold_n_runs, round(k.mean, 4) AS kfold_mean_f1, round(k.std, 4) AS kfold_std_f1,
+       round(k.ci_lower, 4) AS kfold_ci_95_lower, round(k.ci_upper, 4) AS kfold_ci_95_upper,
+       r.n AS restrat_n_seeds, round(r.mean, 4) AS restrat_mean_f1, round(r.std, 4) AS restrat_std_f1,
+       round(r.ci_lower, 4) AS restrat_ci_95_lower, round(r.ci_upper, 4) AS restrat_ci_95_upper
+FROM (SELECT count(f1_macro) AS n, avg(f1_macro) AS mean, stddev_pop(f1_macro) AS std,
+             avg(f1_macro) - 1.96 * stddev_pop(f1_macro) / sqrt(count(f1_macro)) AS ci_lower,
+             avg(f1_macro) + 1.96 * stddev_pop(f1_macro) / sqrt(count(f1_macro)) AS ci_upper FROM fold_scores) k
+CROSS JOIN (SELECT count(f1_macro) AS n, avg(f1_macro) AS mean, stddev_pop(f1_macro) AS std,
+             avg(f1_macro) - 1.96 * stddev_pop(f1_macro) / sqrt(count(f1_macro)) AS ci_lower,
+             avg(f1_macro) + 1.96 * stddev_pop(f1_macro) / sqrt(count(f1_macro)) AS ci_upper FROM restrat) r""",
+    _FOLDS, Q.fold_scores_cte(), _HOLD, Q.restrat_cte(), Q.official_cte(), _SWEEP_SQL, _CALIB_CTE, _CAL_TEST_CTE,
+    scored=True))
+def q_robustness_fixed(spark, sf_dir):
+    """A19 with fixed scores: the four report sections, flattened, rounded as the reference reports them."""
+    dist = M.split_distribution(S.claims(spark, sf_dir))
+    cal = calibration_fixed(spark, sf_dir)
+    k = M.score_summary(fold_scores(spark, sf_dir))
+    r = M.score_summary(restratified_scores(spark, sf_dir))
+
+    def pick(df, c):
+        return df.select(c).scalar()
+
+    row = cal.select(
+        F.round(official_f1(spark, sf_dir).select("f1_macro").scalar(), 4).alias("original_f1_macro"),
+        F.round(dist.filter(F.col("split") == "TRAIN").select("pos_pct").scalar(), 1).alias("train_mani_pct"),
+        F.round(dist.filter(F.col("split") == "TEST").select("pos_pct").scalar(), 1).alias("test_mani_pct"),
+        F.round("default_threshold_f1", 4).alias("default_threshold_f1"),
+        F.round("calibrated_threshold", 2).alias("calibrated_threshold"),
+        F.round("calibrated_f1", 4).alias("calibrated_f1"),
+        pick(k, "n").alias("kfold_n_runs"), F.round(pick(k, "mean"), 4).alias("kfold_mean_f1"),
+        F.round(pick(k, "std"), 4).alias("kfold_std_f1"), F.round(pick(k, "ci_lower"), 4).alias("kfold_ci_95_lower"),
+        F.round(pick(k, "ci_upper"), 4).alias("kfold_ci_95_upper"),
+        pick(r, "n").alias("restrat_n_seeds"), F.round(pick(r, "mean"), 4).alias("restrat_mean_f1"),
+        F.round(pick(r, "std"), 4).alias("restrat_std_f1"),
+        F.round(pick(r, "ci_lower"), 4).alias("restrat_ci_95_lower"),
+        F.round(pick(r, "ci_upper"), 4).alias("restrat_ci_95_upper"))
+    return row.select(*_ROBUST_COLS)
+
+
+# ---------------------------------------------------------------- prompts at a second shape
+
+_TURN_ZS_SQL = _ZS_SQL.replace("mani_news", "q.text").replace("original_news_article", "a.text")
+
+
+@register("claim_turn_prompts", f"""SELECT q.conv_id, q.turn, {_TURN_ZS_SQL} AS prompt
+FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+WHERE q.role = 'user'""")
+def q_claim_turn_prompts(spark, sf_dir):
+    """P10 over claim/article pairs from conversations (a user turn and the next turn)."""
+    t = S.claim_turns(spark, sf_dir)
+    return t.select("conv_id", "turn", P.zero_shot_prompt().alias("prompt"))
