@@ -146,14 +146,18 @@ def margins(rows, cols, vals, w, n):
     return np.bincount(rows, weights=vals * w[cols], minlength=n) + w[-1]
 
 
-def fit_local(indices: pd.Series, values: pd.Series, y01: np.ndarray, d: int, spec: LinearSpec,
-              sample_weight: np.ndarray | None = None):
-    """Fit on in-memory rows -> (w of length d + 1 with the intercept last, info)."""
-    n = len(y01)
-    rows, cols, vals = csr_parts(indices, values)
+def fit_csr(rows, cols, vals, row_mask, y01_all, d: int, spec: LinearSpec,
+            sample_weight: np.ndarray | None = None):
+    """Fit on flat (row, col, val) triples of the rows where ``row_mask`` is
+    true (row numbers index ``y01_all``) -> (w of length d + 1, info)."""
+    idx = np.flatnonzero(row_mask)
+    remap = np.full(len(row_mask), -1, dtype=np.int64)
+    remap[idx] = np.arange(len(idx))
+    rows = remap[rows]
+    n = len(idx)
+    y01 = np.asarray(y01_all)[idx].astype(int)
     y = np.where(y01 == 1, 1.0, -1.0)
     s = balanced_weights(y01) if sample_weight is None else sample_weight
-
     scale = 1.0 / (spec.C * max(float(s.sum()), 1e-300))   # objective per unit of sample weight
 
     def fg(w):
@@ -169,6 +173,13 @@ def fit_local(indices: pd.Series, values: pd.Series, y01: np.ndarray, d: int, sp
     return w, {"objective": f, "grad_max": float(np.max(np.abs(g))), "iterations": it}
 
 
+def fit_local(indices: pd.Series, values: pd.Series, y01: np.ndarray, d: int, spec: LinearSpec,
+              sample_weight: np.ndarray | None = None):
+    """Fit on in-memory rows -> (w of length d + 1 with the intercept last, info)."""
+    rows, cols, vals = csr_parts(indices, values)
+    return fit_csr(rows, cols, vals, np.ones(len(y01), dtype=bool), y01, d, spec, sample_weight)
+
+
 def decision(indices, values, w) -> np.ndarray:
     rows, cols, vals = csr_parts(indices, values)
     return margins(rows, cols, vals, w, len(indices))

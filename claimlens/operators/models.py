@@ -84,9 +84,8 @@ def top_features(coef: DataFrame, k: int = 20, digits: int = 4) -> DataFrame:
                                F.round("coef", digits).alias("coef")))
 
 
-def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig) -> DataFrame:
-    """(run, row_id, role, label, d, indices, values) with a vocabulary and idf
-    refitted on each run's training rows; term counts are computed once."""
+def run_vocabularies(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig) -> DataFrame:
+    """(run, term, idx, idf): each run's vocabulary and idf from its training rows."""
     tr = assign.filter(F.col("role") == "train")
     ndocs = tr.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
     st = tf.join(tr.select("run", "row_id"), "row_id").groupBy("run", "term") \
@@ -94,9 +93,18 @@ def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.Tfidf
     if cfg.max_features is not None:
         st = TF.top_k_by_count(st, cfg.max_features, by=("run",))
     alpha = Window.partitionBy("run").orderBy("term")   # at most max_features rows per run
-    voc = st.join(F.broadcast(ndocs), "run").select(
-        "run", "term", (F.row_number().over(alpha) - 1).alias("idx"),
+    return st.join(F.broadcast(ndocs), "run").select(
+        "run", "term", (F.row_number().over(alpha) - 1).cast("long").alias("idx"),
         TF.idf_col(F.col("_n").cast("double"), F.col("df")).alias("idf"))
+
+
+def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
+                voc: DataFrame | None = None) -> DataFrame:
+    """(run, row_id, role, label, d, indices, values) with a vocabulary and idf
+    refitted on each run's training rows; term counts are computed once.
+    Fully relational: (run, row, term) rows are joined with the run
+    vocabularies, so no run has to fit in one task."""
+    voc = run_vocabularies(tf, assign, cfg) if voc is None else voc
     dsize = voc.groupBy("run").agg(F.count(F.lit(1)).alias("d"))
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if cfg.sublinear_tf else F.col("tf").cast("double")
     raw = tf.join(assign.select("run", "row_id"), "row_id").join(voc, ["run", "term"]) \
@@ -144,6 +152,62 @@ def fit_many(vectors: DataFrame, spec: L.LinearSpec, max_local_nnz: int = L.LOCA
     return out.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
 
 
+def fit_many_terms(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
+                   spec: L.LinearSpec, max_local_nnz: int = L.LOCAL_FIT_MAX_NNZ) -> DataFrame:
+    """``fit_many`` from shared term counts: per-run vocabularies are refitted
+    relationally; vectors, norms, fit and scoring then run per run.
+
+    Compact path (every run's nonzeros under ``max_local_nnz``): each row's
+    (term, tf) arrays are built once, attached to the row's runs, and
+    co-grouped by run with that run's vocabulary -- no (run, row, term)
+    explosion.  Otherwise the fully relational ``run_vectors`` path."""
+    voc = run_vocabularies(tf, assign, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    row_terms = tf.groupBy("row_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    members = assign.join(rows.select("row_id", "label"), "row_id").join(row_terms, "row_id", "left") \
+        .select(F.col("run").cast("long").alias("run"), "row_id", "role", "label",
+                F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+                F.coalesce("tfs", F.array().cast("array<long>")).alias("tfs")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    # a run's group holds all its rows (train and test)
+    biggest = members.groupBy("run").agg(F.sum(F.size("terms")).alias("nnz")).agg(F.max("nnz")).first()[0] or 0
+    if biggest > max_local_nnz:
+        return fit_many(run_vectors(tf, rows, assign, cfg, voc), spec, max_local_nnz)
+    loss_is_log, sublinear = spec.loss == "logistic", cfg.sublinear_tf
+
+    def one(key, m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if len(m) == 0:
+            return pd.DataFrame({c: [] for c in RUN_OUT.fieldNames()})
+        d = len(v)
+        lookup = pd.Index(v["term"].to_numpy())
+        order = v["idx"].to_numpy().astype(np.int64)
+        idf = v["idf"].to_numpy()
+        lens = m["terms"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(a, dtype=object) for a in m["terms"]]) if lens.sum() else np.zeros(0, object)
+        tfs = np.concatenate([np.asarray(a, dtype=float) for a in m["tfs"]]) if lens.sum() else np.zeros(0)
+        rows_ = np.repeat(np.arange(len(m), dtype=np.int64), lens)
+        pos = lookup.get_indexer(flat) if len(flat) else np.zeros(0, np.int64)
+        keep = pos >= 0
+        cols, rws = order[pos[keep]], rows_[keep]
+        w = ((1.0 + np.log(tfs[keep])) if sublinear else tfs[keep]) * idf[pos[keep]]
+        nrm = np.sqrt(np.bincount(rws, weights=w * w, minlength=len(m)))
+        vals = w / nrm[rws]
+        trm = (m["role"] == "train").to_numpy()
+        sel_tr = trm[rws]
+        y01 = m["label"].to_numpy().astype(int)
+        wfit, _ = L.fit_csr(rws[sel_tr], cols[sel_tr], vals[sel_tr], trm, y01, d, spec)
+        z = np.bincount(rws, weights=vals * wfit[cols], minlength=len(m)) + wfit[-1]
+        te = ~trm
+        zt = z[te]
+        prob = L._sigmoid(zt) if loss_is_log else np.full(len(zt), np.nan)
+        return pd.DataFrame({"run": m["run"].to_numpy()[te], "row_id": m["row_id"].to_numpy()[te],
+                             "label": y01[te].astype(np.int32), "margin": zt, "prob": prob,
+                             "prediction": (zt > 0).astype(np.int32)})
+
+    out = members.groupBy("run").cogroup(voc.select(F.col("run").cast("long").alias("run"), "term", "idx", "idf")
+                                         .groupBy("run")).applyInPandas(one, RUN_OUT)
+    return out.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
+
+
 def _fit_many_distributed(vectors: DataFrame, spec: L.LinearSpec) -> DataFrame:
     spark = vectors.sparkSession
     outs = []

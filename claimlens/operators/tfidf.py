@@ -81,6 +81,8 @@ def top_k_by_count(df: DataFrame, k: int, count_col: str = "ctf", key: str = "te
     exact offsets (see ``splits.ranked``)."""
     from claimlens.operators.splits import ranked
     by = list(by)
+    # the candidates feed the histogram and both branches: aggregate them once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     hist = df.groupBy(*by, count_col).agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*by).orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, -1)
     cut = hist.select(*by, count_col, "_m", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_above")) \

@@ -79,8 +79,8 @@ def cross_val_scores(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k
     """M6: per-fold F1-macro with vocabulary and model refitted in each fold."""
     tf = T.term_counts(train, text_col, cfg, prepartitioned=True)
     assign = fold_assignments(train, k, seed)
-    vec = MD.run_vectors(tf, train.select("row_id", "label"), assign, cfg)
-    return run_scores(MD.fit_many(vec, spec)).select("run", "n", "f1_macro")
+    preds = MD.fit_many_terms(tf, train.select("row_id", "label"), assign, cfg, spec)
+    return run_scores(preds).select("run", "n", "f1_macro")
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

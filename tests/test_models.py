@@ -107,3 +107,19 @@ def test_top_features(spark):
     mani = [r["term"] for r in t if r["direction"] == "MANI"]
     assert mani == ["a", "c"]
     assert [r["term"] for r in t if r["direction"] == "NO_MANI"] == ["b", "d"]
+
+
+def test_compact_and_relational_fit_many_agree(spark):
+    c = S.claims(spark, SF_SMALL)
+    tr = c.filter("data_type = 'TRAIN'")
+    tf = T.term_counts(tr, "text_concat", T.WORD, prepartitioned=True)
+    rows = tr.select("row_id", "label")
+    assign = B.fold_assignments(tr, k=3)
+    compact = MD.fit_many_terms(tf, rows, assign, T.WORD, L.LOGREG)
+    rel = MD.fit_many(MD.run_vectors(tf, rows, assign, T.WORD), L.LOGREG)
+    a = {(r["run"], r["row_id"]): r["prob"] for r in compact.collect()}
+    b = {(r["run"], r["row_id"]): r["prob"] for r in rel.collect()}
+    assert a.keys() == b.keys() and len(a) == tr.count()
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-6
+    fallback = MD.fit_many_terms(tf, rows, assign, T.WORD, L.LOGREG, max_local_nnz=0)
+    assert fallback.count() == tr.count()
