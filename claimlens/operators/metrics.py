@@ -298,3 +298,17 @@ def calibrated_threshold(sweep: DataFrame, by: Sequence[str] = (),
     g = sweep.groupBy(*by).agg(best.alias("_best"), near.alias("default_f1"))
     return g.select(*by, F.col("_best.threshold").alias("calibrated_threshold"),
                     F.col("_best.f1_macro").alias("calibrated_f1"), "default_f1")
+
+
+def evaluate_logits(df: DataFrame, logits: str = "logits", label: str = "label",
+                    by: Sequence[str] = ()) -> DataFrame:
+    """The fine-tuning metric callback: two-class logits -> argmax prediction
+    (ties -> class 0) and softmax P(class 1) -> the A11 metric row.  As in that
+    callback, an AUC that cannot be computed (one class) is 0.0, not NULL."""
+    l0, l1 = F.col(logits).getItem(0), F.col(logits).getItem(1)
+    m = F.greatest(l0, l1)
+    p1 = F.exp(l1 - m) / (F.exp(l0 - m) + F.exp(l1 - m))
+    d = df.select(*by, F.col(label).alias("label"), (l1 > l0).cast("int").alias("prediction"),
+                  p1.alias("prob_mani"))
+    e = evaluate(d, score="prob_mani", by=by)
+    return e.withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.0)))

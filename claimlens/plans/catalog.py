@@ -842,3 +842,17 @@ def q_claim_turn_prompts(spark, sf_dir):
     """P10 over claim/article pairs from conversations (a user turn and the next turn)."""
     t = S.claim_turns(spark, sf_dir)
     return t.select("conv_id", "turn", P.zero_shot_prompt().alias("prompt"))
+
+
+@register("logits_evaluate", Q.with_base(
+    f"""SELECT c.*, {Q.METRICS}, coalesce(a.roc_auc, 0.0) AS roc_auc
+FROM ({Q.counts('lg', 'prediction')}) c CROSS JOIN auc a""",
+    """lg0 AS (SELECT row_id, label, CAST(row_id % 7 AS DOUBLE) / 4.0 AS l0, score * 3.0 AS l1 FROM scored),
+lg AS (SELECT row_id, label, CAST(l1 > l0 AS INTEGER) AS prediction,
+              exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS score FROM lg0)""",
+    Q.auc_cte("auc", "lg"), scored=True))
+def q_logits_evaluate(spark, sf_dir):
+    """F2 (metric callback): softmax/argmax of two-class logits -> A11 metrics, AUC 0.0 on failure."""
+    s = S.scored(spark, sf_dir).select(
+        "label", F.array((F.col("row_id") % 7).cast("double") / 4.0, F.col("score") * 3.0).alias("logits"))
+    return M.evaluate_logits(s)

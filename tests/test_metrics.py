@@ -113,3 +113,12 @@ def test_classification_report(spark):
     assert rep["MANI"]["support"] == 61 and rep["NO_MANI"]["support"] == 89
     assert round(rep["macro avg"]["f1"], 4) == 0.5717
     assert round(rep["weighted avg"]["f1"], 4) == 0.5568
+
+
+def test_evaluate_logits(spark):
+    df = spark.createDataFrame([([0.0, 1.0], 1), ([1.0, 0.0], 0), ([0.5, 0.5], 1), ([0.0, 2.0], 0)],
+                               "logits array<double>, label int")
+    r = M.evaluate_logits(df).first()
+    assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (1, 1, 1, 1)     # tie goes to class 0
+    one = spark.createDataFrame([([0.0, 1.0], 1)], "logits array<double>, label int")
+    assert M.evaluate_logits(one).first()["roc_auc"] == 0.0
