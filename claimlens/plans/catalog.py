@@ -244,7 +244,7 @@ def q_word_tfidf_vectors(spark, sf_dir):
 from claimlens.operators import splits as X  # noqa: E402
 
 SEEDS = list(range(10))
-SEEDS_SQL = "(SELECT range AS seed FROM range(10))"
+SEEDS_SQL = "(SELECT CAST(range AS INTEGER) AS seed FROM range(10))"
 # the reference holds out 150 of 800 rows
 HOLDOUT_FRACTION = 150 / 800
 

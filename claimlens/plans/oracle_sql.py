@@ -109,7 +109,8 @@ def auc_cte(name: str, src: str, by: str = "") -> str:
   FROM {name}_r {grp})"""
 
 
-THRESHOLD_VALUES = "(VALUES " + ", ".join(f"({i}, {t!r})" for i, t in enumerate(THRESHOLDS)) + ") AS g(t_idx, threshold)"
+THRESHOLD_VALUES = ("(VALUES " + ", ".join(f"({i}, CAST('{t!r}' AS DOUBLE))" for i, t in enumerate(THRESHOLDS))
+                    + ") AS g(t_idx, threshold)")
 
 
 def word_grams_cte(src: str = "enriched", text: str = "text_concat", extra: str = "data_type") -> str:
@@ -170,7 +171,7 @@ def lit(s: str) -> str:
 
 def fold_scores_cte(threshold: float = 0.5) -> str:
     j = "(SELECT f.seed, f.fold, s.label, s.score FROM folds f JOIN scored s USING (row_id)) j"
-    return f"""fold_counts AS ({counts(j, f'CAST(score > {threshold!r} AS INTEGER)', 'seed, fold')}),
+    return f"""fold_counts AS ({counts(j, f"CAST(score > CAST('{threshold!r}' AS DOUBLE) AS INTEGER)", 'seed, fold')}),
 fold_scores AS (SELECT seed, fold, n, {F1_MACRO} AS f1_macro FROM fold_counts)"""
 
 
@@ -184,11 +185,11 @@ FROM {src}"""
 
 
 def official_cte(threshold: float = 0.5, name: str = "official") -> str:
-    return f"""{name}_c AS ({counts("(SELECT * FROM scored WHERE data_type = 'TEST') t", f'CAST(score > {threshold!r} AS INTEGER)')}),
+    return f"""{name}_c AS ({counts("(SELECT * FROM scored WHERE data_type = 'TEST') t", f"CAST(score > CAST('{threshold!r}' AS DOUBLE) AS INTEGER)")}),
 {name} AS (SELECT {F1_MACRO} AS f1_macro FROM {name}_c)"""
 
 
 def restrat_cte(threshold: float = 0.5, name: str = "restrat") -> str:
     j = f"(SELECT h.seed, h.role, s.label, s.score FROM holdout h JOIN scored s USING (row_id) WHERE h.role = 'test') j"
-    return f"""{name}_c AS ({counts(j, f'CAST(score > {threshold!r} AS INTEGER)', 'seed')}),
+    return f"""{name}_c AS ({counts(j, f"CAST(score > CAST('{threshold!r}' AS DOUBLE) AS INTEGER)", 'seed')}),
 {name} AS (SELECT seed, {F1_MACRO} AS f1_macro FROM {name}_c)"""

@@ -45,7 +45,19 @@ def _row(d):
     return tuple(_norm(d.get(k) if isinstance(d, dict) else d[k]) for k in sorted(d.keys() if isinstance(d, dict) else d.asDict().keys()))
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+def type_mismatches(sdf, sql: str, con) -> list:
+    rel = con.sql(sql)
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [(f.name, str(f.dataType), dt.get(f.name)) for f in sdf.schema.fields
+            if SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) != dt.get(f.name)]
+
+
 def compare(sdf, sql: str, con) -> dict:
+    types_bad = type_mismatches(sdf, sql, con)
     srows = [r.asDict(recursive=True) for r in sdf.collect()]
     scols = sorted(sdf.columns)
     rel = con.execute(sql)
@@ -62,5 +74,6 @@ def compare(sdf, sql: str, con) -> dict:
             out["first_diffs"] = diff
     else:
         out["values_equal"] = False
-    out["ok"] = out["cols_equal"] and out["values_equal"] and len(srows) == len(drows)
+    out["type_mismatches"] = types_bad
+    out["ok"] = out["cols_equal"] and out["values_equal"] and len(srows) == len(drows) and not types_bad
     return out
