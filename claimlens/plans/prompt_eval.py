@@ -23,12 +23,28 @@ from claimlens.operators import windows as WN
 ModelFn = Callable[[list[str]], list[str]]
 
 
-def score_prompts(df: DataFrame, model_fn: ModelFn, prompt_col: str = "prompt",
-                  out_col: str = "response") -> DataFrame:
-    """Adds the model's reply to every prompt (greedy decoding is the model's business)."""
+_WORKER_MODELS: dict = {}
+
+
+def score_prompts(df: DataFrame, model_fn: ModelFn | None = None, prompt_col: str = "prompt",
+                  out_col: str = "response", model_factory: Callable[[], ModelFn] | None = None) -> DataFrame:
+    """Adds the model's reply to every prompt (greedy decoding is the model's business).
+
+    ``model_fn`` is shipped with the task; for a heavy model pass
+    ``model_factory`` instead: it is called once per Python worker process
+    (weights loaded once, reused by every later batch on that worker)."""
+    if (model_fn is None) == (model_factory is None):
+        raise ValueError("give exactly one of model_fn or model_factory")
+    key = id(model_factory)
+
     @pandas_udf("string")
     def _reply(prompts: pd.Series) -> pd.Series:
-        return pd.Series(model_fn(prompts.tolist()), index=prompts.index, dtype="object")
+        fn = model_fn
+        if fn is None:
+            fn = _WORKER_MODELS.get(key)
+            if fn is None:
+                fn = _WORKER_MODELS[key] = model_factory()
+        return pd.Series(fn(prompts.tolist()), index=prompts.index, dtype="object")
     return df.withColumn(out_col, _reply(F.col(prompt_col)))
 
 

@@ -48,3 +48,16 @@ def test_score_logits(spark):
 def test_drop_metric_keys(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "eval_f1 double, eval_runtime double, train_runtime double")
     assert SC.drop_metric_keys(df).columns == ["eval_f1"]
+
+
+def test_score_prompts_with_factory(spark):
+    from claimlens.plans import prompt_eval as PE
+
+    def factory():
+        return lambda ps: ["MANI" if len(p) % 2 else "NO_MANI" for p in ps]
+
+    df = spark.createDataFrame([("ab",), ("abc",)], "prompt string")
+    got = [r["response"] for r in PE.score_prompts(df, model_factory=factory).orderBy("prompt").collect()]
+    assert got == ["NO_MANI", "MANI"]
+    with pytest.raises(ValueError):
+        PE.score_prompts(df)
