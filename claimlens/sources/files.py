@@ -34,7 +34,7 @@ def read_claims_csv(spark: SparkSession, path: str, schema: T.StructType = CLAIM
     number of files; ``row_id`` is stable for a given set of files."""
     df = (spark.read.schema(schema)
           .option("header", True).option("multiLine", True).option("escape", '"')
-          .option("encoding", "UTF-8").option("nullValue", None)
+          .option("encoding", "UTF-8")
           .csv(path))
     tokens = F.array(*[F.lit(t) for t in NULL_TOKENS])
     cleaned = [F.when(F.array_contains(tokens, F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c)
