@@ -30,20 +30,23 @@ def word_tokens(col, mark_aware: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(pat), F.lit(0))
 
 
-def _ngrams_of(k: Column, n: int) -> Column:
-    if n == 1:
-        return k
-    return F.when(F.size(k) >= n,
-                  F.transform(F.sequence(F.lit(1), F.size(k) - (n - 1)),
-                              lambda i: F.array_join(F.slice(k, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+def _grow(k: Column, prev: Column, m: int, lo: int, hi: int, parts: list) -> Column:
+    """Concatenate the n-grams of ``k`` for n in lo..hi.  ``prev`` holds the
+    (m-1)-grams; the m-grams pair each of them with the token m-1 places on
+    (``zip_with``), so every level reuses the previous one instead of slicing
+    and re-joining the token array per gram.  Each level is bound once."""
+    parts = parts + ([prev] if m - 1 >= lo else [])
+    if m > hi:
+        return F.concat(*parts)
+    cnt = F.greatest(F.size(k) - F.lit(m - 1), F.lit(0))
+    nxt = F.zip_with(F.slice(prev, 1, cnt), F.slice(k, m, cnt), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.transform(F.array(nxt), lambda g: _grow(k, g, m + 1, lo, hi, parts)).getItem(0)
 
 
 def word_ngrams(col, ngram_range=(1, 3), mark_aware: bool = False) -> Column:
     """All word n-grams for n in the range, joined by one space, repeats kept."""
     lo, hi = ngram_range
-    bound = F.transform(F.array(word_tokens(col, mark_aware)),
-                        lambda k: F.concat(*[_ngrams_of(k, n) for n in range(lo, hi + 1)]))
+    bound = F.transform(F.array(word_tokens(col, mark_aware)), lambda k: _grow(k, k, 2, lo, hi, []))
     return bound.getItem(0)
 
 

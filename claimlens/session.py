@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; it is only set here when unset
     (local tests), to a fresh scratch folder.
     """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    cur = spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not cur:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")

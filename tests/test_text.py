@@ -63,6 +63,17 @@ def test_word_ngrams(spark):
     assert sorted(one(spark, NG.word_ngrams("x"), "aa bb")) == ["aa", "aa bb", "bb"]
 
 
+def test_word_ngram_ranges_match_python(spark):
+    texts = ["", "aa", "aa bb", "aa bb cc", "one two three four five six", "x yy zz yy zz yy"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for lo, hi in [(1, 1), (2, 2), (1, 4), (2, 3), (3, 5)]:
+        got = [r[0] for r in df.select(NG.word_ngrams("x", (lo, hi))).collect()]
+        for t, g in zip(texts, got):
+            toks = [w for w in t.lower().split() if len(w) >= 2]
+            want = [" ".join(toks[i:i + n]) for n in range(lo, hi + 1) for i in range(len(toks) - n + 1)]
+            assert g == want, (lo, hi, t)
+
+
 def test_char_wb_ngrams(spark):
     assert sorted(one(spark, NG.char_wb_ngrams("x"), "a")) == sorted([" a", "a ", " a "])
     g = one(spark, NG.char_wb_ngrams("x"), "ab")
