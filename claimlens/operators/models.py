@@ -84,12 +84,53 @@ def top_features(coef: DataFrame, k: int = 20, digits: int = 4) -> DataFrame:
                                F.round("coef", digits).alias("coef")))
 
 
-def run_vocabularies(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig) -> DataFrame:
+def _runs_share_rows(assign: DataFrame):
+    """Run ids (sorted) if every run assigns each row of one common row set
+    exactly once, else None.  One small aggregate per run (runs are tens)."""
+    per_run = assign.groupBy("run").agg(F.count(F.lit(1)).alias("_n"),
+                                        F.countDistinct("row_id").alias("_d")).collect()
+    total = assign.select("row_id").distinct().count()
+    if all(r["_n"] == total and r["_d"] == total for r in per_run):
+        return sorted(r["run"] for r in per_run)
+    return None
+
+
+def run_term_stats(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
+                   subtractive: bool | None = None) -> DataFrame:
+    """(run, term, df, ctf) over each run's training rows, df >= min_df.
+
+    When every run splits the same row set (folds, holdouts), a run's training
+    counts are the counts over all rows minus those of its held-out rows: only
+    the held-out side (a fifth of the rows per run) is joined with the term
+    table, and the all-row counts are aggregated once.  Otherwise each run's
+    training rows are joined directly.  ``subtractive`` forces a path (tests)."""
+    runs = _runs_share_rows(assign) if subtractive in (None, True) else None
+    if subtractive and runs is None:
+        raise ValueError("runs do not share one row set")
+    if runs is None:
+        tr = assign.filter(F.col("role") == "train").select("run", "row_id")
+        return tf.join(tr, "row_id").groupBy("run", "term") \
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
+    rows = assign.select("row_id").distinct()
+    # a run's training df is at most the all-row df: only those terms are candidates
+    glob = tf.join(rows, "row_id", "left_semi").groupBy("term") \
+        .agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_ctf")).filter(F.col("_df") >= cfg.min_df)
+    held = tf.join(assign.filter(F.col("role") != "train").select("run", "row_id"), "row_id") \
+        .groupBy("run", "term").agg(F.count(F.lit(1)).alias("_dfo"), F.sum("tf").alias("_ctfo"))
+    run_type = assign.schema["run"].dataType
+    cand = glob.select("term", "_df", "_ctf",
+                       F.explode(F.array(*[F.lit(r).cast(run_type) for r in runs])).alias("run"))
+    return cand.join(held, ["run", "term"], "left").select(
+        "run", "term", (F.col("_df") - F.coalesce("_dfo", F.lit(0))).alias("df"),
+        (F.col("_ctf") - F.coalesce("_ctfo", F.lit(0))).alias("ctf")).filter(F.col("df") >= cfg.min_df)
+
+
+def run_vocabularies(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
+                     subtractive: bool | None = None) -> DataFrame:
     """(run, term, idx, idf): each run's vocabulary and idf from its training rows."""
     tr = assign.filter(F.col("role") == "train")
     ndocs = tr.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
-    st = tf.join(tr.select("run", "row_id"), "row_id").groupBy("run", "term") \
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
+    st = run_term_stats(tf, assign, cfg, subtractive)
     if cfg.max_features is not None:
         st = TF.top_k_by_count(st, cfg.max_features, by=("run",))
     alpha = Window.partitionBy("run").orderBy("term")   # at most max_features rows per run

@@ -93,6 +93,22 @@ def test_run_vocabulary_only_from_training_rows(spark):
     assert list(by[3]["indices"]) == []          # unseen term dropped: zero vector
 
 
+def test_subtractive_run_vocabularies_match_direct(spark):
+    c = S.claims(spark, SF_SMALL)
+    tr = c.filter(F.col("data_type") == "TRAIN")
+    tf = T.term_counts(tr, "text_concat", T.WORD, prepartitioned=True).persist()
+    assign = B.fold_assignments(tr, k=3)
+    for cfg in (T.WORD, T.TfidfConfig("word", (1, 2), 50, min_df=3)):
+        x = MD.run_vocabularies(tf, assign, cfg, subtractive=True)
+        y = MD.run_vocabularies(tf, assign, cfg, subtractive=False)
+        assert x.count() == y.count() and x.exceptAll(y).count() == 0
+    # runs over different row sets cannot subtract: the direct path is chosen
+    uneven = assign.filter((F.col("run") == 0) | (F.col("role") == "train"))
+    assert MD._runs_share_rows(uneven) is None
+    with pytest.raises(ValueError):
+        MD.run_term_stats(tf, uneven, T.WORD, subtractive=True)
+
+
 def test_l2_norms(spark):
     c = S.claims(spark, SF_SMALL)
     w, _ = T.tfidf(c, "text_concat", T.WORD, fit_on=("data_type", "TRAIN"), prepartitioned=True)
