@@ -194,7 +194,8 @@ def fit_many(vectors: DataFrame, spec: L.LinearSpec, max_local_nnz: int = L.LOCA
 
 
 def fit_many_terms(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
-                   spec: L.LinearSpec, max_local_nnz: int = L.LOCAL_FIT_MAX_NNZ) -> DataFrame:
+                   spec: L.LinearSpec, max_local_nnz: int = L.LOCAL_FIT_MAX_NNZ,
+                   prune_terms: bool = True) -> DataFrame:
     """``fit_many`` from shared term counts: per-run vocabularies are refitted
     relationally; vectors, norms, fit and scoring then run per run.
 
@@ -203,7 +204,10 @@ def fit_many_terms(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.Tf
     co-grouped by run with that run's vocabulary -- no (run, row, term)
     explosion.  Otherwise the fully relational ``run_vectors`` path."""
     voc = run_vocabularies(tf, assign, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    row_terms = tf.groupBy("row_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    # only terms of some run's vocabulary can get a weight (or enter a norm):
+    # drop the rest before the per-row arrays are copied into every run's group
+    used = tf.join(voc.select("term").distinct(), "term", "left_semi") if prune_terms else tf
+    row_terms = used.groupBy("row_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
     members = assign.join(rows.select("row_id", "label"), "row_id").join(row_terms, "row_id", "left") \
         .select(F.col("run").cast("long").alias("run"), "row_id", "role", "label",
                 F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
