@@ -32,3 +32,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in p
     assert "ReadSchema: struct<doc_id:bigint,quality:int>" in p
     assert "PushedFilters: [IsNotNull(doc_id)]" in p
+
+
+def test_robustness_report_sections(spark):
+    from claimlens.plans import robustness as RBR
+    from claimlens.sources import tables as S
+    c = S.claims(spark, SF_SMALL)
+    r = RBR.robustness_report(c, seeds=range(2), k=2).first()
+    assert r["repeated_stratified_kfold"]["n_runs"] == 4
+    assert r["restratified_650_150_splits"]["n_seeds"] == 2
+    for sec in ("repeated_stratified_kfold", "restratified_650_150_splits"):
+        s = r[sec]
+        assert s["ci_95_lower"] <= s["mean_f1"] <= s["ci_95_upper"] and s["std_f1"] >= 0
+    assert 0.0 <= r["threshold_calibration"]["calibrated_f1"] <= 1.0
