@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm import packing, secrets, tokens
+from claimlens.llm import decontam, packing, pii, secrets, simhash, tokens
 from claimlens.llm import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_pii")
+def op1_pii(spark, sf_dir):
+    """Personal data of every document by weak supervision."""
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
+@register("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    """SimHash fingerprints and components of all documents."""
+    return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
+
+
+@register("op3_decontamination", Q.OP3)
+def op3_decontamination(spark, sf_dir):
+    """Benchmark windows in every document, by a positional inverted index."""
+    return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 @register("op7_secret_scan", Q.OP7)
 def op7_secret_scan(spark, sf_dir):
     """Secrets of every document, by way of a blob ledger."""

@@ -28,3 +28,22 @@ SELECT d.doc_id, count(*) FILTER (k = 0)::BIGINT AS n_assign, count(*) FILTER (k
   sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k >= 0), '') AS spans
 FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP3 = f"""WITH i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+wi AS (SELECT DISTINCT item_id, list_slice(w, p, p + 9) AS win FROM (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(win) AS n FROM wi),
+d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+wd AS (SELECT doc_id, p, n, list_slice(w, p, p + n - 1) AS win FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT doc_id, p, n, item_id FROM wd JOIN wi USING (win)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+  coalesce(t.n_items, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
