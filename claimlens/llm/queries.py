@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm import decontam, packing, pii, secrets, simhash, tokens
+from claimlens.llm import ann, decontam, packing, pii, secrets, simhash, tokens, warc
 from claimlens.llm import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,19 @@ def op3_decontamination(spark, sf_dir):
     return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+@register("op4_ann")
+def op4_ann(spark, sf_dir):
+    """The 20 nearest embeddings of every 20th one, by a permutation index."""
+    rows = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@register("op6_warc", Q.OP6)
+def op6_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back by headers."""
+    return warc.archive_digest(_table(spark, sf_dir, "pages"))
+
+
 @register("op7_secret_scan", Q.OP7)
 def op7_secret_scan(spark, sf_dir):
     """Secrets of every document, by way of a blob ledger."""
