@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm import ann, decontam, packing, pii, secrets, simhash, tokens, warc
+from claimlens.llm import ann, decontam, langid, packing, pii, secrets, simhash, tokens, toxicity, warc
 from claimlens.llm import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ def op4_ann(spark, sf_dir):
     return ann.search(rows, rows.filter("vec_id % 20 = 0"))
 
 
+@register("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document by a classifier chain fitted on the labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 @register("op6_warc", Q.OP6)
 def op6_warc(spark, sf_dir):
     """Every page written to WARC archives and read back by headers."""
@@ -63,6 +70,12 @@ def op7_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+@register("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    """The language of every document by nearest centroids."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 @register("op9_token_store")
 def op9_token_store(spark, sf_dir):
     """Token ids of every document, written to and read back from the Parquet token store."""
