@@ -124,11 +124,12 @@ def _spans(kind: str, raw: Column, base: bool) -> Column:
                                               _votes(kind, base, s).alias("votes")))
 
 
-def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base, proposed): sorted arrays of spans with votes; proposed ones overlap no base span."""
+def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, base, proposed): the kept columns as a struct, and sorted arrays of spans with votes;
+    proposed ones overlap no base span."""
     t = F.coalesce(F.col(text), F.lit(""))
     raw = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.struct(*(keep or ["doc_id"])).alias("row"),
         *[S.raw_spans(_searched(t, NEEDS[k]), BASE[k]).alias(f"b_{k}") for k in KINDS],
         *[S.raw_spans(_searched(t, NEEDS[f"wide_{k}"]), WIDE[k]).alias(f"w_{k}") for k in KINDS])
     none = F.array().cast(NO_SPANS)
@@ -136,9 +137,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     def union(prefix: str, base: bool) -> Column:
         return F.array_sort(F.concat(*[F.coalesce(_spans(k, F.col(f"{prefix}_{k}"), base), none) for k in KINDS]))
 
-    both = raw.select("doc_id", union("b", True).alias("base"), union("w", False).alias("wide"))
+    both = raw.select("row", union("b", True).alias("base"), union("w", False).alias("wide"))
     free = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return both.select("doc_id", "base", free.alias("proposed"))
+    return both.select("row", "base", free.alias("proposed"))
 
 
 # ---------------------------------------------------------------- label model
@@ -205,12 +206,13 @@ def train(cands: DataFrame) -> list[float] | None:
     return [float(model.intercept), *map(float, model.coefficients.toArray())]
 
 
-def detect(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base, spans): spans are the base ones and the accepted proposed ones, sorted."""
-    cands = materialize(candidates(docs, doc_id, text), "pii-candidates")
+def detect(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, base, spans): the kept columns (doc_id) as a struct; spans are the base ones and
+    the accepted proposed ones, sorted."""
+    cands = materialize(candidates(docs, text, keep), "pii-candidates")
     weights = train(cands)
     if weights is None:
-        return cands.select("doc_id", "base", F.col("base").alias("spans"))
+        return cands.select("row", "base", F.col("base").alias("spans"))
 
     def accepted(s: Column) -> Column:
         z = F.lit(weights[0])
@@ -219,7 +221,7 @@ def detect(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
         return 1 / (1 + F.exp(-z)) >= threshold
 
     added = F.filter("proposed", accepted)
-    return cands.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return cands.select("row", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -227,7 +229,7 @@ def digest(found: DataFrame) -> DataFrame:
     def count(i: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
 
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+    return found.select("row.doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
                         F.sha2(S.joined(F.col("base"), KINDS), 256).alias("base_sha256"), S.joined(F.col("spans"), KINDS).alias("spans"))
 
 

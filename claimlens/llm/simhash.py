@@ -20,7 +20,8 @@ each written to the shared folder.
 
 Defined results: null and empty texts have no words, fingerprint zero, and are
 linked like any other; equal fingerprints are one node, whose document is the
-smallest id (nulls aside); a null id belongs to its fingerprint's component;
+smallest id (nulls aside); a null id belongs to its fingerprint's component
+(null if no equal fingerprint has an id);
 repeated rows are each returned; an empty table gives no rows; columns beside
 the two named ones are ignored.
 """
@@ -72,19 +73,19 @@ def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprint_batches(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            prints = [fingerprint(texts[i].as_py() or "", width, seed) for i in range(len(texts))]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64), pa.int64())],
-                                  names=["doc_id", "fp"])
+            prints = [fingerprint(t.as_py() or "", width, seed) for t in batch.column(0)]
+            yield pa.record_batch([*batch.columns[1:], pa.array(np.array(prints, dtype=np.uint64).view(np.int64), pa.int64())],
+                                  names=[*batch.schema.names[1:], "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED,
-                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches(width, seed), "doc_id long, fp long")
+                 doc_id: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long.  ``keep``: a long column to carry along."""
+    kept = [F.col(keep).cast("long").alias(keep)] if keep else []
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), *kept)
+    return rows.mapInArrow(_fingerprint_batches(width, seed), "doc_id long, " + (f"{keep} long, " if keep else "") + "fp long")
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -283,9 +284,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest id reachable over links, itself included."""
-    prints = materialize(fingerprints(docs, width, seed, doc_id, text), "simhash-prints")
+                    doc_id: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """(doc_id, [keep,] fp, component_id) for every row: the smallest id reachable over links, itself included."""
+    prints = materialize(fingerprints(docs, width, seed, doc_id, text, keep), "simhash-prints")
     nodes = materialize(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     # a document id with several texts is a node once for each fingerprint, under the id itself as well
     shared = nodes.groupBy("node").agg(F.min("fp").alias("one"), F.count("*").alias("n")).filter("n > 1").isEmpty()
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
         of_print = of_print.join(least.withColumnRenamed("component", "l"), F.col("component") == F.col("l")) \
             .select("n_fp", F.col("least").alias("component"))
     return prints.join(of_print, F.col("fp") == F.col("n_fp"), "left") \
-        .select("doc_id", "fp", F.col("component").alias("component_id"))
+        .select("doc_id", *([keep] if keep else []), "fp", F.col("component").alias("component_id"))
 
 
 def digest(found: DataFrame) -> DataFrame:
