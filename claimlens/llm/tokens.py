@@ -31,8 +31,10 @@ from claimlens.session import scratch_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
-#: Words remembered by one worker; beyond it the memory is emptied, which only costs time.
-CACHE_WORDS = 400_000
+#: A worker remembers the words of its last texts, between one and two times this many.
+CACHE_WORDS = 300_000
+#: Words given to the library at once (an encoding takes about a kilobyte while it lives).
+WORDS_AT_ONCE = 10_000
 #: Characters on which normalisation acts one by one and all lower-casings agree; a text with others goes to the library whole.
 _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-įĲ-ňŊ-ž]|<\\|")
 #: The vocabulary's own pre-tokens over such lower-cased text.
@@ -50,23 +52,30 @@ class Encoder:
         self.by_word.normalizer = normalizers.Sequence([])
         self.by_word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def _ids(tokenizer, items: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> None:
+        """One call for many words; ``word_ids`` tells whose each id is."""
+        e = self.by_word.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        cuts = (np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1)) * 4).tolist()
+        flat = array("I", e.ids).tobytes()
+        self.words.update((w, flat[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.  Holds the pre-tokens of
         all texts given beside the bounded memory of words, so pass slices of texts."""
         split = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
         met = set().union(*[w for w in split if w is not None])
+        if len(self.words) > CACHE_WORDS:  # words not met since the last time are forgotten
+            self.words, self.older = {}, self.words
         new = met - self.words.keys()
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, new = {}, met
-        new = list(new)
-        self.words.update(zip(new, self._ids(self.by_word, new)))
+        known = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        new = list(new - known)
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[i:i + WORDS_AT_ONCE])
         get = self.words.__getitem__
-        return [self._ids(self.tokenizer, [t])[0] if w is None else b"".join(map(get, w))
+        return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(get, w))
                 for t, w in zip(texts, split)]
 
 
