@@ -56,7 +56,7 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """One call for many words; ``word_ids`` tells whose each id is."""
-        e = self.by_word.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        e = self.by_word.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
         cuts = (np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1)) * 4).tolist()
         flat = array("I", e.ids).tobytes()
         self.words.update((w, flat[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
