@@ -6,28 +6,36 @@ Two objectives (labels y in {-1, +1}, balanced sample weights s_i = n / (2 n_c))
 * squared hinge:  0.5 (|w|^2 + b^2) + C sum_i s_i max(0, 1 - y_i (x_i w + b))^2
   (the intercept is an extra feature with value 1, so it is penalised)
 
-Both are minimised with L-BFGS.  The optimiser is a small NumPy helper; where
-the data lives decides the execution:
-
-* ``fit_local`` - one run's rows inside one pandas group (``applyInPandas``),
-  used only when the run's nonzero count is below ``LOCAL_FIT_MAX_NNZ``;
-* ``fit_distributed`` - above that, each objective evaluation is one Spark
-  job: every partition computes its partial loss and gradient against the
-  broadcast weights (``mapInPandas``) and a ``groupBy(k).sum`` combines them,
-  so the driver only ever holds vectors of vocabulary size.
+Both are minimised with L-BFGS, for any number of runs (folds, seeds) at once,
+and always in the same distributed way.  The rows are packed once into blocks of
+sparse rows; a run adds its role for every row, an idf vector and a norm for every
+row.  Each step is one Spark job: every task adds up the gradients of all
+unfinished runs over its blocks, sends them as dense pieces of ``PIECE``
+coordinates, and a tree of group sums reduces the pieces.  The driver holds
+runs x vocabulary numbers (``MAX_WEIGHTS`` bounds them), whatever the rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_FIT_MAX_NNZ = 20_000_000
+#: Most weights (runs x features) that the driver and every task hold.
+MAX_WEIGHTS = 100_000_000
+#: Coordinates in one piece of a gradient.
+PIECE = 16384
+#: Pieces of one coordinate range that one task of the reduction adds up.
+FAN_IN = 64
+#: Entries in one block of rows.
+BLOCK_ENTRIES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +51,7 @@ LOGREG = LinearSpec("logistic", 1.0)
 SVM = LinearSpec("squared_hinge", 0.5, max_iter=2000)
 
 
-def _sigmoid(x):
+def sigmoid(x):
     out = np.empty_like(x)
     pos = x >= 0
     out[pos] = 1.0 / (1.0 + np.exp(-x[pos]))
@@ -52,19 +60,11 @@ def _sigmoid(x):
     return out
 
 
-def balanced_weights(y01: np.ndarray) -> np.ndarray:
-    n = len(y01)
-    counts = np.bincount(y01.astype(np.int64), minlength=2).astype(float)
-    present = (counts > 0).sum()
-    w = np.where(counts > 0, n / (present * np.maximum(counts, 1)), 0.0)
-    return w[y01.astype(np.int64)]
-
-
 def loss_terms(loss: str, z: np.ndarray, y: np.ndarray, s: np.ndarray):
     """(sum of weighted losses, d loss / d z) for margins z."""
     m = y * z
     if loss == "logistic":
-        return float(np.sum(s * np.logaddexp(0.0, -m))), -y * s * _sigmoid(-m)
+        return float(np.sum(s * np.logaddexp(0.0, -m))), -y * s * sigmoid(-m)
     if loss == "squared_hinge":
         v = np.maximum(0.0, 1.0 - m)
         return float(np.sum(s * v * v)), -2.0 * y * s * v
@@ -79,20 +79,20 @@ def regulariser(loss: str, w: np.ndarray):
     return 0.5 * float(r @ r), r
 
 
-def lbfgs(fg, x0: np.ndarray, max_iter: int = 1000, gtol: float = 1e-6, m: int = 10,
-          ftol: float = 1e-13):
-    """Minimise a smooth convex function; ``fg(x) -> (f, grad)``.
+def lbfgs(x0: np.ndarray, max_iter: int = 1000, gtol: float = 1e-6, m: int = 10,
+          ftol: float = 1e-13) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple]:
+    """Minimise a smooth convex function: yields points, is sent (f, gradient) of each.
 
     Two-loop recursion; backtracking line search with quadratic
-    interpolation (Armijo).  Stops on max |grad| <= gtol or a relative
-    decrease below ftol."""
+    interpolation (Armijo).  Returns (x, f, gradient, iterations, converged): it stops at
+    max |grad| <= gtol, at a relative decrease below ftol, at ``max_iter`` or where no
+    step decreases f; the first two count as converged."""
     x = x0.astype(float).copy()
-    f, g = fg(x)
+    f, g = yield x
     S, Y = [], []
-    it = 0
     for it in range(max_iter):
         if np.max(np.abs(g)) <= gtol:
-            break
+            return x, f, g, it, True
         q = g.copy()
         al = []
         for s, y in reversed(list(zip(S, Y))):
@@ -111,14 +111,14 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 1000, gtol: float = 1e-6, m: int =
         t = 1.0
         for _ in range(60):
             xn = x + t * d
-            fn, gn = fg(xn)
+            fn, gn = yield xn
             if fn <= f + 1e-4 * t * gd:
                 break
             # minimiser of the quadratic through f, slope gd and fn, kept in [0.1t, 0.5t]
             tq = -gd * t * t / (2.0 * (fn - f - gd * t))
             t = min(max(tq, 0.1 * t), 0.5 * t)
         else:
-            return x, f, g, it
+            return x, f, g, it, False
         s, y = xn - x, gn - g
         if s @ y > 1e-16:
             S.append(s)
@@ -129,112 +129,189 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 1000, gtol: float = 1e-6, m: int =
         done = (f - fn) <= ftol * max(abs(f), abs(fn), 1.0)
         x, f, g = xn, fn, gn
         if done:
-            break
-    return x, f, g, it
-
-
-def csr_parts(indices: pd.Series, values: pd.Series):
-    """Flat (row, col, val) arrays of a column of index/value arrays."""
-    lens = np.fromiter((len(a) for a in indices), dtype=np.int64, count=len(indices))
-    rows = np.repeat(np.arange(len(indices), dtype=np.int64), lens)
-    cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in indices]) if len(indices) else np.zeros(0, np.int64)
-    vals = np.concatenate([np.asarray(a, dtype=float) for a in values]) if len(values) else np.zeros(0)
-    return rows, cols, vals
-
-
-def margins(rows, cols, vals, w, n):
-    return np.bincount(rows, weights=vals * w[cols], minlength=n) + w[-1]
-
-
-def fit_csr(rows, cols, vals, row_mask, y01_all, d: int, spec: LinearSpec,
-            sample_weight: np.ndarray | None = None):
-    """Fit on flat (row, col, val) triples of the rows where ``row_mask`` is
-    true (row numbers index ``y01_all``) -> (w of length d + 1, info)."""
-    idx = np.flatnonzero(row_mask)
-    remap = np.full(len(row_mask), -1, dtype=np.int64)
-    remap[idx] = np.arange(len(idx))
-    rows = remap[rows]
-    n = len(idx)
-    y01 = np.asarray(y01_all)[idx].astype(int)
-    y = np.where(y01 == 1, 1.0, -1.0)
-    s = balanced_weights(y01) if sample_weight is None else sample_weight
-    scale = 1.0 / (spec.C * max(float(s.sum()), 1e-300))   # objective per unit of sample weight
-
-    def fg(w):
-        z = margins(rows, cols, vals, w, n)
-        lsum, dz = loss_terms(spec.loss, z, y, s)
-        reg, rg = regulariser(spec.loss, w)
-        g = rg.copy()
-        g[:-1] += spec.C * np.bincount(cols, weights=vals * dz[rows], minlength=d)
-        g[-1] += spec.C * dz.sum()
-        return scale * (reg + spec.C * lsum), scale * g
-
-    w, f, g, it = lbfgs(fg, np.zeros(d + 1), spec.max_iter, spec.gtol)
-    return w, {"objective": f, "grad_max": float(np.max(np.abs(g))), "iterations": it}
-
-
-def fit_local(indices: pd.Series, values: pd.Series, y01: np.ndarray, d: int, spec: LinearSpec,
-              sample_weight: np.ndarray | None = None):
-    """Fit on in-memory rows -> (w of length d + 1 with the intercept last, info)."""
-    rows, cols, vals = csr_parts(indices, values)
-    return fit_csr(rows, cols, vals, np.ones(len(y01), dtype=bool), y01, d, spec, sample_weight)
-
-
-def decision(indices, values, w) -> np.ndarray:
-    rows, cols, vals = csr_parts(indices, values)
-    return margins(rows, cols, vals, w, len(indices))
-
-
-def fit_distributed(vectors: DataFrame, d: int, spec: LinearSpec, label: str = "label"):
-    """Fit over a DataFrame of (indices, values, label) rows of any size.
-
-    Balanced weights come from one class-count aggregate; each L-BFGS
-    evaluation is one job returning at most d + 2 partial-sum rows."""
-    spark = vectors.sparkSession
-    data = vectors.select("indices", "values", F.col(label).cast("int").alias("y")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    cnt = {r["y"]: r["count"] for r in data.groupBy("y").count().collect()}
-    n = sum(cnt.values())
-    present = len([c for c in cnt.values() if c > 0])
-    cw = {k: n / (present * v) for k, v in cnt.items()}
+            return x, f, g, it + 1, True
+    return x, f, g, max_iter, bool(np.max(np.abs(g)) <= gtol)
+
+
+# ---------------------------------------------------------------- packed rows
+
+TRAIN, TEST = 1, 2
+BLOCK = "n int, ptr binary, cols binary, vals binary, norms binary, roles binary, y binary, ids binary"
+
+
+def pack(rows: DataFrame, n_runs: int, idf: np.ndarray | None = None) -> DataFrame:
+    """Blocks of sparse rows from (row_id, label, indices, values, roles).
+
+    ``roles`` is an array<struct<run:int, role:int>>; ``run`` numbers the runs from 0, and a run
+    that is absent does not use the row.  With ``idf`` (runs x features) a run's row is
+    values x idf over its own norm; without it rows are taken as they are."""
+    held = rows.sparkSession.sparkContext.broadcast(None if idf is None else idf * idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square = held.value
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            ptr = col["indices"].offsets.to_numpy().astype(np.int64)
+            cols = col["indices"].values.to_numpy(zero_copy_only=False).astype(np.int32)
+            vals = col["values"].values.to_numpy(zero_copy_only=False).astype(np.float64)
+            at = col["roles"].offsets.to_numpy()
+            pairs = col["roles"].values
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            roles = np.zeros((batch.num_rows, n_runs), dtype=np.int8)
+            first = at[0]
+            roles[of, pairs.field("run").to_numpy(zero_copy_only=False)[first:at[-1]]] = \
+                pairs.field("role").to_numpy(zero_copy_only=False)[first:at[-1]]
+            y = np.where(col["label"].to_numpy(zero_copy_only=False) == 1, 1.0, -1.0)
+            ids = col["row_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = [0]
+            while cuts[-1] < batch.num_rows:
+                a = cuts[-1]
+                cuts.append(max(a + 1, int(np.searchsorted(ptr, ptr[a] + BLOCK_ENTRIES, side="right")) - 1))
+            for a, b in zip(cuts, cuts[1:]):
+                p, c, v = ptr[a:b + 1] - ptr[a], cols[ptr[a]:ptr[b]], vals[ptr[a]:ptr[b]]
+                norms = np.ones((b - a, n_runs))
+                if square is not None:
+                    row = np.repeat(np.arange(b - a), np.diff(p))
+                    for r in range(n_runs):
+                        norms[:, r] = np.sqrt(np.bincount(row, weights=v * v * square[r, c], minlength=b - a))
+                    norms[norms == 0] = 1.0
+                yield pa.record_batch([pa.array([x], pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(
+                    [b - a, *(z.tobytes() for z in (p, c, v, norms, roles[a:b], y[a:b], ids[a:b]))])],
+                    names=[x.split()[0] for x in BLOCK.split(", ")])
+
+    return rows.select("row_id", "label", "indices", "values", "roles").mapInArrow(run, BLOCK)
+
+
+class Block:
+    """One packed block, opened without copying."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, n_runs: int):
+        n, *raw = (batch.column(i)[row] for i in range(8))
+        self.n = n.as_py()
+        ptr, self.cols, self.vals, norms, roles, self.y, self.ids = (
+            np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(raw, ("<i8", "<i4", "<f8", "<f8", "i1", "<f8", "<i8")))
+        self.row = np.repeat(np.arange(self.n), np.diff(ptr))
+        self.norms, self.roles = norms.reshape(self.n, n_runs), roles.reshape(self.n, n_runs)
+
+    def margins(self, run: int, u: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, weights=self.vals * u[self.cols], minlength=self.n) / self.norms[:, run] + b
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], n_runs: int) -> Iterator[Block]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield Block(batch, row, n_runs)
+
+
+# ---------------------------------------------------------------- batched fit
+
+def class_counts(blocks: DataFrame, n_runs: int) -> np.ndarray:
+    """runs x 2: negative and positive training rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((n_runs, 2), dtype=np.int64)
+        for b in blocks_of(batches, n_runs):
+            train = b.roles == TRAIN
+            n[:, 1] += train[b.y > 0].sum(axis=0)
+            n[:, 0] += train[b.y < 0].sum(axis=0)
+        yield pa.record_batch([pa.array(np.arange(n_runs)), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["run", "neg", "pos"])
+
+    counts = np.zeros((n_runs, 2))
+    for r in blocks.mapInArrow(run, "run long, neg long, pos long").groupBy("run").agg(F.sum("neg"), F.sum("pos")).collect():
+        counts[r[0]] = r[1], r[2]
+    return counts
+
+
+def class_weights(counts: np.ndarray) -> np.ndarray:
+    """The balanced weight of a row of each class: rows / (classes present x rows of the class)."""
+    present = (counts > 0).sum(axis=1, keepdims=True)
+    return np.where(counts > 0, counts.sum(axis=1, keepdims=True) / np.maximum(present * counts, 1), 0.0)
+
+
+GRADIENT = "run int, piece int, g binary"
+
+
+def _add_pieces(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(g, dtype="<f8") for g in rows["g"]], axis=0)
+    return pd.DataFrame({"run": [int(rows["run"].iat[0])], "piece": [int(rows["piece"].iat[0])], "g": [total.tobytes()]})
+
+
+def _reduced(parts: DataFrame, n_parts: int) -> DataFrame:
+    """One row a (run, piece): sums in a tree whose tasks add up at most ``FAN_IN`` pieces of a range."""
+    while n_parts > FAN_IN:
+        n_parts = math.ceil(n_parts / FAN_IN)
+        parts = parts.groupBy("run", "piece", F.pmod("part", F.lit(n_parts)).alias("part")).applyInPandas(
+            lambda key, rows: _add_pieces(key, rows).assign(part=int(key[2])), GRADIENT + ", part int")
+    return parts.groupBy("run", "piece").applyInPandas(_add_pieces, GRADIENT)
+
+
+def fit_runs(blocks: DataFrame, n_runs: int, d: int, spec: LinearSpec, idf: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
+    """Fit every run on its training rows -> (runs x (d + 1) weights, intercepts last; info of each run).
+
+    The weights are those of the run's own normalised rows.  All runs step together; a
+    finished run takes no further part."""
+    if n_runs * (d + 1) > MAX_WEIGHTS:
+        raise ValueError(f"{n_runs} runs x {d} features exceed MAX_WEIGHTS; fit fewer runs at once or bound max_features")
+    spark = blocks.sparkSession
+    counts = class_counts(blocks, n_runs)
+    per_class = class_weights(counts)
+    total_weight = (per_class * counts).sum(axis=1)
+    scale = 1.0 / (spec.C * np.maximum(total_weight, 1e-300))   # objective per unit of sample weight
+    n_parts = blocks.rdd.getNumPartitions()
     loss, C = spec.loss, spec.C
-    scale = 1.0 / (C * sum(cw[k] * v for k, v in cnt.items()))
-
-    def fg(w):
-        bw = spark.sparkContext.broadcast(w)
-
-        def part(it):
-            wv = bw.value
-            g = np.zeros(d + 1)
-            tot = 0.0
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                y01 = pdf["y"].to_numpy()
-                rows, cols, vals = csr_parts(pdf["indices"], pdf["values"])
-                z = margins(rows, cols, vals, wv, len(pdf))
-                y = np.where(y01 == 1, 1.0, -1.0)
-                s = np.where(y01 == 1, cw.get(1, 0.0), cw.get(0, 0.0))
-                lsum, dz = loss_terms(loss, z, y, s)
-                tot += lsum
-                g[:-1] += np.bincount(cols, weights=vals * dz[rows], minlength=d)
-                g[-1] += dz.sum()
-            nz = np.flatnonzero(g)
-            yield pd.DataFrame({"k": np.concatenate([nz, [-1]]).astype(np.int64),
-                                "v": np.concatenate([g[nz], [tot]])})
-
-        parts = data.mapInPandas(part, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        bw.unpersist()
-        grad = np.zeros(d + 1)
-        lsum = 0.0
-        for r in parts:
-            if r["k"] < 0:
-                lsum = r["v"]
-            else:
-                grad[r["k"]] = r["v"]
-        reg, rg = regulariser(loss, w)
-        return scale * (reg + C * lsum), scale * (rg + C * grad)
-
-    w, f, g, it = lbfgs(fg, np.zeros(d + 1), spec.max_iter, spec.gtol)
-    data.unpersist()
-    return w, {"objective": f, "grad_max": float(np.max(np.abs(g))), "iterations": it}
+    n_pieces = -(-(d + 2) // PIECE)
+
+    def evaluate(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        runs = sorted(points)
+        shipped = spark.sparkContext.broadcast(
+            [(r, points[r][:-1] if idf is None else points[r][:-1] * idf[r], float(points[r][-1])) for r in runs])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {r: np.zeros(n_pieces * PIECE) for r, _, _ in shipped.value}
+            for b in blocks_of(batches, n_runs):
+                for r, u, intercept in shipped.value:
+                    train = b.roles[:, r] == TRAIN
+                    if not train.any():
+                        continue
+                    s = np.where(train, np.where(b.y > 0, per_class[r, 1], per_class[r, 0]), 0.0)
+                    lsum, dz = loss_terms(loss, b.margins(r, u, intercept), b.y, s)
+                    g = total[r]
+                    g[:d] += np.bincount(b.cols, weights=b.vals * (dz / b.norms[:, r])[b.row], minlength=d)
+                    g[d] += dz.sum()
+                    g[d + 1] += lsum
+            part = TaskContext.get().partitionId()
+            for r, g in total.items():
+                has = [i for i in range(n_pieces) if g[i * PIECE:(i + 1) * PIECE].any()]
+                yield pa.record_batch([pa.array([r] * len(has), pa.int32()), pa.array(has, pa.int32()),
+                                       pa.array([g[i * PIECE:(i + 1) * PIECE].tobytes() for i in has], pa.binary()),
+                                       pa.array([part] * len(has), pa.int32())], names=["run", "piece", "g", "part"])
+
+        sums = {r: np.zeros(n_pieces * PIECE) for r in runs}
+        for row in _reduced(blocks.mapInArrow(run, GRADIENT + ", part int"), n_parts).collect():
+            sums[row["run"]][row["piece"] * PIECE:(row["piece"] + 1) * PIECE] = np.frombuffer(row["g"], dtype="<f8")
+        shipped.destroy()
+        out = {}
+        for r in runs:
+            reg, rg = regulariser(loss, points[r])
+            g = sums[r][:d + 1].copy()
+            if idf is not None:
+                g[:d] *= idf[r]
+            out[r] = scale[r] * (reg + C * sums[r][d + 1]), scale[r] * (rg + C * g)
+        return out
+
+    steps = {r: lbfgs(np.zeros(d + 1), spec.max_iter, spec.gtol) for r in range(n_runs) if total_weight[r] > 0}
+    points = {r: next(s) for r, s in steps.items()}
+    weights = np.zeros((n_runs, d + 1))
+    infos = [{"iterations": 0, "grad_max": 0.0, "objective": 0.0, "converged": False} for _ in range(n_runs)]
+    while points:
+        following = {}
+        for r, fg in evaluate(points).items():
+            try:
+                following[r] = steps[r].send(fg)
+            except StopIteration as end:
+                x, f, g, it, ok = end.value
+                weights[r] = x
+                infos[r] = {"iterations": it, "grad_max": float(np.max(np.abs(g))), "objective": f, "converged": ok}
+        points = following
+    return weights, infos
+
+

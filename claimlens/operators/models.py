@@ -1,23 +1,30 @@
 """Fitting and applying the linear classifiers on TF-IDF tables.
 
 * ``fit``/``predict`` - one model: vectors -> coefficients -> scores;
-* ``fit_many`` - many independent runs (folds, seeds, holdouts) from ONE
-  shared term-count table: per-run vocabularies, idf and norms are grouped
-  aggregates keyed by run; each run is then fitted in its own pandas group
-  (checked size) or, above the bound, with the distributed optimiser.
+* ``fit_many`` - many runs (folds, seeds, holdouts) from ONE shared term-count
+  table: per-run vocabularies, idf and norms are grouped aggregates keyed by
+  run; the rows are packed once over the union of the vocabularies, and all
+  runs are fitted together by the distributed optimiser (``linear.fit_runs``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimlens.operators import linear as L
 from claimlens.operators import tfidf as TF
+from claimlens.session import materialize
+
+
+class NotConverged(RuntimeError):
+    """A fit stopped before its gradient vanished."""
 
 
 def with_vectors(rows: DataFrame, weights: DataFrame, keys=("row_id",)) -> DataFrame:
@@ -30,28 +37,28 @@ def with_vectors(rows: DataFrame, weights: DataFrame, keys=("row_id",)) -> DataF
                     F.coalesce("values", F.array().cast("array<double>")).alias("values"))
 
 
-def _nnz(vectors: DataFrame) -> int:
-    return vectors.agg(F.sum(F.size("indices"))).first()[0] or 0
+def _require(infos: Sequence[dict], strict: bool) -> None:
+    bad = [i for i, x in enumerate(infos) if not x["converged"]]
+    if bad and strict:
+        raise NotConverged(f"runs {bad} of {len(infos)} did not converge: {[infos[i] for i in bad[:3]]}")
 
 
-def fit(train_vectors: DataFrame, d: int, spec: L.LinearSpec, label: str = "label",
-        max_local_nnz: int = L.LOCAL_FIT_MAX_NNZ):
-    """-> (weights ndarray of d + 1, info).  The training rows go to one pandas
-    group only when their nonzero count is under ``max_local_nnz``."""
-    if _nnz(train_vectors) > max_local_nnz:
-        return L.fit_distributed(train_vectors, d, spec, label)
+def fit(train_vectors: DataFrame, d: int, spec: L.LinearSpec, label: str = "label", strict: bool = True):
+    """-> (weights ndarray of d + 1, info), info with iterations, grad_max and converged.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, info = L.fit_local(pdf["indices"], pdf["values"], pdf[label].to_numpy().astype(int), d, spec)
-        return pd.DataFrame({"k": np.arange(d + 1, dtype=np.int64), "v": w,
-                             "grad_max": info["grad_max"], "iterations": info["iterations"]})
-
-    res = train_vectors.select("indices", "values", label).groupBy(F.lit(0).alias("_g")) \
-        .applyInPandas(one, "k long, v double, grad_max double, iterations long").toPandas()
-    w = np.zeros(d + 1)
-    w[res["k"].to_numpy()] = res["v"].to_numpy()
-    return w, {"grad_max": float(res["grad_max"].iloc[0]) if len(res) else 0.0,
-               "iterations": int(res["iterations"].iloc[0]) if len(res) else 0}
+    Raises ``NotConverged`` unless ``strict`` is false.  Without training rows the weights are zero."""
+    role = F.array(F.struct(F.lit(0).alias("run"), F.lit(L.TRAIN).alias("role")))
+    rows = train_vectors.select(F.lit(0).cast("long").alias("row_id"), F.col(label).cast("int").alias("label"),
+                                "indices", "values", role.alias("roles"))
+    blocks = L.pack(rows, 1).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if blocks.isEmpty():
+            return np.zeros(d + 1), {"iterations": 0, "grad_max": 0.0, "objective": 0.0, "converged": True}
+        w, infos = L.fit_runs(blocks, 1, d, spec)
+    finally:
+        blocks.unpersist()
+    _require(infos, strict)
+    return w[0], infos[0]
 
 
 def coefficient_table(spark, w: np.ndarray, vocab: DataFrame) -> DataFrame:
@@ -84,30 +91,15 @@ def top_features(coef: DataFrame, k: int = 20, digits: int = 4) -> DataFrame:
                                F.round("coef", digits).alias("coef")))
 
 
-def _runs_share_rows(assign: DataFrame):
-    """Run ids (sorted) if every run assigns each row of one common row set
-    exactly once, else None.  One small aggregate per run (runs are tens)."""
-    per_run = assign.groupBy("run").agg(F.count(F.lit(1)).alias("_n"),
-                                        F.countDistinct("row_id").alias("_d")).collect()
-    total = assign.select("row_id").distinct().count()
-    if all(r["_n"] == total and r["_d"] == total for r in per_run):
-        return sorted(r["run"] for r in per_run)
-    return None
-
-
-def run_term_stats(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
-                   subtractive: bool | None = None) -> DataFrame:
+def run_term_stats(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig, shared_rows: bool) -> DataFrame:
     """(run, term, df, ctf) over each run's training rows, df >= min_df.
 
-    When every run splits the same row set (folds, holdouts), a run's training
-    counts are the counts over all rows minus those of its held-out rows: only
-    the held-out side (a fifth of the rows per run) is joined with the term
-    table, and the all-row counts are aggregated once.  Otherwise each run's
-    training rows are joined directly.  ``subtractive`` forces a path (tests)."""
-    runs = _runs_share_rows(assign) if subtractive in (None, True) else None
-    if subtractive and runs is None:
-        raise ValueError("runs do not share one row set")
-    if runs is None:
+    ``shared_rows``: every run assigns every row of one row set exactly once, as folds and
+    holdouts do (the builder of ``assign`` knows).  Then a run's training counts are the
+    counts over all rows minus those of its held-out rows: only the held-out side (a fifth of
+    the rows per run) is joined with the term table, and the all-row counts are aggregated
+    once.  Otherwise each run's training rows are joined directly."""
+    if not shared_rows:
         tr = assign.filter(F.col("role") == "train").select("run", "row_id")
         return tf.join(tr, "row_id").groupBy("run", "term") \
             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
@@ -118,6 +110,7 @@ def run_term_stats(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
     held = tf.join(assign.filter(F.col("role") != "train").select("run", "row_id"), "row_id") \
         .groupBy("run", "term").agg(F.count(F.lit(1)).alias("_dfo"), F.sum("tf").alias("_ctfo"))
     run_type = assign.schema["run"].dataType
+    runs = sorted(r[0] for r in assign.select("run").distinct().collect())   # one row per run
     cand = glob.select("term", "_df", "_ctf",
                        F.explode(F.array(*[F.lit(r).cast(run_type) for r in runs])).alias("run"))
     return cand.join(held, ["run", "term"], "left").select(
@@ -125,12 +118,11 @@ def run_term_stats(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
         (F.col("_ctf") - F.coalesce("_ctfo", F.lit(0))).alias("ctf")).filter(F.col("df") >= cfg.min_df)
 
 
-def run_vocabularies(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
-                     subtractive: bool | None = None) -> DataFrame:
+def run_vocabularies(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig, shared_rows: bool = False) -> DataFrame:
     """(run, term, idx, idf): each run's vocabulary and idf from its training rows."""
     tr = assign.filter(F.col("role") == "train")
     ndocs = tr.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
-    st = run_term_stats(tf, assign, cfg, subtractive)
+    st = run_term_stats(tf, assign, cfg, shared_rows)
     if cfg.max_features is not None:
         st = TF.top_k_by_count(st, cfg.max_features, by=("run",))
     alpha = Window.partitionBy("run").orderBy("term")   # at most max_features rows per run
@@ -157,121 +149,72 @@ def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.Tfidf
     return with_vectors(base, w, keys=("run", "row_id"))
 
 
-RUN_OUT = T.StructType([
-    T.StructField("run", T.LongType()), T.StructField("row_id", T.LongType()),
-    T.StructField("label", T.IntegerType()), T.StructField("margin", T.DoubleType()),
-    T.StructField("prob", T.DoubleType()), T.StructField("prediction", T.IntegerType()),
-])
-
-
-def fit_many(vectors: DataFrame, spec: L.LinearSpec, max_local_nnz: int = L.LOCAL_FIT_MAX_NNZ) -> DataFrame:
-    """Fit one model per run on its 'train' rows and score its 'test' rows.
-
-    -> (run, row_id, label, margin, prob, prediction).  Runs are fitted in
-    parallel, one pandas group each, when every run's training nonzeros are
-    under ``max_local_nnz``; otherwise each run uses the distributed fit."""
-    vectors = vectors.withColumn("run", F.col("run").cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
-    biggest = vectors.filter(F.col("role") == "train").groupBy("run") \
-        .agg(F.sum(F.size("indices")).alias("nnz")).agg(F.max("nnz")).first()[0] or 0
-    if biggest > max_local_nnz:
-        return _fit_many_distributed(vectors, spec)
-    loss_is_log = spec.loss == "logistic"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["d"].iloc[0])
-        trm = (pdf["role"] == "train").to_numpy()
-        tr, te = pdf[trm], pdf[~trm]
-        w, _ = L.fit_local(tr["indices"], tr["values"], tr["label"].to_numpy().astype(int), d, spec)
-        z = L.decision(te["indices"], te["values"], w)
-        prob = L._sigmoid(z) if loss_is_log else np.full(len(z), np.nan)
-        return pd.DataFrame({"run": te["run"].to_numpy(), "row_id": te["row_id"].to_numpy(),
-                             "label": te["label"].to_numpy().astype(np.int32), "margin": z,
-                             "prob": prob, "prediction": (z > 0).astype(np.int32)})
-
-    out = vectors.select("run", "row_id", "role", "label", "d", "indices", "values") \
-        .groupBy("run").applyInPandas(one, RUN_OUT)
-    return out.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
-
-
-def fit_many_terms(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
-                   spec: L.LinearSpec, max_local_nnz: int = L.LOCAL_FIT_MAX_NNZ,
-                   prune_terms: bool = True) -> DataFrame:
-    """``fit_many`` from shared term counts: per-run vocabularies are refitted
-    relationally; vectors, norms, fit and scoring then run per run.
-
-    Compact path (every run's nonzeros under ``max_local_nnz``): each row's
-    (term, tf) arrays are built once, attached to the row's runs, and
-    co-grouped by run with that run's vocabulary -- no (run, row, term)
-    explosion.  Otherwise the fully relational ``run_vectors`` path."""
-    voc = run_vocabularies(tf, assign, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    # only terms of some run's vocabulary can get a weight (or enter a norm):
-    # drop the rest before the per-row arrays are copied into every run's group
-    used = tf.join(voc.select("term").distinct(), "term", "left_semi") if prune_terms else tf
-    row_terms = used.groupBy("row_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
-    members = assign.join(rows.select("row_id", "label"), "row_id").join(row_terms, "row_id", "left") \
-        .select(F.col("run").cast("long").alias("run"), "row_id", "role", "label",
-                F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
-                F.coalesce("tfs", F.array().cast("array<long>")).alias("tfs")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    # a run's group holds all its rows (train and test)
-    biggest = members.groupBy("run").agg(F.sum(F.size("terms")).alias("nnz")).agg(F.max("nnz")).first()[0] or 0
-    if biggest > max_local_nnz:
-        return fit_many(run_vectors(tf, rows, assign, cfg, voc), spec, max_local_nnz)
-    loss_is_log, sublinear = spec.loss == "logistic", cfg.sublinear_tf
-
-    def one(key, m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if len(m) == 0:
-            return pd.DataFrame({c: [] for c in RUN_OUT.fieldNames()})
-        d = len(v)
-        lookup = pd.Index(v["term"].to_numpy())
-        order = v["idx"].to_numpy().astype(np.int64)
-        idf = v["idf"].to_numpy()
-        lens = m["terms"].map(len).to_numpy()
-        flat = np.concatenate([np.asarray(a, dtype=object) for a in m["terms"]]) if lens.sum() else np.zeros(0, object)
-        tfs = np.concatenate([np.asarray(a, dtype=float) for a in m["tfs"]]) if lens.sum() else np.zeros(0)
-        rows_ = np.repeat(np.arange(len(m), dtype=np.int64), lens)
-        pos = lookup.get_indexer(flat) if len(flat) else np.zeros(0, np.int64)
-        keep = pos >= 0
-        cols, rws = order[pos[keep]], rows_[keep]
-        w = ((1.0 + np.log(tfs[keep])) if sublinear else tfs[keep]) * idf[pos[keep]]
-        nrm = np.sqrt(np.bincount(rws, weights=w * w, minlength=len(m)))
-        vals = w / nrm[rws]
-        trm = (m["role"] == "train").to_numpy()
-        sel_tr = trm[rws]
-        y01 = m["label"].to_numpy().astype(int)
-        wfit, _ = L.fit_csr(rws[sel_tr], cols[sel_tr], vals[sel_tr], trm, y01, d, spec)
-        z = np.bincount(rws, weights=vals * wfit[cols], minlength=len(m)) + wfit[-1]
-        te = ~trm
-        zt = z[te]
-        prob = L._sigmoid(zt) if loss_is_log else np.full(len(zt), np.nan)
-        return pd.DataFrame({"run": m["run"].to_numpy()[te], "row_id": m["row_id"].to_numpy()[te],
-                             "label": y01[te].astype(np.int32), "margin": zt, "prob": prob,
-                             "prediction": (zt > 0).astype(np.int32)})
-
-    out = members.groupBy("run").cogroup(voc.select(F.col("run").cast("long").alias("run"), "term", "idx", "idf")
-                                         .groupBy("run")).applyInPandas(one, RUN_OUT)
-    return out.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
-
-
-def _fit_many_distributed(vectors: DataFrame, spec: L.LinearSpec) -> DataFrame:
-    spark = vectors.sparkSession
-    outs = []
-    for r in vectors.select("run", "d").distinct().orderBy("run").collect():   # one row per run
-        v = vectors.filter(F.col("run") == r["run"])
-        w, _ = L.fit_distributed(v.filter(F.col("role") == "train"), int(r["d"]), spec)
-        bw = spark.sparkContext.broadcast(w)
-        sch = "run long, row_id long, label int, margin double"
-
-        def score(it, bw=bw):
-            for pdf in it:
-                z = L.decision(pdf["indices"], pdf["values"], bw.value)
-                yield pd.DataFrame({"run": pdf["run"], "row_id": pdf["row_id"],
-                                    "label": pdf["label"].astype(np.int32), "margin": z})
-        outs.append(v.filter(F.col("role") == "test").select("run", "row_id", "label", "indices", "values")
-                    .mapInPandas(score, sch))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    prob = (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))) if spec.loss == "logistic" \
-        else F.lit(None).cast("double")
-    return res.withColumn("prob", prob).withColumn("prediction", (F.col("margin") > 0).cast("int"))
+RUN_OUT = "run long, row_id long, label int, margin double, prob double, prediction int"
+RUN_INFO = "run long, n_train long, n_features long, iterations int, grad_max double, converged boolean"
+
+
+def _scores(weights: np.ndarray, idf: np.ndarray, run_ids: list[int], logistic: bool, spark):
+    shipped = spark.sparkContext.broadcast((weights[:, :-1] * idf, weights[:, -1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, b = shipped.value
+        for block in L.blocks_of(batches, len(run_ids)):
+            for r, run_id in enumerate(run_ids):
+                at = np.flatnonzero(block.roles[:, r] == L.TEST)
+                if len(at):
+                    z = block.margins(r, u[r], b[r])[at]
+                    prob = pa.array(L.sigmoid(z)) if logistic else pa.nulls(len(at), pa.float64())
+                    yield pa.record_batch([pa.array(np.full(len(at), run_id)), pa.array(block.ids[at]),
+                                           pa.array((block.y[at] > 0).astype(np.int32)), pa.array(z), prob,
+                                           pa.array((z > 0).astype(np.int32))],
+                                          names=["run", "row_id", "label", "margin", "prob", "prediction"])
+
+    return run
+
+
+def fit_many(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig, spec: L.LinearSpec,
+             shared_rows: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Fit one model per run on its 'train' rows and score its 'test' rows, from shared term counts.
+
+    -> ((run, row_id, label, margin, prob, prediction), (run, n_train, n_features, iterations,
+    grad_max, converged)).  Raises ``NotConverged`` unless ``strict`` is false.
+
+    A row's term counts are packed once, over the union of the runs' vocabularies; a run
+    adds its role, its idf vector (zero outside its vocabulary) and the row's norm."""
+    spark = tf.sparkSession
+    voc = materialize(run_vocabularies(tf, assign, cfg, shared_rows).select(
+        F.col("run").cast("long").alias("run"), "term", "idf"), "run-vocabularies")
+    # at most runs x max_features terms
+    union = materialize(voc.select("term").distinct().withColumn(
+        "gidx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int")), "union-vocabulary")
+    run_ids = sorted(int(r[0]) for r in assign.select("run").distinct().collect())
+    number = {r: i for i, r in enumerate(run_ids)}
+    d = union.count()
+    if len(run_ids) * (d + 1) > L.MAX_WEIGHTS:
+        raise ValueError(f"{len(run_ids)} runs x {d} features exceed MAX_WEIGHTS; fit fewer runs at once or bound max_features")
+    idf = np.zeros((len(run_ids), d))
+    for batch in voc.join(union, "term").select("run", "gidx", "idf").toArrow().to_batches():
+        run_of = np.array([number[r] for r in batch.column(0).to_pylist()], dtype=np.int64)
+        idf[run_of, batch.column(1).to_numpy()] = batch.column(2).to_numpy()
+
+    tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if cfg.sublinear_tf else F.col("tf").cast("double")
+    entries = TF.vocabulary_join(tf, union).select("row_id", "gidx", tfw.alias("_w")).groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct("gidx", "_w"))).alias("_e"))
+    numbers = F.create_map(*[x for r, i in number.items() for x in (F.lit(r), F.lit(i))])
+    roles = assign.groupBy("row_id").agg(F.collect_list(F.struct(
+        F.element_at(numbers, F.col("run").cast("long")).alias("run"),
+        F.when(F.col("role") == "train", L.TRAIN).otherwise(L.TEST).alias("role"))).alias("roles"))
+    packed = rows.select("row_id", F.col("label").cast("int").alias("label")).join(roles, "row_id").join(entries, "row_id", "left") \
+        .select("row_id", "label", F.coalesce(F.col("_e.gidx"), F.array().cast("array<int>")).alias("indices"),
+                F.coalesce(F.col("_e._w"), F.array().cast("array<double>")).alias("values"), "roles")
+    blocks = L.pack(packed, len(run_ids), idf).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights, infos = L.fit_runs(blocks, len(run_ids), d, spec, idf)
+        n_train = L.class_counts(blocks, len(run_ids)).sum(axis=1)
+        preds = materialize(blocks.mapInArrow(_scores(weights, idf, run_ids, spec.loss == "logistic", spark), RUN_OUT), "run-scores")
+    finally:
+        blocks.unpersist()
+    _require(infos, strict)
+    info = spark.createDataFrame([(r, int(n_train[i]), int((idf[i] != 0).sum()), infos[i]["iterations"], infos[i]["grad_max"],
+                                   infos[i]["converged"]) for i, r in enumerate(run_ids)], RUN_INFO)
+    return preds, info

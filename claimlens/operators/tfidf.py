@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.ngrams import char_wb_ngrams, word_ngrams
+from claimlens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -50,16 +50,14 @@ BROADCAST_LIMIT_BYTES = 512 * 1024 * 1024
 
 
 def term_counts(df: DataFrame, text_col: str, cfg: TfidfConfig, id_col: str = "row_id",
-                keep: tuple[str, ...] = (), prepartitioned: bool = False) -> DataFrame:
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., term, tf): n-gram counts per row.
 
     ``keep`` columns must be functionally dependent on the id (e.g. split).
-    Input not already hash-partitioned by the id is repartitioned (texts move
-    once, before the n-grams multiply them).
+    The texts are hash-partitioned by the id here, whatever the source: they move
+    once, before the n-grams multiply them, and nothing below moves with them.
     """
-    d = df.select(id_col, *keep, text_col)
-    if not prepartitioned:
-        d = d.repartition(id_col)
+    d = df.select(id_col, *keep, text_col).repartition(id_col)
     g = d.select(id_col, *keep, F.explode(cfg.ngrams(text_col)).alias("term"))
     return g.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -74,25 +72,26 @@ def top_k_by_count(df: DataFrame, k: int, count_col: str = "ctf", key: str = "te
     """The ``k`` rows with the largest ``count_col`` per ``by`` group, ties by
     ``key`` ascending -- exact, and without a single-task sort.
 
-    A histogram of the (integer) counts gives every count value the number of
-    rows above it; all rows of a count value that fits entirely under ``k``
-    are kept (at most k such values survive, so that table is broadcast).
-    Only the boundary count value is ranked by key, in key-prefix buckets with
-    exact offsets (see ``splits.ranked``)."""
-    from claimlens.operators.splits import ranked
+    The candidates are written once, range-partitioned by (group, count falling, key): whole
+    partitions then lie in rank order, so a row's rank is its place in its partition plus
+    the rows of its group in earlier partitions (one small count a partition and group).  The
+    ranges follow the data, so a count value that very many terms share is spread too."""
     by = list(by)
-    # the candidates feed the histogram and both branches: aggregate them once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    hist = df.groupBy(*by, count_col).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*by).orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, -1)
-    cut = hist.select(*by, count_col, "_m", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_above")) \
-        .filter(F.col("_above") < k)
-    j = df.join(F.broadcast(cut), [*by, count_col])   # bounded: at most k count values per group
-    whole = j.filter(F.col("_above") + F.col("_m") <= k).drop("_m", "_above")
-    edge = j.filter(F.col("_above") + F.col("_m") > k).withColumn("_one", F.lit(0))
-    r = ranked(edge, F.col(key), label="_one", by=[*by, count_col], id_col=key, prefix_len=2)
-    part = r.filter(F.col("_rank") < F.lit(k) - F.col("_above")).drop("_m", "_above", "_one", "_pos", "_rank")
-    return whole.unionByName(part)
+    order = [F.desc(count_col), F.asc(key)]
+    spread = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order) \
+        .withColumn("_part", F.spark_partition_id())
+    held = materialize(spread, "vocabulary-candidates")
+    sizes = held.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a group and partition; partitions that start at or beyond k are not read on
+    off = sizes.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_part").alias("_o_part"),
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")).filter(F.col("_off") < k)
+    same = F.col("_part") == F.col("_o_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return held.join(F.broadcast(off), same).withColumn("_rank", F.col("_off") + place) \
+        .filter(F.col("_rank") <= k).select(*df.columns)
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
@@ -134,21 +133,18 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str = "row_id",
 
 
 def tfidf(df: DataFrame, text_col: str, cfg: TfidfConfig, fit_on: tuple[str, str] | None = None,
-          id_col: str = "row_id", keep: tuple[str, ...] = (),
-          prepartitioned: bool = False) -> tuple[DataFrame, DataFrame]:
+          id_col: str = "row_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Fit the vocabulary on rows where ``fit_on[0] == fit_on[1]`` (all rows
     if None) and weight every row -> (weights, vocabulary)."""
     cols = tuple(dict.fromkeys([*keep, *([fit_on[0]] if fit_on else [])]))
-    # the term table feeds both the vocabulary and the weights: persist it so
-    # the n-grams are generated once (lost blocks are recomputed from lineage)
-    tf = term_counts(df, text_col, cfg, id_col, keep=cols, prepartitioned=prepartitioned) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # the term table feeds both the vocabulary and the weights: the n-grams are generated once
+    tf = materialize(term_counts(df, text_col, cfg, id_col, keep=cols), "term-counts")
     if fit_on is None:
         n_docs, tf_fit = df.count(), tf
     else:
         cond = F.col(fit_on[0]) == F.lit(fit_on[1])
         n_docs, tf_fit = df.filter(cond).count(), tf.filter(cond)
-    vocab = fit_vocabulary(tf_fit, n_docs, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = materialize(fit_vocabulary(tf_fit, n_docs, cfg), "vocabulary")
     return tfidf_weights(tf, vocab, id_col, cfg.sublinear_tf, keep=tuple(keep)), vocab
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from claimlens.operators import models as MD
 from claimlens.operators import reports as R
 from claimlens.operators import splits as X
 from claimlens.operators import tfidf as T
+from claimlens.session import materialize
 
 # The reference's three baselines, in its order.
 BASELINES = [
@@ -40,18 +40,17 @@ class FittedModel:
 
 
 def fit_text_model(claims: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec,
-                   text_col: str = "text_concat", prepartitioned: bool = True) -> tuple[FittedModel, DataFrame]:
-    """Fit on TRAIN; return the model and (row_id, data_type, label, margin, prob, prediction) for all rows.
-    ``prepartitioned``: the claims are hash-partitioned by row_id (the claim views are)."""
+                   text_col: str = "text_concat") -> tuple[FittedModel, DataFrame]:
+    """Fit on TRAIN; return the model and (row_id, data_type, label, margin, prob, prediction) for all rows."""
     spark = claims.sparkSession
-    weights, vocab = T.tfidf(claims, text_col, cfg, fit_on=("data_type", "TRAIN"), prepartitioned=prepartitioned)
+    weights, vocab = T.tfidf(claims, text_col, cfg, fit_on=("data_type", "TRAIN"))
     d = vocab.count()
-    # weights feed the fit and the scoring: generate them once
-    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = claims.select("row_id", "data_type", "label")
-    vec = MD.with_vectors(rows, weights).persist(StorageLevel.MEMORY_AND_DISK)
+    # weights feed the fit and the scoring: written once to shared storage
+    weights = materialize(weights, "weights")
+    rows = materialize(claims.select("row_id", "data_type", "label"), "rows")
+    vec = MD.with_vectors(rows, weights)
     w, info = MD.fit(vec.filter(F.col("data_type") == "TRAIN"), d, spec)
-    coef = MD.coefficient_table(spark, w, vocab).persist(StorageLevel.MEMORY_AND_DISK)
+    coef = materialize(MD.coefficient_table(spark, w, vocab), "coefficients")
     preds = MD.predict(weights, rows, coef, float(w[-1]), spec)
     return FittedModel(vocab, coef, float(w[-1]), info, spec, cfg), preds
 
@@ -77,12 +76,18 @@ def run_scores(preds: DataFrame) -> DataFrame:
 def cross_val_scores(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k: int = 5, seed: int = 42,
                      text_col: str = "text_concat") -> DataFrame:
     """M6: per-fold F1-macro with vocabulary and model refitted in each fold."""
-    tf = T.term_counts(train, text_col, cfg, prepartitioned=True)
-    assign = fold_assignments(train, k, seed)
-    preds = MD.fit_many_terms(tf, train.select("row_id", "label"), assign, cfg, spec)
+    preds, _ = cross_val_runs(train, cfg, spec, k, seed, text_col)
     return run_scores(preds).select("run", "n", "f1_macro")
 
 
+def cross_val_runs(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k: int = 5, seed: int = 42,
+                   text_col: str = "text_concat") -> tuple[DataFrame, DataFrame]:
+    """The scored held-out rows of every fold, and how each fold's fit ended."""
+    tf = materialize(T.term_counts(train, text_col, cfg), "term-counts")
+    rows = materialize(train.select("row_id", "label"), "rows")
+    return MD.fit_many(tf, rows, fold_assignments(rows, k, seed), cfg, spec, shared_rows=True)
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("f1_macro").alias("cv_f1_mean"), F.stddev_pop("f1_macro").alias("cv_f1_std"))
 

@@ -22,7 +22,7 @@ RAW = """raw AS (
          trim(split_part(d.text, chr(10), 1)) AS mani_news,
          d.text AS original_news_article,
          CASE WHEN l.quality = 1 THEN 'MANI' ELSE 'NO_MANI' END AS mani_status,
-         CASE WHEN l.toxic = 1 THEN substr(d.text, 1, 80) END AS altered_excerpt,
+         CASE WHEN l.toxic = 1 THEN split_part(d.text, chr(10), 1) END AS altered_excerpt,
          d.source AS category,
          CASE WHEN (l.quality = 1 AND d.doc_id % 10 = 0) OR (l.quality = 0 AND d.doc_id % 3 = 0)
               THEN 'TEST' ELSE 'TRAIN' END AS data_type

@@ -66,9 +66,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage by writing ``df`` as parquet to shared storage and reading it back.
 
     Survives executor loss (unlike a local checkpoint) and lets later stages
-    re-read a compact columnar copy instead of recomputing the plan.
+    re-read a compact columnar copy instead of recomputing the plan.  The copy
+    is removed when the session's JVM ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

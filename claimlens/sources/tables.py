@@ -20,7 +20,6 @@ from claimlens.functions.text import (
 RAW_COLUMNS = ("mani_news", "original_news_article", "mani_status",
                "altered_excerpt", "category", "data_type")
 SPLITS = ("TRAIN", "TEST")
-PARTITIONED_BY_ID = True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +33,10 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Quality plays the class; the split is label-dependent on purpose, to
     recreate a train/test prior shift.  The join of documents with labels is
     left to the planner: AQE turns it into a broadcast join only when the
-    labels side is measured small, otherwise it stays a shuffled join.
-    The result is hash-partitioned by ``row_id`` (``PARTITIONED_BY_ID``).
+    labels side is measured small, otherwise it stays a shuffled join.  Texts
+    of documents without a label never move further than that join.
     """
-    # Hash-partition the texts by id once: a shuffled join with the labels
-    # reuses this partitioning, and every per-row operator downstream (text
-    # cleaning, n-gram counts, norms, vectors) runs without another exchange.
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source").repartition("doc_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id")
     return d.select(
@@ -48,7 +44,7 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("mani_news"),
         F.col("text").alias("original_news_article"),
         F.when(F.col("quality") == 1, F.lit("MANI")).otherwise(F.lit("NO_MANI")).alias("mani_status"),
-        F.when(F.col("toxic") == 1, F.substring("text", 1, 80)).alias("altered_excerpt"),
+        F.when(F.col("toxic") == 1, F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("altered_excerpt"),
         F.col("source").alias("category"),
         F.when(((F.col("quality") == 1) & (F.col("doc_id") % 10 == 0))
                | ((F.col("quality") == 0) & (F.col("doc_id") % 3 == 0)), F.lit("TEST"))

@@ -1,7 +1,6 @@
-"""Optimality of the fits (no external solver needed) and path equivalence."""
+"""Optimality of the fits against a brute-force gradient (no external solver needed)."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,75 +9,108 @@ from claimlens.operators import models as MD
 from claimlens.operators import tfidf as T
 from claimlens.plans import baseline as B
 from claimlens.sources import tables as S
+from claimlens.session import materialize
 from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
 def small_vectors(spark):
     c = S.claims(spark, SF_SMALL)
-    w, vocab = T.tfidf(c, "text_concat", T.WORD, fit_on=("data_type", "TRAIN"), prepartitioned=True)
+    w, vocab = T.tfidf(c, "text_concat", T.WORD, fit_on=("data_type", "TRAIN"))
     d = vocab.count()
     vec = MD.with_vectors(c.select("row_id", "data_type", "label"), w).filter("data_type = 'TRAIN'")
     return vec.toPandas(), d
 
 
-def full_gradient(pdf, d, w, spec):
-    rows, cols, vals = L.csr_parts(pdf["indices"], pdf["values"])
-    y01 = pdf["label"].to_numpy().astype(int)
+def gradient(x, y01, w, spec):
+    """Brute force over dense rows, per unit of sample weight."""
     y = np.where(y01 == 1, 1.0, -1.0)
-    s = L.balanced_weights(y01)
-    z = L.margins(rows, cols, vals, w, len(pdf))
-    _, dz = L.loss_terms(spec.loss, z, y, s)
+    counts = np.bincount(y01, minlength=2)
+    s = (len(y01) / (2 * counts))[y01]
+    _, dz = L.loss_terms(spec.loss, x @ w[:-1] + w[-1], y, s)
     _, g = L.regulariser(spec.loss, w)
     g = g.copy()
-    g[:-1] += spec.C * np.bincount(cols, weights=vals * dz[rows], minlength=d)
+    g[:-1] += spec.C * (x.T @ dz)
     g[-1] += spec.C * dz.sum()
     return g / (spec.C * s.sum())
 
 
+def dense(pdf, d):
+    x = np.zeros((len(pdf), d))
+    for i, (at, v) in enumerate(zip(pdf["indices"], pdf["values"])):
+        x[i, np.asarray(at, dtype=int)] = v
+    return x
+
+
 @pytest.mark.parametrize("spec", [L.LOGREG, L.SVM])
-def test_local_fit_is_optimal(small_vectors, spec):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_fit_is_optimal(spark, small_vectors, spec, parts):
     pdf, d = small_vectors
-    w, info = L.fit_local(pdf["indices"], pdf["values"], pdf["label"].to_numpy().astype(int), d, spec)
-    assert np.max(np.abs(full_gradient(pdf, d, w, spec))) < 1e-4
+    sdf = spark.createDataFrame(pdf[["indices", "values", "label"]]).repartition(parts)
+    w, info = MD.fit(sdf, d, spec)
+    assert info["converged"]
+    g = gradient(dense(pdf, d), pdf["label"].to_numpy().astype(int), w, spec)
+    assert np.max(np.abs(g)) < 1e-4
     if spec.loss == "logistic":
-        # free intercept: weighted residuals sum to zero
-        assert abs(full_gradient(pdf, d, w, spec)[-1]) < 1e-5
+        assert abs(g[-1]) < 1e-5  # free intercept: weighted residuals sum to zero
 
 
-@pytest.mark.parametrize("spec", [L.LOGREG, L.SVM])
-def test_distributed_fit_matches_local(spark, small_vectors, spec):
+def test_reduction_tree_adds_everything(spark, small_vectors, monkeypatch):
     pdf, d = small_vectors
-    w_loc, _ = L.fit_local(pdf["indices"], pdf["values"], pdf["label"].to_numpy().astype(int), d, spec)
-    sdf = spark.createDataFrame(pdf[["indices", "values", "label"]]).repartition(4)
-    w_dist, info = L.fit_distributed(sdf, d, spec)
-    assert np.max(np.abs(full_gradient(pdf, d, w_dist, spec))) < 1e-4
-    assert np.max(np.abs(w_loc - w_dist)) < 1e-2
+    sdf = spark.createDataFrame(pdf[["indices", "values", "label"]]).repartition(7)
+    flat, _ = MD.fit(sdf, d, L.LOGREG)
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    monkeypatch.setattr(L, "BLOCK_ENTRIES", 500)
+    tree, _ = MD.fit(sdf, d, L.LOGREG)
+    assert np.max(np.abs(flat - tree)) < 1e-3
 
 
-def test_fit_paths_agree(spark, small_vectors):
+def test_unconverged_fits_are_reported(spark, small_vectors):
     pdf, d = small_vectors
     sdf = spark.createDataFrame(pdf[["indices", "values", "label"]])
-    w_group, _ = MD.fit(sdf, d, L.LOGREG)
-    w_dist, _ = MD.fit(sdf, d, L.LOGREG, max_local_nnz=0)
-    assert np.max(np.abs(w_group - w_dist)) < 1e-2
+    spec = L.LinearSpec("logistic", 1.0, max_iter=2)
+    with pytest.raises(MD.NotConverged):
+        MD.fit(sdf, d, spec)
+    _, info = MD.fit(sdf, d, spec, strict=False)
+    assert not info["converged"] and info["grad_max"] > 0
 
 
-def test_fit_many_scores_every_test_row_once(spark):
+@pytest.mark.parametrize("spec", [L.LOGREG, L.SVM])
+def test_fit_many_is_optimal_and_scores_every_test_row_once(spark, spec):
     c = S.claims(spark, SF_SMALL)
     tr = c.filter("data_type = 'TRAIN'")
-    tf = T.term_counts(tr, "text_concat", T.WORD, prepartitioned=True)
+    tf = T.term_counts(tr, "text_concat", T.WORD)
+    rows = tr.select("row_id", "label")
     assign = B.fold_assignments(tr, k=3)
-    vec = MD.run_vectors(tf, tr.select("row_id", "label"), assign, T.WORD)
-    out = MD.fit_many(vec, L.LOGREG)
-    assert out.count() == tr.count()
-    assert out.select("row_id").distinct().count() == tr.count()
-    assert out.filter((F.col("prob") < 0) | (F.col("prob") > 1)).count() == 0
-    dist = MD.fit_many(vec, L.LOGREG, max_local_nnz=0)
-    a = {(r["run"], r["row_id"]): r["prediction"] for r in out.collect()}
-    b = {(r["run"], r["row_id"]): r["prediction"] for r in dist.collect()}
-    assert a.keys() == b.keys()
-    assert sum(a[k] != b[k] for k in a) <= 1
+    out, info = MD.fit_many(tf, rows, assign, T.WORD, spec, shared_rows=True)
+    got = {(r["run"], r["row_id"]): r for r in out.collect()}
+    assert len(got) == out.count() == tr.count()
+    infos = {r["run"]: r for r in info.collect()}
+    assert all(r["converged"] for r in infos.values())
+    # each run against a fit of its own over the relational per-run vectors
+    vec = MD.run_vectors(tf, rows, assign, T.WORD).toPandas()
+    for run, v in vec.groupby("run"):
+        d = int(v["d"].iloc[0])
+        train, test = v[v["role"] == "train"], v[v["role"] == "test"]
+        assert infos[run]["n_train"] == len(train) and infos[run]["n_features"] == d
+        sdf = spark.createDataFrame(train[["indices", "values", "label"]])
+        w, _ = MD.fit(sdf, d, spec)
+        assert np.max(np.abs(gradient(dense(train, d), train["label"].to_numpy().astype(int), w, spec))) < 1e-4
+        z = dense(test, d) @ w[:-1] + w[-1]
+        mine = np.array([got[run, i]["margin"] for i in test["row_id"]])
+        assert np.max(np.abs(z - mine)) < 1e-2
+        if spec.loss == "logistic":
+            assert all(0 < got[run, i]["prob"] < 1 for i in test["row_id"])
+        else:
+            assert all(got[run, i]["prob"] is None for i in test["row_id"])
+
+
+def test_no_group_holds_a_run_and_no_cache_is_left(spark):
+    c = S.claims(spark, SF_SMALL)
+    scores = B.cross_val_scores(c.filter("data_type = 'TRAIN'"), T.WORD, L.LOGREG, k=3)
+    assert scores.count() == 3
+    assert "FlatMapGroupsInPandas" not in scores._jdf.queryExecution().toString()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
 def test_run_vocabulary_only_from_training_rows(spark):
@@ -96,22 +128,17 @@ def test_run_vocabulary_only_from_training_rows(spark):
 def test_subtractive_run_vocabularies_match_direct(spark):
     c = S.claims(spark, SF_SMALL)
     tr = c.filter(F.col("data_type") == "TRAIN")
-    tf = T.term_counts(tr, "text_concat", T.WORD, prepartitioned=True).persist()
+    tf = materialize(T.term_counts(tr, "text_concat", T.WORD), "test-counts")
     assign = B.fold_assignments(tr, k=3)
     for cfg in (T.WORD, T.TfidfConfig("word", (1, 2), 50, min_df=3)):
-        x = MD.run_vocabularies(tf, assign, cfg, subtractive=True)
-        y = MD.run_vocabularies(tf, assign, cfg, subtractive=False)
+        x = MD.run_vocabularies(tf, assign, cfg, shared_rows=True)
+        y = MD.run_vocabularies(tf, assign, cfg, shared_rows=False)
         assert x.count() == y.count() and x.exceptAll(y).count() == 0
-    # runs over different row sets cannot subtract: the direct path is chosen
-    uneven = assign.filter((F.col("run") == 0) | (F.col("role") == "train"))
-    assert MD._runs_share_rows(uneven) is None
-    with pytest.raises(ValueError):
-        MD.run_term_stats(tf, uneven, T.WORD, subtractive=True)
 
 
 def test_l2_norms(spark):
     c = S.claims(spark, SF_SMALL)
-    w, _ = T.tfidf(c, "text_concat", T.WORD, fit_on=("data_type", "TRAIN"), prepartitioned=True)
+    w, _ = T.tfidf(c, "text_concat", T.WORD, fit_on=("data_type", "TRAIN"))
     n = w.groupBy("row_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("n"))
     assert n.filter(F.abs(F.col("n") - 1.0) > 1e-9).count() == 0
 
@@ -123,19 +150,3 @@ def test_top_features(spark):
     mani = [r["term"] for r in t if r["direction"] == "MANI"]
     assert mani == ["a", "c"]
     assert [r["term"] for r in t if r["direction"] == "NO_MANI"] == ["b", "d"]
-
-
-def test_compact_and_relational_fit_many_agree(spark):
-    c = S.claims(spark, SF_SMALL)
-    tr = c.filter("data_type = 'TRAIN'")
-    tf = T.term_counts(tr, "text_concat", T.WORD, prepartitioned=True)
-    rows = tr.select("row_id", "label")
-    assign = B.fold_assignments(tr, k=3)
-    compact = MD.fit_many_terms(tf, rows, assign, T.WORD, L.LOGREG)
-    rel = MD.fit_many(MD.run_vectors(tf, rows, assign, T.WORD), L.LOGREG)
-    a = {(r["run"], r["row_id"]): r["prob"] for r in compact.collect()}
-    b = {(r["run"], r["row_id"]): r["prob"] for r in rel.collect()}
-    assert a.keys() == b.keys() and len(a) == tr.count()
-    assert max(abs(a[k] - b[k]) for k in a) < 1e-6
-    fallback = MD.fit_many_terms(tf, rows, assign, T.WORD, L.LOGREG, max_local_nnz=0)
-    assert fallback.count() == tr.count()
