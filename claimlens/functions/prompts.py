@@ -39,6 +39,14 @@ def example_block(position="position", claim="claim", article="article", status=
                     F.lit("\nAnswer: "), _str(status), F.lit("\n\n"))
 
 
+def few_shot_examples(train: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(row_id, claim, article, status, label, position) of k sampled training rows."""
+    from claimlens.operators.splits import few_shot_sample
+    return few_shot_sample(train, k=k, seed=seed).select(
+        "row_id", F.col("mani_news").alias("claim"), F.col("original_news_article").alias("article"),
+        F.col("mani_status").alias("status"), "label", "position")
+
+
 def examples_text(examples: DataFrame) -> Column:
     """All example blocks in position order, as a scalar subquery: the k-row
     example table is evaluated once and its one value reaches every task."""

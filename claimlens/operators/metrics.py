@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.functions.scoring import apply_threshold
+
 # Fixed values of the reference: the 41-point threshold grid is
 # numpy.arange(0.10, 0.91, 0.02) (element 20 is 0.5000000000000001), the
 # default threshold is 0.5, and the confidence multiplier is 1.96.
@@ -172,20 +174,16 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
                     F.when(den > 0, F.col("_u2").cast("double") / den.cast("double")).alias("roc_auc"))
 
 
-def apply_threshold(score: str = "score", t: float = DEFAULT_THRESHOLD) -> Column:
-    """Prediction 1 iff score > t (strict)."""
-    return (F.col(score) > F.lit(float(t))).cast("int")
-
-
 def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction",
              score: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """One metric row per group: counts, accuracy, F1 variants and ROC-AUC.
+    """One metric row per group: counts, accuracy, F1 variants, the nested confusion matrix
+    (rows = true class, columns = predicted) and ROC-AUC.
 
     ``roc_auc`` is NULL when no score column is given (a model without
     probabilities) or a class is absent.
     """
     by = list(by)
-    m = with_f1_metrics(confusion_counts(df, label, prediction, by))
+    m = with_f1_metrics(confusion_counts(df, label, prediction, by)).withColumn("confusion_matrix", confusion_array())
     if score is None:
         return m.withColumn("roc_auc", F.lit(None).cast("double"))
     auc = roc_auc(df, label, score, by).select(*by, "roc_auc")
@@ -220,14 +218,14 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def class_weights_binary(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, n, weight) for classes 0 and 1: n_total / (2 x count)."""
+    """(label, n, weight) for classes 0 and 1: n_total / (2 x count), NULL for an absent class."""
     y = F.col(label)
     c = df.agg(F.count(F.lit(1)).alias("total"), _sum_if(y == 0).alias("n0"), _sum_if(y == 1).alias("n1"))
     return c.select(F.inline(F.array(
         F.struct(F.lit(0).alias("label"), F.col("n0").alias("n"),
-                 (F.col("total") / (2.0 * F.col("n0"))).alias("weight")),
+                 F.when(F.col("n0") > 0, F.col("total") / (2.0 * F.col("n0"))).alias("weight")),
         F.struct(F.lit(1).alias("label"), F.col("n1").alias("n"),
-                 (F.col("total") / (2.0 * F.col("n1"))).alias("weight")),
+                 F.when(F.col("n1") > 0, F.col("total") / (2.0 * F.col("n1"))).alias("weight")),
     )))
 
 

@@ -6,7 +6,7 @@ Allocation *counts* follow the reference's rules exactly.
 
 Ranking inside a class without a single-task bottleneck: rows are bucketed by
 the first ``prefix_len`` hex digits of their hash (16**prefix_len buckets per
-class, order-preserving).  Bucket sizes give exact offsets (a table of at
+class for hexadecimal keys, order-preserving).  Bucket sizes give exact offsets (a table of at
 most groups x classes x buckets rows, broadcast); ``row_number`` then runs
 inside each bucket, so a class holding a third of all rows is still ranked
 by thousands of tasks in parallel.
@@ -58,8 +58,8 @@ def ranked(df: DataFrame, key: Column, label: str = "label", by: Sequence[str] =
 def _check_folds(counts: dict, k: int):
     if k < 2:
         raise ValueError("k must be at least 2")
-    if sum(counts.values()) < k:
-        raise ValueError(f"Cannot have number of splits k={k} greater than the number of rows")
+    if all(v < k for v in counts.values()):
+        raise ValueError(f"Cannot have number of splits k={k} greater than the number of rows of every class")
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label",
@@ -115,18 +115,20 @@ def few_shot_sample(df: DataFrame, k: int = 3, seed: int = 42, label: str = "lab
                     id_col: str = "row_id") -> DataFrame:
     """k//2 + k%2 positives and k//2 negatives, then shuffled -> ``position``.
 
-    ``row_number() <= quota`` lets Spark cut each partition to its top rows
-    before the shuffle (window group limit), so only k rows per partition move."""
+    The rows are chosen on ids and labels alone, by one top-k per class (each
+    partition keeps its k first); the k ids are then joined to their rows, so no text
+    is sorted or moved."""
     quota = {1: k // 2 + k % 2, 0: k // 2}
     counts = class_counts(df, label)
     for c, q in quota.items():
         if counts.get(c, 0) < q:
             raise ValueError(f"class {c} has {counts.get(c, 0)} rows, {q} needed")
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, id_col), id_col))
-    picked = df.withColumn("_rn", rn).filter(
-        F.col("_rn") <= F.when(F.col(label) == 1, F.lit(quota[1])).otherwise(F.lit(quota[0])))
-    pos = F.row_number().over(Window.orderBy(order_key(seed, id_col, "shuffle:"), id_col))
-    return picked.drop("_rn").withColumn("position", pos.cast("int"))
+    ids = df.select(id_col, label)
+    first = [ids.filter(F.col(label) == c).orderBy(order_key(seed, id_col), id_col).limit(q) for c, q in quota.items() if q]
+    picked = first[0] if len(first) == 1 else first[0].union(first[1])
+    pos = F.row_number().over(Window.orderBy(order_key(seed, id_col, "shuffle:"), id_col))   # k rows
+    chosen = picked.select(F.col(id_col).alias("_id"), pos.cast("int").alias("position"))
+    return df.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).drop("_id")
 
 
 def select_fold(assign: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:

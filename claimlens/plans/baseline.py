@@ -20,6 +20,7 @@ from claimlens.operators import reports as R
 from claimlens.operators import splits as X
 from claimlens.operators import tfidf as T
 from claimlens.session import materialize
+from claimlens.sources import files
 
 # The reference's three baselines, in its order.
 BASELINES = [
@@ -95,18 +96,48 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 def run_baselines(claims: DataFrame, text_col: str = "text_concat", with_cv: bool = True,
                   models=BASELINES) -> DataFrame:
     """One metric row per baseline (+ CV mean/std), with ``position``."""
+    return fit_baselines(claims, text_col, with_cv, models)[0]
+
+
+def fit_baselines(claims: DataFrame, text_col: str = "text_concat", with_cv: bool = True,
+                  models=BASELINES) -> tuple[DataFrame, dict[str, FittedModel]]:
+    """M10 with the fitted models kept, by key: the metric rows of ``run_baselines`` and the models.
+
+    The char model's record lists its 10 most MANI-predictive n-grams."""
     train = claims.filter(F.col("data_type") == "TRAIN")
-    rows = []
+    rows, fitted = [], {}
     for pos, (key, name, cfg, spec) in enumerate(models):
-        _, preds = fit_text_model(claims, cfg, spec, text_col)
+        fitted[key], preds = fit_text_model(claims, cfg, spec, text_col)
         e = evaluate_test(preds, spec).select(F.lit(key).alias("key"), F.lit(name).alias("model"),
                                               F.lit(pos).alias("position"), "*")
+        top = F.lit(None).cast("array<string>")
+        if key == "tfidf_char_lr":
+            best = MD.top_features(fitted[key].coef, 10).filter(F.col("direction") == "MANI")
+            top = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])).scalar()
+        e = e.withColumn("top_mani_features", top)
         if with_cv:
             # the CV summary is one row of two numbers
             cv = cv_summary(cross_val_scores(train, cfg, spec, text_col=text_col)).first()
             e = e.withColumns({c: F.lit(v).cast("double") for c, v in cv.asDict().items()})
         rows.append(e)
-    return R.union_all(rows)
+    return R.union_all(rows), fitted
+
+
+def save_best(results: DataFrame, fitted: dict[str, FittedModel], path: str) -> str:
+    """Save the best baseline as tables and return its key."""
+    key = best_baseline(results).select("key").first()[0]
+    m = fitted[key]
+    files.save_model(path, m.vocab, m.coef, m.intercept, {"key": key, "loss": m.spec.loss, "analyzer": m.cfg.analyzer,
+                                                        "ngram_range": list(m.cfg.ngram_range), "sublinear_tf": m.cfg.sublinear_tf})
+    return key
+
+
+def score_saved(spark, path: str, rows: DataFrame, text_col: str = "text_concat") -> DataFrame:
+    """``rows`` (row_id, text) + (margin, prob, prediction) by a saved model."""
+    vocab, coef, meta = files.load_model(spark, path)
+    cfg = T.TfidfConfig(meta["analyzer"], tuple(meta["ngram_range"]), None, sublinear_tf=meta["sublinear_tf"])
+    weights = T.tfidf_weights(T.term_counts(rows, text_col, cfg), vocab, sublinear_tf=cfg.sublinear_tf)
+    return MD.predict(weights, rows.select("row_id"), coef, meta["intercept"], L.LinearSpec(meta["loss"], 1.0))
 
 
 def best_baseline(results: DataFrame) -> DataFrame:

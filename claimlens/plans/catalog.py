@@ -35,6 +35,11 @@ def _pred(df: DataFrame, t: float = M.DEFAULT_THRESHOLD) -> DataFrame:
     return df.withColumn("prediction", M.apply_threshold("score", t))
 
 
+def _matrix_text(df: DataFrame) -> DataFrame:
+    """The nested matrix as JSON text, which SQL can spell too."""
+    return df.withColumn("confusion_matrix", F.to_json("confusion_matrix"))
+
+
 # ---------------------------------------------------------------- sources / projections
 
 ENRICHED_COLS = ["row_id", "data_type", "label", "text_sep_token", "text_concat", "text_claim_only",
@@ -92,20 +97,20 @@ def q_confusion_matrix(spark, sf_dir):
 
 
 @register("evaluate", Q.with_base(
-    f"""SELECT c.*, {Q.METRICS}, a.roc_auc FROM ({Q.counts('scored', 'CAST(score > 0.5 AS INTEGER)')}) c
+    f"""SELECT c.*, {Q.METRICS}, {Q.MATRIX}, a.roc_auc FROM ({Q.counts('scored', 'CAST(score > 0.5 AS INTEGER)')}) c
 CROSS JOIN auc a""", Q.auc_cte("auc", "scored"), scored=True))
 def q_evaluate(spark, sf_dir):
     """One metric row for the whole scored table."""
-    return M.evaluate(_pred(S.scored(spark, sf_dir)), score="score")
+    return _matrix_text(M.evaluate(_pred(S.scored(spark, sf_dir)), score="score"))
 
 
 @register("evaluate_by_split", Q.with_base(
-    f"""SELECT c.*, {Q.METRICS}, a.roc_auc
+    f"""SELECT c.*, {Q.METRICS}, {Q.MATRIX}, a.roc_auc
 FROM ({Q.counts('scored', 'CAST(score > 0.5 AS INTEGER)', 'data_type')}) c
 LEFT JOIN auc a USING (data_type)""", Q.auc_cte("auc", "scored", "data_type"), scored=True))
 def q_evaluate_by_split(spark, sf_dir):
     """A11 grouped: one metric row per split (the per-model form)."""
-    return M.evaluate(_pred(S.scored(spark, sf_dir)), score="score", by=["data_type"])
+    return _matrix_text(M.evaluate(_pred(S.scored(spark, sf_dir)), score="score", by=["data_type"]))
 
 
 @register("roc_auc", Q.with_base("SELECT * FROM auc", Q.auc_cte("auc", "scored"), scored=True))
@@ -179,23 +184,23 @@ from claimlens.operators import tfidf as T  # noqa: E402
 
 
 def _tf(spark, sf_dir, cfg):
-    c = S.claims(spark, sf_dir)
-    return T.term_counts(c, "text_concat", cfg)
+    docs = S.read_table(spark, sf_dir, "documents")
+    return T.term_counts(docs.select(F.col("doc_id").alias("row_id"), "text"), "text", cfg)
 
 
-@register("word_term_counts", Q.with_base(
-    "SELECT row_id, term, CAST(count(*) AS BIGINT) AS tf FROM grams GROUP BY row_id, term",
-    Q.word_grams_cte()))
+_ALL_TEXTS = "all_texts AS (SELECT doc_id AS row_id, text FROM documents)"
+_COUNTS_SELECT = "SELECT row_id, term, CAST(count(*) AS BIGINT) AS tf FROM grams GROUP BY row_id, term"
+
+
+@register("word_term_counts", f"WITH {_ALL_TEXTS},\n{Q.word_grams_cte('all_texts', 'text', 'text')}\n{_COUNTS_SELECT}")
 def q_word_term_counts(spark, sf_dir):
-    """T1 + T2: lower-cased word tokens, 1-3 grams, counted per row."""
+    """T1 + T2: lower-cased word tokens, 1-3 grams, counted per document (all documents)."""
     return _tf(spark, sf_dir, T.WORD)
 
 
-@register("char_term_counts", Q.with_base(
-    "SELECT row_id, term, CAST(count(*) AS BIGINT) AS tf FROM grams GROUP BY row_id, term",
-    Q.char_grams_cte()))
+@register("char_term_counts", f"WITH {_ALL_TEXTS},\n{Q.char_grams_cte('all_texts', 'text', '1 AS one')}\n{_COUNTS_SELECT}")
 def q_char_term_counts(spark, sf_dir):
-    """In-word char 2-5 grams counted per row."""
+    """In-word char 2-5 grams counted per document (all documents)."""
     return _tf(spark, sf_dir, T.CHAR)
 
 
@@ -240,12 +245,12 @@ def q_word_tfidf_vectors(spark, sf_dir):
 
 # ---------------------------------------------------------------- splits
 
+from claimlens.functions import prompts as P  # noqa: E402
 from claimlens.operators import splits as X  # noqa: E402
 
 SEEDS = list(range(10))
 SEEDS_SQL = "(SELECT CAST(range AS INTEGER) AS seed FROM range(10))"
-# the reference holds out 150 of 800 rows
-HOLDOUT_FRACTION = 150 / 800
+from claimlens.plans.robustness import HOLDOUT_FRACTION  # noqa: E402
 
 
 @register("stratified_kfold", Q.with_base(
@@ -281,28 +286,30 @@ def q_stratified_holdout(spark, sf_dir):
     return X.stratified_holdout(S.claims(spark, sf_dir), test_size=HOLDOUT_FRACTION, seeds=SEEDS)
 
 
+def _examples_cte(k: int, name: str) -> str:
+    return f"""{name} AS (
+  SELECT row_id, mani_news AS claim, original_news_article AS article, mani_status AS status, label,
+         CAST(row_number() OVER (ORDER BY {Q.md5_key('42', salt='shuffle:')}, row_id) AS INTEGER) AS position
+  FROM fs WHERE rn <= CASE WHEN label = 1 THEN {k // 2 + k % 2} ELSE {k // 2} END)"""
+
+
 _FEWSHOT_CTE = f"""fs AS (
   SELECT row_id, mani_news, original_news_article, mani_status, label,
          row_number() OVER (PARTITION BY label ORDER BY {Q.md5_key('42')}, row_id) AS rn
   FROM enriched WHERE data_type = 'TRAIN'),
-examples AS (
-  SELECT row_id, mani_news AS claim, original_news_article AS article, mani_status AS status, label,
-         CAST(row_number() OVER (ORDER BY {Q.md5_key('42', salt='shuffle:')}, row_id) AS INTEGER) AS position
-  FROM fs WHERE rn <= CASE WHEN label = 1 THEN 2 ELSE 1 END)"""
+{_examples_cte(3, 'examples')},
+{_examples_cte(5, 'examples5')}"""
 
 
 @register("few_shot_examples", Q.with_base("SELECT * FROM examples", _FEWSHOT_CTE))
 def q_few_shot_examples(spark, sf_dir):
     """X4 + X5: 2 positive + 1 negative TRAIN examples (seed 42), shuffled."""
     tr = S.claims(spark, sf_dir).filter(F.col("data_type") == "TRAIN")
-    ex = X.few_shot_sample(tr, k=3, seed=42)
-    return ex.select("row_id", F.col("mani_news").alias("claim"), F.col("original_news_article").alias("article"),
-                     F.col("mani_status").alias("status"), "label", "position")
+    return P.few_shot_examples(tr, k=3, seed=42)
 
 
 # ---------------------------------------------------------------- repeated evaluation with fixed scores
 
-from claimlens.functions import prompts as P  # noqa: E402
 from claimlens.functions import scoring as SC  # noqa: E402
 from claimlens.operators import reports as R  # noqa: E402
 from claimlens.operators import windows as WN  # noqa: E402
@@ -496,20 +503,36 @@ def stub_model(prompts: list[str]) -> list[str]:
     return [REPLIES[len(p) % len(REPLIES)] for p in prompts]
 
 
+def other_model(prompts: list[str]) -> list[str]:
+    """A second stand-in that disagrees with the first."""
+    return [REPLIES[(len(p) * 7 + 3) % len(REPLIES)] for p in prompts]
+
+
+STUBS = {"stub": stub_model, "other": other_model}
+PROMPT_STRATEGIES = ("zero_shot", "few_shot_3", "few_shot_5")
+
+
 def prompt_replies(spark, sf_dir) -> DataFrame:
-    test = _test_rows(spark, sf_dir)
-    return PE.evaluate_prompts(test, _few_shot_examples(spark, sf_dir), stub_model)
+    c = S.claims(spark, sf_dir)
+    return PE.evaluate_prompts(c.filter(F.col("data_type") == "TEST"), c.filter(F.col("data_type") == "TRAIN"),
+                               STUBS, PROMPT_STRATEGIES)
 
 
 _PROMPTS_CTE = f"""pr AS (
   SELECT row_id, label, 'zero_shot' AS strategy, {_ZS_SQL} AS prompt FROM enriched WHERE data_type = 'TEST'
   UNION ALL
   SELECT row_id, label, 'few_shot_3', {_FS_SQL} FROM enriched CROSS JOIN (SELECT {_EX_SQL} AS t FROM examples) ex
+  WHERE data_type = 'TEST'
+  UNION ALL
+  SELECT row_id, label, 'few_shot_5', {_FS_SQL} FROM enriched CROSS JOIN (SELECT {_EX_SQL} AS t FROM examples5) ex
   WHERE data_type = 'TEST'),
 replies AS (
-  SELECT row_id, label, strategy, list_extract({_REPLIES_SQL}, CAST(length(prompt) % 11 AS INTEGER) + 1) AS response
+  SELECT row_id, label, 'stub' AS model, strategy, list_extract({_REPLIES_SQL}, CAST(length(prompt) % 11 AS INTEGER) + 1) AS response
+  FROM pr
+  UNION ALL
+  SELECT row_id, label, 'other', strategy, list_extract({_REPLIES_SQL}, CAST((length(prompt) * 7 + 3) % 11 AS INTEGER) + 1)
   FROM pr),
-parsed AS (SELECT row_id, label, strategy, response, {_parse_sql('response')} AS prediction FROM replies)"""
+parsed AS (SELECT row_id, label, model, strategy, response, {_parse_sql('response')} AS prediction FROM replies)"""
 
 
 @register("prompt_replies", Q.with_base("SELECT * FROM parsed", _FEWSHOT_CTE, _PROMPTS_CTE))
@@ -519,25 +542,25 @@ def q_prompt_replies(spark, sf_dir):
 
 
 @register("prompt_eval", Q.with_base(
-    f"SELECT c.*, {Q.METRICS} FROM ({Q.counts('parsed', 'prediction', 'strategy')}) c",
+    f"SELECT c.*, {Q.METRICS}, {Q.MATRIX} FROM ({Q.counts('parsed', 'prediction', 'model, strategy')}) c",
     _FEWSHOT_CTE, _PROMPTS_CTE))
 def q_prompt_eval(spark, sf_dir):
-    """A11 per prompt strategy over the parsed replies."""
-    return PE.strategy_metrics(prompt_replies(spark, sf_dir))
+    """A11 per model and prompt strategy over the parsed replies."""
+    return _matrix_text(PE.strategy_metrics(prompt_replies(spark, sf_dir)))
 
 
 @register("running_f1", Q.with_base(
-    f"""SELECT strategy, n, {Q.F1_MACRO} AS f1_macro FROM (
-  SELECT strategy,
+    f"""SELECT model, strategy, n, {Q.F1_MACRO} AS f1_macro FROM (
+  SELECT model, strategy,
     count(*) OVER w AS n,
     sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) OVER w AS tp,
     sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) OVER w AS fp,
     sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) OVER w AS fn,
     sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) OVER w AS tn
-  FROM parsed WINDOW w AS (PARTITION BY strategy ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  FROM parsed WINDOW w AS (PARTITION BY model, strategy ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 WHERE n % 10 = 0""", _FEWSHOT_CTE, _PROMPTS_CTE))
 def q_running_f1(spark, sf_dir):
-    """F1-macro so far after every 10th reply, per strategy."""
+    """F1-macro so far after every 10th reply, per model and strategy."""
     return PE.running_strategy_f1(prompt_replies(spark, sf_dir))
 
 
@@ -575,8 +598,8 @@ _LEADER_SQL = Q.with_base(
   SELECT 'scored view', 'Fixture', '-', {Q.ACCURACY}, {Q.F1_MACRO}, {Q.F1_POS}, (SELECT roc_auc FROM auc)
   FROM ({Q.counts("(SELECT * FROM scored WHERE data_type = 'TEST') t", 'CAST(score > 0.5 AS INTEGER)')})
   UNION ALL
-  SELECT 'reply stub', 'Prompted', strategy, {Q.ACCURACY}, {Q.F1_MACRO}, {Q.F1_POS}, NULL
-  FROM ({Q.counts('parsed', 'prediction', 'strategy')}))""",
+  SELECT 'reply ' || model, 'Prompted', strategy, {Q.ACCURACY}, {Q.F1_MACRO}, {Q.F1_POS}, NULL
+  FROM ({Q.counts('parsed', 'prediction', 'model, strategy')}))""",
     Q.auc_cte("auc", "(SELECT * FROM scored WHERE data_type = 'TEST')"), _FEWSHOT_CTE, _PROMPTS_CTE, scored=True)
 
 
@@ -584,7 +607,7 @@ _LEADER_SQL = Q.with_base(
 def q_leaderboard(spark, sf_dir):
     """O1 + S7 + U1: published rows and results computed here, sorted by F1-macro."""
     pe = PE.strategy_metrics(prompt_replies(spark, sf_dir)).select(
-        F.lit("reply stub").alias("model"), F.lit("Prompted").alias("type"), "strategy",
+        F.concat(F.lit("reply "), F.col("model")).alias("model"), F.lit("Prompted").alias("type"), "strategy",
         "accuracy", "f1_macro", "f1_mani")
     lb = R.leaderboard([R.inline_results(spark), _fixture_result_row(spark, sf_dir), pe])
     return SC.round_metrics(lb)
@@ -701,8 +724,7 @@ def q_cv_scores(spark, sf_dir):
 @register("oof_probabilities")
 def q_oof_probabilities(spark, sf_dir):
     """M7: out-of-fold P(MANI) for every TRAIN row."""
-    c = S.claims(spark, sf_dir)
-    tr = c.filter(F.col("data_type") == "TRAIN")
+    tr = _train(spark, sf_dir)
     return RB.oof_probabilities(RB.shared_term_counts(tr), tr.select("row_id", "label"))
 
 
@@ -741,7 +763,155 @@ def q_baseline_models(spark, sf_dir):
     """Char-LR, word-LR, word-SVM with CV means; ``best`` marks the winner."""
     res = BL.run_baselines(S.claims(spark, sf_dir))
     best = BL.best_baseline(res).select("position").scalar()
-    return res.withColumn("best", F.col("position") == best)
+    return SC.round_metrics(res.withColumn("best", F.col("position") == best))
+
+
+@register("fit_optimality", Q.with_base(
+    """SELECT CAST(r.run AS BIGINT) AS run, n_train, least(80000, n_terms)::BIGINT AS n_features, true AS converged, true AS flat
+FROM (SELECT r AS run, CAST(count(*) AS BIGINT) AS n_train FROM folds, range(5) t(r) WHERE fold <> r GROUP BY r) r
+JOIN (SELECT run, count(*) AS n_terms FROM (
+  SELECT r AS run, term FROM (SELECT DISTINCT row_id, term FROM grams) g JOIN folds USING (row_id), range(5) t(r)
+  WHERE fold <> r GROUP BY r, term HAVING count(*) >= 2) GROUP BY run) v USING (run)""",
+    "train_rows AS (SELECT * FROM enriched WHERE data_type = 'TRAIN')",
+    Q.kfold_cte("folds", "train_rows", "(SELECT 42 AS seed)", 5), Q.word_grams_cte("train_rows")))
+def q_fit_optimality(spark, sf_dir):
+    """M1 + M11: training rows, vocabulary size and the end of every fold's fit (gradient below 1e-4)."""
+    _, info = BL.cross_val_runs(_train(spark, sf_dir), T.WORD, LN.LOGREG)
+    return info.select("run", "n_train", "n_features", "converged", (F.col("grad_max") < 1e-4).alias("flat"))
+
+
+# ---------------------------------------------------------------- M2, M4, M5, T9 with given coefficients
+
+FIXED_INTERCEPT = 0.1
+_COEF_SQL = "coefs AS (SELECT term, idx, (((idx * 37) % 101) - 50) / 25.0 AS coef FROM vocab)"
+_MARGIN_SQL = f"""margins AS (SELECT e.row_id, e.data_type, e.label, coalesce(m.z, 0.0) + {FIXED_INTERCEPT} AS z
+  FROM enriched e LEFT JOIN (SELECT row_id, sum(weight * coef) AS z FROM weights JOIN coefs USING (idx) GROUP BY row_id) m USING (row_id))"""
+
+
+def _fixed_coefficients(vocab: DataFrame) -> DataFrame:
+    return vocab.select("term", "idx", (((F.col("idx") * 37) % 101 - 50) / F.lit(25.0)).alias("coef"))
+
+
+def _fixed_predictions(spark, sf_dir, spec) -> DataFrame:
+    w, v = _tfidf(spark, sf_dir, T.WORD)
+    rows = S.claims(spark, sf_dir).select("row_id", "data_type", "label")
+    return _round(MDL.predict(w, rows, _fixed_coefficients(v), FIXED_INTERCEPT, spec), ["margin", "prob"], 9)
+
+
+@register("predict_logreg_fixed", Q.with_base(
+    "SELECT row_id, data_type, label, round(z, 9) AS margin, round(1.0 / (1.0 + exp(-z)), 9) AS prob, CAST(z > 0 AS INTEGER) AS prediction FROM margins",
+    Q.word_grams_cte(), Q.tfidf_ctes(80_000), _COEF_SQL, _MARGIN_SQL))
+def q_predict_logreg_fixed(spark, sf_dir):
+    """M2: scores of every claim under coefficients that follow from the term's number."""
+    return _fixed_predictions(spark, sf_dir, LN.LOGREG)
+
+
+@register("predict_svm_fixed", Q.with_base(
+    "SELECT row_id, data_type, label, round(z, 9) AS margin, CAST(z > 0 AS INTEGER) AS prediction FROM margins",
+    Q.word_grams_cte(), Q.tfidf_ctes(80_000), _COEF_SQL, _MARGIN_SQL))
+def q_predict_svm_fixed(spark, sf_dir):
+    """M4: margins and classes under the same coefficients (an SVM has no probability)."""
+    return _fixed_predictions(spark, sf_dir, LN.SVM).drop("prob")
+
+
+@register("top_features_fixed", Q.with_base(
+    """SELECT 'MANI' AS direction, CAST(row_number() OVER (ORDER BY coef DESC, term) AS INTEGER) AS rank, term, round(coef, 4) AS coef
+FROM coefs QUALIFY rank <= 20
+UNION ALL
+SELECT 'NO_MANI', CAST(row_number() OVER (ORDER BY coef, term) AS INTEGER) AS rank, term, round(coef, 4) FROM coefs QUALIFY rank <= 20""",
+    Q.word_grams_cte(), Q.tfidf_ctes(80_000), _COEF_SQL))
+def q_top_features_fixed(spark, sf_dir):
+    """M5: the 20 terms at either end under the same coefficients."""
+    return MDL.top_features(_fixed_coefficients(_tfidf(spark, sf_dir, T.WORD)[1]), 20)
+
+
+@register("word_tfidf_vector_entries", Q.with_base(
+    "SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY idx) - 1 AS INTEGER) AS place, CAST(idx AS INTEGER) AS idx, round(weight, 12) AS weight FROM weights",
+    Q.word_grams_cte(), Q.tfidf_ctes(80_000)))
+def q_word_tfidf_vector_entries(spark, sf_dir):
+    """The sparse rows laid open again, entry by entry in the order they have."""
+    v = T.assemble_vectors(_tfidf(spark, sf_dir, T.WORD)[0])
+    return v.select("row_id", F.posexplode(F.arrays_zip("indices", "values")).alias("place", "e")) \
+        .select("row_id", "place", F.col("e.indices").alias("idx"), F.round("e.values", 12).alias("weight"))
+
+
+# ---------------------------------------------------------------- files: written to shared scratch, read back
+
+from claimlens.session import scratch_path  # noqa: E402
+from claimlens.sources import files as FL  # noqa: E402
+
+
+@register("claims_from_csv", Q.with_base("SELECT " + ", ".join(ENRICHED_COLS) + " FROM enriched"))
+def q_claims_from_csv(spark, sf_dir):
+    """The claims written as CSV, converted to parquet once and loaded."""
+    from pyspark.sql import types as TY
+    at = scratch_path(spark, "claims-csv")
+    raw = S.claims_view(spark, sf_dir)
+    raw.select("row_id", *S.RAW_COLUMNS).write.option("header", True).option("quoteAll", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+    schema = TY.StructType([TY.StructField(c, TY.StringType()) for c in ("row_id", *S.RAW_COLUMNS)])
+    table = scratch_path(spark, "claims-parquet")
+    FL.read_claims_csv(spark, at, schema, key="row_id").write.parquet(table)
+    return S.enrich_claims(spark.read.parquet(table)).select(*ENRICHED_COLS)
+
+
+@register("results_json", Q.with_base(
+    f"""SELECT data_type, n, tp, fp, fn, tn, {Q.METRICS} FROM ({Q.counts('scored', 'CAST(score > 0.5 AS INTEGER)', 'data_type')}) c""",
+    scored=True))
+def q_results_json(spark, sf_dir):
+    """S3 + S2: metric rows written as JSON and read back."""
+    at = scratch_path(spark, "results-json")
+    res = M.evaluate(_pred(S.scored(spark, sf_dir)), by=["data_type"]).drop("roc_auc", "confusion_matrix")
+    FL.write_json(res, at)
+    return FL.read_json(spark, at, res.schema)
+
+
+@register("leaderboard_csv", _LEADER_SQL)
+def q_leaderboard_csv(spark, sf_dir):
+    """The leaderboard written as CSV and read back."""
+    at = scratch_path(spark, "leaderboard-csv")
+    lb = q_leaderboard(spark, sf_dir)
+    FL.write_csv(lb, at)
+    return FL.read_csv(spark, at, lb.schema)
+
+
+@register("run_log", Q.with_base("SELECT seed, fold, n, f1_macro FROM fold_scores", _FOLDS, Q.fold_scores_cte(), scored=True))
+def q_run_log(spark, sf_dir):
+    """Fold scores appended to a run log in two batches and read back."""
+    at = scratch_path(spark, "run-log")
+    scores = fold_scores(spark, sf_dir)
+    FL.append_run_log(scores.filter("seed < 5"), at)
+    FL.append_run_log(scores.filter("seed >= 5"), at)
+    return FL.read_run_log(spark, at, scores.schema).filter(F.col(FL.CORRUPT).isNull()).drop(FL.CORRUPT)
+
+
+@register("saved_model_scores", Q.with_base(
+    "SELECT row_id, round(z, 9) AS margin, round(1.0 / (1.0 + exp(-z)), 9) AS prob, CAST(z > 0 AS INTEGER) AS prediction FROM margins",
+    Q.word_grams_cte(), Q.tfidf_ctes(80_000), _COEF_SQL, _MARGIN_SQL))
+def q_saved_model_scores(spark, sf_dir):
+    """A model saved as tables, loaded and applied to the claims' texts."""
+    at = scratch_path(spark, "saved-model")
+    _, v = _tfidf(spark, sf_dir, T.WORD)
+    FL.save_model(at, v, _fixed_coefficients(v), FIXED_INTERCEPT,
+                  {"loss": "logistic", "analyzer": "word", "ngram_range": [1, 3], "sublinear_tf": True})
+    return _round(BL.score_saved(spark, at, S.claims(spark, sf_dir).select("row_id", "text_concat")), ["margin", "prob"], 9)
+
+
+@register("claims_preview", Q.with_base(
+    "SELECT row_id, label, substr(text_concat, 1, 300) AS text_concat FROM enriched ORDER BY row_id LIMIT 5"))
+def q_claims_preview(spark, sf_dir):
+    """The first rows, long text cut for display."""
+    return FL.preview(S.claims(spark, sf_dir).select("row_id", "label", "text_concat").orderBy("row_id"), "text_concat", rows=5)
+
+
+@register("logged_metrics", Q.with_base(
+    f"""SELECT data_type, {Q.ACCURACY} AS eval_accuracy FROM ({Q.counts('scored', 'CAST(score > 0.5 AS INTEGER)', 'data_type')}) c""",
+    scored=True))
+def q_logged_metrics(spark, sf_dir):
+    """Timing columns left out of a metric log."""
+    e = M.evaluate(_pred(S.scored(spark, sf_dir)), by=["data_type"])
+    return SC.drop_metric_keys(e.select("data_type", F.col("accuracy").alias("eval_accuracy"),
+                                        F.lit(1.5).alias("eval_runtime"), F.lit(0.1).alias("train_runtime_sec")))
 
 
 # ---------------------------------------------------------------- A17 / A19 on the scored view (SQL-checkable)
@@ -844,7 +1014,7 @@ def q_claim_turn_prompts(spark, sf_dir):
 
 
 @register("logits_evaluate", Q.with_base(
-    f"""SELECT c.*, {Q.METRICS}, coalesce(a.roc_auc, 0.0) AS roc_auc
+    f"""SELECT c.*, {Q.METRICS}, {Q.MATRIX}, coalesce(a.roc_auc, 0.0) AS roc_auc
 FROM ({Q.counts('lg', 'prediction')}) c CROSS JOIN auc a""",
     """lg0 AS (SELECT row_id, label, CAST(row_id % 7 AS DOUBLE) / 4.0 AS l0, score * 3.0 AS l1 FROM scored),
 lg AS (SELECT row_id, label, CAST(l1 > l0 AS INTEGER) AS prediction,
@@ -854,4 +1024,4 @@ def q_logits_evaluate(spark, sf_dir):
     """F2 (metric callback): softmax/argmax of two-class logits -> A11 metrics, AUC 0.0 on failure."""
     s = S.scored(spark, sf_dir).select(
         "label", F.array((F.col("row_id") % 7).cast("double") / 4.0, F.col("score") * 3.0).alias("logits"))
-    return M.evaluate_logits(s)
+    return _matrix_text(M.evaluate_logits(s))

@@ -89,6 +89,9 @@ METRICS = (f"{ACCURACY} AS accuracy, {F1_MACRO} AS f1_macro, {F1_WEIGHTED} AS f1
            f"{F1_POS} AS f1_mani")
 
 
+MATRIX = "('[[' || tn || ',' || fp || '],[' || fn || ',' || tp || ']]') AS confusion_matrix"
+
+
 def auc_cte(name: str, src: str, by: str = "") -> str:
     """Exact tie-aware AUC per group by a plain window over distinct scores."""
     sel = f"{by}, " if by else ""

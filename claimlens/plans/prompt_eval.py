@@ -8,7 +8,7 @@ own model instance; Spark decides the parallelism.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,63 +23,67 @@ from claimlens.operators import windows as WN
 ModelFn = Callable[[list[str]], list[str]]
 
 
-_WORKER_MODELS: dict = {}
-
-
 def score_prompts(df: DataFrame, model_fn: ModelFn | None = None, prompt_col: str = "prompt",
-                  out_col: str = "response", model_factory: Callable[[], ModelFn] | None = None) -> DataFrame:
+                  out_col: str = "response", model_factory: Callable[[], ModelFn] | None = None,
+                  model_name: str | None = None) -> DataFrame:
     """Adds the model's reply to every prompt (greedy decoding is the model's business).
 
-    ``model_fn`` is shipped with the task; for a heavy model pass
-    ``model_factory`` instead: it is called once per Python worker process
-    (weights loaded once, reused by every later batch on that worker)."""
+    ``model_fn`` is shipped with the task; for a heavy model pass ``model_factory`` and a
+    ``model_name`` instead: the factory is called once per Python worker process (weights
+    loaded once, kept under that name and reused by every later task on that worker)."""
     if (model_fn is None) == (model_factory is None):
         raise ValueError("give exactly one of model_fn or model_factory")
-    key = id(model_factory)
+    if model_factory is not None and not model_name:
+        raise ValueError("a model_factory needs a model_name that stands for what it builds")
 
     @pandas_udf("string")
     def _reply(prompts: pd.Series) -> pd.Series:
         fn = model_fn
         if fn is None:
-            fn = _WORKER_MODELS.get(key)
-            if fn is None:
-                fn = _WORKER_MODELS[key] = model_factory()
+            from claimlens.functions.worker_models import worker_model
+            fn = worker_model(model_name, model_factory)
         return pd.Series(fn(prompts.tolist()), index=prompts.index, dtype="object")
     return df.withColumn(out_col, _reply(F.col(prompt_col)))
 
 
-def prompts_by_strategy(test: DataFrame, examples: DataFrame | None,
-                        strategies: Sequence[str] = P.STRATEGIES) -> DataFrame:
+def shots(strategy: str) -> int:
+    """k of ``few_shot_k``, 0 of ``zero_shot``."""
+    if strategy == "zero_shot":
+        return 0
+    k = strategy.removeprefix("few_shot_")
+    if k == strategy or not k.isdigit() or int(k) < 1:
+        raise ValueError(f"Unknown strategy: {strategy}")
+    return int(k)
+
+
+def prompts_by_strategy(test: DataFrame, train: DataFrame | None,
+                        strategies: Sequence[str] = P.STRATEGIES, seed: int = 42) -> DataFrame:
     """(row_id, label, strategy, prompt): the test rows once per strategy (a
-    union of projections, not a join)."""
+    union of projections, not a join).  ``few_shot_k`` shows k sampled training rows."""
     parts = []
     for s in strategies:
-        if s == "zero_shot":
-            prompt = P.zero_shot_prompt()
-        elif s.startswith("few_shot"):
-            if examples is None:
-                raise ValueError("few-shot strategies need examples")
-            prompt = P.few_shot_prompt(P.examples_text(examples))
-        else:
-            raise ValueError(f"Unknown strategy: {s}")
+        k = shots(s)
+        if k and train is None:
+            raise ValueError("few-shot strategies need training rows")
+        prompt = P.few_shot_prompt(P.examples_text(P.few_shot_examples(train, k, seed))) if k else P.zero_shot_prompt()
         parts.append(test.select("row_id", "label", F.lit(s).alias("strategy"), prompt.alias("prompt")))
     return R.union_all(parts)
 
 
-def evaluate_prompts(test: DataFrame, examples: DataFrame | None, model_fn: ModelFn,
-                     strategies: Sequence[str] = P.STRATEGIES) -> DataFrame:
-    """(row_id, label, strategy, response, prediction) for every test row and strategy."""
-    pr = prompts_by_strategy(test, examples, strategies)
-    rep = score_prompts(pr, model_fn)
-    return rep.select("row_id", "label", "strategy", "response",
+def evaluate_prompts(test: DataFrame, train: DataFrame | None, models: Mapping[str, ModelFn],
+                     strategies: Sequence[str] = P.STRATEGIES, seed: int = 42) -> DataFrame:
+    """(row_id, label, model, strategy, response, prediction) for every test row, model and strategy."""
+    pr = prompts_by_strategy(test, train, strategies, seed)
+    rep = R.union_all([score_prompts(pr, fn).withColumn("model", F.lit(name)) for name, fn in models.items()])
+    return rep.select("row_id", "label", "model", "strategy", "response",
                       P.parse_reply_label("response").alias("prediction"))
 
 
 def strategy_metrics(replies: DataFrame) -> DataFrame:
-    """A11 per strategy (no probabilities, so no AUC)."""
-    return M.evaluate(replies, by=["strategy"]).drop("roc_auc")
+    """A11 per model and strategy (no probabilities, so no AUC)."""
+    return M.evaluate(replies, by=["model", "strategy"]).drop("roc_auc")
 
 
 def running_strategy_f1(replies: DataFrame, every: int = 10) -> DataFrame:
-    """F1-macro so far after every ``every``-th reply, per strategy (row order)."""
-    return WN.running_f1(replies, order_col="row_id", by=["strategy"], every=every)
+    """F1-macro so far after every ``every``-th reply, per model and strategy (row order)."""
+    return WN.running_f1(replies, order_col="row_id", by=["model", "strategy"], every=every)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,18 @@ CLAIM_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in
                                   "original_excerpt", "category", "data_type")])
 
 
-def read_claims_csv(spark: SparkSession, path: str, schema: T.StructType = CLAIM_CSV_SCHEMA) -> DataFrame:
+def read_claims_csv(spark: SparkSession, path: str, schema: T.StructType = CLAIM_CSV_SCHEMA,
+                    key: str | None = None) -> DataFrame:
     """Raw claim rows from a header CSV: explicit string schema (digits stay
     text), quoted newlines kept, doubled quotes unescaped, pandas' missing
     tokens -> NULL, and a ``row_id``.
 
-    multiLine CSV files are not splittable, so parallelism comes from the
-    number of files; ``row_id`` is stable for a given set of files."""
+    ``row_id`` depends on neither file order nor partitioning, so folds, holdouts and
+    samples (which hash it) stay the same: it is the column ``key`` (a number) if the file has
+    one, else a hash of the row's content and of its number among equal rows.
+
+    multiLine CSV files are not splittable, so parallelism comes from the number of
+    files: ``ingest_claims`` converts them to parquet once."""
     df = (spark.read.schema(schema)
           .option("header", True).option("multiLine", True).option("escape", '"')
           .option("encoding", "UTF-8")
@@ -39,14 +44,24 @@ def read_claims_csv(spark: SparkSession, path: str, schema: T.StructType = CLAIM
     tokens = F.array(*[F.lit(t) for t in NULL_TOKENS])
     cleaned = [F.when(F.array_contains(tokens, F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c)
                for c in df.columns]
-    return df.select(F.monotonically_increasing_id().alias("row_id"), *cleaned)
+    if key:
+        return df.select(F.col(key).cast("long").alias("row_id"), *[c for c, n in zip(cleaned, df.columns) if n != key])
+    rows = df.select(*cleaned).withColumn("_h", F.xxhash64(*df.columns))
+    # equal rows are few, so a window over the content hash is small whatever the file
+    same = F.row_number().over(Window.partitionBy("_h").orderBy(*df.columns))
+    return rows.withColumn("_n", same).select(F.xxhash64("_h", "_n").alias("row_id"), *df.columns)
+
+
+def ingest_claims(spark: SparkSession, path: str, out: str, key: str | None = None) -> DataFrame:
+    """Convert claim CSV files to a parquet table once; read that from then on."""
+    read_claims_csv(spark, path, key=key).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
-def load_claims(spark: SparkSession, path: str) -> DataFrame:
+def load_claims(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """CSV -> enriched claims (label, composed texts, length features);
     split into TRAIN/TEST by filtering ``data_type``."""
-    raw = read_claims_csv(spark, path)
-    return enrich_claims(raw.select("row_id", *[c for c in RAW_COLUMNS]))
+    return enrich_claims(read_claims_csv(spark, path, key=key).select("row_id", *RAW_COLUMNS))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -79,12 +94,20 @@ def append_run_log(record: DataFrame, path: str) -> None:
     record.write.mode("append").json(path)
 
 
+#: Holds the text of a log line that is no record of the schema.
+CORRUPT = "corrupt_record"
+
+
 def read_run_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All records of a run log; a missing or unreadable log is empty."""
-    try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except Exception:  # missing folder
-        return spark.createDataFrame([], schema)
+    """All records of a run log; a missing log is empty.
+
+    Lines that are no record are kept, with their text in ``corrupt_record``
+    (null for good records); any other trouble with the path is raised."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def save_model(path: str, vocab: DataFrame, coef: DataFrame, intercept: float, meta: dict) -> None:

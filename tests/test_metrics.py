@@ -122,3 +122,14 @@ def test_evaluate_logits(spark):
     assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (1, 1, 1, 1)     # tie goes to class 0
     one = spark.createDataFrame([([0.0, 1.0], 1)], "logits array<double>, label int")
     assert M.evaluate_logits(one).first()["roc_auc"] == 0.0
+
+
+def test_class_weights_binary_with_one_class(spark):
+    df = spark.createDataFrame([(1,), (1,)], "label int")
+    got = {r["label"]: r["weight"] for r in M.class_weights_binary(df).collect()}
+    assert got == {0: None, 1: 0.5}
+
+
+def test_evaluate_has_the_nested_matrix(spark):
+    df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 1), (0, 0)], "label int, prediction int")
+    assert M.evaluate(df).first()["confusion_matrix"] == [[2, 1], [1, 1]]

@@ -150,3 +150,16 @@ def test_top_features(spark):
     mani = [r["term"] for r in t if r["direction"] == "MANI"]
     assert mani == ["a", "c"]
     assert [r["term"] for r in t if r["direction"] == "NO_MANI"] == ["b", "d"]
+
+
+def test_saved_winner_gives_identical_predictions(spark, tmp_path):
+    c = S.claims(spark, SF_SMALL)
+    words = [m for m in B.BASELINES if m[0] != "tfidf_char_lr"]
+    results, fitted = B.fit_baselines(c, with_cv=False, models=words)
+    key = B.save_best(results, fitted, str(tmp_path / "best"))
+    m = fitted[key]
+    weights, _ = T.tfidf(c, "text_concat", m.cfg, fit_on=("data_type", "TRAIN"))
+    want = {r["row_id"]: r for r in MD.predict(weights, c.select("row_id"), m.coef, m.intercept, m.spec).collect()}
+    got = {r["row_id"]: r for r in B.score_saved(spark, str(tmp_path / "best"), c.select("row_id", "text_concat")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i]["prediction"] == want[i]["prediction"] and abs(got[i]["margin"] - want[i]["margin"]) < 1e-9 for i in got)

@@ -57,7 +57,46 @@ def test_score_prompts_with_factory(spark):
         return lambda ps: ["MANI" if len(p) % 2 else "NO_MANI" for p in ps]
 
     df = spark.createDataFrame([("ab",), ("abc",)], "prompt string")
-    got = [r["response"] for r in PE.score_prompts(df, model_factory=factory).orderBy("prompt").collect()]
+    got = [r["response"] for r in PE.score_prompts(df, model_factory=factory, model_name="length").orderBy("prompt").collect()]
     assert got == ["NO_MANI", "MANI"]
     with pytest.raises(ValueError):
         PE.score_prompts(df)
+    with pytest.raises(ValueError):
+        PE.score_prompts(df, model_factory=factory)
+
+
+def test_factory_runs_once_a_worker(spark, tmp_path):
+    import os
+    import uuid
+    from claimlens.plans import prompt_eval as PE
+    log = str(tmp_path / "calls")
+
+    def factory():
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda ps: [str(os.getpid())] * len(ps)
+
+    df = spark.range(64).repartition(32).selectExpr("CAST(id AS STRING) AS prompt")
+    workers = {r["response"] for r in PE.score_prompts(df, model_factory=factory, model_name=uuid.uuid4().hex).collect()}
+    calls = open(log).read().split()
+    assert len(calls) == len(set(calls)) == len(workers) < 32
+
+
+def test_strategy_names():
+    from claimlens.plans import prompt_eval as PE
+    assert [PE.shots(s) for s in ("zero_shot", "few_shot_3", "few_shot_5")] == [0, 3, 5]
+    for bad in ("few_shot", "few_shot_0", "cot"):
+        with pytest.raises(ValueError):
+            PE.shots(bad)
+
+
+def test_few_shot_moves_no_texts(spark):
+    from claimlens.operators import splits as X
+    from claimlens.sources import tables as S
+    from tests.conftest import SF_SMALL
+    c = S.claims(spark, SF_SMALL).filter("data_type = 'TRAIN'")
+    sample = X.few_shot_sample(c, k=5)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window "):]
+    assert "mani_news" not in window.split("BroadcastExchange")[0] or "TakeOrderedAndProject" in plan
+    assert "TakeOrderedAndProject" in plan and sample.count() == 5

@@ -21,19 +21,55 @@ def test_claims_csv(spark):
     p = os.path.join(d, "claims.csv")
     with open(p, "w", encoding="utf-8") as f:
         f.write(CSV)
-    raw = FS.read_claims_csv(spark, p).orderBy("row_id").collect()
+    raw = sorted(FS.read_claims_csv(spark, p).collect(), key=lambda r: ["Claim one", "123", "c3"].index(r["mani_news"]))
     assert len(raw) == 3
     assert raw[0]["mani_news"] == "Claim one"
     assert raw[0]["original_news_article"] == 'Line 1\nLine 2 with "quotes" and a \\\\ backslash'
     assert raw[0]["altered_excerpt"] is None and raw[0]["original_excerpt"] is None
     assert raw[1]["mani_news"] == "123" and raw[1]["altered_excerpt"] is None
-    en = FS.load_claims(spark, p).orderBy("row_id").collect()
+    en = FS.load_claims(spark, p).orderBy(F.desc("data_type")).collect()
     assert [r["data_type"] for r in en] == ["TRAIN", "TEST"]
     assert [r["label"] for r in en] == [1, 0]
     assert en[0]["text_concat"] == 'Claim one Line 1 Line 2 with "quotes" and a \\\\ backslash'
     assert en[1]["has_excerpt"] == 0 and en[0]["has_excerpt"] == 0
 
 
+def test_row_ids_do_not_depend_on_files(spark):
+    head, rows = CSV.split("\n", 1)[0], ["a,b,MANI,,,,TRAIN", "c,d,NO_MANI,,,,TEST", "a,b,MANI,,,,TRAIN", "e,f,MANI,,,,TEST"]
+    got = []
+    for parts in ([rows], [rows[2:], rows[:2]], [[r] for r in reversed(rows)]):
+        d = tempfile.mkdtemp()
+        for i, part in enumerate(parts):
+            with open(os.path.join(d, f"{i}.csv"), "w", encoding="utf-8") as f:
+                f.write("\n".join([head, *part]) + "\n")
+        got.append(sorted((r["row_id"], r["mani_news"]) for r in FS.read_claims_csv(spark, d).collect()))
+    assert got[0] == got[1] == got[2] and len({i for i, _ in got[0]}) == 4
+
+
+def test_csv_key_and_parquet(spark):
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "k.csv"), "w", encoding="utf-8") as f:
+        f.write("id,mani_news,original_news_article,mani_status,altered_excerpt,original_excerpt,category,data_type\n7,a,b,MANI,,,,TRAIN\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), *FS.CLAIM_CSV_SCHEMA.fields])
+    raw = FS.read_claims_csv(spark, d, schema, key="id")
+    assert raw.first()["row_id"] == 7 and "id" not in raw.columns
+    with open(os.path.join(d, "claims.csv"), "w", encoding="utf-8") as f:
+        f.write(CSV)
+    table = FS.ingest_claims(spark, os.path.join(d, "claims.csv"), os.path.join(d, "claims.parquet"))
+    assert table.count() == 3 and table.columns[0] == "row_id"
+
+
+def test_term_counts_move_texts_once_from_csv(spark):
+    from claimlens.operators import tfidf
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "claims.csv"), "w", encoding="utf-8") as f:
+        f.write(CSV)
+    key = FS.read_claims_csv(spark, os.path.join(d, "claims.csv"), key=None)
+    plan = tfidf.term_counts(key.select("row_id", "mani_news"), "mani_news", tfidf.WORD)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "Exchange" not in above   # exploded n-grams never move
+
+
 def test_json_roundtrip_keeps_text(spark):
     d = tempfile.mkdtemp()
     df = spark.createDataFrame([("বাংলা", 0.5, None)], "model string, f1 double, auc double")
@@ -61,6 +97,10 @@ def test_run_log_append(spark):
     for s in range(3):
         FS.append_run_log(spark.createDataFrame([(s, 0.5 + s / 10)], sch), d)
     assert sorted(r["seed"] for r in FS.read_run_log(spark, d, sch).collect()) == [0, 1, 2]
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write("{not a record\n")
+    log = FS.read_run_log(spark, d, sch).collect()
+    assert [r[FS.CORRUPT] for r in log if r[FS.CORRUPT]] == ["{not a record"] and len(log) == 4
 
 
 def test_model_save_load(spark):

@@ -64,3 +64,10 @@ def test_few_shot_sample(spark):
     assert sorted(r["position"] for r in ex) == [1, 2, 3, 4, 5]
     with pytest.raises(ValueError):
         X.few_shot_sample(tr.filter("label = 1"), k=3)
+
+
+def test_more_folds_than_rows_of_any_class(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(6)], "row_id long, label int")
+    with pytest.raises(ValueError):
+        X.stratified_kfold(df, k=5)
+    assert X.stratified_kfold(df, k=3).count() == 6
