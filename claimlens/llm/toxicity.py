@@ -5,13 +5,18 @@ probabilities of the earlier ones as features.  While learning, those are
 out-of-fold: a row's probability comes from a model that has not seen the row,
 so later models meet them as uncertain as they are on new text.
 
-Features: whether the text holds each of the ``TERMS`` words that go with a
-category most clearly (chi-squared over all labelled texts), and measures of
-style that do not grow with the text.  Models are logistic regressions.
+Features: whether the text holds each of the words that go with a category
+beyond chance (chi-squared over all labelled texts, above what the best of as many
+unrelated words would reach; at most ``TERMS``), and measures of style that do not
+grow with the text.  Models are logistic regressions.
 
 Term statistics cover all labelled documents.  The models fit on a bounded
-sample of labelled rows, ``SAMPLE`` a class of the last category, chosen by a hash.  Folds of
-one step are fitted in parallel, each from the bounded sample.
+sample of labelled rows, about ``SAMPLE`` of each class of the last category: those whose
+hash lies below sample / rows of the hash's range.  Folds of one step are fitted in
+parallel, each from that sample.
+
+Labels are broadcast to the texts up to ``BROADCAST_LABELS`` rows, so that no text moves;
+beyond that the join shuffles both sides.
 
 Defined results: null text is the empty text; labelled rows with a null label
 teach nothing about that category; a category with a single class among its labels gets
@@ -23,6 +28,7 @@ rows; columns beside the named ones are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +49,8 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: A word that fewer labelled documents hold is no feature.
 LEAST_DOCUMENTS = 5
+#: Most label rows that are broadcast (some 50 MB).
+BROADCAST_LABELS = 1_000_000
 WORDS = r"[\p{L}\p{N}]+"
 STYLE = 6
 
@@ -72,6 +80,9 @@ def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
     marks = labels.select(F.col("doc_id").alias("l_id"), *[F.expr(e).cast("double").alias(f"y{i}") for i, (_, e) in enumerate(chain)]) \
         .groupBy("l_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(chain))])
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marks = materialize(marks, "toxicity-labels")
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
     return rows.join(marks, F.col("doc_id") == F.col("l_id")).select(
         F.xxhash64("doc_id", "text").alias("h"), "text", *[f"y{i}" for i in range(len(chain))])
 
@@ -85,6 +96,7 @@ def choose_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[s
     total = rows.agg(*[F.sum(f"y{i}").alias(f"p{i}") for i in range(categories)],
                      *[F.count(f"y{i}").alias(f"n{i}") for i in range(categories)]).first()
     kept = materialize(sums.filter(F.col("n") >= LEAST_DOCUMENTS), "toxicity-terms")
+    chance = 2 * math.log(max(2, kept.count())) + 4
     chosen: set[str] = set()
     for i in range(categories):
         p, n = total[f"p{i}"] or 0.0, total[f"n{i}"] or 0
@@ -93,7 +105,7 @@ def choose_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[s
         a, m = F.col(f"p{i}"), F.col(f"n{i}")
         expected = m * F.lit(p / n)
         chi = (a - expected) * (a - expected) / (expected * F.lit(1 - p / n) + F.lit(1e-9))
-        chosen |= {r["word"] for r in kept.select("word", chi.alias("c")).orderBy(F.desc("c"), "word").limit(terms).collect()}
+        chosen |= {r["word"] for r in kept.select("word", chi.alias("c")).filter(F.col("c") > chance).orderBy(F.desc("c"), "word").limit(terms).collect()}
     return sorted(chosen)
 
 
@@ -195,16 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, terms: int = TERMS, sam
     rows = labelled(docs, labels, chain)
     words = choose_terms(rows, k, terms)
     number = {w: i for i, w in enumerate(words)}
-    # the bounded sample: the smallest hashes of each class of the last category, ranked without the texts
-    # (partial group limits run before the exchange), then the texts of the chosen hashes
+    # the bounded sample: hashes are uniform, so a bound on them is a share of the rows
     last = f"y{k - 1}"
-    rank = F.row_number().over(Window.partitionBy(last).orderBy("h"))
-    tops = {r[0]: r[1] for r in rows.select(last, "h").withColumn("place", rank).filter(F.col("place") <= sample)
-            .groupBy(last).agg(F.max("h")).collect()}
     keep = F.lit(False)
-    for value, top in tops.items():
-        keep = keep | (F.col(last).eqNullSafe(F.lit(value)) & (F.col("h") <= F.lit(top)))
-    chosen = rows.filter(keep).withColumn("place", rank).filter(F.col("place") <= sample).drop("place")
+    for value, n in rows.groupBy(last).count().collect():  # two classes and null
+        bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // n)
+        keep = keep | (F.col(last).eqNullSafe(F.lit(value)) & (F.col("h") <= F.lit(bound)))
+    chosen = rows.filter(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
