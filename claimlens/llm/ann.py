@@ -95,7 +95,7 @@ FOUND = "q_rep long, score double, ids array<long>"
 def _search(k: int, pivots: np.ndarray, prefix: int, rerank: float, longest: float):
     def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
-            return pd.DataFrame({"q_rep": [], "score": [], "ids": []})
+            return pd.DataFrame({"q_rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "ids": pd.Series(dtype="object")})
         x = np.stack(shard["v"].to_numpy()).astype(np.float64)
         y = np.stack(queries["v"].to_numpy()).astype(np.float64)
         fill = np.sqrt(np.maximum(0.0, 1 - ((x / longest) ** 2).sum(axis=1)))

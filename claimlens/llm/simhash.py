@@ -285,7 +285,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED,
                     doc_id: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
-    """(doc_id, [keep,] fp, component_id) for every row: the smallest id reachable over links, itself included."""
+    """(doc_id, [keep,] fp, component_id, part) for every row: the smallest id reachable over links, itself included.
+
+    ``part`` numbers the components; it differs from component_id only where ids repeat, and is null
+    for a fingerprint without any id."""
     prints = materialize(fingerprints(docs, width, seed, doc_id, text, keep), "simhash-prints")
     nodes = materialize(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     # a document id with several texts is a node once for each fingerprint, under the id itself as well
@@ -294,13 +297,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
         nodes = nodes.withColumn("node", F.col("fp"))  # repeated ids: number nodes by fingerprint
     comp = components(links(nodes, radius))
     of_print = nodes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left") \
-        .select(F.col("fp").alias("n_fp"), F.coalesce("component", "node").alias("component"))
+        .select(F.col("fp").alias("n_fp"), F.coalesce("component", "node").alias("part"))
+    of_print = of_print.withColumn("component", F.col("part"))
     if not shared:
-        least = prints.join(of_print, F.col("fp") == F.col("n_fp")).groupBy("component").agg(F.min("doc_id").alias("least"))
-        of_print = of_print.join(least.withColumnRenamed("component", "l"), F.col("component") == F.col("l")) \
-            .select("n_fp", F.col("least").alias("component"))
+        least = prints.join(of_print, F.col("fp") == F.col("n_fp")).groupBy(F.col("part").alias("l")).agg(F.min("doc_id").alias("least"))
+        of_print = of_print.join(least, F.col("part") == F.col("l")).select("n_fp", "part", F.col("least").alias("component"))
     return prints.join(of_print, F.col("fp") == F.col("n_fp"), "left") \
-        .select("doc_id", *([keep] if keep else []), "fp", F.col("component").alias("component_id"))
+        .select("doc_id", *([keep] if keep else []), "fp", F.col("component").alias("component_id"), "part")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -163,6 +163,8 @@ class _Reader(DataSourceReader):
                 for p, n in found for a in range(0, n, self.range if p.endswith(".gz") else n)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no files: Spark asks for one read without a partition
+            return
         system, _ = _fs(self.path)
         rows: list[dict] = []
         held = 0

@@ -41,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS, _row_key().alias("row"))
     found = materialize(simhash.near_duplicates(rows, keep="row"), "dedup-found")
     # without any id in it, a fingerprint is a component of its own
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = found.groupBy("component_id", group.alias("g")).agg(
+    group = F.when(F.col("part").isNull(), F.col("fp"))
+    best = found.groupBy("part", group.alias("g")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     best = best.select(F.col("best.row").alias("b_row"))
     stay = rows.join(best.hint("shuffle_hash"), F.col("row") == F.col("b_row"), "left_semi")
