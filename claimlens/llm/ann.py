@@ -5,8 +5,8 @@ of the vectors serves as pivots).  A shard posts its vectors in pivot inverted
 files: for each pivot the vectors that have it in their order, with its rank.
 A query walks the lists of its own nearest pivots and adds up, for each vector
 met, the footrule distance between the two orders (a pivot that one order lacks
-counts as last).  The share ``rerank`` of the shard nearest by footrule is
-compared exactly.
+counts as last).  The share ``rerank`` of the shard nearest by footrule, and at
+least ``LEAST`` candidates for each neighbour asked for, are compared exactly.
 
 Nearness is the inner product, which is not a metric; pivots order the vectors
 extended by one component that makes all lengths equal, so that the order of
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from claimlens.session import materialize
 
-PIVOTS = 128
+PIVOTS = 256
 PREFIX = 64
-RERANK = 0.4
+RERANK = 0.15
+LEAST = 20
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 4096
 
@@ -89,31 +90,39 @@ class InvertedFiles:
         return total
 
 
-FOUND = "q_rep long, score double, ids array<long>"
+FOUND = "q_rep long, score double, vec_id long"
 
 
 def _search(k: int, pivots: np.ndarray, prefix: int, rerank: float, longest: float):
     def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
-            return pd.DataFrame({"q_rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "ids": pd.Series(dtype="object")})
+            return pd.DataFrame({"q_rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "vec_id": pd.Series(dtype="int64")})
         x = np.stack(shard["v"].to_numpy()).astype(np.float64)
         y = np.stack(queries["v"].to_numpy()).astype(np.float64)
         fill = np.sqrt(np.maximum(0.0, 1 - ((x / longest) ** 2).sum(axis=1)))
         files = InvertedFiles(orders(np.column_stack([x / longest, fill]), pivots, prefix), len(pivots))
         perms = orders(np.column_stack([y / np.linalg.norm(y, axis=1)[:, None], np.zeros(len(y))]), pivots, prefix)
         ids = shard["ids"].to_numpy()
-        take = min(len(x), max(4 * (k + 1), int(np.ceil(rerank * len(x)))))
-        out = []
+        lengths = np.array([len(i) for i in ids])
+        flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        take = min(len(x), max(LEAST * (k + 1), int(np.ceil(rerank * len(x)))))
+        q_at, found, scores = [], [], []
         for q, perm in enumerate(perms):
             far = files.footrule(perm)
             near = np.argpartition(far, take - 1)[:take] if take < len(x) else np.arange(len(x))
             # row by row in one fixed order of summation: equal vectors get equal scores
             score = (x[near] * y[q]).sum(axis=1)
-            best = near[np.argsort(-score, kind="stable")[:k + 1]] if len(near) <= k + 1 else \
-                near[np.flatnonzero(score >= np.partition(score, -(k + 1))[-(k + 1)])]
-            rep = int(queries["rep"].iat[q])
-            out += [(rep, float((x[j] * y[q]).sum()), list(map(int, ids[j]))) for j in best.tolist()]
-        return pd.DataFrame(out, columns=["q_rep", "score", "ids"])
+            if len(near) > k + 1:  # ties with the last one stay
+                keep = score >= np.partition(score, -(k + 1))[-(k + 1)]
+                near, score = near[keep], score[keep]
+            q_at.append(np.full(len(near), q))
+            found.append(near)
+            scores.append(score)
+        at, which, score = np.concatenate(found), np.concatenate(q_at), np.concatenate(scores)
+        n = lengths[at]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return pd.DataFrame({"q_rep": np.repeat(queries["rep"].to_numpy()[which], n), "score": np.repeat(score, n),
+                             "vec_id": flat[np.repeat(first[at], n) + place]})
 
     return run
 
@@ -143,8 +152,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     found = rows.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(
         _search(k, p, min(prefix, len(p)), rerank, longest), FOUND)
     by_face = Window.partitionBy("q_rep").orderBy(F.desc("score"), "vec_id")
-    best = found.select("q_rep", "score", F.explode("ids").alias("vec_id")) \
-        .withColumn("place", F.row_number().over(by_face)).filter(F.col("place") <= k + 1)
+    best = found.withColumn("place", F.row_number().over(by_face)).filter(F.col("place") <= k + 1)
     lists = best.groupBy("q_rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
     return asked.join(lists, F.col("rep") == F.col("q_rep")).select("query_id", F.slice(
         F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best")) \
