@@ -5,7 +5,8 @@ probabilities of the earlier ones as features.  While learning, those are
 out-of-fold: a row's probability comes from a model that has not seen the row,
 so later models meet them as uncertain as they are on new text.
 
-Features: whether the text holds each of the words that go with a category
+Features: whether the text holds each of the words, and of the word beginnings
+(``STEM`` letters, for inflected and compound words), that go with a category
 beyond chance (chi-squared over all labelled texts, above what the best of as many
 unrelated words would reach; at most ``TERMS``), and measures of style that do not
 grow with the text.  Models are logistic regressions.
@@ -49,6 +50,8 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: A word that fewer labelled documents hold is no feature.
 LEAST_DOCUMENTS = 5
+#: Letters of a word beginning.
+STEM = 4
 #: Most label rows that are broadcast (some 50 MB).
 BROADCAST_LABELS = 1_000_000
 WORDS = r"[\p{L}\p{N}]+"
@@ -70,7 +73,9 @@ def style(text: str, words: list[str]) -> list[float]:
 def features(text: str, terms: dict[str, int]) -> tuple[list[int], list[float]]:
     """Numbers of the terms that the whole text holds, and its style."""
     words = _WORD.findall(text.lower())
-    return sorted({terms[w] for w in terms.keys() & set(words)}), style(text, words)
+    met = set(words)
+    met |= {w[:STEM] + "-" for w in met if len(w) > STEM}
+    return sorted({terms[w] for w in terms.keys() & met}), style(text, words)
 
 
 # ---------------------------------------------------------------- learning
@@ -89,8 +94,10 @@ def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
 
 def choose_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[str]:
     """The words that tell most about some category, over all labelled documents."""
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("word"),
-                        *[f"y{i}" for i in range(categories)])
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))
+    stems = F.array_distinct(F.transform(F.filter(found, lambda w: F.length(w) > STEM),
+                                         lambda w: F.concat(F.substring(w, 1, STEM), F.lit("-"))))
+    words = rows.select(F.explode(F.concat(found, stems)).alias("word"), *[f"y{i}" for i in range(categories)])
     sums = words.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"p{i}") for i in range(categories)],
                                      *[F.count(f"y{i}").alias(f"n{i}") for i in range(categories)])
     total = rows.agg(*[F.sum(f"y{i}").alias(f"p{i}") for i in range(categories)],
@@ -109,12 +116,9 @@ def choose_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[s
     return sorted(chosen)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 100) -> np.ndarray:
-    """Weights (last: intercept) of a class-balanced logistic regression, by L-BFGS."""
+def logistic(x: np.ndarray, y: np.ndarray, sw: np.ndarray, penalty: float = 0.01, rounds: int = 100) -> np.ndarray:
+    """Weights (last: intercept) of a logistic regression over rows of weight ``sw``, by L-BFGS."""
     z = np.column_stack([x, np.ones(len(x))])
-    pos = max(1.0, float(y.sum()))
-    neg = max(1.0, float(len(y) - y.sum()))
-    sw = np.where(y > 0.5, len(y) / (2 * pos), len(y) / (2 * neg))
     sign = np.where(y > 0.5, 1.0, -1.0)
     ridge = np.full(z.shape[1], penalty)
     ridge[-1] = 0.0
@@ -191,7 +195,7 @@ def _fit_fold(category: int, n_terms: int):
         learn = (rows["fold"].to_numpy() != fold) & ~np.isnan(y)
         one_class = learn.sum() == 0 or y[learn].min() == y[learn].max()
         constant = float(y[learn].max()) if learn.any() else 0.0
-        w = None if one_class else logistic(x[learn], y[learn])
+        w = None if one_class else logistic(x[learn], y[learn], rows["share"].to_numpy(float)[learn])
         own = np.flatnonzero(rows["fold"].to_numpy() == fold)
         p = np.full(len(own), constant) if w is None else probability(w, x[own])
         out = [(int(rows["row"].iat[i]), float(v), None) for i, v in zip(own, p)]
@@ -209,11 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, terms: int = TERMS, sam
     number = {w: i for i, w in enumerate(words)}
     # the bounded sample: hashes are uniform, so a bound on them is a share of the rows
     last = f"y{k - 1}"
-    keep = F.lit(False)
+    # each row weighs what its class has in the corpus, so probabilities are those of the corpus
+    keep, share = F.lit(False), F.lit(1.0)
     for value, n in rows.groupBy(last).count().collect():  # two classes and null
         bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // n)
-        keep = keep | (F.col(last).eqNullSafe(F.lit(value)) & (F.col("h") <= F.lit(bound)))
-    chosen = rows.filter(keep)
+        own = F.col(last).eqNullSafe(F.lit(value))
+        keep = keep | (own & (F.col("h") <= F.lit(bound)))
+        share = F.when(own, max(1.0, n / sample)).otherwise(share)
+    chosen = rows.filter(keep).select("*", share.alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, terms: int = TERMS, sam
                                    pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["h", *batch.schema.names[2:], "at", "style"])
 
     ys = "".join(f", y{i} double" for i in range(k))
-    table = chosen.mapInArrow(run, f"h long{ys}, at array<int>, style array<double>")
+    table = chosen.mapInArrow(run, f"h long{ys}, share double, at array<int>, style array<double>")
     place = F.row_number().over(Window.orderBy("h", *[f"y{i}" for i in range(k)]))  # over the bounded sample
     table = materialize(table.withColumn("row", place).withColumn("fold", F.pmod(F.col("row"), F.lit(folds))), "toxicity-sample")
     weights: list = []
