@@ -16,7 +16,7 @@ from claimlens.functions.text import WHITESPACE_CLASS
 # a word character being a letter, a number or '_' (what Python's `\w` matches;
 # combining marks are not word characters, so Bengali words split at vowel signs).
 WORD_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# The reference's mark-aware alternative is not its default; offered as an option.
+# An option of this library: combining marks kept inside words.
 WORD_TOKEN_PATTERN_MARKS = r"[\p{L}\p{M}\p{N}_]{2,}"
 
 

@@ -70,8 +70,11 @@ def coefficient_table(spark, w: np.ndarray, vocab: DataFrame) -> DataFrame:
 def predict(weights: DataFrame, rows: DataFrame, coef: DataFrame, intercept: float,
             spec: L.LinearSpec, id_col: str = "row_id") -> DataFrame:
     """rows + (margin, prob, prediction).  ``prob`` is NULL for the SVM.
-    The coefficient table is vocabulary-sized and broadcast."""
-    dot = weights.join(F.broadcast(coef.select("idx", "coef")), "idx") \
+    The coefficient table is vocabulary-sized; it is broadcast only when its rows fit the limit."""
+    small = coef.select("idx", "coef")
+    if small.count() * 32 <= TF.BROADCAST_LIMIT_BYTES:
+        small = F.broadcast(small)
+    dot = weights.join(small, "idx") \
         .groupBy(id_col).agg(F.sum(F.col("weight") * F.col("coef")).alias("_dot"))
     m = rows.join(dot, id_col, "left").withColumn(
         "margin", F.coalesce("_dot", F.lit(0.0)) + F.lit(float(intercept))).drop("_dot")

@@ -9,8 +9,9 @@ Partitioning plan (one shuffle of the texts, one of the term statistics):
   3. document frequency is a ``groupBy(term)`` with map-side partial
      aggregation (frequent terms are combined before the shuffle);
   4. the vocabulary holds at most ``max_features`` rows, so it is broadcast
-     behind a measured size check, keeping (2)'s partitioning for
-  5. the per-row L2 norm, a window over ``row_id`` with no exchange.
+     behind a measured size check;
+  5. the term table of (2) is written once, so the per-row L2 norm, a window
+     over ``row_id``, exchanges compact (row, term, weight) rows, never texts.
 """
 
 from __future__ import annotations
@@ -103,12 +104,24 @@ def fit_vocabulary(tf: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
     """
     v = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")) \
         .filter(F.col("df") >= cfg.min_df)
-    if cfg.max_features is not None:
-        v = top_k_by_count(v, cfg.max_features)
+    idf = idf_col(F.lit(float(n_docs)), F.col("df")).alias("idf")
+    if cfg.max_features is None:
+        return alphabetical(v).select("term", "idx", "df", "ctf", idf)
     # at most max_features rows: ranking them in one window is bounded work
-    w = Window.orderBy("term")
-    return v.select("term", (F.row_number().over(w) - 1).cast("long").alias("idx"), "df", "ctf",
-                    idf_col(F.lit(float(n_docs)), F.col("df")).alias("idf"))
+    place = F.row_number().over(Window.orderBy("term"))
+    return top_k_by_count(v, cfg.max_features).select("term", (place - 1).cast("long").alias("idx"), "df", "ctf", idf)
+
+
+def alphabetical(df: DataFrame, key: str = "term") -> DataFrame:
+    """Adds ``idx``, the row's place by ``key`` (unique), for tables of any size: places inside
+    range partitions plus the rows of the partitions before."""
+    held = materialize(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranked-terms")
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))   # one row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    off = sizes.select(F.col("_part").alias("_o_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return held.join(F.broadcast(off), F.col("_part") == F.col("_o_part")) \
+        .withColumn("idx", (F.col("_off") + place - 1).cast("long")).drop("_part", "_o_part", "_off")
 
 
 def vocabulary_join(tf: DataFrame, vocab: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

@@ -39,3 +39,15 @@ def test_tfidf_formulas(spark):
     assert got[(1, "aa")] == pytest.approx(raw["aa"] / nrm)
     assert got[(4, "aa")] == pytest.approx(1.0)          # unseen 'zz' dropped, row renormalised
     assert not any(k[0] == 3 for k in got)                # empty row has no entries
+
+
+def test_unbounded_vocabulary_and_ties(spark):
+    from claimlens.operators import tfidf as TF
+    rows = [(i, f"t{j:03d}", 1 + (j % 3 == 0)) for j in range(200) for i in range(2)]
+    tf = spark.createDataFrame(rows, "row_id long, term string, tf long")
+    v = TF.fit_vocabulary(tf, 2, TF.TfidfConfig("word", (1, 1), None)).orderBy("idx").collect()
+    assert [(r["idx"], r["term"]) for r in v] == [(j, f"t{j:03d}") for j in range(200)]
+    # 67 terms have count 4; 33 of the 133 with count 2 follow, by term
+    top = {r["term"] for r in TF.fit_vocabulary(tf, 2, TF.TfidfConfig("word", (1, 1), 100)).collect()}
+    order = sorted(range(200), key=lambda j: (-(j % 3 == 0), j))[:100]
+    assert top == {f"t{j:03d}" for j in order}
