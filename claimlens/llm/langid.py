@@ -9,8 +9,8 @@ centroid than ``slack`` allows, measured against the farthest training text, is
 rejected.
 
 Document frequencies, class sizes and rejection distances come from all training
-texts; k-means alone fits on a bounded sample, ``sample`` texts a language, chosen by a
-hash of their ids.  Centroids are languages x centroids x dimensions numbers (64 KB a
+texts; k-means alone fits on a bounded sample, about ``sample`` texts a language: those
+whose hash lies below sample / texts of the hash's range.  Centroids are languages x centroids x dimensions numbers (64 KB a
 language); ``MAX_LANGUAGES`` bounds what is broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
@@ -144,15 +144,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack
     idf = np.log((1 + n) / (1 + df)) + 1
     if not n:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, 0.0)
-    h = F.xxhash64("doc_id", "lang")
-    ranked = train.select("lang", h.alias("h")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    limits = ranked.filter(F.col("place") <= sample).groupBy("lang").agg(F.max("h").alias("top")).collect()
-    if len(limits) > MAX_LANGUAGES:
-        raise ValueError(f"{len(limits)} languages; at most {MAX_LANGUAGES} are supported")
-    # hashes repeat only with ids; the rank keeps the bound where they do
-    top = F.create_map(*[x for r in limits for x in (F.lit(r["lang"]), F.lit(r["top"]))])
-    chosen = train.withColumn("h", h).filter(F.col("h") <= F.try_element_at(top, F.col("lang")))
-    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= sample)
+    sizes = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # hashes are uniform, so a bound on them is a share of a language's rows
+    bounds = F.create_map(*[x for lang, rows in sizes for x in (
+        F.lit(lang), F.lit(-(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // rows)))])
+    h = F.xxhash64("doc_id", "text")
+    chosen = train.withColumn("h", h).filter(F.col("h") <= F.try_element_at(bounds, F.col("lang")))
     rows = chosen.select("lang", "h", "text").groupBy("lang").applyInPandas(_fit_language(idf, centroids), "lang string, centroid array<float>") \
         .collect()
     rows.sort(key=lambda r: r["lang"])
