@@ -42,14 +42,14 @@ BLOCK_QUERIES = 4096
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): the rows that take part, v as array<float>."""
-    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
+    """(vec_id, v): the rows that take part, v as array<double>."""
+    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     good = v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()
                     & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
                     & F.exists("v", lambda x: x != 0))
     size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).select("n")
     # -0.0 and 0.0 are one value, as they are in inner products
-    return good.filter(F.size("v") == size.scalar()).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float"))).distinct()
+    return good.filter(F.size("v") == size.scalar()).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).distinct()
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
@@ -139,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     n, n_queries = entries.count(), faces.count()
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()[0]
+    longest = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     # pivots: a bounded sample, the same however the rows lie
     sample = [r["v"] for r in entries.orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()]
     p = np.array(sample, dtype=np.float64) / longest

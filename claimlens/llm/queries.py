@@ -55,7 +55,8 @@ def op4_ann(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     """Toxicity of every document by a classifier chain fitted on the labelled ones."""
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.predict(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    found = toxicity.predict(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "toxic", "p_toxic", "p_low_quality")
 
 
 @register("op6_warc", Q.OP6)
