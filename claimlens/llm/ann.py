@@ -83,11 +83,13 @@ class InvertedFiles:
         A pivot in both orders costs the difference of its ranks, one in a single order what
         it is short of last; shared pivots lower the sum of both by 2 (prefix - larger rank).
         """
-        total = np.full(self.n, self.prefix * (self.prefix + 1), dtype=np.int32)
-        for r, p in enumerate(perm.tolist()):
-            a, b = self.ends[p], self.ends[p + 1]
-            total[self.vector[a:b]] -= 2 * (self.prefix - np.maximum(self.rank[a:b], r).astype(np.int32))
-        return total
+        first, last = self.ends[perm], self.ends[perm + 1]
+        lists = list(zip(first.tolist(), last.tolist()))
+        vector = np.concatenate([self.vector[a:b] for a, b in lists])
+        rank = np.concatenate([self.rank[a:b] for a, b in lists])
+        larger = np.maximum(rank, np.repeat(np.arange(len(perm), dtype=np.int16), last - first))
+        shared = np.bincount(vector, weights=self.prefix - larger, minlength=self.n)
+        return self.prefix * (self.prefix + 1) - 2 * shared
 
 
 FOUND = "q_rep long, score double, vec_id long"
