@@ -13,18 +13,22 @@ def apply_threshold(score: str = "score", t: float = 0.5) -> Column:
     return (F.col(score) > F.lit(float(t))).cast("int")
 
 
-def score_logits(df: DataFrame, logits: str = "logits", digits: int | None = 4) -> DataFrame:
-    """Two-class logits -> prediction name, confidence, P(MANI), P(NO_MANI).
-
-    Numerically stable softmax (subtract the max); argmax ties go to class 0."""
+def softmax2(logits: str = "logits") -> tuple[Column, Column, Column]:
+    """(P(class 0), P(class 1), argmax) of two-class logits: the maximum is subtracted
+    first, and ties go to class 0."""
     l0, l1 = F.col(logits).getItem(0), F.col(logits).getItem(1)
     m = F.greatest(l0, l1)
     e0, e1 = F.exp(l0 - m), F.exp(l1 - m)
-    p0, p1 = e0 / (e0 + e1), e1 / (e0 + e1)
+    return e0 / (e0 + e1), e1 / (e0 + e1), (l1 > l0).cast("int")
+
+
+def score_logits(df: DataFrame, logits: str = "logits", digits: int | None = 4) -> DataFrame:
+    """Two-class logits -> prediction name, confidence, P(MANI), P(NO_MANI)."""
+    p0, p1, best = softmax2(logits)
     rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     return df.select(
         "*",
-        F.when(l1 > l0, F.lit(POSITIVE_STATUS)).otherwise(F.lit(NEGATIVE_STATUS)).alias("prediction"),
+        F.when(best == 1, F.lit(POSITIVE_STATUS)).otherwise(F.lit(NEGATIVE_STATUS)).alias("prediction"),
         rnd(F.greatest(p0, p1)).alias("confidence"),
         rnd(p1).alias("prob_mani"),
         rnd(p0).alias("prob_no_mani"),

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.functions.scoring import apply_threshold
+from claimlens.functions.scoring import apply_threshold, softmax2
 
 # Fixed values of the reference: the 41-point threshold grid is
 # numpy.arange(0.10, 0.91, 0.02) (element 20 is 0.5000000000000001), the
@@ -303,10 +303,7 @@ def evaluate_logits(df: DataFrame, logits: str = "logits", label: str = "label",
     """The fine-tuning metric callback: two-class logits -> argmax prediction
     (ties -> class 0) and softmax P(class 1) -> the A11 metric row.  As in that
     callback, an AUC that cannot be computed (one class) is 0.0, not NULL."""
-    l0, l1 = F.col(logits).getItem(0), F.col(logits).getItem(1)
-    m = F.greatest(l0, l1)
-    p1 = F.exp(l1 - m) / (F.exp(l0 - m) + F.exp(l1 - m))
-    d = df.select(*by, F.col(label).alias("label"), (l1 > l0).cast("int").alias("prediction"),
-                  p1.alias("prob_mani"))
+    _, p1, best = softmax2(logits)
+    d = df.select(*by, F.col(label).alias("label"), best.alias("prediction"), p1.alias("prob_mani"))
     e = evaluate(d, score="prob_mani", by=by)
     return e.withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.0)))

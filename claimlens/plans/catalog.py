@@ -261,6 +261,15 @@ def q_stratified_kfold(spark, sf_dir):
     return X.stratified_kfold(S.claims(spark, sf_dir), k=5, seed=42)
 
 
+@register("selected_fold", Q.with_base(
+    "SELECT row_id, label, fold, CASE WHEN fold = 2 THEN 'test' ELSE 'train' END AS role FROM folds",
+    Q.kfold_cte("folds", "enriched", "(SELECT 42 AS seed)", 5)))
+def q_selected_fold(spark, sf_dir):
+    """Training and test rows of fold 2."""
+    train, test = X.select_fold(X.stratified_kfold(S.claims(spark, sf_dir), k=5, seed=42), 2)
+    return train.withColumn("role", F.lit("train")).union(test.withColumn("role", F.lit("test")))
+
+
 @register("repeated_kfold", Q.with_base(
     "SELECT seed, row_id, label, fold FROM folds",
     Q.kfold_cte("folds", "enriched", SEEDS_SQL, 5)))

@@ -163,3 +163,17 @@ def test_saved_winner_gives_identical_predictions(spark, tmp_path):
     got = {r["row_id"]: r for r in B.score_saved(spark, str(tmp_path / "best"), c.select("row_id", "text_concat")).collect()}
     assert got.keys() == want.keys()
     assert all(got[i]["prediction"] == want[i]["prediction"] and abs(got[i]["margin"] - want[i]["margin"]) < 1e-9 for i in got)
+
+
+def test_calibration_fits_each_fold_once(spark, monkeypatch):
+    from claimlens.plans import robustness as RB
+    runs = []
+    fit_runs = L.fit_runs
+    monkeypatch.setattr(L, "fit_runs", lambda blocks, n, *a, **k: runs.append(n) or fit_runs(blocks, n, *a, **k))
+    c = S.claims(spark, SF_SMALL)
+    tr = c.filter("data_type = 'TRAIN'")
+    oof = RB.oof_probabilities(RB.shared_term_counts(tr), tr.select("row_id", "label"), k=5)
+    test = oof.withColumn("prediction", (F.col("prob") > 0.5).cast("int"))
+    assert RB.calibration_report(oof, test).count() == 1
+    assert runs == [5]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
