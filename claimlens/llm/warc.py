@@ -109,6 +109,24 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _begins(file, left: int) -> bytes:
+    """The first five plain bytes of the deflate body of at most ``left`` bytes at the file's place; fewer if it is none.
+
+    A block's code tables alone can take some hundred bytes before the first plain one.
+    """
+    inflate, out = zlib.decompressobj(-15), b""
+    while len(out) < 5 and left > 0 and not inflate.eof:
+        raw = file.read(min(512, left))
+        if not raw:
+            break
+        left -= len(raw)
+        try:
+            out += inflate.decompress(raw, 5 - len(out))
+        except zlib.error:
+            break
+    return out
+
+
 def _first_member(file, start: int, size: int) -> int:
     """The first record's place at or after ``start``: the magic bytes, then lengths and a record that hold."""
     if start == 0:
@@ -120,15 +138,12 @@ def _first_member(file, start: int, size: int) -> int:
         i = held.find(_MAGIC)
         while i >= 0:
             file.seek(at + i)
-            head = file.read(_HEAD.size + 64)
-            if len(head) > _HEAD.size:
-                magic, _, _, _, extra, name, n, packed, _ = _HEAD.unpack(head[:_HEAD.size])
-                if name == b"sl" and extra == 12 and n == 8 and at + i + packed <= size:
-                    try:
-                        if zlib.decompressobj(-15).decompress(head[_HEAD.size:], 5) == b"WARC/":
-                            return at + i
-                    except zlib.error:
-                        pass
+            head = file.read(_HEAD.size)
+            if len(head) == _HEAD.size:
+                magic, _, _, _, extra, name, n, packed, _ = _HEAD.unpack(head)
+                if name == b"sl" and extra == 12 and n == 8 and at + i + packed <= size \
+                        and _begins(file, packed - _HEAD.size) == b"WARC/":
+                    return at + i
             i = held.find(_MAGIC, i + 1)
         at += len(held) - len(_MAGIC) if len(held) > len(_MAGIC) else len(held)
         if len(held) <= len(_MAGIC):

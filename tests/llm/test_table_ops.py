@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from claimlens.llm import ann, packing, simhash, tokens, toxicity, warc
@@ -259,6 +260,26 @@ def test_warc_ranges_and_pushed_filters(spark, tmp_path, monkeypatch):
     assert len(read) == len(rows)  # one header block a record
 
 
+def test_warc_ranges_find_records_with_long_code_tables(tmp_path):
+    rng = np.random.default_rng(1)
+    letters = list("etaoin shrdlucmfwypvbgkjqxzETAOINSHRDLU.,;:!?0123456789<>/=&#-_'()")
+    wide = []  # body bytes before the first five plain ones come out
+    at = str(tmp_path / "one.warc.gz")
+    with open(at, "wb") as out:
+        for i in range(300):
+            share = rng.dirichlet(np.full(len(letters), 0.3))
+            html = "".join(rng.choice(letters, int(rng.integers(2_000, 60_000)), p=share))
+            packed = warc.member(warc._page_record({"page_id": i, "url": f"http://h/{i}", "html": html, "refers_to": None}, "2020-01-01T00:00:00Z"))
+            wide.append(zlib.decompressobj(-15).decompress(packed[warc._HEAD.size:][:64], 5) != b"WARC/")
+            out.write(packed)
+    assert sum(wide) > 30
+    for size in (10_007, 100_003):
+        reader = warc._Reader(StructType().add("page_id", "long"), {"path": at, "rangebytes": str(size)})
+        parts = reader.partitions()
+        assert len(parts) > 20
+        assert [i for p in parts for b in reader.read(p) for i in b.column(0).to_pylist()] == list(range(300))
+
+
 def test_warc_edge_cases(spark, tmp_path):
     none = pages_of(spark, [])
     assert warc.archive_digest(none).count() == 0
