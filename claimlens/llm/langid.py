@@ -4,12 +4,14 @@ A text becomes a vector of hashed byte n-grams (one to three bytes of its
 lower-cased letters, words set apart by a blank): logarithmic counts weighted
 by inverse document frequency, of length one.  Every language has several
 centroids, found by spherical k-means; the language of the centroid with the
-largest cosine is predicted, and the cosine is the score.  A text farther from every
-centroid than ``slack`` allows, measured against the farthest training text, is
-rejected.
-
-Document frequencies, class sizes and rejection distances come from all training
-texts; k-means alone fits on a bounded sample, about ``sample`` texts a language: those
+largest cosine is predicted, and the cosine is the score.  A text is rejected if its
+cosine lies below ``slack`` times a low quantile (``QUANTILE``) of the cosines that the
+training texts of the predicted language have with their own centroids.  A quantile
+does not fall as rows are added, as a minimum does, and at least one text of each
+language lies below it, so one odd labelled text loosens nothing.
+
+Document frequencies, class sizes and rejection quantiles (read from histograms of
+``BINS`` bins a language, summed over the tasks) come from all training texts; k-means alone fits on a bounded sample, about ``sample`` texts a language: those
 whose hash lies below sample / texts of the hash's range.  Centroids are languages x centroids x dimensions numbers (64 KB a
 language); ``MAX_LANGUAGES`` bounds what is broadcast.
 
@@ -22,6 +24,7 @@ rows; columns beside the named ones are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +39,10 @@ CENTROIDS = 4
 SAMPLE = 2000
 ROUNDS = 10
 SLACK = 0.5
+#: Share of a language's training texts that may lie below what ``slack`` is taken of.
+QUANTILE = 0.01
+#: Cosines between 0 and 1 are counted in so many bins.
+BINS = 256
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 
@@ -133,7 +140,12 @@ class Model:
     langs: list[str]         # of each centroid
     centroids: np.ndarray    # centroids x DIMENSIONS
     idf: np.ndarray
-    least: float             # a smaller cosine is rejected
+    bounds: np.ndarray       # of each centroid: a smaller cosine is rejected
+
+    @property
+    def least(self) -> float:
+        """The smallest cosine that some language accepts."""
+        return float(self.bounds.min()) if len(self.bounds) else 0.0
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
@@ -143,7 +155,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack
     n, df = document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not n:
-        return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, 0.0)
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
     sizes = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -155,9 +167,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack
     rows = chosen.select("lang", "h", "text").groupBy("lang").applyInPandas(_fit_language(idf, centroids), "lang string, centroid array<float>") \
         .collect()
     rows.sort(key=lambda r: r["lang"])
-    model = Model([r["lang"] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float32), idf, 0.0)
-    farthest = train.select("lang", "text").mapInArrow(_least_cosine(model), "cosine double").agg(F.min("cosine")).first()[0]
-    model.least = slack * (farthest or 0.0)
+    model = Model([r["lang"] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float32), idf, np.zeros(len(rows)))
+    low = low_cosines(train, model)
+    model.bounds = np.array([slack * low.get(lang, 0.0) for lang in model.langs])
     return model
 
 
@@ -166,20 +178,37 @@ def _cosines(model: Model, text: str) -> np.ndarray:
     return model.centroids[:, at] @ vector(at, n, model.idf)
 
 
-def _least_cosine(model: Model):
+def _histograms(model: Model):
     own = {lang: [i for i, x in enumerate(model.langs) if x == lang] for lang in set(model.langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = None
+        n = {lang: np.zeros(BINS, dtype=np.int64) for lang in own}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                c = float(_cosines(model, text.as_py())[own[lang]].max())
-                least = c if least is None else min(least, c)
-        yield pa.record_batch([pa.array([least], pa.float64())], names=["cosine"])
+                if lang in own:
+                    c = float(_cosines(model, text.as_py())[own[lang]].max())
+                    n[lang][min(BINS - 1, max(0, int(c * BINS)))] += 1
+        met = [(lang, int(b), int(counted[b])) for lang, counted in n.items() for b in np.flatnonzero(counted)]
+        yield pa.record_batch([pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.int32()),
+                               pa.array([m[2] for m in met], pa.int64())], names=["lang", "bin", "n"])
 
     return run
 
 
+def low_cosines(train: DataFrame, model: Model, quantile: float = QUANTILE) -> dict[str, float]:
+    """By language, the cosine (the lower edge of its bin) that the share ``quantile`` of all its texts lie below, and one at least."""
+    rows = train.select("lang", "text").mapInArrow(_histograms(model), "lang string, bin int, n long") \
+        .groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # at most languages x BINS
+    found: dict[str, np.ndarray] = {}
+    for r in rows:
+        found.setdefault(r["lang"], np.zeros(BINS, dtype=np.int64))[r["bin"]] = r["n"]
+    out = {}
+    for lang, n in found.items():
+        below = min(int(n.sum()) - 1, max(1, math.ceil(quantile * int(n.sum()))))
+        out[lang] = int(np.searchsorted(np.cumsum(n), below, side="right")) / BINS
+    return out
+
+
 # ---------------------------------------------------------------- prediction
 
 def predict_text(model: Model, text: str | None, letter) -> tuple[str, float, bool]:
@@ -188,7 +217,7 @@ def predict_text(model: Model, text: str | None, letter) -> tuple[str, float, bo
         return UNDETERMINED, 0.0, True
     c = _cosines(model, text)
     i = int(np.argmax(c))
-    return model.langs[i], float(min(1.0, max(0.0, c[i]))), bool(c[i] < model.least)
+    return model.langs[i], float(min(1.0, max(0.0, c[i]))), bool(c[i] < model.bounds[i])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,28 @@ def test_fit_sample_bounds_the_fit(spark):
     model = langid.fit(docs, sample=5, centroids=3)
     assert len(model.langs) == 3 and model.least > 0
     assert SF_SMALL
+
+
+ENGLISH = "the of and to in is that it was for on are with they this have from one had word but not what all were when your can said there"
+GERMAN = "der die das und ist nicht sie mit auf für den von werden haben eine auch nach bei noch über wie nur oder aber vor zur bis mehr durch"
+UNLEARNED = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan " * 3,
+             "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 3,
+             "Tüm insanlar hür, haysiyet ve haklar bakımından eşit doğarlar " * 3, "Всеки човек има право на живот и свобода " * 3]
+JUNK = ["q", "xq" * 40, "{ x[i] = zz(j, k); } // jjj", "ξψω ξψω"]
+
+
+def learned_and_not(spark, n, junk):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice((ENGLISH if i % 2 else GERMAN).split(), int(rng.integers(10, 60)))), "en" if i % 2 else "de") for i in range(n)]
+    rows += [(10_000 + i, t, "en" if i % 2 else "de") for i, t in enumerate(junk)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("n, junk", [(60, []), (60, JUNK[:2]), (2000, JUNK)])
+def test_odd_labelled_texts_do_not_loosen_rejection(spark, n, junk):
+    docs = learned_and_not(spark, n, junk)
+    model = langid.fit(docs)
+    other = spark.createDataFrame([(i, t) for i, t in enumerate(UNLEARNED)], "doc_id long, text string")
+    assert all(r["rejected"] for r in langid.predict(other, model).collect())
+    got = langid.predict(docs.filter("doc_id < 10000"), model).collect()
+    assert not any(r["rejected"] for r in got) and all(r["lang_pred"] == r["lang"] for r in got)
