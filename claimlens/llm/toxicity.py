@@ -8,8 +8,13 @@ so later models meet them as uncertain as they are on new text.
 Features: whether the text holds each of the words, and of the word beginnings
 (``STEM`` letters, for inflected and compound words), that go with a category
 beyond chance (chi-squared over all labelled texts, above what the best of as many
-unrelated words would reach; at most ``TERMS``), and measures of style that do not
-grow with the text.  Models are logistic regressions.
+unrelated words would reach) and by an effect that does not grow with the rows (the
+confidence bound of the log-odds, nearer to 0, at least ``EFFECT`` from it); all such
+words, however many; measures of style that do not grow with the text; and, for each
+category, the largest and the smallest such bound of the words that the text holds.
+Those bounds come from all labelled texts, so a word too rare for the bounded sample
+counts as much as the sample shows for words of its strength.  Models are logistic
+regressions over sparse rows.
 
 Term statistics cover all labelled documents.  The models fit on a bounded
 sample of labelled rows, about ``SAMPLE`` of each class of the last category: those whose
@@ -29,6 +34,7 @@ rows; columns beside the named ones are ignored.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections.abc import Iterator
@@ -44,7 +50,12 @@ from claimlens.session import materialize
 
 #: (category, expression over the columns of labels), in the order of the chain.
 CHAIN = [("low_quality", "1 - quality"), ("toxic", "toxic")]
-TERMS = 1000
+#: A word whose log-odds may be nearer to 0 than this is no feature.
+EFFECT = 0.25
+#: What a term's own weight costs, in rows; the strongest terms' bounds cost little.
+OWN = 0.1
+#: Standard errors from the log-odds to its bound.
+ERRORS = 2.0
 SAMPLE = 4000
 FOLDS = 5
 THRESHOLD = 0.5
@@ -55,7 +66,6 @@ STEM = 4
 #: Most label rows that are broadcast (some 50 MB).
 BROADCAST_LABELS = 1_000_000
 WORDS = r"[\p{L}\p{N}]+"
-STYLE = 6
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -70,12 +80,14 @@ def style(text: str, words: list[str]) -> list[float]:
     return [upper / n, digit / n, sign / n, len(set(words)) / w, sum(len(x) < 3 for x in words) / w, sum(len(x) > 14 for x in words) / w]
 
 
-def features(text: str, terms: dict[str, int]) -> tuple[list[int], list[float]]:
-    """Numbers of the terms that the whole text holds, and its style."""
+def features(text: str, terms: dict[str, int], bounds: np.ndarray) -> tuple[list[int], list[float]]:
+    """Numbers of the terms that the whole text holds; its style and its strongest terms by ``bounds`` (terms x categories)."""
     words = _WORD.findall(text.lower())
     met = set(words)
     met |= {w[:STEM] + "-" for w in met if len(w) > STEM}
-    return sorted({terms[w] for w in terms.keys() & met}), style(text, words)
+    at = sorted(terms[w] for w in met if w in terms)
+    held = bounds[at]
+    return at, [*style(text, words), *held.max(axis=0, initial=0.0).tolist(), *held.min(axis=0, initial=0.0).tolist()]
 
 
 # ---------------------------------------------------------------- learning
@@ -92,8 +104,9 @@ def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("h"), "text", *[f"y{i}" for i in range(len(chain))])
 
 
-def choose_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[str]:
-    """The words that tell most about some category, over all labelled documents."""
+def choose_terms(rows: DataFrame, categories: int) -> tuple[list[str], np.ndarray]:
+    """All words that tell something about a category, over all labelled documents, and the bounds
+    of their log-odds (words x categories; 0 where a word tells nothing)."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))
     stems = F.array_distinct(F.transform(F.filter(found, lambda w: F.length(w) > STEM),
                                          lambda w: F.concat(F.substring(w, 1, STEM), F.lit("-"))))
@@ -104,31 +117,71 @@ def choose_terms(rows: DataFrame, categories: int, terms: int = TERMS) -> list[s
                      *[F.count(f"y{i}").alias(f"n{i}") for i in range(categories)]).first()
     kept = materialize(sums.filter(F.col("n") >= LEAST_DOCUMENTS), "toxicity-terms")
     chance = 2 * math.log(max(2, kept.count())) + 4
-    chosen: set[str] = set()
+    bounds = []
     for i in range(categories):
         p, n = total[f"p{i}"] or 0.0, total[f"n{i}"] or 0
         if not 0 < p < n:
+            bounds.append(F.lit(0.0))
             continue
         a, m = F.col(f"p{i}"), F.col(f"n{i}")
         expected = m * F.lit(p / n)
         chi = (a - expected) * (a - expected) / (expected * F.lit(1 - p / n) + F.lit(1e-9))
-        chosen |= {r["word"] for r in kept.select("word", chi.alias("c")).filter(F.col("c") > chance).orderBy(F.desc("c"), "word").limit(terms).collect()}
-    return sorted(chosen)
+        cells = [a + 0.5, m - a + 0.5, F.lit(p + 0.5) - a, F.lit(n - p + 0.5) - (m - a)]
+        odds = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
+        least = F.abs(odds) - ERRORS * F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))
+        bounds.append(F.when((chi > chance) & (least >= EFFECT), F.signum(odds) * least).otherwise(0.0))
+    told = kept.select("word", F.array(*bounds).alias("bounds")).filter(F.exists("bounds", lambda b: b != 0)).collect()
+    told.sort(key=lambda r: r["word"])
+    return [r["word"] for r in told], np.array([r["bounds"] for r in told]).reshape(len(told), categories)
+
+
+class _Rows:
+    """Rows of a matrix: ones at the places ``at``, then the columns of ``rest``."""
+
+    def __init__(self, at: list, n_terms: int, rest: np.ndarray):
+        self.sizes = np.array([len(a) for a in at], dtype=np.int64)
+        self.cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in at]) if len(at) else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(len(at)), self.sizes)
+        self.n_terms, self.rest = n_terms, rest
+
+    def __len__(self) -> int:
+        return len(self.rest)
+
+    def __getitem__(self, keep: np.ndarray) -> _Rows:
+        ends = np.cumsum(self.sizes)
+        return _Rows([self.cols[ends[i] - self.sizes[i]:ends[i]] for i in np.arange(len(self))[keep]], self.n_terms, self.rest[keep])
+
+    def beside(self, column: np.ndarray) -> _Rows:
+        """The same rows with a column more."""
+        out = copy.copy(self)
+        out.rest = np.column_stack([self.rest, column])
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.cols], minlength=len(self)) + self.rest @ w[self.n_terms:]
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """The columns' sums, each row times its ``v``."""
+        return np.concatenate([np.bincount(self.cols, v[self.row], minlength=self.n_terms), self.rest.T @ v])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, sw: np.ndarray, penalty: float = 0.01, rounds: int = 100) -> np.ndarray:
-    """Weights (last: intercept) of a logistic regression over rows of weight ``sw``, by L-BFGS."""
-    z = np.column_stack([x, np.ones(len(x))])
+def logistic(x: _Rows, y: np.ndarray, sw: np.ndarray, penalty: float = 0.01, own: float = OWN, rounds: int = 100) -> np.ndarray:
+    """Weights (last: intercept) of a logistic regression over rows of weight ``sw``, by L-BFGS.
+
+    A term's own weight costs ``own`` average rows, as there may be more terms than rows.
+    """
+    z = x.beside(np.ones(len(x)))
     sign = np.where(y > 0.5, 1.0, -1.0)
-    ridge = np.full(z.shape[1], penalty)
+    ridge = np.full(z.n_terms + z.rest.shape[1], penalty)
+    ridge[:z.n_terms] = own * sw.mean()
     ridge[-1] = 0.0
 
     def loss(w):
-        m = sign * (z @ w)
+        m = sign * z.times(w)
         value = (sw * np.logaddexp(0, -m)).sum() + 0.5 * (ridge * w * w).sum()
-        return value, z.T @ (-sw * sign / (1 + np.exp(np.minimum(m, 500)))) + ridge * w
+        return value, z.sums(-sw * sign / (1 + np.exp(np.minimum(m, 500)))) + ridge * w
 
-    w = np.zeros(z.shape[1])
+    w = np.zeros(len(ridge))
     f, g = loss(w)
     past: list = []
     for _ in range(rounds):
@@ -156,15 +209,16 @@ def logistic(x: np.ndarray, y: np.ndarray, sw: np.ndarray, penalty: float = 0.01
     return w
 
 
-def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))
+def probability(w: np.ndarray, x: _Rows) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -500, 500)))
 
 
 @dataclass
 class Model:
     categories: list[str]
     terms: list[str]
-    weights: list  # of each category, over terms, style and earlier probabilities
+    bounds: np.ndarray  # of the terms' log-odds, terms x categories
+    weights: list  # of each category, over terms, style, strongest terms and earlier probabilities
 
     def scores(self, at: list[int], rest: list[float]) -> list[float]:
         n, out = len(self.terms), []
@@ -177,20 +231,12 @@ class Model:
         return out
 
 
-def _dense(rows: pd.DataFrame, n_terms: int) -> np.ndarray:
-    x = np.zeros((len(rows), n_terms + STYLE))
-    for i, (at, rest) in enumerate(zip(rows["at"], rows["style"])):
-        x[i, np.asarray(at, dtype=int)] = 1
-        x[i, n_terms:] = rest
-    return x
-
-
 def _fit_fold(category: int, n_terms: int):
     """A fold's model leaves the fold out and judges it; fold -1's learns from all rows and is the one kept."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fold = int(rows["run"].iat[0])
         rows = rows.sort_values("h", kind="stable").reset_index(drop=True)
-        x = np.column_stack([_dense(rows, n_terms), *(rows[f"o{j}"].to_numpy(float) for j in range(category))])
+        x = _Rows(list(rows["at"]), n_terms, np.column_stack([np.stack(list(rows["style"])), *(rows[f"o{j}"].to_numpy(float) for j in range(category))]))
         y = rows[f"y{category}"].to_numpy(float)
         learn = (rows["fold"].to_numpy() != fold) & ~np.isnan(y)
         one_class = learn.sum() == 0 or y[learn].min() == y[learn].max()
@@ -206,10 +252,10 @@ def _fit_fold(category: int, n_terms: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, terms: int = TERMS, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
     k = len(chain)
     rows = labelled(docs, labels, chain)
-    words = choose_terms(rows, k, terms)
+    words, bounds = choose_terms(rows, k)
     number = {w: i for i, w in enumerate(words)}
     # the bounded sample: hashes are uniform, so a bound on them is a share of the rows
     last = f"y{k - 1}"
@@ -224,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, terms: int = TERMS, sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(t.as_py(), number) for t in batch.column(1)]
+            got = [features(t.as_py(), number, bounds) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array([g[0] for g in got], pa.list_(pa.int32())),
                                    pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["h", *batch.schema.names[2:], "at", "style"])
 
@@ -241,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, terms: int = TERMS, sam
         if c + 1 < k:
             table = materialize(table.join(fitted.select(F.col("row").alias("f_row"), F.col("p").alias(f"o{c}")),
                                            F.col("row") == F.col("f_row")).drop("f_row"), "toxicity-sample")
-    return Model([c for c, _ in chain], words, weights)
+    return Model([c for c, _ in chain], words, bounds, weights)
 
 
 # ---------------------------------------------------------------- prediction
@@ -251,7 +297,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(model.terms)}
         for batch in batches:
-            got = [model.scores(*features(t.as_py() or "", number)) for t in batch.column(1)]
+            got = [model.scores(*features(t.as_py() or "", number, model.bounds)) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), *[pa.array([g[i] for g in got], pa.float64()) for i in range(len(model.categories))]],
                                   names=["doc_id", *[f"p_{c}" for c in model.categories]])
 

@@ -197,6 +197,29 @@ def test_toxicity_flags_toxic_documents_and_leaves_clean_ones(spark):
     assert all(0 <= r["p_toxic"] <= 1 and 0 <= r["p_low_quality"] <= 1 for r in got.values())
 
 
+def test_toxicity_keeps_rare_insults_beside_many_telling_words(spark):
+    """1,200 ordinary words score a higher chi-squared than each rare insult, and the sample holds few of those."""
+    rng = np.random.default_rng(5)
+    mild = np.array(["m%04d" % i for i in range(1200)])
+    common, rare = ["slur", "vile", "filth"], ["insult%s" % c for c in "abcdefghij"]
+    rare = [w[-1] * 3 + w for w in rare]
+    docs, labels = [], []
+    for i in range(4000):
+        toxic, quiet = i % 4 == 0, i % 8 == 0
+        words = list(mild[rng.random(len(mild)) < (0.34 if toxic and not quiet else 0.07)])
+        if toxic:
+            words.append(rare[i // 8 % 10] if quiet and i < 2000 else common[i // 4 % 3])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    new = [(10_000 + i, " ".join(mild[rng.random(len(mild)) < 0.07]) + (" " + rare[i // 2 % 10] if i % 2 else "")) for i in range(80)]
+    d = frame(spark, docs)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=100)
+    assert set(rare) <= set(model.terms) and len(model.terms) > 1000
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.predict(frame(spark, new), model).collect()}
+    assert sum(got[i] for i, _ in new if i % 2) >= 36
+    assert sum(got[i] for i, _ in new if i % 2 == 0) <= 4
+
+
 def test_toxicity_edge_cases(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "vile " * 30_000), (None, "vile"), (3, "vile"), (4, "fine")])
     one_class = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, None, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
