@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm import ann, decontam, langid, packing, pii, secrets, simhash, tokens, toxicity, warc
+from claimlens.llm import ann, decontam, fim, langid, lines, packing, pii, secrets, simhash, tokens, toxicity, walsh, warc
 from claimlens.llm import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,21 @@ def op9_token_store(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     """Every document packed into windows of 4,096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@register("op11_centroid_clustering", Q.OP11)
+def op11_centroid_clustering(spark, sf_dir):
+    """40 centroids of the embeddings, searched in Walsh-Hadamard space."""
+    return walsh.digest(*walsh.cluster(walsh.usable(_table(spark, sf_dir, "embeddings"))))
+
+
+@register("op12_quality_rules", Q.OP12)
+def op12_quality_rules(spark, sf_dir):
+    """Base rules and the frequency of lines across the documents of a host."""
+    return lines.digest(lines.quality(_table(spark, sf_dir, "documents")))
+
+
+@register("op13_fill_in_middle", Q.OP13)
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document in fill-in-the-middle form, and its text rebuilt from that."""
+    return fim.digest(fim.transform(_table(spark, sf_dir, "documents")))

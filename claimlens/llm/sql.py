@@ -58,3 +58,61 @@ SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, {_BASE
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (h)"""
+
+
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """k-means by brute force: every distance, round by round."""
+    out = [f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (
+  SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(d * {k} + c) % {k} AS c, min(d * {k} + c) // {k} AS d FROM (
+  SELECT vec_id, v.x AS x, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM v, c{i}) GROUP BY vec_id)""")
+        if i < rounds:
+            out.append(f"""m{i} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM (
+  SELECT c, j, sum(y) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{rounds}.c)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
+
+
+OP11 = _op11()
+
+
+_W = "'[^\\x20\\x09-\\x0D]+'"
+
+OP12 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
+l AS (SELECT doc_id, source, line, len(lw) AS n, array_to_string(lw, ' ') AS norm FROM (
+  SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_W}) AS lw
+  FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(lw) > 0),
+h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+c AS (SELECT l.source, norm FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, docs
+  HAVING count(DISTINCT doc_id) > 6 AND count(DISTINCT doc_id) > 0.001 * docs),
+r AS (SELECT doc_id, count(*) AS n_lines, sum(n) AS n_words FROM l JOIN c ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY doc_id),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, p, list_slice(w, p, p + 7) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
+q AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS x FROM p
+  JOIN (SELECT doc_id, win FROM p GROUP BY doc_id, win HAVING count(*) > 1) USING (doc_id, win)) GROUP BY doc_id),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words,
+  coalesce(r.n_lines, 0)::BIGINT AS n_removed_lines, coalesce(r.n_words, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN u USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 2 * n_removed_words > n_words) AS kept FROM b"""
+
+
+OP13 = """WITH u AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l FROM documents),
+k AS (SELECT *, len(l) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(l) + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (len(l) + 1) AS two,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+       WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+z AS (SELECT *, coalesce(array_to_string(list_slice(l, 1, least(one, two)), ''), '') AS p,
+  coalesce(array_to_string(list_slice(l, least(one, two) + 1, greatest(one, two)), ''), '') AS m,
+  coalesce(array_to_string(list_slice(l, greatest(one, two) + 1, n), ''), '') AS s FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM z"""
