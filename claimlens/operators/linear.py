@@ -6,43 +6,59 @@ Two objectives (labels y in {-1, +1}, balanced sample weights s_i = n / (2 n_c))
 * squared hinge:  0.5 (|w|^2 + b^2) + C sum_i s_i max(0, 1 - y_i (x_i w + b))^2
   (the intercept is an extra feature with value 1, so it is penalised)
 
-Both are minimised with L-BFGS, for any number of runs (folds, seeds) at once,
+Both are minimised by a trust-region Newton method whose linear systems are solved by
+conjugate gradients on Hessian-vector products, for any number of runs (folds, seeds) at once,
 and always in the same distributed way.  The rows are packed once into blocks of
 sparse rows; a run adds its role for every row, an idf vector and a norm for every
-row.  Each step is one Spark job: every task adds up the gradients of all
-unfinished runs over its blocks, sends them as dense pieces of ``PIECE``
-coordinates, and a tree of group sums reduces the pieces.  The driver holds
-runs x vocabulary numbers (``MAX_WEIGHTS`` bounds them), whatever the rows.
+row.
+
+* Start: a bounded random sample of the rows (``SAMPLE`` numbers) goes to one task a run, which solves
+  the run's problem on it.  The sample only chooses the start; a run ends when its
+  gradient over all rows vanishes.
+* Pass: one Spark job over the blocks answers what every unfinished run asks for, a
+  gradient or a Hessian-vector product, by one product of a block with the features x runs
+  matrix and one with its transpose.  A pass's tasks are as many as the entries need, at most the
+  cores; their sums meet piece by piece in a JVM aggregate, so the bytes of a pass depend on cores
+  and weights, not on the input's partitions.
+
+The driver holds ``HELD`` vectors of runs x features numbers (``MAX_WEIGHTS`` bounds them all), whatever the rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most weights (runs x features) that the driver and every task hold.
-MAX_WEIGHTS = 100_000_000
-#: Coordinates in one piece of a gradient.
-PIECE = 16384
-#: Pieces of one coordinate range that one task of the reduction adds up.
-FAN_IN = 64
-#: Entries in one block of rows.
+#: Most numbers that the driver holds for the vectors of all runs (point, gradient and those of the conjugate gradients).
+MAX_WEIGHTS = 500_000_000
+#: Vectors a run holds at once.
+HELD = 10
+#: Numbers in one piece of the sums of a pass.
+PIECE = 65536
+#: Entries in one block of rows, and at least in the blocks that one task of a pass reads.
 BLOCK_ENTRIES = 1_000_000
+#: Entries, and rows x runs, of the sample that chooses the start (expected; 16 MB at most).
+SAMPLE = 2_000_000
+#: Elements of one temporary of a product with several runs.
+CHUNK = 2_000_000
+#: From so many runs on, a block is multiplied with all runs' vectors at once.
+MANY = 4
 
 
 @dataclass(frozen=True)
 class LinearSpec:
     loss: str            # 'logistic' or 'squared_hinge'
     C: float
-    max_iter: int = 1000
+    max_iter: int = 1000     # Newton steps, those of the start included
     gtol: float = 1e-6       # on the objective divided by C x sum of sample weights
 
 
@@ -71,6 +87,16 @@ def loss_terms(loss: str, z: np.ndarray, y: np.ndarray, s: np.ndarray):
     raise ValueError(f"Unknown loss: {loss}")
 
 
+def curvature(loss: str, z: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The second derivative of the weighted losses by the margins z."""
+    if loss == "logistic":
+        p = sigmoid(z)
+        return s * p * (1.0 - p)
+    if loss == "squared_hinge":
+        return 2.0 * s * (y * z < 1.0)
+    raise ValueError(f"Unknown loss: {loss}")
+
+
 def regulariser(loss: str, w: np.ndarray):
     """0.5 |w|^2 (+ b^2 for the squared hinge); w's last entry is b."""
     r = w.copy()
@@ -79,88 +105,98 @@ def regulariser(loss: str, w: np.ndarray):
     return 0.5 * float(r @ r), r
 
 
-def lbfgs(x0: np.ndarray, max_iter: int = 1000, gtol: float = 1e-6, m: int = 10,
-          ftol: float = 1e-13) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple]:
-    """Minimise a smooth convex function: yields points, is sent (f, gradient) of each.
+#: What a run asks of a pass: the objective and gradient at a point, or the Hessian there times a direction.
+Ask = tuple[np.ndarray, "np.ndarray | None"]
 
-    Two-loop recursion; backtracking line search with quadratic
-    interpolation (Armijo).  Returns (x, f, gradient, iterations, converged): it stops at
-    max |grad| <= gtol, at a relative decrease below ftol, at ``max_iter`` or where no
-    step decreases f; the first two count as converged."""
+
+def newton(x0: np.ndarray, max_iter: int = 1000, gtol: float = 1e-6, least_curvature: float = 1.0, forcing: float = 0.1,
+           ftol: float = 1e-13, most_steps: int = 200) -> Generator[Ask, tuple[float, np.ndarray] | np.ndarray, tuple]:
+    """Minimise a smooth convex function: yields (point, None) and is sent (f, gradient), or yields
+    (point, direction) and is sent the Hessian there times the direction.
+
+    Trust-region Newton steps; their systems are solved by conjugate gradients until the residual is
+    ``forcing`` times the gradient, or the region's edge is met.  Returns (x, f, gradient, iterations,
+    converged): it stops at max |grad| <= gtol, where the model expects a relative decrease below ftol, or
+    after ``max_iter`` steps; the first two count as converged."""
     x = x0.astype(float).copy()
-    f, g = yield x
-    S, Y = [], []
+    f, g = yield x, None
+    radius = float(np.linalg.norm(g)) / least_curvature  # no Newton step is longer
     for it in range(max_iter):
         if np.max(np.abs(g)) <= gtol:
             return x, f, g, it, True
-        q = g.copy()
-        al = []
-        for s, y in reversed(list(zip(S, Y))):
-            rho = 1.0 / (y @ s)
-            a = rho * (s @ q)
-            q -= a * y
-            al.append((rho, a))
-        gamma = (S[-1] @ Y[-1]) / (Y[-1] @ Y[-1]) if S else 1.0 / max(1.0, float(np.linalg.norm(g)))
-        r = gamma * q
-        for (s, y), (rho, a) in zip(zip(S, Y), reversed(al)):
-            r += s * (a - rho * (y @ r))
-        d = -r
-        gd = float(g @ d)
-        if gd >= 0:
-            d, gd, S, Y = -g, -float(g @ g), [], []
-        t = 1.0
-        for _ in range(60):
-            xn = x + t * d
-            fn, gn = yield xn
-            if fn <= f + 1e-4 * t * gd:
+        step, r = np.zeros_like(x), -g
+        p, rr = r.copy(), float(r @ r)
+        stop = forcing * math.sqrt(rr)
+        for _ in range(most_steps):
+            hp = yield x, p
+            php = float(p @ hp)
+            if php <= 0.0:
+                break
+            alpha = rr / php
+            longer = step + alpha * p
+            if np.linalg.norm(longer) >= radius:
+                pp, sp, ss = float(p @ p), float(step @ p), float(step @ step)
+                alpha = (-sp + math.sqrt(sp * sp + pp * max(0.0, radius * radius - ss))) / pp
+                step, r = step + alpha * p, r - alpha * hp
                 break
-            # minimiser of the quadratic through f, slope gd and fn, kept in [0.1t, 0.5t]
-            tq = -gd * t * t / (2.0 * (fn - f - gd * t))
-            t = min(max(tq, 0.1 * t), 0.5 * t)
-        else:
-            return x, f, g, it, False
-        s, y = xn - x, gn - g
-        if s @ y > 1e-16:
-            S.append(s)
-            Y.append(y)
-            if len(S) > m:
-                S.pop(0)
-                Y.pop(0)
-        done = (f - fn) <= ftol * max(abs(f), abs(fn), 1.0)
-        x, f, g = xn, fn, gn
-        if done:
-            return x, f, g, it + 1, True
-    return x, f, g, max_iter, bool(np.max(np.abs(g)) <= gtol)
+            step, r = longer, r - alpha * hp
+            new = float(r @ r)
+            if math.sqrt(new) <= stop or np.max(np.abs(r)) <= 0.3 * gtol:
+                break
+            p, rr = r + (new / rr) * p, new
+        expected = -0.5 * float(g @ step - step @ r)
+        if expected <= ftol * max(abs(f), 1.0):
+            return x, f, g, it, True
+        fn, gn = yield x + step, None
+        actual, length = f - fn, float(np.linalg.norm(step))
+        if actual < 0.25 * expected:
+            radius = max(0.25 * min(length, radius), 1e-300)
+        elif actual > 0.75 * expected:
+            radius = max(radius, 2.0 * length)
+        if actual > 1e-4 * expected:
+            x, f, g = x + step, fn, gn
+    return x, f, g, max(0, max_iter), bool(np.max(np.abs(g)) <= gtol)
 
 
 # ---------------------------------------------------------------- packed rows
 
 TRAIN, TEST = 1, 2
-BLOCK = "n int, ptr binary, cols binary, vals binary, norms binary, roles binary, y binary, ids binary"
+#: A block: its rows by row (ptr, cols, vals), and where several runs share it also by column (used, starts, at, by_col).
+BLOCK = ("n int, ptr binary, cols binary, vals binary, norms binary, roles binary, y binary, ids binary, "
+         "used binary, starts binary, at binary, by_col binary")
+NAMES = [x.split()[0] for x in BLOCK.split(", ")]
+
+
+def _by_column(p: np.ndarray, c: np.ndarray, v: np.ndarray, n_runs: int) -> list[np.ndarray]:
+    if n_runs < MANY:
+        return [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)]
+    order = np.argsort(c, kind="stable")
+    used, starts = np.unique(c[order], return_index=True)
+    return [used.astype(np.int32), starts.astype(np.int64), np.repeat(np.arange(len(p) - 1, dtype=np.int32), np.diff(p))[order], v[order]]
+
+
+def _block_row(n: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([n], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays)], names=NAMES)
 
 
 def pack(rows: DataFrame, n_runs: int, idf: np.ndarray | None = None) -> DataFrame:
     """Blocks of sparse rows from (row_id, label, indices, values, roles).
 
-    ``roles`` is an array<struct<run:int, role:int>>; ``run`` numbers the runs from 0, and a run
-    that is absent does not use the row.  With ``idf`` (runs x features) a run's row is
-    values x idf over its own norm; without it rows are taken as they are."""
+    ``roles`` is a string with one digit a run (0: the run does not use the row, ``TRAIN`` or
+    ``TEST``).  With ``idf`` (runs x features) a run's row is values x idf over its own norm;
+    without it rows are taken as they are."""
     held = rows.sparkSession.sparkContext.broadcast(None if idf is None else idf * idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square = held.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             ptr = col["indices"].offsets.to_numpy().astype(np.int64)
             cols = col["indices"].values.to_numpy(zero_copy_only=False).astype(np.int32)
             vals = col["values"].values.to_numpy(zero_copy_only=False).astype(np.float64)
-            at = col["roles"].offsets.to_numpy()
-            pairs = col["roles"].values
-            of = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            roles = np.zeros((batch.num_rows, n_runs), dtype=np.int8)
-            first = at[0]
-            roles[of, pairs.field("run").to_numpy(zero_copy_only=False)[first:at[-1]]] = \
-                pairs.field("role").to_numpy(zero_copy_only=False)[first:at[-1]]
+            roles = (np.frombuffer("".join(col["roles"].to_pylist()).encode(), dtype=np.int8) - ord("0")).reshape(batch.num_rows, n_runs)
             y = np.where(col["label"].to_numpy(zero_copy_only=False) == 1, 1.0, -1.0)
             ids = col["row_id"].to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = [0]
@@ -175,9 +211,7 @@ def pack(rows: DataFrame, n_runs: int, idf: np.ndarray | None = None) -> DataFra
                     for r in range(n_runs):
                         norms[:, r] = np.sqrt(np.bincount(row, weights=v * v * square[r, c], minlength=b - a))
                     norms[norms == 0] = 1.0
-                yield pa.record_batch([pa.array([x], pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(
-                    [b - a, *(z.tobytes() for z in (p, c, v, norms, roles[a:b], y[a:b], ids[a:b]))])],
-                    names=[x.split()[0] for x in BLOCK.split(", ")])
+                yield _block_row(b - a, [p, c, v, norms, roles[a:b], y[a:b], ids[a:b], *_by_column(p, c, v, n_runs)])
 
     return rows.select("row_id", "label", "indices", "values", "roles").mapInArrow(run, BLOCK)
 
@@ -185,40 +219,74 @@ def pack(rows: DataFrame, n_runs: int, idf: np.ndarray | None = None) -> DataFra
 class Block:
     """One packed block, opened without copying."""
 
-    def __init__(self, batch: pa.RecordBatch, row: int, n_runs: int):
-        n, *raw = (batch.column(i)[row] for i in range(8))
-        self.n = n.as_py()
-        ptr, self.cols, self.vals, norms, roles, self.y, self.ids = (
-            np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(raw, ("<i8", "<i4", "<f8", "<f8", "i1", "<f8", "<i8")))
-        self.row = np.repeat(np.arange(self.n), np.diff(ptr))
-        self.norms, self.roles = norms.reshape(self.n, n_runs), roles.reshape(self.n, n_runs)
+    TYPES = ("<i8", "<i4", "<f8", "<f8", "i1", "<f8", "<i8", "<i4", "<i8", "<i4", "<f8")
+
+    def __init__(self, n: int, arrays: list[np.ndarray], n_runs: int):
+        self.n = n
+        self.ptr, self.cols, self.vals, norms, roles, self.y, self.ids, self.used, self.starts, self.at, self.by_col = arrays
+        self.row = np.repeat(np.arange(n), np.diff(self.ptr))
+        self.norms, self.roles = norms.reshape(n, n_runs), roles.reshape(n, n_runs)
 
     def margins(self, run: int, u: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(self.row, weights=self.vals * u[self.cols], minlength=self.n) / self.norms[:, run] + b
+        return self.times(u[None])[:, 0] / self.norms[:, run] + b
+
+    def times(self, u: np.ndarray) -> np.ndarray:
+        """rows x k: the rows' products with the k vectors of ``u`` (k x features)."""
+        if len(u) < MANY:
+            return np.stack([np.bincount(self.row, weights=self.vals * v[self.cols], minlength=self.n) for v in u], axis=1)
+        across = np.ascontiguousarray(u.T)
+        out = np.zeros((self.n, len(u)))
+        some = np.flatnonzero(np.diff(self.ptr))   # sums of empty rows stay 0
+        _segments(self.ptr[some], len(self.cols), CHUNK // len(u), lambda seg, a, b, starts:
+                  out.__setitem__(some[seg], np.add.reduceat(across[self.cols[a:b]] * self.vals[a:b, None], starts, axis=0)))
+        return out
+
+    def transposed(self, t: np.ndarray, out: np.ndarray) -> None:
+        """Adds to ``out`` (k x features) the columns' products with the k columns of ``t`` (rows x k)."""
+        if t.shape[1] < MANY or not len(self.used):
+            for i in range(t.shape[1]):
+                out[i] += np.bincount(self.cols, weights=self.vals * t[self.row, i], minlength=out.shape[1])
+            return
+        _segments(self.starts, len(self.at), CHUNK // t.shape[1], lambda seg, a, b, starts:
+                  out.__setitem__((slice(None), self.used[seg]), out[:, self.used[seg]] + np.add.reduceat(
+                      t[self.at[a:b]] * self.by_col[a:b, None], starts, axis=0).T))
+
+
+def _segments(starts: np.ndarray, n: int, size: int, add) -> None:
+    """Calls ``add`` for runs of whole segments of about ``size`` entries: (segments, first and last entry, starts within)."""
+    ends = np.append(starts[1:], n)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + size, side="right")))
+        add(slice(i, j), int(starts[i]), int(ends[j - 1]), starts[i:j] - starts[i])
+        i = j
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], n_runs: int) -> Iterator[Block]:
     for batch in batches:
         for row in range(batch.num_rows):
-            yield Block(batch, row, n_runs)
+            yield Block(batch.column(0)[row].as_py(), [np.frombuffer(batch.column(i + 1)[row].as_buffer(), dtype=t)
+                                                       for i, t in enumerate(Block.TYPES)], n_runs)
 
 
 # ---------------------------------------------------------------- batched fit
 
-def class_counts(blocks: DataFrame, n_runs: int) -> np.ndarray:
-    """runs x 2: negative and positive training rows."""
+def class_counts(blocks: DataFrame, n_runs: int) -> tuple[np.ndarray, int, int]:
+    """(runs x 2: negative and positive training rows, all rows, all entries)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((n_runs, 2), dtype=np.int64)
+        n, rows, entries = np.zeros((n_runs, 2), dtype=np.int64), 0, 0
         for b in blocks_of(batches, n_runs):
             train = b.roles == TRAIN
             n[:, 1] += train[b.y > 0].sum(axis=0)
             n[:, 0] += train[b.y < 0].sum(axis=0)
-        yield pa.record_batch([pa.array(np.arange(n_runs)), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["run", "neg", "pos"])
+            rows, entries = rows + b.n, entries + len(b.cols)
+        yield pa.record_batch([pa.array(np.arange(-1, n_runs)), pa.array(np.append(rows, n[:, 0])), pa.array(np.append(entries, n[:, 1]))],
+                              names=["run", "neg", "pos"])
 
-    counts = np.zeros((n_runs, 2))
+    counts = np.zeros((n_runs + 1, 2))
     for r in blocks.mapInArrow(run, "run long, neg long, pos long").groupBy("run").agg(F.sum("neg"), F.sum("pos")).collect():
-        counts[r[0]] = r[1], r[2]
-    return counts
+        counts[r[0] + 1] = r[1], r[2]
+    return counts[1:], int(counts[0, 0]), int(counts[0, 1])
 
 
 def class_weights(counts: np.ndarray) -> np.ndarray:
@@ -227,91 +295,190 @@ def class_weights(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, counts.sum(axis=1, keepdims=True) / np.maximum(present * counts, 1), 0.0)
 
 
-GRADIENT = "run int, piece int, g binary"
+@dataclass
+class Problem:
+    """What all tasks know of the runs."""
+    loss: str
+    C: np.ndarray                # of each run
+    scale: np.ndarray            # the objective is divided by C x sum of sample weights
+    per_class: np.ndarray        # runs x 2 sample weights
+    idf: np.ndarray | None       # runs x features
+
+    def shipped(self, asks: dict[int, Ask]) -> tuple:
+        """Runs, points and directions in the features' own space, as a pass needs them."""
+        runs = np.array(sorted(asks))
+        hess = np.array([i for i, r in enumerate(runs) if asks[r][1] is not None], dtype=int)
+
+        def own(vectors, of):
+            x = np.array(vectors)
+            return (x[:, :-1] if self.idf is None else x[:, :-1] * self.idf[of]), x[:, -1]
+        return runs, own([asks[r][0] for r in runs], runs), hess, own([asks[r][1] for r in runs[hess]], runs[hess]) if len(hess) else None
+
+    def add(self, block: Block, shipped: tuple, total: np.ndarray) -> None:
+        """Adds a block's part to ``total``: a row (features, intercept, loss) for every run asked about."""
+        runs, (u, b), hess, direction = shipped
+        train = block.roles[:, runs] == TRAIN
+        if not train.any():
+            return
+        norms = block.norms[:, runs]
+        y = block.y[:, None]
+        s = np.where(train, np.where(y > 0, self.per_class[runs, 1], self.per_class[runs, 0]), 0.0)
+        z = block.times(u) / norms + b
+        grad = np.setdiff1d(np.arange(len(runs)), hess)
+        t = np.zeros_like(z)
+        for i in grad:
+            lost, t[:, i] = loss_terms(self.loss, z[:, i], block.y, s[:, i])
+            total[i, -1] += lost
+        if len(hess):
+            q = block.times(direction[0]) / norms[:, hess] + direction[1]
+            t[:, hess] = curvature(self.loss, z[:, hess], y, s[:, hess]) * q
+        total[:, -2] += t.sum(axis=0)
+        block.transposed(t / norms, total[:, :-2])
+
+    def answers(self, asks: dict[int, Ask], total: np.ndarray) -> dict:
+        """What each run is sent, from the sums over all blocks."""
+        out = {}
+        for sums, r in zip(total, sorted(asks)):
+            g = sums[:-1] if self.idf is None else sums[:-1] * np.append(self.idf[r], 1.0)
+            point, direction = asks[r]
+            if direction is None:
+                reg, rg = regulariser(self.loss, point)
+                out[r] = self.scale[r] * (reg + self.C[r] * sums[-1]), self.scale[r] * (rg + self.C[r] * g)
+            else:
+                out[r] = self.scale[r] * (regulariser(self.loss, direction)[1] + self.C[r] * g)
+        return out
+
+
+def _sampled(share: float, n_runs: int):
+    """Each row of a block with probability ``share``, drawn from the block's own content."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks_of(batches, n_runs):
+            take = np.random.default_rng(zlib.crc32(b.ids.tobytes() + b.vals.tobytes())).random(b.n) < share
+            if take.any():
+                own = take[b.row]
+                p = np.append(0, np.cumsum(np.diff(b.ptr)[take]))
+                empty = _by_column(p, b.cols[:0], b.vals[:0], 0)
+                yield _block_row(int(take.sum()), [p, b.cols[own], b.vals[own], b.norms[take], b.roles[take], b.y[take], b.ids[take], *empty])
+
+    return run
+
+
+def sample_block(blocks: DataFrame, n_runs: int, rows: int, entries: int) -> Block | None:
+    """A random sample of the rows, about ``SAMPLE`` entries and rows x runs, as one block."""
+    share = min(1.0, SAMPLE / max(1, entries, rows * n_runs))
+    found = list(blocks_of(blocks.mapInArrow(_sampled(share, n_runs), BLOCK).toArrow().to_batches(), n_runs))
+    if not found:
+        return None
+    ptr = np.append(0, np.cumsum(np.concatenate([np.diff(b.ptr) for b in found])))
+    parts = [np.concatenate([getattr(b, k) for b in found]) for k in ("cols", "vals", "norms", "roles", "y", "ids")]
+    return Block(sum(b.n for b in found), [ptr, *parts, *_by_column(ptr, parts[0][:0], parts[1][:0], 0)], n_runs)
+
+
+def solve_on(block: Block, problem: Problem, run: int, d: int, spec: LinearSpec) -> tuple[np.ndarray, int]:
+    """(weights, Newton steps) of one run on one block, its rows standing for all."""
+    train = block.roles[:, run] == TRAIN
+    weight = float(np.where(block.y > 0, problem.per_class[run, 1], problem.per_class[run, 0])[train].sum())
+    if not weight:
+        return np.zeros(d + 1), 0
+    C = problem.C.copy()
+    C[run] = 1.0 / (problem.scale[run] * weight)  # the loss counts as it does over all rows
+    own = Problem(problem.loss, C, problem.scale, problem.per_class, problem.idf)
+    steps = newton(np.zeros(d + 1), spec.max_iter, spec.gtol, float(problem.scale[run]))
+    ask = next(steps)
+    while True:
+        total = np.zeros((1, d + 2))
+        own.add(block, own.shipped({run: ask}), total)
+        try:
+            ask = steps.send(own.answers({run: ask}, total)[run])
+        except StopIteration as end:
+            return end.value[0], end.value[3]
+
+
+def starts(blocks: DataFrame, problem: Problem, runs: list[int], n_runs: int, d: int, spec: LinearSpec, rows: int, entries: int) -> dict[int, tuple[np.ndarray, int]]:
+    """A start for each run, its solution on the sample, and the Newton steps to it; one task a run."""
+    block = sample_block(blocks, n_runs, rows, entries)
+    if block is None:
+        return {r: (np.zeros(d + 1), 0) for r in runs}
+    spark = blocks.sparkSession
+    shipped = spark.sparkContext.broadcast((block, problem))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                w, n = solve_on(*shipped.value, r, d, spec)
+                yield pa.record_batch([pa.array([r]), pa.array([w.tobytes()], pa.binary()), pa.array([n])], names=["run", "w", "n"])
+
+    tasks = spark.range(0, max(runs) + 1, 1, max(runs) + 1).filter(F.col("id").isin(runs))
+    out = {r["run"]: (np.frombuffer(r["w"], dtype="<f8"), r["n"]) for r in tasks.mapInArrow(run, "run long, w binary, n long").collect()}
+    shipped.destroy()
+    return out
 
-def _add_pieces(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(g, dtype="<f8") for g in rows["g"]], axis=0)
-    return pd.DataFrame({"run": [int(rows["run"].iat[0])], "piece": [int(rows["piece"].iat[0])], "g": [total.tobytes()]})
 
+def gathered(blocks: DataFrame, entries: int) -> DataFrame:
+    """The blocks in as many partitions as their entries need, at most one a core."""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.coalesce(max(1, min(cores, -(-entries // BLOCK_ENTRIES))))
 
-def _reduced(parts: DataFrame, n_parts: int) -> DataFrame:
-    """One row a (run, piece): sums in a tree whose tasks add up at most ``FAN_IN`` pieces of a range."""
-    while n_parts > FAN_IN:
-        n_parts = math.ceil(n_parts / FAN_IN)
-        parts = parts.groupBy("run", "piece", F.pmod("part", F.lit(n_parts)).alias("part")).applyInPandas(
-            lambda key, rows: _add_pieces(key, rows).assign(part=int(key[2])), GRADIENT + ", part int")
-    return parts.groupBy("run", "piece").applyInPandas(_add_pieces, GRADIENT)
 
+def pass_over(blocks: DataFrame, problem: Problem, asks: dict[int, Ask], n_runs: int, d: int) -> dict:
+    """One job over all blocks: what every run in ``asks`` is sent.
 
-def fit_runs(blocks: DataFrame, n_runs: int, d: int, spec: LinearSpec, idf: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
+    Each task adds up its blocks; the sums of all tasks meet piece by piece."""
+    shipped = blocks.sparkSession.sparkContext.broadcast((problem, problem.shipped(asks)))
+    size = len(asks) * (d + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = shipped.value
+        total = np.zeros((len(asks), d + 2))
+        for b in blocks_of(batches, n_runs):
+            own.add(b, asked, total)
+        flat = total.ravel()
+        for i in range(0, size, PIECE):
+            if flat[i:i + PIECE].any():
+                yield pa.record_batch([pa.array([i // PIECE], pa.int32()), pa.array([flat[i:i + PIECE]], pa.list_(pa.float64()))], names=["piece", "g"])
+
+    summed = blocks.mapInArrow(run, "piece int, g array<double>").groupBy("piece").agg(Summarizer.sum(array_to_vector("g")).alias("g")) \
+        .select("piece", vector_to_array("g").alias("g")).toArrow()
+    total = np.zeros(size)
+    for batch in summed.to_batches():
+        for piece, g in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[piece * PIECE:(piece + 1) * PIECE] = g.values.to_numpy()
+    shipped.destroy()
+    return problem.answers(asks, total.reshape(len(asks), d + 2))
+
+
+def fit_runs(blocks: DataFrame, n_runs: int, d: int, spec: LinearSpec, idf: np.ndarray | None = None,
+             warm: bool = True) -> tuple[np.ndarray, list[dict]]:
     """Fit every run on its training rows -> (runs x (d + 1) weights, intercepts last; info of each run).
 
     The weights are those of the run's own normalised rows.  All runs step together; a
-    finished run takes no further part."""
-    if n_runs * (d + 1) > MAX_WEIGHTS:
+    finished run takes no further part.  ``warm``: start at the sample's solutions, else at zero.  An info has
+    n_train, iterations (Newton steps over all rows), passes (over all rows), grad_max, objective and converged."""
+    if n_runs * (d + 1) * HELD > MAX_WEIGHTS:
         raise ValueError(f"{n_runs} runs x {d} features exceed MAX_WEIGHTS; fit fewer runs at once or bound max_features")
-    spark = blocks.sparkSession
-    counts = class_counts(blocks, n_runs)
+    counts, rows, entries = class_counts(blocks, n_runs)
     per_class = class_weights(counts)
     total_weight = (per_class * counts).sum(axis=1)
-    scale = 1.0 / (spec.C * np.maximum(total_weight, 1e-300))   # objective per unit of sample weight
-    n_parts = blocks.rdd.getNumPartitions()
-    loss, C = spec.loss, spec.C
-    n_pieces = -(-(d + 2) // PIECE)
-
-    def evaluate(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
-        runs = sorted(points)
-        shipped = spark.sparkContext.broadcast(
-            [(r, points[r][:-1] if idf is None else points[r][:-1] * idf[r], float(points[r][-1])) for r in runs])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = {r: np.zeros(n_pieces * PIECE) for r, _, _ in shipped.value}
-            for b in blocks_of(batches, n_runs):
-                for r, u, intercept in shipped.value:
-                    train = b.roles[:, r] == TRAIN
-                    if not train.any():
-                        continue
-                    s = np.where(train, np.where(b.y > 0, per_class[r, 1], per_class[r, 0]), 0.0)
-                    lsum, dz = loss_terms(loss, b.margins(r, u, intercept), b.y, s)
-                    g = total[r]
-                    g[:d] += np.bincount(b.cols, weights=b.vals * (dz / b.norms[:, r])[b.row], minlength=d)
-                    g[d] += dz.sum()
-                    g[d + 1] += lsum
-            part = TaskContext.get().partitionId()
-            for r, g in total.items():
-                has = [i for i in range(n_pieces) if g[i * PIECE:(i + 1) * PIECE].any()]
-                yield pa.record_batch([pa.array([r] * len(has), pa.int32()), pa.array(has, pa.int32()),
-                                       pa.array([g[i * PIECE:(i + 1) * PIECE].tobytes() for i in has], pa.binary()),
-                                       pa.array([part] * len(has), pa.int32())], names=["run", "piece", "g", "part"])
-
-        sums = {r: np.zeros(n_pieces * PIECE) for r in runs}
-        for row in _reduced(blocks.mapInArrow(run, GRADIENT + ", part int"), n_parts).collect():
-            sums[row["run"]][row["piece"] * PIECE:(row["piece"] + 1) * PIECE] = np.frombuffer(row["g"], dtype="<f8")
-        shipped.destroy()
-        out = {}
-        for r in runs:
-            reg, rg = regulariser(loss, points[r])
-            g = sums[r][:d + 1].copy()
-            if idf is not None:
-                g[:d] *= idf[r]
-            out[r] = scale[r] * (reg + C * sums[r][d + 1]), scale[r] * (rg + C * g)
-        return out
-
-    steps = {r: lbfgs(np.zeros(d + 1), spec.max_iter, spec.gtol) for r in range(n_runs) if total_weight[r] > 0}
-    points = {r: next(s) for r, s in steps.items()}
+    problem = Problem(spec.loss, np.full(n_runs, spec.C), 1.0 / (spec.C * np.maximum(total_weight, 1e-300)), per_class, idf)
     weights = np.zeros((n_runs, d + 1))
-    infos = [{"iterations": 0, "grad_max": 0.0, "objective": 0.0, "converged": False} for _ in range(n_runs)]
-    while points:
+    infos = [{"n_train": int(counts[r].sum()), "iterations": 0, "passes": 0, "grad_max": 0.0, "objective": 0.0, "converged": False}
+             for r in range(n_runs)]
+    runs = [r for r in range(n_runs) if total_weight[r] > 0]
+    if not runs:
+        return weights, infos
+    first = starts(blocks, problem, runs, n_runs, d, spec, rows, entries) if warm else {r: (np.zeros(d + 1), 0) for r in runs}
+    steps = {r: newton(first[r][0], spec.max_iter - first[r][1], spec.gtol, float(problem.scale[r])) for r in runs}
+    asks = {r: next(s) for r, s in steps.items()}
+    near = gathered(blocks, entries)
+    while asks:
         following = {}
-        for r, fg in evaluate(points).items():
+        for r, answer in pass_over(near, problem, asks, n_runs, d).items():
+            infos[r]["passes"] += 1
             try:
-                following[r] = steps[r].send(fg)
+                following[r] = steps[r].send(answer)
             except StopIteration as end:
                 x, f, g, it, ok = end.value
                 weights[r] = x
-                infos[r] = {"iterations": it, "grad_max": float(np.max(np.abs(g))), "objective": f, "converged": ok}
-        points = following
+                infos[r].update(iterations=it, grad_max=float(np.max(np.abs(g))), objective=float(f), converged=ok)
+        asks = following
     return weights, infos
-
-

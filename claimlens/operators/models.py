@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,16 +45,16 @@ def _require(infos: Sequence[dict], strict: bool) -> None:
 
 
 def fit(train_vectors: DataFrame, d: int, spec: L.LinearSpec, label: str = "label", strict: bool = True):
-    """-> (weights ndarray of d + 1, info), info with iterations, grad_max and converged.
+    """-> (weights ndarray of d + 1, info), info with iterations, passes, grad_max and converged.
 
     Raises ``NotConverged`` unless ``strict`` is false.  Without training rows the weights are zero."""
-    role = F.array(F.struct(F.lit(0).alias("run"), F.lit(L.TRAIN).alias("role")))
+    role = F.lit(str(L.TRAIN))
     rows = train_vectors.select(F.lit(0).cast("long").alias("row_id"), F.col(label).cast("int").alias("label"),
                                 "indices", "values", role.alias("roles"))
     blocks = L.pack(rows, 1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if blocks.isEmpty():
-            return np.zeros(d + 1), {"iterations": 0, "grad_max": 0.0, "objective": 0.0, "converged": True}
+            return np.zeros(d + 1), {"n_train": 0, "iterations": 0, "passes": 0, "grad_max": 0.0, "objective": 0.0, "converged": True}
         w, infos = L.fit_runs(blocks, 1, d, spec)
     finally:
         blocks.unpersist()
@@ -94,38 +95,70 @@ def top_features(coef: DataFrame, k: int = 20, digits: int = 4) -> DataFrame:
                                F.round("coef", digits).alias("coef")))
 
 
-def run_term_stats(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig, shared_rows: bool) -> DataFrame:
+@dataclass
+class Roles:
+    """What every run does with every row: ``rows`` (row_id, roles) has one digit a run, in the order of
+    ``runs`` (0: not used, 1: train, 2: test).  ``shared``: every run uses every row of one row set."""
+    rows: DataFrame
+    runs: list[int]
+    shared: bool
+
+    def _listed(self, role: int) -> DataFrame:
+        numbers = F.array(*[F.lit(r).cast("long") for r in self.runs])
+        digits = F.transform(F.split("roles", ""), lambda x, i: F.struct(F.get(numbers, i).alias("run"), x.alias("role")))
+        return self.rows.select("row_id", F.explode(F.filter(digits, lambda x: x["role"] == str(role))).alias("x")).select("x.run", "row_id")
+
+    def test(self) -> DataFrame:
+        """(run, row_id) of the test rows; of runs that share their rows only these are ever listed."""
+        return self._listed(L.TEST)
+
+    def train(self) -> DataFrame:
+        """(run, row_id) of the training rows."""
+        return self._listed(L.TRAIN)
+
+    def train_rows(self) -> DataFrame:
+        """(run, n): training rows of each run."""
+        sums = self.rows.agg(*[F.sum((F.substring("roles", i + 1, 1) == str(L.TRAIN)).cast("long")).alias(str(i)) for i in range(len(self.runs))])
+        pairs = F.array(*[F.struct(F.lit(r).cast("long").alias("run"), F.col(str(i)).alias("_n")) for i, r in enumerate(self.runs)])
+        return sums.select(F.explode(pairs).alias("x")).select("x.run", "x._n")
+
+    @staticmethod
+    def of(assign: DataFrame, shared: bool) -> Roles:
+        """From one row a run and row: (run, row_id, role)."""
+        runs = sorted(int(r[0]) for r in assign.select("run").distinct().collect())
+        number = F.create_map(*[x for i, r in enumerate(runs) for x in (F.lit(r).cast("long"), F.lit(i))]) if runs else F.lit(None)
+        used = F.map_from_entries(F.collect_list(F.struct(
+            F.element_at(number, F.col("run").cast("long")).alias("i"),
+            F.when(F.col("role") == "train", str(L.TRAIN)).otherwise(str(L.TEST)).alias("role"))))
+        digits = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(runs) - 1))), lambda i: F.coalesce(F.try_element_at(F.col("used"), i), F.lit("0")))
+        return Roles(assign.groupBy("row_id").agg(used.alias("used")).select("row_id", F.array_join(digits, "").alias("roles")), runs, shared)
+
+
+def run_term_stats(tf: DataFrame, roles: Roles, cfg: TF.TfidfConfig) -> DataFrame:
     """(run, term, df, ctf) over each run's training rows, df >= min_df.
 
-    ``shared_rows``: every run assigns every row of one row set exactly once, as folds and
-    holdouts do (the builder of ``assign`` knows).  Then a run's training counts are the
+    Where the runs share one row set, as folds and holdouts do, a run's training counts are the
     counts over all rows minus those of its held-out rows: only the held-out side (a fifth of
     the rows per run) is joined with the term table, and the all-row counts are aggregated
     once.  Otherwise each run's training rows are joined directly."""
-    if not shared_rows:
-        tr = assign.filter(F.col("role") == "train").select("run", "row_id")
-        return tf.join(tr, "row_id").groupBy("run", "term") \
+    if not roles.shared:
+        return tf.join(roles.train(), "row_id").groupBy("run", "term") \
             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
-    rows = assign.select("row_id").distinct()
     # a run's training df is at most the all-row df: only those terms are candidates
-    glob = tf.join(rows, "row_id", "left_semi").groupBy("term") \
+    glob = tf.join(roles.rows.select("row_id"), "row_id", "left_semi").groupBy("term") \
         .agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_ctf")).filter(F.col("_df") >= cfg.min_df)
-    held = tf.join(assign.filter(F.col("role") != "train").select("run", "row_id"), "row_id") \
-        .groupBy("run", "term").agg(F.count(F.lit(1)).alias("_dfo"), F.sum("tf").alias("_ctfo"))
-    run_type = assign.schema["run"].dataType
-    runs = sorted(r[0] for r in assign.select("run").distinct().collect())   # one row per run
-    cand = glob.select("term", "_df", "_ctf",
-                       F.explode(F.array(*[F.lit(r).cast(run_type) for r in runs])).alias("run"))
+    held = tf.join(roles.test(), "row_id").groupBy("run", "term").agg(F.count(F.lit(1)).alias("_dfo"), F.sum("tf").alias("_ctfo"))
+    cand = glob.select("term", "_df", "_ctf", F.explode(F.array(*[F.lit(r).cast("long") for r in roles.runs])).alias("run"))
     return cand.join(held, ["run", "term"], "left").select(
         "run", "term", (F.col("_df") - F.coalesce("_dfo", F.lit(0))).alias("df"),
         (F.col("_ctf") - F.coalesce("_ctfo", F.lit(0))).alias("ctf")).filter(F.col("df") >= cfg.min_df)
 
 
-def run_vocabularies(tf: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig, shared_rows: bool = False) -> DataFrame:
+def run_vocabularies(tf: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, shared_rows: bool = False) -> DataFrame:
     """(run, term, idx, idf): each run's vocabulary and idf from its training rows."""
-    tr = assign.filter(F.col("role") == "train")
-    ndocs = tr.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
-    st = run_term_stats(tf, assign, cfg, shared_rows)
+    roles = assign if isinstance(assign, Roles) else Roles.of(assign, shared_rows)
+    ndocs = roles.train_rows()
+    st = run_term_stats(tf, roles, cfg)
     if cfg.max_features is not None:
         st = TF.top_k_by_count(st, cfg.max_features, by=("run",))
     alpha = Window.partitionBy("run").orderBy("term")   # at most max_features rows per run
@@ -153,7 +186,7 @@ def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.Tfidf
 
 
 RUN_OUT = "run long, row_id long, label int, margin double, prob double, prediction int"
-RUN_INFO = "run long, n_train long, n_features long, iterations int, grad_max double, converged boolean"
+RUN_INFO = "run long, n_train long, n_features long, iterations int, passes int, grad_max double, converged boolean"
 
 
 def _scores(weights: np.ndarray, idf: np.ndarray, run_ids: list[int], logistic: bool, spark):
@@ -175,49 +208,81 @@ def _scores(weights: np.ndarray, idf: np.ndarray, run_ids: list[int], logistic:
     return run
 
 
-def fit_many(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig, spec: L.LinearSpec,
+@dataclass
+class FittedRuns:
+    """The models of many runs: ``vocabulary`` (run, term, idf, gidx), weights (runs x features by gidx, intercepts last)."""
+    vocabulary: DataFrame
+    weights: np.ndarray
+    idf: np.ndarray
+    runs: list[int]
+    info: DataFrame
+
+    def coefficients(self) -> DataFrame:
+        """(run, term, idf, coef) of the normalised rows, and each run's intercept under a null term."""
+        spark = self.vocabulary.sparkSession
+        # runs x vocabulary rows, which the driver holds already; written as one array a run
+        rows = [(int(r), w[:-1].tobytes(), float(w[-1])) for r, w in zip(self.runs, self.weights)]
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for run, raw, intercept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    w = np.frombuffer(raw, dtype="<f8")
+                    yield pa.record_batch([pa.array(np.full(len(w) + 1, run)), pa.array([None, *range(len(w))], pa.int32()),
+                                           pa.array(np.append(intercept, w))], names=["c_run", "c_gidx", "coef"])
+
+        coef = spark.createDataFrame(rows, "run long, w binary, b double").repartition(max(1, min(len(rows), 64)), "run") \
+            .mapInArrow(spread, "c_run long, c_gidx int, coef double")
+        voc = self.vocabulary
+        terms = voc.join(coef, (F.col("run") == F.col("c_run")) & (F.col("gidx") == F.col("c_gidx"))).select("run", "term", "idf", "coef")
+        return terms.unionByName(coef.filter("c_gidx IS NULL").select(
+            F.col("c_run").alias("run"), F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("idf"), "coef"))
+
+
+def fit_many(tf: DataFrame, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
              shared_rows: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Fit one model per run on its 'train' rows and score its 'test' rows, from shared term counts.
 
-    -> ((run, row_id, label, margin, prob, prediction), (run, n_train, n_features, iterations,
-    grad_max, converged)).  Raises ``NotConverged`` unless ``strict`` is false.
+    -> ((run, row_id, label, margin, prob, prediction), (run, n_train, n_features, iterations, passes,
+    grad_max, converged)).  Raises ``NotConverged`` unless ``strict`` is false."""
+    preds, fitted = fit_and_score(tf, rows, assign, cfg, spec, shared_rows, strict)
+    return preds, fitted.info
+
+
+def fit_and_score(tf: DataFrame, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
+                  shared_rows: bool = False, strict: bool = True) -> tuple[DataFrame, FittedRuns]:
+    """``fit_many`` with the fitted models kept.
 
     A row's term counts are packed once, over the union of the runs' vocabularies; a run
-    adds its role, its idf vector (zero outside its vocabulary) and the row's norm."""
+    adds its role (a digit), its idf vector (zero outside its vocabulary) and the row's norm."""
     spark = tf.sparkSession
-    voc = materialize(run_vocabularies(tf, assign, cfg, shared_rows).select(
+    roles = assign if isinstance(assign, Roles) else Roles.of(assign, shared_rows)
+    roles = Roles(materialize(roles.rows, "roles"), roles.runs, roles.shared)
+    voc = materialize(run_vocabularies(tf, roles, cfg).select(
         F.col("run").cast("long").alias("run"), "term", "idf"), "run-vocabularies")
-    # at most runs x max_features terms
-    union = materialize(voc.select("term").distinct().withColumn(
-        "gidx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int")), "union-vocabulary")
-    run_ids = sorted(int(r[0]) for r in assign.select("run").distinct().collect())
-    number = {r: i for i, r in enumerate(run_ids)}
-    d = union.count()
-    if len(run_ids) * (d + 1) > L.MAX_WEIGHTS:
-        raise ValueError(f"{len(run_ids)} runs x {d} features exceed MAX_WEIGHTS; fit fewer runs at once or bound max_features")
-    idf = np.zeros((len(run_ids), d))
-    for batch in voc.join(union, "term").select("run", "gidx", "idf").toArrow().to_batches():
+    union = materialize(TF.alphabetical(voc.select("term").distinct()).select("term", F.col("idx").cast("int").alias("gidx")), "union-vocabulary")
+    number = {r: i for i, r in enumerate(roles.runs)}
+    n, d = len(roles.runs), union.count()
+    if n * (d + 1) * L.HELD > L.MAX_WEIGHTS:
+        raise ValueError(f"{n} runs x {d} features exceed MAX_WEIGHTS; fit fewer runs at once or bound max_features")
+    numbered = voc.join(union, "term")
+    idf = np.zeros((n, d))
+    for batch in numbered.select("run", "gidx", "idf").toArrow().to_batches():
         run_of = np.array([number[r] for r in batch.column(0).to_pylist()], dtype=np.int64)
         idf[run_of, batch.column(1).to_numpy()] = batch.column(2).to_numpy()
 
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if cfg.sublinear_tf else F.col("tf").cast("double")
     entries = TF.vocabulary_join(tf, union).select("row_id", "gidx", tfw.alias("_w")).groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("gidx", "_w"))).alias("_e"))
-    numbers = F.create_map(*[x for r, i in number.items() for x in (F.lit(r), F.lit(i))])
-    roles = assign.groupBy("row_id").agg(F.collect_list(F.struct(
-        F.element_at(numbers, F.col("run").cast("long")).alias("run"),
-        F.when(F.col("role") == "train", L.TRAIN).otherwise(L.TEST).alias("role"))).alias("roles"))
-    packed = rows.select("row_id", F.col("label").cast("int").alias("label")).join(roles, "row_id").join(entries, "row_id", "left") \
+    packed = rows.select("row_id", F.col("label").cast("int").alias("label")).join(roles.rows, "row_id").join(entries, "row_id", "left") \
         .select("row_id", "label", F.coalesce(F.col("_e.gidx"), F.array().cast("array<int>")).alias("indices"),
                 F.coalesce(F.col("_e._w"), F.array().cast("array<double>")).alias("values"), "roles")
-    blocks = L.pack(packed, len(run_ids), idf).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = L.pack(packed, n, idf).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        weights, infos = L.fit_runs(blocks, len(run_ids), d, spec, idf)
-        n_train = L.class_counts(blocks, len(run_ids)).sum(axis=1)
-        preds = materialize(blocks.mapInArrow(_scores(weights, idf, run_ids, spec.loss == "logistic", spark), RUN_OUT), "run-scores")
+        weights, infos = L.fit_runs(blocks, n, d, spec, idf)
+        preds = materialize(blocks.mapInArrow(_scores(weights, idf, roles.runs, spec.loss == "logistic", spark), RUN_OUT), "run-scores")
     finally:
         blocks.unpersist()
     _require(infos, strict)
-    info = spark.createDataFrame([(r, int(n_train[i]), int((idf[i] != 0).sum()), infos[i]["iterations"], infos[i]["grad_max"],
-                                   infos[i]["converged"]) for i, r in enumerate(run_ids)], RUN_INFO)
-    return preds, info
+    info = spark.createDataFrame([(r, x["n_train"], int((idf[i] != 0).sum()), x["iterations"], x["passes"], x["grad_max"], x["converged"])
+                                  for i, (r, x) in enumerate(zip(roles.runs, infos))], RUN_INFO)
+    return preds, FittedRuns(numbered, weights, idf, roles.runs, info)

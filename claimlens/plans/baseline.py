@@ -69,6 +69,13 @@ def fold_assignments(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
                     F.when(F.col("fold") == F.col("run"), F.lit("test")).otherwise(F.lit("train")).alias("role"))
 
 
+def fold_roles(df: DataFrame, k: int = 5, seed: int = 42) -> MD.Roles:
+    """Run f trains on the other folds and tests on fold f: one row a row, one digit a fold."""
+    folds = X.stratified_kfold(df, k=k, seed=seed)
+    digits = F.concat(F.repeat(F.lit("1"), F.col("fold")), F.lit("2"), F.repeat(F.lit("1"), k - 1 - F.col("fold")))
+    return MD.Roles(folds.select("row_id", digits.alias("roles")), list(range(k)), True)
+
+
 def run_scores(preds: DataFrame) -> DataFrame:
     """(run, n, f1_macro, ...) from fit_many output."""
     return M.with_f1_metrics(M.confusion_counts(preds, by=["run"]))
@@ -86,7 +93,7 @@ def cross_val_runs(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k:
     """The scored held-out rows of every fold, and how each fold's fit ended."""
     tf = materialize(T.term_counts(train, text_col, cfg), "term-counts")
     rows = materialize(train.select("row_id", "label"), "rows")
-    return MD.fit_many(tf, rows, fold_assignments(rows, k, seed), cfg, spec, shared_rows=True)
+    return MD.fit_many(tf, rows, fold_roles(rows, k, seed), cfg, spec)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

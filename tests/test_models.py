@@ -55,14 +55,89 @@ def test_fit_is_optimal(spark, small_vectors, spec, parts):
         assert abs(g[-1]) < 1e-5  # free intercept: weighted residuals sum to zero
 
 
-def test_reduction_tree_adds_everything(spark, small_vectors, monkeypatch):
+def test_pieces_and_small_blocks_add_up_the_same(spark, small_vectors, monkeypatch):
     pdf, d = small_vectors
     sdf = spark.createDataFrame(pdf[["indices", "values", "label"]]).repartition(7)
-    flat, _ = MD.fit(sdf, d, L.LOGREG)
-    monkeypatch.setattr(L, "FAN_IN", 2)
+    whole, _ = MD.fit(sdf, d, L.LOGREG)
+    monkeypatch.setattr(L, "PIECE", 100)
     monkeypatch.setattr(L, "BLOCK_ENTRIES", 500)
-    tree, _ = MD.fit(sdf, d, L.LOGREG)
-    assert np.max(np.abs(flat - tree)) < 1e-3
+    parts, _ = MD.fit(sdf, d, L.LOGREG)
+    assert np.max(np.abs(whole - parts)) < 1e-3
+
+
+def packed(spark, pdf, parts, n_runs=1, roles="1"):
+    rows = spark.createDataFrame(pdf[["row_id", "indices", "values", "label"]]).repartition(parts).withColumn("roles", F.lit(roles))
+    return L.pack(rows, n_runs).persist()
+
+
+@pytest.mark.parametrize("spec", [L.LOGREG, L.SVM])
+def test_newton_needs_few_passes_from_a_sample(spark, small_vectors, spec, monkeypatch):
+    pdf, d = small_vectors
+    blocks = packed(spark, pdf, 4)
+    whole, info = L.fit_runs(blocks, 1, d, spec)
+    assert info[0]["passes"] <= 2  # the sample held all rows: only the certificate is left
+    cold, cold_info = L.fit_runs(blocks, 1, d, spec, warm=False)
+    monkeypatch.setattr(L, "SAMPLE", int(pdf["indices"].map(len).sum()) // 2)
+    part, part_info = L.fit_runs(blocks, 1, d, spec)
+    blocks.unpersist()
+    assert cold_info[0]["converged"] and part_info[0]["converged"]
+    assert np.max(np.abs(whole - cold)) < 1e-3 and np.max(np.abs(whole - part)) < 1e-3
+    assert info[0]["iterations"] <= cold_info[0]["iterations"] / 2
+    assert part_info[0]["passes"] <= cold_info[0]["passes"]
+
+
+def test_a_pass_is_one_job_over_as_many_tasks_as_the_entries_need(spark, small_vectors, monkeypatch):
+    pdf, d = small_vectors
+    monkeypatch.setattr(L, "BLOCK_ENTRIES", int(pdf["indices"].map(len).sum()) // 3 + 1)
+    problem = L.Problem("logistic", np.ones(1), np.ones(1), np.ones((1, 2)), None)
+    found = []
+    for parts in (2, 40):
+        blocks = packed(spark, pdf, parts)
+        near = L.gathered(blocks, L.class_counts(blocks, 1)[2])
+        assert near.rdd.getNumPartitions() == min(parts, 3)
+        spark.sparkContext.setJobGroup(f"pass-{parts}", "one pass")
+        found.append(L.pass_over(near, problem, {0: (np.full(d + 1, 0.1), None)}, 1, d)[0])
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"pass-{parts}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        blocks.unpersist()
+        # AQE runs the map side and the result as jobs of their own
+        assert len(jobs) <= 2
+    assert abs(found[0][0] - found[1][0]) < 1e-6 and np.max(np.abs(found[0][1] - found[1][1])) < 1e-9
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 50])
+def test_products_with_many_vectors_equal_dense_ones(k):
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(40, 25)) * (rng.random((40, 25)) < 0.2)
+    x[5] = 0
+    x[:, 7] = 0
+    x[39] = 0
+    ptr = np.append(0, np.cumsum((x != 0).sum(axis=1)))
+    cols, vals = np.nonzero(x)[1].astype(np.int32), x[x != 0]
+    b = L.Block(40, [ptr, cols, vals, np.ones((40, 1)), np.ones((40, 1), np.int8), np.ones(40), np.arange(40), *L._by_column(ptr, cols, vals, k)], 1)
+    u, t = rng.normal(size=(k, 25)), rng.normal(size=(40, k))
+    out = np.ones((k, 25))
+    for chunk in (L.CHUNK, 8):
+        L.CHUNK, keep = chunk, L.CHUNK
+        assert np.allclose(b.times(u), x @ u.T)
+        L.CHUNK = keep
+    b.transposed(t, out)
+    assert np.allclose(out, 1 + t.T @ x)
+
+
+def test_conjugate_gradients_stop_at_the_region_and_recover():
+    # far from the minimum the model of this function is poor: steps are cut back until they decrease it
+    steps = L.newton(np.array([30.0, -20.0]), gtol=1e-10, least_curvature=1e-3)
+    ask = next(steps)
+    f = lambda x: float(np.sum(np.sqrt(1 + x * x)))
+    while True:
+        x, v = ask
+        try:
+            ask = steps.send((f(x), x / np.sqrt(1 + x * x)) if v is None else v / (1 + x * x) ** 1.5)
+        except StopIteration as end:
+            x, value, g, _, ok = end.value
+            break
+    assert ok and np.max(np.abs(x)) < 1e-6 and abs(value - 2) < 1e-9
 
 
 def test_unconverged_fits_are_reported(spark, small_vectors):
