@@ -50,20 +50,24 @@ def word_ngrams(col, ngram_range=(1, 3), mark_aware: bool = False) -> Column:
     return bound.getItem(0)
 
 
+def char_wb_words(col) -> Column:
+    """The whitespace-separated words of the lower-cased text, repeats kept."""
+    return F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WHITESPACE_CLASS + "+"), lambda w: w != F.lit(""))
+
+
+def char_wb_word_ngrams(word: Column, ngram_range=(2, 5)) -> Column:
+    """The n-grams of one word, padded with one space on each side."""
+    lo, hi = ngram_range
+    padded = F.array(F.concat(F.lit(" "), word, F.lit(" ")))
+    return F.transform(padded, lambda p: F.flatten(F.transform(
+        F.sequence(F.lit(lo), F.least(F.lit(hi), F.length(p))),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1),
+                              lambda i: F.substring(p, i, n))))).getItem(0)
+
+
 def char_wb_ngrams(col, ngram_range=(2, 5)) -> Column:
     """In-word character n-grams: each whitespace-separated word of the
     lower-cased text is padded with one space on each side; every substring of
     length lo..min(hi, padded length) is emitted (a padded word shorter than
     ``hi`` yields itself once, never longer grams)."""
-    lo, hi = ngram_range
-    words = F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WHITESPACE_CLASS + "+"),
-                     lambda w: w != F.lit(""))
-
-    def grams_of_word(w):
-        padded = F.array(F.concat(F.lit(" "), w, F.lit(" ")))
-        return F.transform(padded, lambda p: F.flatten(F.transform(
-            F.sequence(F.lit(lo), F.least(F.lit(hi), F.length(p))),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1),
-                                  lambda i: F.substring(p, i, n))))).getItem(0)
-
-    return F.flatten(F.transform(words, grams_of_word))
+    return F.flatten(F.transform(char_wb_words(col), lambda w: char_wb_word_ngrams(w, ngram_range)))

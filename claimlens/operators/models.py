@@ -134,39 +134,61 @@ class Roles:
         return Roles(assign.groupBy("row_id").agg(used.alias("used")).select("row_id", F.array_join(digits, "").alias("roles")), runs, shared)
 
 
-def run_term_stats(tf: DataFrame, roles: Roles, cfg: TF.TfidfConfig) -> DataFrame:
-    """(run, term, df, ctf) over each run's training rows, df >= min_df.
+def run_term_stats(tf: DataFrame, roles: Roles, cfg: TF.TfidfConfig, key: str = "term", cand: DataFrame | None = None) -> DataFrame:
+    """(run, key..., df, ctf) over each run's training rows, df >= min_df.
 
     Where the runs share one row set, as folds and holdouts do, a run's training counts are the
     counts over all rows minus those of its held-out rows: only the held-out side (a fifth of
     the rows per run) is joined with the term table, and the all-row counts are aggregated
-    once.  Otherwise each run's training rows are joined directly."""
+    once.  Otherwise each run's training rows are joined directly.  ``cand``: the all-row counts
+    (key, more columns, _df, _ctf), if they are at hand; their further columns are kept."""
+    cand = all_row_counts(tf, roles, cfg, key) if cand is None else cand
+    more = [c for c in cand.columns if c not in (key, "_df", "_ctf")]
     if not roles.shared:
-        return tf.join(roles.train(), "row_id").groupBy("run", "term") \
+        st = tf.join(roles.train(), "row_id").groupBy("run", key) \
             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
-    # a run's training df is at most the all-row df: only those terms are candidates
-    glob = tf.join(roles.rows.select("row_id"), "row_id", "left_semi").groupBy("term") \
-        .agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_ctf")).filter(F.col("_df") >= cfg.min_df)
-    held = tf.join(roles.test(), "row_id").groupBy("run", "term").agg(F.count(F.lit(1)).alias("_dfo"), F.sum("tf").alias("_ctfo"))
-    cand = glob.select("term", "_df", "_ctf", F.explode(F.array(*[F.lit(r).cast("long") for r in roles.runs])).alias("run"))
-    return cand.join(held, ["run", "term"], "left").select(
-        "run", "term", (F.col("_df") - F.coalesce("_dfo", F.lit(0))).alias("df"),
+        return st.join(cand.select(key, *more), key).select("run", key, *more, "df", "ctf") if more else st
+    held = tf.join(roles.test(), "row_id").groupBy("run", key).agg(F.count(F.lit(1)).alias("_dfo"), F.sum("tf").alias("_ctfo"))
+    cand = cand.select("*", F.explode(F.array(*[F.lit(r).cast("long") for r in roles.runs])).alias("run"))
+    return cand.join(held, ["run", key], "left").select(
+        "run", key, *more, (F.col("_df") - F.coalesce("_dfo", F.lit(0))).alias("df"),
         (F.col("_ctf") - F.coalesce("_ctfo", F.lit(0))).alias("ctf")).filter(F.col("df") >= cfg.min_df)
 
 
+def all_row_counts(tf: DataFrame, roles: Roles, cfg: TF.TfidfConfig, key: str) -> DataFrame:
+    """(key, _df, _ctf) over the rows of any run; a run's training df is at most this one, so no other term is a candidate."""
+    return tf.join(roles.rows.select("row_id"), "row_id", "left_semi").groupBy(key) \
+        .agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_ctf")).filter(F.col("_df") >= cfg.min_df)
+
+
 def run_vocabularies(tf: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, shared_rows: bool = False) -> DataFrame:
     """(run, term, idx, idf): each run's vocabulary and idf from its training rows."""
     roles = assign if isinstance(assign, Roles) else Roles.of(assign, shared_rows)
-    ndocs = roles.train_rows()
     st = run_term_stats(tf, roles, cfg)
     if cfg.max_features is not None:
         st = TF.top_k_by_count(st, cfg.max_features, by=("run",))
     alpha = Window.partitionBy("run").orderBy("term")   # at most max_features rows per run
-    return st.join(F.broadcast(ndocs), "run").select(
+    return st.join(F.broadcast(roles.train_rows()), "run").select(
         "run", "term", (F.row_number().over(alpha) - 1).cast("long").alias("idx"),
         TF.idf_col(F.col("_n").cast("double"), F.col("df")).alias("idf"))
 
 
+def run_term_ids(terms: TF.Terms, roles: Roles, cfg: TF.TfidfConfig) -> tuple[DataFrame, DataFrame]:
+    """((run, tid, place, idf) of each run's vocabulary, (tid, term, place) of all candidates), written.
+
+    ``place`` is the term's alphabetical rank among the candidates, by which ties are broken:
+    the runs' own work is on longs."""
+    cand = materialize(all_row_counts(terms.counts, roles, cfg, "tid"), "run-candidates")
+    names = TF.alphabetical(terms.strings(cand)).select("tid", "term", F.col("idx").alias("place"))
+    names = materialize(names, "candidate-terms")
+    st = run_term_stats(terms.counts, roles, cfg, "tid", cand.join(names.select("tid", "place"), "tid"))
+    if cfg.max_features is not None:
+        st = TF.top_k_by_count(st, cfg.max_features, key="place", by=("run",))
+    voc = st.join(F.broadcast(roles.train_rows()), "run").select(
+        "run", "tid", "place", TF.idf_col(F.col("_n").cast("double"), F.col("df")).alias("idf"))
+    return materialize(voc, "run-vocabularies"), names
+
+
 def run_vectors(tf: DataFrame, rows: DataFrame, assign: DataFrame, cfg: TF.TfidfConfig,
                 voc: DataFrame | None = None) -> DataFrame:
     """(run, row_id, role, label, d, indices, values) with a vocabulary and idf
@@ -238,7 +260,7 @@ class FittedRuns:
             F.col("c_run").alias("run"), F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("idf"), "coef"))
 
 
-def fit_many(tf: DataFrame, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
+def fit_many(tf: DataFrame | TF.Terms, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
              shared_rows: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Fit one model per run on its 'train' rows and score its 'test' rows, from shared term counts.
 
@@ -248,30 +270,36 @@ def fit_many(tf: DataFrame, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.
     return preds, fitted.info
 
 
-def fit_and_score(tf: DataFrame, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
+def fit_and_score(tf: DataFrame | TF.Terms, rows: DataFrame, assign: DataFrame | Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
                   shared_rows: bool = False, strict: bool = True) -> tuple[DataFrame, FittedRuns]:
     """``fit_many`` with the fitted models kept.
 
     A row's term counts are packed once, over the union of the runs' vocabularies; a run
     adds its role (a digit), its idf vector (zero outside its vocabulary) and the row's norm."""
-    spark = tf.sparkSession
     roles = assign if isinstance(assign, Roles) else Roles.of(assign, shared_rows)
     roles = Roles(materialize(roles.rows, "roles"), roles.runs, roles.shared)
-    voc = materialize(run_vocabularies(tf, roles, cfg).select(
-        F.col("run").cast("long").alias("run"), "term", "idf"), "run-vocabularies")
-    union = materialize(TF.alphabetical(voc.select("term").distinct()).select("term", F.col("idx").cast("int").alias("gidx")), "union-vocabulary")
+    terms = tf if isinstance(tf, TF.Terms) else TF.Terms.of_counts(tf)
+    return TF.without_collisions(terms, lambda t: _fit_and_score(t, rows, roles, cfg, spec, strict))
+
+
+def _fit_and_score(terms: TF.Terms, rows: DataFrame, roles: Roles, cfg: TF.TfidfConfig, spec: L.LinearSpec,
+                   strict: bool) -> tuple[DataFrame, FittedRuns]:
+    spark = rows.sparkSession
+    voc, names = run_term_ids(terms, roles, cfg)
+    union = materialize(TF.alphabetical(voc.select("tid", "place").distinct(), "place").select("tid", F.col("idx").cast("int").alias("gidx")),
+                        "union-vocabulary")
     number = {r: i for i, r in enumerate(roles.runs)}
     n, d = len(roles.runs), union.count()
     if n * (d + 1) * L.HELD > L.MAX_WEIGHTS:
         raise ValueError(f"{n} runs x {d} features exceed MAX_WEIGHTS; fit fewer runs at once or bound max_features")
-    numbered = voc.join(union, "term")
+    numbered = voc.join(union, "tid")
     idf = np.zeros((n, d))
     for batch in numbered.select("run", "gidx", "idf").toArrow().to_batches():
         run_of = np.array([number[r] for r in batch.column(0).to_pylist()], dtype=np.int64)
         idf[run_of, batch.column(1).to_numpy()] = batch.column(2).to_numpy()
 
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if cfg.sublinear_tf else F.col("tf").cast("double")
-    entries = TF.vocabulary_join(tf, union).select("row_id", "gidx", tfw.alias("_w")).groupBy("row_id").agg(
+    entries = TF.vocabulary_join(terms.counts, union, on="tid").select("row_id", "gidx", tfw.alias("_w")).groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("gidx", "_w"))).alias("_e"))
     packed = rows.select("row_id", F.col("label").cast("int").alias("label")).join(roles.rows, "row_id").join(entries, "row_id", "left") \
         .select("row_id", "label", F.coalesce(F.col("_e.gidx"), F.array().cast("array<int>")).alias("indices"),
@@ -285,4 +313,5 @@ def fit_and_score(tf: DataFrame, rows: DataFrame, assign: DataFrame | Roles, cfg
     _require(infos, strict)
     info = spark.createDataFrame([(r, x["n_train"], int((idf[i] != 0).sum()), x["iterations"], x["passes"], x["grad_max"], x["converged"])
                                   for i, (r, x) in enumerate(zip(roles.runs, infos))], RUN_INFO)
-    return preds, FittedRuns(numbered, weights, idf, roles.runs, info)
+    named = numbered.join(names.select("tid", "term"), "tid").select("run", "term", "idf", "gidx")
+    return preds, FittedRuns(named, weights, idf, roles.runs, info)

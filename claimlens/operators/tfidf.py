@@ -10,18 +10,21 @@ Partitioning plan (one shuffle of the texts, one of the term statistics):
      aggregation (frequent terms are combined before the shuffle);
   4. the vocabulary holds at most ``max_features`` rows, so it is broadcast
      behind a measured size check;
-  5. the term table of (2) is written once, so the per-row L2 norm, a window
-     over ``row_id``, exchanges compact (row, term, weight) rows, never texts.
+  5. fits work on 64-bit term ids (``Terms``): the (row, id) counts are written once, vocabulary
+     and weights run on longs, and strings are looked up once, for the terms that a
+     vocabulary may hold; terms that share an id are found there, and the ids drawn anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.functions.ngrams import char_wb_ngrams, word_ngrams
+from claimlens.functions.ngrams import char_wb_ngrams, char_wb_word_ngrams, char_wb_words, word_ngrams
 from claimlens.session import materialize
 
 
@@ -63,36 +66,164 @@ def term_counts(df: DataFrame, text_col: str, cfg: TfidfConfig, id_col: str = "r
     return g.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+# ---------------------------------------------------------------- term ids
+
+class TermCollision(RuntimeError):
+    """Two terms that share an id met in a vocabulary's candidates."""
+
+
+def term_id(term, salt: int) -> Column:
+    """A 64-bit id of a term."""
+    return F.xxhash64(term, F.lit(salt))
+
+
+def id_counts(df: DataFrame, text_col: str, cfg: TfidfConfig, id_col: str = "row_id", keep: tuple[str, ...] = (),
+              salt: int = 0) -> DataFrame:
+    """(id, keep..., tid, tf): ``term_counts`` by term id.  Of character n-grams a row's repeated words are cut once."""
+    d = df.select(id_col, *keep, text_col).repartition(id_col)
+    if cfg.analyzer == "char_wb":
+        words = d.select(id_col, *keep, F.explode(char_wb_words(text_col)).alias("_word")).groupBy(id_col, *keep, "_word") \
+            .agg(F.count(F.lit(1)).alias("_n"))
+        grams = words.select(id_col, *keep, "_n", F.explode(char_wb_word_ngrams(F.col("_word"), cfg.ngram_range)).alias("term"))
+        return grams.groupBy(id_col, *keep, term_id("term", salt).alias("tid")).agg(F.sum("_n").alias("tf"))
+    grams = d.select(id_col, *keep, F.explode(cfg.ngrams(text_col)).alias("term"))
+    return grams.groupBy(id_col, *keep, term_id("term", salt).alias("tid")).agg(F.count(F.lit(1)).alias("tf"))
+
+
+@dataclass
+class Terms:
+    """Term counts by id: ``counts`` (id, keep..., tid, tf), written; ``source`` gives the terms (term)
+    behind them, with repeats; ``again`` the same counts under another salt."""
+    counts: DataFrame
+    source: Callable[[], DataFrame]
+    again: Callable[[int], "Terms"]
+    salt: int = 0
+
+    @staticmethod
+    def of_texts(df: DataFrame, text_col: str, cfg: TfidfConfig, id_col: str = "row_id", keep: tuple[str, ...] = (),
+                 salt: int = 0) -> Terms:
+        def source() -> DataFrame:
+            if cfg.analyzer != "char_wb":
+                return df.select(id_col, text_col).repartition(id_col).select(F.explode(cfg.ngrams(text_col)).alias("term"))
+            words = df.select(F.explode(char_wb_words(text_col)).alias("_word")).distinct()
+            return words.select(F.explode(char_wb_word_ngrams(F.col("_word"), cfg.ngram_range)).alias("term"))
+
+        return Terms(materialize(id_counts(df, text_col, cfg, id_col, keep, salt), "term-counts"), source,
+                     lambda new: Terms.of_texts(df, text_col, cfg, id_col, keep, new), salt)
+
+    @staticmethod
+    def of_counts(tf: DataFrame, salt: int = 0) -> Terms:
+        """From counts by term (row_id, term, tf)."""
+        counts = tf.withColumn("tid", term_id("term", salt)).drop("term")
+        return Terms(counts, lambda: tf.select("term"), lambda new: Terms.of_counts(tf, new), salt)
+
+    def strings(self, ids: DataFrame) -> DataFrame:
+        """(tid, term) for the ids in ``ids`` (tid), written; each id has one term, or ``TermCollision`` is raised."""
+        wanted = ids.select(F.col("tid").alias("_tid"))
+        if wanted.count() * 24 <= BROADCAST_LIMIT_BYTES:
+            wanted = F.broadcast(wanted)
+        pairs = self.source().select(term_id("term", self.salt).alias("tid"), "term") \
+            .join(wanted, F.col("tid") == F.col("_tid"), "left_semi").distinct()
+        held = materialize(pairs, "term-strings")
+        if not held.groupBy("tid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+            raise TermCollision(f"salt {self.salt}")
+        return held
+
+
+T_ = TypeVar("T_")
+
+
+def without_collisions(terms: Terms, use: Callable[[Terms], T_], tries: int = 8) -> T_:
+    """``use(terms)``, with ids drawn anew as long as two terms share one."""
+    for salt in range(terms.salt, terms.salt + tries):
+        try:
+            return use(terms if salt == terms.salt else terms.again(salt))
+        except TermCollision:
+            continue
+    raise TermCollision(f"terms still share ids after {tries} salts")
+
+
+# ---------------------------------------------------------------- vocabulary
+
 def idf_col(n_docs: Column, df_col: Column) -> Column:
     """Smoothed idf: ln((1 + N) / (1 + df)) + 1."""
     return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
-def top_k_by_count(df: DataFrame, k: int, count_col: str = "ctf", key: str = "term",
-                   by: tuple[str, ...] = ()) -> DataFrame:
-    """The ``k`` rows with the largest ``count_col`` per ``by`` group, ties by
-    ``key`` ascending -- exact, and without a single-task sort.
+#: Counts below this have a bin of their own; beyond, 64 bins for each doubling.
+EXACT_BINS = 1024
+
+
+def _bin(count: Column) -> Column:
+    """A number that rises with the count; some 4,000 different ones at most."""
+    return F.when(count < EXACT_BINS, count).otherwise(EXACT_BINS + F.floor(F.log2(count / EXACT_BINS) * 64)).cast("long")
+
+
+def above_boundary(df: DataFrame, k: int, count_col: str = "ctf", by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` and (_tie, _need), written: the rows that can be among the ``k`` largest of their group.
+
+    A histogram of the counts (summed in the tasks first) finds the bin that the k-th row lies in.  Rows
+    of higher bins are in; of those in the boundary bin (``_tie``) the first ``_need`` are.  No
+    other row is written."""
+    by = list(by)
+    d = df.withColumn("_bin", _bin(F.col(count_col)))
+    hist = d.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    falling = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)   # bins, not rows
+    edges = hist.withColumn("_before", F.coalesce(F.sum("_n").over(falling), F.lit(0))).filter(F.col("_before") < k) \
+        .groupBy(*[F.col(c).alias(f"_e_{c}") for c in by]).agg(F.min("_bin").alias("_edge"), F.max("_before").alias("_before"))
+    if by:
+        same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by]
+        d = d.join(F.broadcast(edges), same)   # one row a group
+    else:
+        d = d.withColumns({"_edge": edges.select("_edge").scalar(), "_before": edges.select("_before").scalar()})
+    kept = d.filter(F.col("_bin") >= F.col("_edge"))
+    return materialize(kept.select(*df.columns, (F.col("_bin") == F.col("_edge")).alias("_tie"),
+                                   (F.lit(k) - F.col("_before")).alias("_need")), "vocabulary-candidates")
+
 
-    The candidates are written once, range-partitioned by (group, count falling, key): whole
+def break_ties(held: DataFrame, count_col: str = "ctf", key: str = "term", by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``above_boundary`` that are in: of the ties those first by count falling and ``key``.
+
+    The ties alone are written again, range-partitioned by (group, count falling, key): whole
     partitions then lie in rank order, so a row's rank is its place in its partition plus
-    the rows of its group in earlier partitions (one small count a partition and group).  The
-    ranges follow the data, so a count value that very many terms share is spread too."""
+    the rows of its group in earlier partitions (one small count a partition and group)."""
     by = list(by)
+    cols = [c for c in held.columns if c not in ("_tie", "_need")]
     order = [F.desc(count_col), F.asc(key)]
-    spread = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order) \
-        .withColumn("_part", F.spark_partition_id())
-    held = materialize(spread, "vocabulary-candidates")
-    sizes = held.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ties = held.filter("_tie").repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
+    ties = materialize(ties, "vocabulary-ties")
+    sizes = ties.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a group and partition; partitions that start at or beyond k are not read on
+    # one row a group and partition
     off = sizes.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_part").alias("_o_part"),
-                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")).filter(F.col("_off") < k)
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     same = F.col("_part") == F.col("_o_part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
-    return held.join(F.broadcast(off), same).withColumn("_rank", F.col("_off") + place) \
-        .filter(F.col("_rank") <= k).select(*df.columns)
+    first = ties.join(F.broadcast(off), same).filter(F.col("_off") < F.col("_need")).withColumn("_rank", F.col("_off") + place) \
+        .filter(F.col("_rank") <= F.col("_need"))
+    return held.filter(~F.col("_tie")).select(*cols).unionByName(first.select(*cols))
+
+
+def top_k_by_count(df: DataFrame, k: int, count_col: str = "ctf", key: str = "term",
+                   by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` rows with the largest ``count_col`` per ``by`` group, ties by
+    ``key`` ascending -- exact, and without a single-task sort; at most k rows and those of the
+    boundary bin are written."""
+    return break_ties(above_boundary(df, k, count_col, by), count_col, key, by)
+
+
+def vocabulary(terms: Terms, counts: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
+    """``fit_vocabulary`` from the *fit* rows' counts by id: strings are looked up for the terms above the boundary and its ties."""
+    v = counts.groupBy("tid").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).filter(F.col("df") >= cfg.min_df)
+    held = materialize(v, "vocabulary-candidates") if cfg.max_features is None else above_boundary(v, cfg.max_features)
+    named = held.join(terms.strings(held), "tid")
+    idf = idf_col(F.lit(float(n_docs)), F.col("df")).alias("idf")
+    if cfg.max_features is None:
+        return alphabetical(named).select("term", "idx", "df", "ctf", idf)
+    place = F.row_number().over(Window.orderBy("term"))   # at most max_features rows
+    return break_ties(named).select("term", (place - 1).cast("long").alias("idx"), "df", "ctf", idf)
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
@@ -124,21 +255,24 @@ def alphabetical(df: DataFrame, key: str = "term") -> DataFrame:
         .withColumn("idx", (F.col("_off") + place - 1).cast("long")).drop("_part", "_o_part", "_off")
 
 
-def vocabulary_join(tf: DataFrame, vocab: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def vocabulary_join(tf: DataFrame, vocab: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, on: str = "term") -> DataFrame:
     """Inner join of term counts with the vocabulary, broadcasting the
     vocabulary only when its measured size is under ``limit_bytes``."""
-    size = vocab.agg((F.sum(F.length("term") + F.lit(48))).alias("b")).first()["b"] or 0
+    size = vocab.agg((F.sum((F.length("term") if "term" in vocab.columns else F.lit(0)) + F.lit(48))).alias("b")).first()["b"] or 0
     side = F.broadcast(vocab) if size <= limit_bytes else vocab
-    return tf.join(side, "term")
+    return tf.join(side, on)
 
 
 def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str = "row_id",
-                  sublinear_tf: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+                  sublinear_tf: bool = True, keep: tuple[str, ...] = (), salt: int = 0) -> DataFrame:
     """(id, keep..., term, idx, weight): (1 + ln tf) x idf, L2-normalised per row.
 
     Unseen terms drop out in the join; a row with no vocabulary term has no
     entries (its vector is all zeros)."""
-    j = vocabulary_join(tf, vocab)
+    if "tid" in tf.columns:
+        j = vocabulary_join(tf, vocab.withColumn("tid", term_id("term", salt)), on="tid")
+    else:
+        j = vocabulary_join(tf, vocab)
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if sublinear_tf else F.col("tf").cast("double")
     raw = j.select(id_col, *keep, "term", "idx", (tfw * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
@@ -150,15 +284,15 @@ def tfidf(df: DataFrame, text_col: str, cfg: TfidfConfig, fit_on: tuple[str, str
     """Fit the vocabulary on rows where ``fit_on[0] == fit_on[1]`` (all rows
     if None) and weight every row -> (weights, vocabulary)."""
     cols = tuple(dict.fromkeys([*keep, *([fit_on[0]] if fit_on else [])]))
-    # the term table feeds both the vocabulary and the weights: the n-grams are generated once
-    tf = materialize(term_counts(df, text_col, cfg, id_col, keep=cols), "term-counts")
-    if fit_on is None:
-        n_docs, tf_fit = df.count(), tf
-    else:
-        cond = F.col(fit_on[0]) == F.lit(fit_on[1])
-        n_docs, tf_fit = df.filter(cond).count(), tf.filter(cond)
-    vocab = materialize(fit_vocabulary(tf_fit, n_docs, cfg), "vocabulary")
-    return tfidf_weights(tf, vocab, id_col, cfg.sublinear_tf, keep=tuple(keep)), vocab
+    cond = F.lit(True) if fit_on is None else F.col(fit_on[0]) == F.lit(fit_on[1])
+    n_docs = df.filter(cond).count()
+
+    def fit(terms: Terms) -> tuple[DataFrame, DataFrame]:
+        vocab = materialize(vocabulary(terms, terms.counts.filter(cond), n_docs, cfg), "vocabulary")
+        return tfidf_weights(terms.counts, vocab, id_col, cfg.sublinear_tf, tuple(keep), terms.salt), vocab
+
+    # the counts feed both the vocabulary and the weights
+    return without_collisions(Terms.of_texts(df, text_col, cfg, id_col, cols), fit)
 
 
 def assemble_vectors(weights: DataFrame, id_col: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -91,7 +91,7 @@ def cross_val_scores(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k
 def cross_val_runs(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k: int = 5, seed: int = 42,
                    text_col: str = "text_concat") -> tuple[DataFrame, DataFrame]:
     """The scored held-out rows of every fold, and how each fold's fit ended."""
-    tf = materialize(T.term_counts(train, text_col, cfg), "term-counts")
+    tf = T.Terms.of_texts(train, text_col, cfg)
     rows = materialize(train.select("row_id", "label"), "rows")
     return MD.fit_many(tf, rows, fold_roles(rows, k, seed), cfg, spec)
 

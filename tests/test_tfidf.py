@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimlens.operators import tfidf as T
 
@@ -51,3 +52,45 @@ def test_unbounded_vocabulary_and_ties(spark):
     top = {r["term"] for r in TF.fit_vocabulary(tf, 2, TF.TfidfConfig("word", (1, 1), 100)).collect()}
     order = sorted(range(200), key=lambda j: (-(j % 3 == 0), j))[:100]
     assert top == {f"t{j:03d}" for j in order}
+
+
+@pytest.mark.parametrize("cfg", [T.TfidfConfig("word", (1, 2), 12, min_df=1), T.TfidfConfig("char_wb", (2, 3), None, min_df=2)])
+def test_ids_equal_strings_and_collisions_draw_them_anew(spark, cfg, monkeypatch):
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(9))) for i in range(12)] + [(20, None), (21, "")]
+    df = spark.createDataFrame(docs, "row_id long, text string")
+    tf = T.term_counts(df, "text", cfg)
+    by_id = T.id_counts(df, "text", cfg)
+    assert by_id.count() == tf.count()
+    assert by_id.exceptAll(tf.select("row_id", T.term_id("term", 0).alias("tid"), "tf")).count() == 0
+    want = {tuple(r) for r in T.fit_vocabulary(tf, len(docs), cfg).collect()}
+    weights, voc = T.tfidf(df, "text", cfg)
+    assert {tuple(r) for r in voc.collect()} == want
+    weighed = weights.collect()
+    # ids of one bit under the first salt: the terms that share one are noticed, the next salt is taken
+    real, used = T.term_id, []
+
+    def narrow(term, salt):
+        used.append(salt)
+        return real(term, salt) % 2 if salt == 0 else real(term, salt)
+
+    monkeypatch.setattr(T, "term_id", narrow)
+    weights, voc = T.tfidf(df, "text", cfg)
+    assert {tuple(r) for r in voc.collect()} == want and {0, 1} <= set(used)
+    assert sorted(map(tuple, weights.collect())) == sorted(map(tuple, weighed))
+
+
+def test_only_the_boundary_bin_and_what_lies_above_is_written(spark, monkeypatch):
+    rows = [(f"t{i:05d}", c) for i, c in enumerate([5000, 4000, 300, 7, 7, 6, 6, 6, 6] + [2] * 1000)]
+    written = {}
+    real = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    df = spark.createDataFrame(rows, "term string, ctf long")
+    got = {r["term"] for r in T.top_k_by_count(df, 7).collect()}
+    assert got == {f"t{i:05d}" for i in range(7)}
+    assert written["vocabulary-candidates"].count() == 9 and written["vocabulary-ties"].count() == 4
+
+
+def test_bins_rise_with_the_count(spark):
+    df = spark.range(1, 200_000, 7).select("id", T._bin(F.col("id")).alias("b"))
+    bins = [r["b"] for r in df.orderBy("id").collect()]
+    assert bins == sorted(bins) and bins[0] == 1 and len(set(bins)) < 2000
