@@ -19,6 +19,7 @@ from claimlens.operators import models as MD
 from claimlens.operators import reports as R
 from claimlens.operators import splits as X
 from claimlens.operators import tfidf as T
+from claimlens.operators.certificate import certificate
 from claimlens.session import materialize
 from claimlens.sources import files
 
@@ -61,6 +62,26 @@ def evaluate_test(preds: DataFrame, spec: L.LinearSpec) -> DataFrame:
     return M.evaluate(test, score="prob" if spec.loss == "logistic" else None)
 
 
+def model_certificate(claims: DataFrame, model: FittedModel, text_col: str = "text_concat") -> DataFrame:
+    """How close a fitted model is to the best one on TRAIN, from texts, labels and coefficients alone."""
+    train = claims.filter(F.col("data_type") == "TRAIN")
+    run = F.lit(0).cast("long").alias("run")
+    coef = model.vocab.select("term", "idf").join(model.coef.select("term", "coef"), "term").select(run, "term", "idf", "coef")
+    spark = claims.sparkSession
+    coef = coef.unionByName(spark.createDataFrame([(0, None, 1.0, model.intercept)], "run long, term string, idf double, coef double"))
+    return certificate(T.term_counts(train, text_col, model.cfg), train.select(run, "row_id", "label"), coef, model.spec, model.cfg.sublinear_tf)
+
+
+def cross_val_certificates(train: DataFrame, cfg: T.TfidfConfig, spec: L.LinearSpec, k: int = 5, seed: int = 42,
+                           text_col: str = "text_concat") -> DataFrame:
+    """``model_certificate`` of every fold's model."""
+    rows = materialize(train.select("row_id", "label"), "rows")
+    roles = fold_roles(rows, k, seed)
+    _, fitted = MD.fit_and_score(T.Terms.of_texts(train, text_col, cfg), rows, roles, cfg, spec)
+    held = materialize(fitted.coefficients(), "run-coefficients")
+    return certificate(T.term_counts(train, text_col, cfg), roles.train().join(rows, "row_id"), held, spec, cfg.sublinear_tf)
+
+
 def fold_assignments(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """(run, row_id, role): run f trains on the other folds and tests on fold f."""
     folds = X.stratified_kfold(df, k=k, seed=seed)

@@ -8,6 +8,8 @@ can write in parallel and a failed task's attempt is discarded atomically.
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,40 +90,94 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
 
 
-def append_run_log(record: DataFrame, path: str) -> None:
-    """Append one run's record; readers see all appended records (no
-    read-modify-write, so concurrent runs cannot lose each other's rows)."""
-    record.write.mode("append").json(path)
-
-
+#: Columns of a log line beside the record's own: the run it belongs to, which attempt of the run
+#: wrote it, and which append.
+LOG_KEYS = T.StructType([T.StructField("log_run", T.StringType()), T.StructField("log_attempt", T.IntegerType()),
+                         T.StructField("log_append", T.StringType())])
 #: Holds the text of a log line that is no record of the schema.
 CORRUPT = "corrupt_record"
 
 
-def read_run_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All records of a run log; a missing log is empty.
+def append_run_log(record: DataFrame, path: str, run: str | None = None, attempt: int = 0) -> None:
+    """Append one run's records; readers see all runs (no read-modify-write, so
+    concurrent runs cannot lose each other's rows).
+
+    Every append is a folder of its own (jobs that write into one folder at the same time clear
+    away each other's files) and carries the run's key, the attempt and a key of its own.  Of a run readers
+    see one append, the last one of its latest attempt, so a replayed job stores nothing
+    twice.  Without ``run`` an append is a run of its own."""
+    own = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    record.select("*", F.lit(run if run is not None else own).alias("log_run"), F.lit(int(attempt)).alias("log_attempt"),
+                  F.lit(own).alias("log_append")).write.mode("errorifexists").json(f"{path}/append-{own}")
 
-    Lines that are no record are kept, with their text in ``corrupt_record``
-    (null for good records); any other trouble with the path is raised."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _log_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The lines of every run's latest append, with their keys."""
+    full = T.StructType([*schema.fields, *LOG_KEYS.fields, T.StructField(CORRUPT, T.StringType())])
+    if not _exists(spark, path):
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = spark.read.schema(full).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    # one row a run
+    last = lines.filter("log_run IS NOT NULL").groupBy(F.col("log_run").alias("l_run")) \
+        .agg(F.max_by("log_append", F.struct("log_attempt", "log_append")).alias("l_append"))
+    kept = lines.join(last, F.col("log_run") == F.col("l_run"), "left").filter(F.col("l_run").isNull() | (F.col("log_append") == F.col("l_append")))
+    return kept.select(*full.fieldNames())
+
 
+def read_run_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of every run's latest append; a missing log is empty.
+
+    Lines without a run's key are kept all.  Lines that are no record are kept too, with their text in
+    ``corrupt_record`` (null for good records); any other trouble with the path is raised."""
+    return _log_lines(spark, path, schema).drop(*LOG_KEYS.fieldNames())
+
+
+def compact_run_log(spark: SparkSession, path: str, schema: T.StructType, to: str, files: int = 1) -> DataFrame:
+    """Write what readers of the log at ``path`` see now as a new log at ``to``, in few files, and read it there.
 
-def save_model(path: str, vocab: DataFrame, coef: DataFrame, intercept: float, meta: dict) -> None:
-    """A fitted text model as tables: vocabulary+idf, coefficients, header."""
+    The old log stays as it is, so a reader or a writer that still uses it loses nothing; runs keep their
+    keys, so a later attempt still takes an earlier one's place."""
+    _log_lines(spark, path, schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT).coalesce(files).write.mode("errorifexists").json(to)
+    return read_run_log(spark, to, schema)
+
+
+def save_model(path: str, vocab: DataFrame, coef: DataFrame, intercept: float, meta: dict) -> str:
+    """Publish a fitted text model as a new version: vocabulary+idf, coefficients, and last of all its manifest.
+
+    Versions are folders of their own, so a reader never meets the tables of two models, and
+    a version that was not finished has no manifest and is passed over.  Returns the version."""
     spark = vocab.sparkSession
-    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    coef.write.mode("overwrite").parquet(f"{path}/coefficients")
+    version = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    vocab.write.parquet(f"{path}/{version}/vocabulary")
+    coef.write.parquet(f"{path}/{version}/coefficients")
     head = dict(meta, intercept=float(intercept))
-    spark.createDataFrame([(json.dumps(head),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(head),)], "meta string").coalesce(1).write.text(f"{path}/{version}/manifest")
+    return version
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    return spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/coefficients"), meta
+def model_versions(spark: SparkSession, path: str) -> list[str]:
+    """The finished versions of a model, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    return [n for n in names if n.startswith("version-") and _exists(spark, f"{path}/{n}/manifest/_SUCCESS")]
+
+
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(vocabulary, coefficients, meta) of the newest finished version, or of the one named."""
+    if version is None:
+        versions = model_versions(spark, path)
+        if not versions:
+            raise FileNotFoundError(f"no finished model version at {path}")
+        version = versions[-1]
+    at = f"{path}/{version}"
+    meta = json.loads(spark.read.text(f"{at}/manifest").first()[0])
+    return spark.read.parquet(f"{at}/vocabulary"), spark.read.parquet(f"{at}/coefficients"), meta
 
 
 def preview(df: DataFrame, text_col: str | None = None, n_chars: int = 300, rows: int = 1) -> DataFrame:

@@ -252,3 +252,38 @@ def test_calibration_fits_each_fold_once(spark, monkeypatch):
     assert RB.calibration_report(oof, test).count() == 1
     assert runs == [5]
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+@pytest.mark.parametrize("spec", [L.LOGREG, L.SVM])
+def test_certificate_equals_dense_arithmetic(spark, small_vectors, spec):
+    """Gradient, objectives and gap of an arbitrary point, against dense rows."""
+    from claimlens.operators.certificate import certificate
+    docs = [(1, "aa bb cc", 1), (2, "aa dd", 0), (3, "bb bb dd ee", 1), (4, "", 0), (5, "cc ee aa", 0)]
+    df = spark.createDataFrame(docs, "row_id long, text string, label int")
+    cfg = T.TfidfConfig("word", (1, 1), None, min_df=1)
+    tf = T.term_counts(df, "text", cfg)
+    terms = ["aa", "bb", "cc", "dd", "ee"]
+    w, b = np.array([0.3, -0.2, 0.5, 0.1, -0.7]), 0.25
+    idf = np.array([1.0, 1.5, 2.0, 0.5, 1.2])
+    coef = spark.createDataFrame([(0, t, float(i), float(c)) for t, i, c in zip(terms, idf, w)] + [(0, None, 1.0, b)],
+                                 "run long, term string, idf double, coef double")
+    got = certificate(tf, df.select(F.lit(0).cast("long").alias("run"), "row_id", "label"), coef, spec).first()
+    x = np.array([[(1 + np.log(t.split().count(k))) * i if k in t.split() else 0.0 for k, i in zip(terms, idf)] for _, t, _ in docs])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    y01 = np.array([d[2] for d in docs])
+    y, s = np.where(y01 == 1, 1.0, -1.0), (5 / (2 * np.bincount(y01)))[y01]
+    g = gradient(x, y01, np.append(w, b), spec)
+    lost, _ = L.loss_terms(spec.loss, x @ w + b, y, s)
+    reg, _ = L.regulariser(spec.loss, np.append(w, b))
+    u, m = spec.C * s, y * (x @ w + b)
+    if spec.loss == "logistic":
+        a = u / (1 + np.exp(m))
+        a1, a0 = a[y > 0].sum(), a[y < 0].sum()
+        a = a * np.where(y > 0, min(1, a0 / a1), min(1, a1 / a0))
+        dual = -0.5 * np.sum((x.T @ (a * y)) ** 2) - np.sum(a * np.log(a / u) + (u - a) * np.log((u - a) / u))
+    else:
+        a = 2 * u * np.maximum(0, 1 - m)
+        dual = -0.5 * np.sum((x.T @ (a * y)) ** 2) - 0.5 * (a @ y) ** 2 + np.sum(a - a * a / (4 * u))
+    assert got["n_train"] == 5 and got["n_features"] == 5
+    assert got["grad_max"] == pytest.approx(np.max(np.abs(g))) and got["primal"] == pytest.approx(reg + spec.C * lost)
+    assert got["dual"] == pytest.approx(dual) and got["gap"] == pytest.approx((reg + spec.C * lost - dual) / (reg + spec.C * lost))

@@ -100,3 +100,38 @@ def test_few_shot_moves_no_texts(spark):
     window = plan[plan.index("Window "):]
     assert "mani_news" not in window.split("BroadcastExchange")[0] or "TakeOrderedAndProject" in plan
     assert "TakeOrderedAndProject" in plan and sample.count() == 5
+
+
+def test_ledger_resumes_and_asks_once_a_prompt(spark, tmp_path):
+    from claimlens.plans import prompt_eval as PE
+    calls, fail, at = str(tmp_path / "calls"), str(tmp_path / "fail"), str(tmp_path / "ledger")
+
+    def make():
+        import os
+
+        def fn(prompts):
+            if os.path.exists(fail) and os.path.exists(calls) and len(open(calls).read().split()) >= 10:
+                raise RuntimeError("model lost")
+            with open(calls, "a") as f:
+                f.write("".join(f"{p}\n" for p in prompts))
+            return [f"reply to {p}" for p in prompts]
+        return fn
+
+    rows = [(i, f"p{i % 20}") for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, prompt string")
+    open(fail, "w").close()
+    with pytest.raises(Exception, match="model lost"):
+        PE.score_with_ledger(df, at, "m", make, batch_size=2, commit_prompts=3).count()
+    kept = {r["response"].removeprefix("reply to ") for r in PE.read_ledger(spark, at).collect()}
+    assert 0 < len(kept) < 20
+    (tmp_path / "fail").rename(tmp_path / "mended")
+    before = len(open(calls).read().split())
+    got = PE.score_with_ledger(df, at, "m", make, batch_size=2, commit_prompts=3).collect()
+    assert sorted((r["id"], r["response"]) for r in got) == sorted((i, p and f"reply to {p}") for i, p in rows)
+    assert set(open(calls).read().split()[before:]) == {f"p{i}" for i in range(20)} - kept
+    assert len(open(calls).read().split()[before:]) == 20 - len(kept)
+    done = len(open(calls).read().split())
+    assert PE.score_with_ledger(df, at, "m", make).count() == len(rows) and len(open(calls).read().split()) == done
+    # another model's replies are its own
+    other = PE.score_with_ledger(df, at, "n", lambda: lambda ps: ["x"] * len(ps)).filter("prompt IS NOT NULL")
+    assert {r["response"] for r in other.collect()} == {"x"}

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,56 @@ def test_model_save_load(spark):
     assert v.count() == 1 and c.first()["coef"] == 0.25 and meta == {"loss": "logistic", "intercept": -0.1}
 
 
+def test_run_log_keeps_one_append_a_run(spark, tmp_path):
+    d = str(tmp_path / "log")
+    sch = T.StructType([T.StructField("seed", T.LongType()), T.StructField("f1", T.DoubleType())])
+
+    def rows(*values):
+        return spark.createDataFrame([(v, 0.5) for v in values], sch)
+
+    def seen(log):
+        return sorted(r["seed"] for r in log.collect())
+
+    FS.append_run_log(rows(1, 2), d, run="a")
+    FS.append_run_log(rows(1, 2), d, run="a")                 # a replay
+    FS.append_run_log(rows(3), d, run="b", attempt=1)
+    FS.append_run_log(rows(4), d, run="b", attempt=0)         # an earlier attempt that comes late
+    FS.append_run_log(rows(9), d)
+    assert seen(FS.read_run_log(spark, d, sch)) == [1, 2, 3, 9]
+    # concurrent appends lose none
+    threads = [threading.Thread(target=FS.append_run_log, args=(rows(100 + i), d, f"t{i}")) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen(FS.read_run_log(spark, d, sch)) == [1, 2, 3, 9, 100, 101, 102, 103]
+    new = str(tmp_path / "compact")
+    assert seen(FS.compact_run_log(spark, d, sch, new)) == [1, 2, 3, 9, 100, 101, 102, 103]
+    assert len([f for f in os.listdir(new) if f.endswith(".json")]) == 1
+    FS.append_run_log(rows(5), new, run="a", attempt=2)
+    assert seen(FS.read_run_log(spark, new, sch)) == [3, 5, 9, 100, 101, 102, 103]
+
+
+def test_an_unfinished_model_is_passed_over(spark, tmp_path):
+    d = str(tmp_path / "m")
+    vocab = spark.createDataFrame([("aa", 0, 1.5)], "term string, idx long, idf double")
+
+    def coef(x):
+        return spark.createDataFrame([("aa", 0, x)], "term string, idx long, coef double")
+
+    broken = coef(0.0).select("term", "idx", F.raise_error(F.lit("lost")).cast("double").alias("coef"))
+    with pytest.raises(FileNotFoundError):
+        FS.load_model(spark, d)
+    first = FS.save_model(d, vocab, coef(0.25), -0.1, {"loss": "logistic"})
+    with pytest.raises(Exception, match="lost"):
+        FS.save_model(d, vocab, broken, -0.2, {"loss": "logistic"})    # ends between the tables
+    assert FS.model_versions(spark, d) == [first]
+    assert FS.load_model(spark, d)[2]["intercept"] == -0.1
+    second = FS.save_model(d, vocab, coef(0.5), -0.3, {"loss": "logistic"})
+    assert FS.model_versions(spark, d) == [first, second]
+    assert FS.load_model(spark, d)[1].first()["coef"] == 0.5 and FS.load_model(spark, d, first)[1].first()["coef"] == 0.25
+
+
 def test_preview(spark):
     df = spark.createDataFrame([("x" * 500,), ("y",)], "t string")
     p = FS.preview(df, "t").collect()
