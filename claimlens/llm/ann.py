@@ -8,9 +8,12 @@ met, the footrule distance between the two orders (a pivot that one order lacks
 counts as last).  The share ``rerank`` of the shard nearest by footrule, and at
 least ``LEAST`` candidates for each neighbour asked for, are compared exactly.
 
-Nearness is the inner product, which is not a metric; pivots order the vectors
-extended by one component that makes all lengths equal, so that the order of
-distances is the order of inner products.
+Nearness is the inner product, which is not a metric.  Vectors extended by one component that
+makes all lengths equal have distances in the order of inner products; as that common
+length grows, the pivots p nearest to an extended x are those with the largest x.p - |p|^2 / 2, and those
+nearest to an extended query q the ones with the largest q.p.  These orders need no common
+length, so one very long vector changes them for no other.  The ``LONGEST`` vectors of a
+shard are compared with every query: a long vector can be near to queries that it shares no direction with.
 
 Equal vectors are one entry, with the smallest ids that a result can hold, so
 a vector that a third of all rows repeat costs one comparison.  Shards and query
@@ -37,6 +40,7 @@ PIVOTS = 256
 PREFIX = 64
 RERANK = 0.15
 LEAST = 20
+LONGEST = 32
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 4096
 
@@ -59,9 +63,15 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
         .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("rep"), "v", "ids")
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The numbers of the ``prefix`` nearest pivots of each row, nearest first (unit vectors: largest product)."""
-    near = x @ pivots.T
+def orders(x: np.ndarray, pivots: np.ndarray, prefix: int, stored: bool) -> np.ndarray:
+    """The numbers of the ``prefix`` nearest pivots of each row, nearest first; ``stored`` vectors are not queries."""
+    # each side is scaled by itself, so that products of finite components are finite; orders do not change
+    scale = np.maximum(np.abs(pivots).max(), 1e-300)
+    size = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    p = pivots / scale
+    near = (x / size) @ p.T
+    if stored:
+        near = near - (p * p).sum(axis=1) / 2 * (scale / size)
     return np.argsort(-near, axis=1, kind="stable")[:, :prefix]
 
 
@@ -95,15 +105,16 @@ class InvertedFiles:
 FOUND = "q_rep long, score double, vec_id long"
 
 
-def _search(k: int, pivots: np.ndarray, prefix: int, rerank: float, longest: float):
+def _search(k: int, pivots: np.ndarray, prefix: int, rerank: float):
     def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
             return pd.DataFrame({"q_rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "vec_id": pd.Series(dtype="int64")})
         x = np.stack(shard["v"].to_numpy()).astype(np.float64)
         y = np.stack(queries["v"].to_numpy()).astype(np.float64)
-        fill = np.sqrt(np.maximum(0.0, 1 - ((x / longest) ** 2).sum(axis=1)))
-        files = InvertedFiles(orders(np.column_stack([x / longest, fill]), pivots, prefix), len(pivots))
-        perms = orders(np.column_stack([y / np.linalg.norm(y, axis=1)[:, None], np.zeros(len(y))]), pivots, prefix)
+        files = InvertedFiles(orders(x, pivots, prefix, True), len(pivots))
+        perms = orders(y, pivots, prefix, False)
+        size = np.linalg.norm(x / np.abs(x).max(), axis=1)
+        long = np.argsort(-size, kind="stable")[:LONGEST]
         ids = shard["ids"].to_numpy()
         lengths = np.array([len(i) for i in ids])
         flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -111,7 +122,7 @@ def _search(k: int, pivots: np.ndarray, prefix: int, rerank: float, longest: flo
         q_at, found, scores = [], [], []
         for q, perm in enumerate(perms):
             far = files.footrule(perm)
-            near = np.argpartition(far, take - 1)[:take] if take < len(x) else np.arange(len(x))
+            near = np.union1d(np.argpartition(far, take - 1)[:take], long) if take < len(x) else np.arange(len(x))
             # row by row in one fixed order of summation: equal vectors get equal scores
             score = (x[near] * y[q]).sum(axis=1)
             if len(near) > k + 1:  # ties with the last one stay
@@ -141,18 +152,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     n, n_queries = entries.count(), faces.count()
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     # pivots: a bounded sample, the same however the rows lie
     sample = [r["v"] for r in entries.orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()]
-    p = np.array(sample, dtype=np.float64) / longest
-    p = np.column_stack([p, np.sqrt(np.maximum(0.0, 1 - (p ** 2).sum(axis=1)))])
+    p = np.array(sample, dtype=np.float64)
     shards, blocks = -(-n // shard_rows), -(-n_queries // block_queries)
     rows = entries.select("ids", "v", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("long").alias("shard"),
                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     ask = faces.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     found = rows.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(
-        _search(k, p, min(prefix, len(p)), rerank, longest), FOUND)
+        _search(k, p, min(prefix, len(p)), rerank), FOUND)
     by_face = Window.partitionBy("q_rep").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("place", F.row_number().over(by_face)).filter(F.col("place") <= k + 1)
     lists = best.groupBy("q_rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))

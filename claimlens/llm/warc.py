@@ -6,6 +6,10 @@ skips the payloads of records (or of whole reads) that do not want them.
 Members are compressed one record each and carry the ``sl`` field of the WARC
 standard's gzip annex: their compressed length, so a skipped record costs one seek.
 
+Archives without that field, such as a crawler's, are read too: each by one task, which finds the
+members' ends by inflating them.  Of archives written here readers take those that a commit's
+manifest names, so what a failed or repeated task attempt wrote is never read.
+
 Pushed down: equality and ``in`` on ``record_type``, ``target_uri``, ``record_id``,
 ``payload_digest`` and ``page_id``.  Without a ``payload`` column in the read's
 schema no payload is decoded.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -172,8 +177,11 @@ class _Reader(DataSourceReader):
         system, at = _fs(self.path)
         info = system.get_file_info(at)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
-        found = sorted((f.path, f.size) for f in files if f.type == fs.FileType.File and f.size
-                       and f.path.endswith((".warc.gz", ".warc")))
+        committed = {name for f in files if f.base_name.startswith(_MANIFEST)
+                     for name in system.open_input_stream(f.path).readall().decode().split()}
+        # of archives that this source wrote only those that a commit names: another attempt's file is no archive
+        found = sorted((f.path, f.size) for f in files if f.type == fs.FileType.File and f.size and f.path.endswith((".warc.gz", ".warc"))
+                       and (info.type == fs.FileType.File or f.base_name in committed or not _OWN.fullmatch(f.base_name)))
         return [Range(p, a, min(a + (self.range if p.endswith(".gz") else n), n), n)
                 for p, n in found for a in range(0, n, self.range if p.endswith(".gz") else n)]
 
@@ -184,7 +192,12 @@ class _Reader(DataSourceReader):
         rows: list[dict] = []
         held = 0
         with system.open_input_file(part.path) as file:
-            records = _members(file, part) if part.path.endswith(".gz") else _plain(file, part)
+            if not part.path.endswith(".gz"):
+                records = _plain(file, part)
+            elif _has_lengths(file):
+                records = _members(file, part)
+            else:  # members without a length field: the first range's task reads the whole file
+                records = _foreign(file, part) if part.start == 0 else ()
             for head, more in records:
                 row = self._row(_headers(head), more)
                 if row is not None:
@@ -222,18 +235,25 @@ class _Stream:
     """Decodes a record only as far as it is asked for."""
 
     def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.held = chunks, b""
+        self.chunks, self.held, self.taken = chunks, bytearray(), 0
 
     def __call__(self, until: bytes | None, size: int) -> bytes:
-        """The bytes through ``until``, or ``size`` bytes."""
+        """The bytes through ``until``, or ``size`` bytes; fewer at the end."""
+        seen = 0
         while True:
-            end = self.held.find(until) + len(until) if until and until in self.held else None
-            if until is None and len(self.held) >= size:
+            end = None
+            if until is not None:
+                found = self.held.find(until, seen)
+                end = found + len(until) if found >= 0 else None
+                seen = max(0, len(self.held) - len(until or b"") + 1)
+            elif len(self.held) >= size:
                 end = size
             chunk = b"" if end is not None else next(self.chunks, b"")
             if end is not None or not chunk:
                 end = len(self.held) if end is None else end
-                out, self.held = self.held[:end], self.held[end:]
+                out = bytes(self.held[:end])
+                del self.held[:end]
+                self.taken += end
                 return out
             self.held += chunk
 
@@ -260,6 +280,53 @@ def _members(file, part: Range):
         at += packed
 
 
+def _has_lengths(file) -> bool:
+    """Whether the file's first gzip member states its length, as this source writes them."""
+    file.seek(0)
+    head = file.read(_HEAD.size)
+    if len(head) < _HEAD.size:
+        return False
+    magic, _, _, _, _, name, *_ = _HEAD.unpack(head)
+    return magic == _MAGIC and name == b"sl"
+
+
+def _foreign(file, part: Range):
+    """The records of any gzip file, whether each is a member or a member holds many: a member ends where inflating it ends."""
+    file.seek(0)
+    rest = file.read(1 << 18)
+
+    def chunks():
+        nonlocal rest
+        while rest:
+            inflate = zlib.decompressobj(31)
+            while not inflate.eof:
+                raw, rest = rest or file.read(1 << 18), b""
+                if not raw:
+                    out = inflate.flush()
+                    if not inflate.eof:
+                        raise EOFError(f"{part.path}: the last member is cut off")
+                    yield out
+                # bounded pieces, however well the member is packed
+                while raw and not inflate.eof:
+                    out = inflate.decompress(raw, 1 << 20)
+                    raw = inflate.unconsumed_tail
+                    if out:
+                        yield out
+            rest = inflate.unused_data.lstrip(b"\0") or file.read(1 << 18)
+
+    stream = _Stream(chunks())
+    while True:
+        head = stream(b"\r\n\r\n", 0)
+        if not head.strip():
+            return
+        if not head.lstrip().startswith(b"WARC/"):
+            raise ValueError(f"{part.path}: no record where one should begin")
+        end = stream.taken + int(_headers(head.lstrip()).get("content-length", 0)) + 4
+        yield head.lstrip(), stream
+        while stream.taken < end and stream(None, min(1 << 20, end - stream.taken)):
+            pass
+
+
 def _plain(file, part: Range):
     at = 0
     while at < part.size:
@@ -285,34 +352,50 @@ class _Done(WriterCommitMessage):
     path: str
 
 
+#: Names of archives that this source writes; they count once a manifest names them.
+_OWN = re.compile(r"part-[0-9a-f]{32}-[0-9a-f]{32}\.warc\.gz")
+_MANIFEST = "_manifest-"
+
+
 class _Writer(DataSourceArrowWriter):
-    """One archive for each task, under a name of its own; a failed or repeated attempt's file is removed."""
+    """One archive for each attempt of a task, under a name of its own.
+
+    ``commit`` writes a manifest of the finished tasks' archives, which readers go by, and removes what
+    failed or repeated attempts left; what an attempt leaves later still is in no manifest."""
 
     def __init__(self, options):
         self.path = _uri(options["path"])
         self.date = options.get("date", "1970-01-01T00:00:00Z")
+        self.job = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Done:
         system, at = _fs(self.path)
         system.create_dir(at, recursive=True)
-        name = f"{at}/part-{uuid.uuid4().hex}.warc.gz"
-        with system.open_output_stream(name, compression=None) as out:
+        name = f"part-{self.job}-{uuid.uuid4().hex}.warc.gz"
+        with system.open_output_stream(f"{at}/{name}", compression=None) as out:
             for batch in batches:
                 for i in range(batch.num_rows):
                     r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
                     out.write(member(_page_record(r, self.date)))
         return _Done(name)
 
+    def _clear(self, keep: set[str]) -> None:
+        from pyarrow import fs
+        system, at = _fs(self.path)
+        for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.base_name not in keep:
+                system.delete_file(f.path)
+
     def commit(self, messages) -> None:
         system, at = _fs(self.path)
-        with system.open_output_stream(f"{at}/_SUCCESS", compression=None):
-            pass
+        system.create_dir(at, recursive=True)
+        names = sorted(m.path for m in messages if m is not None)
+        with system.open_output_stream(f"{at}/{_MANIFEST}{self.job}", compression=None) as out:
+            out.write("".join(f"{n}\n" for n in names).encode())
+        self._clear(set(names))
 
     def abort(self, messages) -> None:
-        system, _ = _fs(self.path)
-        for m in messages:
-            if m is not None:
-                system.delete_file(m.path)
+        self._clear(set())
 
 
 def _page_record(r: dict, date: str) -> bytes:

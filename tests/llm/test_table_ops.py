@@ -6,6 +6,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -142,6 +143,19 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("n", [1500, 4500])
+def test_recall_with_one_very_long_vector(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(n)]
+    rows[7] = (7, (rng.normal(size=32) * 1e10).tolist())
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = brute_neighbours(rows)
+    hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    # the long one is found wherever it is among the nearest
+    assert all(any(i == 7 for _, i, _ in got[q]) for q in want if any(i == 7 for i, _ in want[q]))
+
+
 def test_everything_reranked_is_exact_with_ties(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(15, 8)).astype(np.float32)
@@ -303,6 +317,56 @@ def test_warc_ranges_find_records_with_long_code_tables(tmp_path):
         assert [i for p in parts for b in reader.read(p) for i in b.column(0).to_pylist()] == list(range(300))
 
 
+def test_warc_counts_finished_attempts_only(spark, tmp_path):
+    at = str(tmp_path / "w")
+    warc.write_pages(pages_of(spark, [(i, f"u{i}", f"page {i}") for i in range(50)]), at)
+    names = ["page_id", "url", "html", "refers_to"]
+
+    def batch(ids):
+        return pa.record_batch([pa.array(ids), pa.array(["u"] * len(ids)), pa.array([f"new {i}" for i in ids]),
+                                pa.array([None] * len(ids), pa.int64())], names=names)
+
+    def lost():
+        yield batch([100, 101])
+        raise RuntimeError("executor lost")
+
+    writer = warc._Writer({"path": at})
+    with pytest.raises(RuntimeError):
+        writer.write(lost())                                 # half of a task's rows, then the attempt ends
+    done = writer.write(iter([batch([100, 101, 102, 103])]))   # the next attempt
+    writer.write(iter([batch([100, 101, 102, 103])]))          # a speculative one that comes second
+    want = list(range(50))
+    assert sorted(r["page_id"] for r in spark.read.format("warc").load(at).collect()) == want  # nothing of a job before its commit
+    writer.commit([done])
+    late = warc._Writer({"path": at})
+    late.job = writer.job
+    late.write(iter([batch([100])]))                           # and one that ends after the commit
+    assert sorted(r["page_id"] for r in spark.read.format("warc").load(at).collect()) == [*want, 100, 101, 102, 103]
+    other = warc._Writer({"path": at})
+    other.write(iter([batch([7])]))
+    other.abort([])
+    assert not [f for f in os.listdir(at) if other.job in f]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_warc_reads_archives_without_length_fields(spark, tmp_path, whole):
+    import gzip
+    pages = [(i, f"http://h/{i}", f"<p>page {i}</p>" * (1 + 997 * (i % 7))) for i in range(60)] + [(90, "http://h/90", "z" * 5_000_000)]
+    records = [zlib.decompressobj(-15).decompress(warc.member(warc._page_record(
+        {"page_id": i, "url": u, "html": h, "refers_to": None}, "2020-01-01T00:00:00Z"))[warc._HEAD.size:]) for i, u, h in pages]
+    at = tmp_path / "crawl.warc.gz"
+    at.write_bytes(gzip.compress(b"".join(records)) if whole else b"".join(gzip.compress(r) for r in records))
+    read = spark.read.format("warc").option("rangebytes", "5000").load(str(at))
+    got = {r["page_id"]: r for r in read.collect()}
+    assert got.keys() == {p[0] for p in pages} and read.count() == len(pages)
+    assert all(bytes(got[i]["payload"]) == h.encode() for i, _, h in pages)
+    assert [r["page_id"] for r in read.filter("target_uri = 'http://h/33'").select("page_id").collect()] == [33]
+    cut = tmp_path / "cut.warc.gz"
+    cut.write_bytes(at.read_bytes()[:-40])
+    with pytest.raises(Exception, match="cut off"):
+        spark.read.format("warc").load(str(cut)).count()
+
+
 def test_warc_edge_cases(spark, tmp_path):
     none = pages_of(spark, [])
     assert warc.archive_digest(none).count() == 0
