@@ -11,8 +11,9 @@ does not fall as rows are added, as a minimum does, and at least one text of eac
 language lies below it, so one odd labelled text loosens nothing.
 
 Document frequencies, class sizes and rejection quantiles (read from histograms of
-``BINS`` bins a language, summed over the tasks) come from all training texts; k-means alone fits on a bounded sample, about ``sample`` texts a language: those
-whose hash lies below sample / texts of the hash's range.  Centroids are languages x centroids x dimensions numbers (64 KB a
+``BINS`` bins a language, summed over the tasks) come from all training texts; k-means alone fits on a bounded sample, about ``sample`` different texts a language: those
+whose hash lies below sample / different texts of the hash's range, and that with the smallest hash in any case.  A text that many rows
+repeat counts once there, so copies neither fill the sample nor keep a language out of it.  Centroids are languages x centroids x dimensions numbers (64 KB a
 language); ``MAX_LANGUAGES`` bounds what is broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
@@ -156,15 +157,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack
     idf = np.log((1 + n) / (1 + df)) + 1
     if not n:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
-    sizes = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    h = F.xxhash64("text")
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct(h).alias("texts"), F.min(h).alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # hashes are uniform, so a bound on them is a share of a language's rows
-    bounds = F.create_map(*[x for lang, rows in sizes for x in (
-        F.lit(lang), F.lit(-(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // rows)))])
-    h = F.xxhash64("doc_id", "text")
-    chosen = train.withColumn("h", h).filter(F.col("h") <= F.try_element_at(bounds, F.col("lang")))
-    rows = chosen.select("lang", "h", "text").groupBy("lang").applyInPandas(_fit_language(idf, centroids), "lang string, centroid array<float>") \
+    # hashes are uniform, so a bound on them is a share of a language's texts
+    bounds = F.create_map(*[x for lang, texts, least in sizes for x in (
+        F.lit(lang), F.lit(max(least, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // max(1, texts)))))])
+    chosen = train.select("lang", "text", h.alias("h")).filter(F.col("h") <= F.try_element_at(bounds, F.col("lang"))) \
+        .groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies meet in their own tasks first
+    rows = chosen.groupBy("lang").applyInPandas(_fit_language(idf, centroids), "lang string, centroid array<float>") \
         .collect()
     rows.sort(key=lambda r: r["lang"])
     model = Model([r["lang"] for r in rows], np.array([r["centroid"] for r in rows], dtype=np.float32), idf, np.zeros(len(rows)))

@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import spans as S
-from claimlens.session import scratch_path
+from claimlens.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,17 @@ def versions(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(path).alias("path"), t.alias("text"), F.sha2(t, 256).alias("blob"))
 
 
+def without_repeats(vers: DataFrame) -> DataFrame:
+    """``vers`` with one row a path and blob.  Rows are compared by hashes; only the few that share one are
+    reduced, in their own tasks first, so a row that a third of all rows repeat is one a task."""
+    h = F.xxhash64("path", "blob")
+    same = materialize(vers.select(h.alias("s_h")).groupBy("s_h").agg(F.count("*").alias("n")).filter("n > 1").select("s_h"), "repeated-versions")
+    if same.isEmpty():
+        return vers
+    once = vers.join(same, h == F.col("s_h"), "left_anti")
+    return once.unionByName(vers.join(same, h == F.col("s_h"), "left_semi").dropDuplicates(["path", "blob"]))
+
+
 def read_ledger(spark: SparkSession, ledger: str | None) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(ledger) if ledger else spark.createDataFrame([], LEDGER_SCHEMA)
 
@@ -78,10 +89,11 @@ def scan_unseen(vers: DataFrame, ledger: str | None, out: str, rules: list[Rule]
     """Scan the (blob, rule version) pairs that ``ledger`` lacks and append them to the Parquet
     table ``out`` (which may be the ledger itself).  Returns the number of pairs scanned."""
     spark = vers.sparkSession
+    vers = without_repeats(vers)
     want = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     seen = read_ledger(spark, ledger).select("blob", "kind", "version").groupBy("blob").agg(
         F.collect_set(F.struct("kind", "version")).alias("seen"))  # at most one element a rule version
-    chosen = vers.groupBy("blob").agg(F.min("path").alias("path"), F.count("path").alias("n"))
+    chosen = vers.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger:
         chosen = chosen.join(seen, "blob", "left").select(
             "blob", "path", F.array_except(want, F.coalesce("seen", F.array().cast(
@@ -97,8 +109,9 @@ def scan_unseen(vers: DataFrame, ledger: str | None, out: str, rules: list[Rule]
                                F.col(f"r{i}").alias("spans")) for i, r in enumerate(rules)])
     scanned = found.select("blob", F.explode(F.filter(pairs, lambda p: p["spans"].isNotNull())).alias("p")) \
         .select("blob", "p.*")
-    scanned.write.mode("append").parquet(out)
-    return spark.read.schema(LEDGER_SCHEMA).parquet(out).count()
+    written = Observation()
+    scanned.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(out)
+    return written.get["n"]
 
 
 def findings_by_blob(ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

@@ -264,3 +264,41 @@ def test_odd_labelled_texts_do_not_loosen_rejection(spark, n, junk):
     assert all(r["rejected"] for r in langid.predict(other, model).collect())
     got = langid.predict(docs.filter("doc_id < 10000"), model).collect()
     assert not any(r["rejected"] for r in got) and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_repeated_versions_are_scanned_once(spark, tmp_path):
+    rows = [(1, "password = hunter2hunter2 x")] * 20_000 + [(None, "token: abcdefgh12345")] * 300 + [(2, "plain"), (3, "password = hunter2hunter2 x")]
+    vers = secrets.versions(frame(spark, rows))
+    at = str(tmp_path / "ledger")
+    pairs = 3 * len(secrets.RULES)
+    assert secrets.scan_unseen(vers, None, at) == pairs
+    ledger = secrets.read_ledger(spark, at)
+    assert ledger.count() == pairs == ledger.select("blob", "kind").distinct().count()
+    assert secrets.scan_unseen(vers, at, at) == 0 and secrets.read_ledger(spark, at).count() == pairs
+    got = secrets.scan(frame(spark, rows), at)
+    assert got.count() == len(rows) and got.filter("size(found) = 1").count() == len(rows) - 1
+
+
+def test_copies_neither_fill_the_sample_nor_keep_a_language_out(spark, monkeypatch):
+    from claimlens.llm import langid
+    german = [f"der hund und die katze nummer {i} gehen in den wald" for i in range(28)]
+    rows = [(1, "the dog and the cat walk into the wood", "en")] * 20_000 + [(100 + i, t, "de") for i, t in enumerate(german)]
+    rows += [(None, "le chien et le chat vont dans la foret", "fr")] * 5_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = langid._fit_language
+
+    def counted(idf, k):
+        run = fit(idf, k)
+
+        def checked(rows):
+            if len(rows) > 28:
+                raise AssertionError("copies in the sample")
+            return run(rows)
+        return checked
+
+    monkeypatch.setattr(langid, "_fit_language", counted)
+    for sample in (2000, 1):
+        model = langid.fit(docs, sample=sample)
+        assert set(model.langs) == {"de", "en", "fr"}
+    got = langid.predict(docs.dropDuplicates(["text"]), model).select("lang", "lang_pred").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got if r["lang"] != "de")
