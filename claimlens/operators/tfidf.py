@@ -284,6 +284,17 @@ def tfidf(df: DataFrame, text_col: str, cfg: TfidfConfig, fit_on: tuple[str, str
     """Fit the vocabulary on rows where ``fit_on[0] == fit_on[1]`` (all rows
     if None) and weight every row -> (weights, vocabulary)."""
     cols = tuple(dict.fromkeys([*keep, *([fit_on[0]] if fit_on else [])]))
+    # the term table feeds both the vocabulary and the weights: the n-grams are generated once
+    tf = materialize(term_counts(df, text_col, cfg, id_col, keep=cols), "term-counts")
+    cond = F.lit(True) if fit_on is None else F.col(fit_on[0]) == F.lit(fit_on[1])
+    vocab = materialize(fit_vocabulary(tf.filter(cond), df.filter(cond).count(), cfg), "vocabulary")
+    return tfidf_weights(tf, vocab, id_col, cfg.sublinear_tf, keep=tuple(keep)), vocab
+
+
+def tfidf_by_id(df: DataFrame, text_col: str, cfg: TfidfConfig, fit_on: tuple[str, str] | None = None,
+                id_col: str = "row_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``tfidf`` on term ids: half the bytes in every table and shuffle, for a second pass over the texts."""
+    cols = tuple(dict.fromkeys([*keep, *([fit_on[0]] if fit_on else [])]))
     cond = F.lit(True) if fit_on is None else F.col(fit_on[0]) == F.lit(fit_on[1])
     n_docs = df.filter(cond).count()
 

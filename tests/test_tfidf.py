@@ -63,7 +63,7 @@ def test_ids_equal_strings_and_collisions_draw_them_anew(spark, cfg, monkeypatch
     assert by_id.count() == tf.count()
     assert by_id.exceptAll(tf.select("row_id", T.term_id("term", 0).alias("tid"), "tf")).count() == 0
     want = {tuple(r) for r in T.fit_vocabulary(tf, len(docs), cfg).collect()}
-    weights, voc = T.tfidf(df, "text", cfg)
+    weights, voc = T.tfidf_by_id(df, "text", cfg)
     assert {tuple(r) for r in voc.collect()} == want
     weighed = weights.collect()
     # ids of one bit under the first salt: the terms that share one are noticed, the next salt is taken
@@ -74,7 +74,7 @@ def test_ids_equal_strings_and_collisions_draw_them_anew(spark, cfg, monkeypatch
         return real(term, salt) % 2 if salt == 0 else real(term, salt)
 
     monkeypatch.setattr(T, "term_id", narrow)
-    weights, voc = T.tfidf(df, "text", cfg)
+    weights, voc = T.tfidf_by_id(df, "text", cfg)
     assert {tuple(r) for r in voc.collect()} == want and {0, 1} <= set(used)
     assert sorted(map(tuple, weights.collect())) == sorted(map(tuple, weighed))
 
