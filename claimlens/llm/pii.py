@@ -138,8 +138,7 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         return F.array_sort(F.concat(*[F.coalesce(_spans(k, F.col(f"{prefix}_{k}"), base), none) for k in KINDS]))
 
     both = raw.select("row", union("b", True).alias("base"), union("w", False).alias("wide"))
-    free = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return both.select("row", "base", free.alias("proposed"))
+    return both.select("row", "base", S.apart(F.col("wide"), F.col("base")).alias("proposed"))
 
 
 # ---------------------------------------------------------------- label model
@@ -236,12 +235,4 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in angle brackets; overlapping spans become one mark."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))) \
-            .otherwise(a["out"])
-        return F.struct(gap.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))) \
-        .otherwise(text)
+    return S.replaced(text, spans, lambda s: F.get(names, s["kind"]))

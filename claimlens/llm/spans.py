@@ -7,14 +7,44 @@ sums of their lengths are the offsets.  ``length`` counts code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Matches are summed in blocks of this many, so that a text with very many
-#: matches costs matches x BLOCK steps and not the square of their number.
+#: Running values are made in blocks of this many, whose totals are run over in blocks again.
 BLOCK = 64
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, however often ``use`` names it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(xs: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What ``op`` (associative, 0 neutral, on integers) makes of all elements before each one, 0 for the first.
+
+    A block's fold copies what it has at every step, so the work is elements x BLOCK plus the square of
+    elements / BLOCK^levels.  ``xs`` must not be null or empty.
+    """
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(op(F.get(a, F.size(a) - 1), x))))
+
+    if not levels:
+        return bound(fold(xs), lambda v: F.slice(v, F.lit(1), F.size(v) - 1))
+
+    def blocks(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / F.lit(BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined_up(w: Column) -> Column:
+        before = running(F.transform(w, lambda b: F.get(b, F.size(b) - 1)), op, levels - 1)
+        return F.flatten(F.zip_with(w, before, lambda b, t: F.transform(
+            F.slice(b, F.lit(1), F.size(b) - 1), lambda x: op(t, x))))
+
+    return bound(bound(xs, blocks), joined_up)
+
+
 def raw_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<i, start, end, match, part, before, after>>, null if nothing matches.
 
@@ -31,34 +61,68 @@ def raw_spans(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _offsets(x: Column) -> Column:
-    n = F.size(x["m"])
-    rows = F.zip_with(F.slice(x["g"], F.lit(1), n), x["m"],
-                      lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, r: a + r["g"] + r["m"])
-
-    blocks = F.floor((n - 1) / F.lit(BLOCK)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), blocks), lambda b: total(F.slice(rows, b * BLOCK + 1, F.lit(BLOCK))))
-    before = F.transform(F.sequence(F.lit(0), blocks),
-                         lambda b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda a, s: a + s))
-    packed = F.array(F.struct(rows.alias("rows"), before.alias("pre"), x["m"].alias("m"),
-                              x["p"].alias("p"), x["g"].alias("g")))
+    sizes = F.zip_with(F.slice(x["g"], F.lit(1), F.size(x["m"])), x["m"], lambda g, m: F.length(g) + F.length(m))
+    packed = F.struct(running(sizes, lambda a, b: a + b).alias("pre"), x["m"].alias("m"), x["p"].alias("p"), x["g"].alias("g"))
 
     def one(y: Column) -> Column:
         def at(i: Column) -> Column:
-            b = F.floor(i / F.lit(BLOCK)).cast("int")
-            start = (F.get(y["pre"], b) + total(F.slice(y["rows"], b * BLOCK + 1, i % BLOCK))
-                     + F.get(y["rows"], i)["g"])
+            start = F.get(y["pre"], i) + F.length(F.get(y["g"], i))
             return F.struct(
-                i.alias("i"), start.alias("start"), (start + F.get(y["rows"], i)["m"]).alias("end"),
+                i.alias("i"), start.alias("start"), (start + F.length(F.get(y["m"], i))).alias("end"),
                 F.get(y["m"], i).alias("match"), F.get(y["p"], i).alias("part"),
                 F.substring(F.get(y["g"], i), -40, 40).alias("before"),
                 F.substring(F.get(y["g"], i + 1), 1, 8).alias("after"))
 
         return F.transform(F.sequence(F.lit(0), F.size(y["m"]) - 1), at)
 
-    return F.flatten(F.transform(packed, one))
+    return bound(packed, one)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The ``spans`` that overlap none of ``others``, both arrays of structs with start and end, sorted.
+
+    One sorted list of the others' starts and the spans' ends: the furthest end of the others
+    that start before a span's end tells whether one reaches into it.
+    """
+    none = F.lit(None).cast("boolean")
+    starts = F.transform(others, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("turn"), b["end"].alias("reach"),
+                                                    F.when(none, F.get(spans, 0)).alias("span")))
+    ends = F.transform(spans, lambda w: F.struct(w["end"].alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("reach"),
+                                                 w.alias("span")))
+
+    def free(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        judged = F.zip_with(events, reach, lambda e, r: F.struct(e["span"].alias("span"), (r <= e["span"]["start"]).alias("free")))
+        return F.array_sort(F.transform(F.filter(judged, lambda j: j["free"]), lambda j: j["span"]))
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), bound(F.array_sort(F.concat(starts, ends)), free)).otherwise(spans)
+
+
+#: Code points in a stretch of a text that is cut at many places.
+STRETCH = 1024
+
+
+def replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """``text`` with ``mark(span)`` for every span (structs with start and end, sorted by start);
+    of spans that overlap, the first one's mark stands for all.  Linear: the text is cut into stretches once."""
+    def piece(parts: Column, start: Column, end: Column) -> Column:
+        def part(c: Column) -> Column:
+            low = F.greatest(start - c * STRETCH, F.lit(0))
+            return F.substr(F.get(parts, c), low + 1, F.least(end - c * STRETCH, F.lit(STRETCH)) - low)
+
+        first, last = (F.floor(x / F.lit(STRETCH)).cast("int") for x in (start, end - 1))
+        return F.when(start < end, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+    def pieces(v: Column) -> Column:
+        reach = running(F.transform(v["spans"], lambda s: s["end"]), F.greatest)
+        kept = F.zip_with(v["spans"], reach, lambda s, r: F.when(
+            s["start"] >= r, F.concat(piece(v["parts"], r, s["start"]), mark(s))).otherwise(""))
+        rest = piece(v["parts"], F.array_max(F.transform(v["spans"], lambda s: s["end"])), v["size"])
+        return F.concat(F.array_join(kept, ""), rest)
+
+    parts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}+" % STRETCH), F.lit(0))
+    packed = F.struct(parts.alias("parts"), spans.alias("spans"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, bound(packed, pieces)).otherwise(text)
 
 
 def digits(s: Column) -> Column:

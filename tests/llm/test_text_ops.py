@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,66 @@ def test_many_matches_have_right_offsets(spark):
     assert [(s["start"], s["end"], s["match"]) for s in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 4096, 4097, 9000])
+def test_running_values_equal_a_loop(spark, n):
+    xs = [(7 * i) % 11 for i in range(n)]
+    row = spark.createDataFrame([(xs,)], "xs array<int>").select(
+        spans.running(F.col("xs"), lambda a, b: a + b).alias("s"), spans.running(F.col("xs"), F.greatest).alias("m")).first()
+    assert row["s"] == [0, *np.cumsum(xs)[:-1]] and row["m"] == [0, *np.maximum.accumulate(xs)[:-1]]
+
+
+def some_spans(seed, n, size, longest):
+    rng = np.random.default_rng(seed)
+    starts = rng.integers(0, size - longest, n)
+    return sorted((int(a), int(rng.integers(0, 4)), int(a + rng.integers(1, longest + 1))) for a in starts)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def test_apart_equals_all_pairs(spark):
+    cases = [(some_spans(i, n, 3000, 9), some_spans(100 + i, m, 3000, 40)) for i, (n, m) in enumerate([(0, 5), (5, 0), (200, 40), (300, 300), (1, 1)])]
+    got = spark.createDataFrame(cases, f"w {SPANS}, b {SPANS}").select("w", "b", spans.apart(F.col("w"), F.col("b")).alias("f")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        assert r["f"] == [w for w in r["w"] if not any(b["start"] < w["end"] and w["start"] < b["end"] for b in r["b"])]
+
+
+def test_replaced_equals_a_loop(spark):
+    text = "".join(chr(c) for c in np.random.default_rng(3).integers(0x20, 0x24F, 5000)) + "\U0001f600\n" * 300
+    cases = [(text, some_spans(i, n, len(text), w)) for i, (n, w) in enumerate([(0, 5), (1, 5), (400, 3), (50, 3000), (900, 1)])]
+    cases += [("", []), ("ab", [(0, 1, 2)]), ("x" * 2048, [(0, 0, 1024), (1024, 1, 2048)]), (None, [])]
+    got = spark.createDataFrame(cases, f"t string, s {SPANS}").select("t", "s", spans.replaced(
+        F.col("t"), F.col("s"), lambda s: F.concat(F.lit("<"), s["kind"].cast("string"), F.lit(">"))).alias("r")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        out, at = "", 0
+        for s in r["s"]:
+            if s["start"] >= at:
+                out += r["t"][at:s["start"]] + f"<{s['kind']}>"
+            at = max(at, s["end"])
+        assert r["r"] == (None if r["t"] is None else out + r["t"][at:])
+
+
+def test_fifty_thousand_matches_in_linear_time(spark):
+    line = "a@b.cc (415) 555-2671 token=abcdefgh1 "
+
+    def seconds(n):
+        docs = frame(spark, [(1, line * n)])
+        begun = time.time()
+        marked = pii.detect(docs, keep=["doc_id", "text"]).select("base", "spans", pii.redact(F.col("row.text"), F.col("spans")).alias("t")).first()
+        found = secrets.scan(docs).first()["found"]
+        took = time.time() - begun
+        assert len(marked["base"]) == n and len(found) == n
+        assert [s["start"] for s in marked["base"]] == [i * len(line) for i in range(n)]
+        assert marked["t"].startswith("<EMAIL> ") and marked["t"].count("<EMAIL>") == n
+        return took
+
+    seconds(500)
+    few, many = seconds(5_000), seconds(50_000)
+    assert many < 10 * few + 20
+
+
 # ---------------------------------------------------------------- secrets
 
 def test_secrets_equal_python(spark):
