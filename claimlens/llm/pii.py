@@ -12,10 +12,13 @@ proposed, gets votes from labelers: 1 (personal), 0 (not), null (no opinion).
 * ``cue`` (context): a cue word shortly before, for or against.
 
 Expectation-maximisation over the table of vote patterns (at most 3^5 rows a
-kind, counted over all spans) estimates how reliable each labeler is; a
-logistic regression over the votes, trained on the patterns weighted by count
-and by their estimated probability, is the final classifier.  Proposed spans
-that it accepts and that overlap no base span are added.
+kind, counted over all spans) estimates how reliable each labeler is.  Its
+probabilities are the soft labels of the final span classifier, a logistic
+regression over the votes and over the span's shape and context (length, share
+of digits, capitals, the characters on both sides), which no labeler sees in
+full.  It is trained on the distinct combinations, counted over all spans and
+weighted by the logarithm of their counts; their number has a fixed bound.
+Proposed spans that it accepts and that overlap no base span are added.
 
 Defined results: null text is the empty text and has no spans; rows are judged
 one by one, so null or repeated ids and repeated rows are kept as they are; an
@@ -48,13 +51,16 @@ BASE = {
 }
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z]{2,24}+)++",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
+    # eight groups; or fewer around "::", or before it if the first is long, with a digit (IPv4 tails are base spans)
+    "ip": r"(?<![0-9A-Za-z:._])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+          r"|(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{3,4}:(?:[0-9A-Fa-f]{1,4}:){1,5}:)"
+          r")(?![0-9A-Za-z:_]|\.[0-9])",
     "card": r"(?<![0-9./_-])[0-9]{4}(?:([._/])[0-9]{4})(?:\1[0-9]{4}){2}(?![0-9./_-])",
     "phone": r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
 }
 #: A literal or class without which a text is not searched.
 NEEDS = {"email": "@", "phone": r"\+[0-9]", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{11}",
-         "wide_email": r"[(\[{]at[)\]}]", "wide_ip": "[0-9A-Fa-f]:[0-9A-Fa-f]", "wide_card": "[0-9][._/][0-9]{4}[._/]",
+         "wide_email": r"[(\[{]at[)\]}]", "wide_ip": "[0-9A-Fa-f]::?[0-9A-Fa-f]", "wide_card": "[0-9][._/][0-9]{4}[._/]",
          "wide_phone": "[0-9][ .-][0-9]{4}"}
 
 # Cue words, domains, issuers.
@@ -113,15 +119,39 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "struct<start:int,kind:int,end:int,votes:struct<" + ",".join(f"{k}:int" for k in LABELERS) + ">>"
+#: Shape and context of a span: each a small class number, with the number of classes.
+SHAPE = {"size": 4, "numeric": 4, "capital": 2, "left": 5, "right": 5}
+
+
+def _beside(c: Column) -> Column:
+    """0 nothing, 1 blank, 2 letter, 3 digit, 4 other."""
+    return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2) \
+        .when(c.rlike(r"^\p{N}"), 3).otherwise(4)
+
+
+def _shape(s: Column) -> Column:
+    n = F.length(s["match"])
+    values = {"size": F.least(F.floor(n / 8), F.lit(3)), "numeric": F.floor(F.length(S.digits(s["match"])) * 3 / n),
+              "capital": s["match"].rlike("[A-Z]"), "left": _beside(F.substring(s["before"], -1, 1)),
+              "right": _beside(F.substring(s["after"], 1, 1))}
+    return F.struct(*[values[k].cast("int").alias(k) for k in SHAPE])
+
+
+def _plausible(kind: str, s: Column) -> Column:
+    """Of the spans that the wide pattern finds: addresses of at most eight groups."""
+    return F.size(F.split(s["match"], ":+")) <= 8 if kind == "ip" else F.lit(True)
+
+
+SPAN = ("struct<start:int,kind:int,end:int,votes:struct<" + ",".join(f"{k}:int" for k in LABELERS)
+        + ">,shape:struct<" + ",".join(f"{k}:int" for k in SHAPE) + ">>")
 NO_SPANS = f"array<{SPAN}>"
 
 
 def _spans(kind: str, raw: Column, base: bool) -> Column:
     k = KINDS.index(kind)
-    ok = F.filter(raw, lambda s: _valid(kind, s)) if base else raw
+    ok = F.filter(raw, lambda s: _valid(kind, s) if base else _plausible(kind, s))
     return F.transform(ok, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"),
-                                              _votes(kind, base, s).alias("votes")))
+                                              _votes(kind, base, s).alias("votes"), _shape(s).alias("shape")))
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -176,31 +206,47 @@ def estimate(patterns: list[tuple[int, tuple, int]], rounds: int = 50) -> list[f
     return p
 
 
-def features(kind: Column, votes: Column) -> list[Column]:
-    """Kind indicators, then a for and an against indicator for each labeler."""
+def features(kind: Column, votes: Column, shape: Column) -> list[Column]:
+    """Kind indicators, a for and an against indicator for each labeler, indicators of the shape's classes."""
     on = [(kind == i).cast("double") for i in range(len(KINDS))]
     for j in LABELERS:
         on += [F.coalesce((votes[j] == v).cast("double"), F.lit(0.0)) for v in (1, 0)]
-    return on
+    return on + [(shape[k] == v).cast("double") for k, n in SHAPE.items() for v in range(n)]
+
+
+def _pattern(kind: Column, votes: Column) -> Column:
+    """A number for each kind and vote pattern."""
+    code = kind
+    for j in LABELERS:
+        code = code * 3 + F.coalesce(votes[j], F.lit(2))
+    return code
 
 
 def train(cands: DataFrame) -> list[float] | None:
-    """Weights of the final classifier (intercept first); None if there is no span at all."""
+    """Weights of the final classifier (intercept first); None if there is no span at all.
+
+    The counted combinations of kind, votes and shape stay a table (of at most 4 x 3^5 x 800 rows, whatever
+    the input); only vote patterns with their counts reach the driver, and go back with their probabilities."""
     spans = cands.select(F.explode(F.concat("base", "proposed")).alias("s"))
-    counts = spans.groupBy("s.kind", *[F.col(f"s.votes.{j}").alias(j) for j in LABELERS]).agg(F.count("*").alias("n"))
-    patterns = [(r["kind"], tuple(r[j] for j in LABELERS), r["n"]) for r in counts.collect()]  # bounded: 4 x 3^5
+    counts = materialize(spans.groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n")), "pii-patterns")
+    by_votes = counts.groupBy("kind", *[F.col(f"votes.{j}").alias(j) for j in LABELERS]).agg(F.sum("n").alias("n"))
+    patterns = [(r["kind"], tuple(r[j] for j in LABELERS), r["n"]) for r in by_votes.collect()]  # bounded: 4 x 3^5
     if not patterns:
         return None
     patterns.sort(key=lambda x: (x[0], [(-1 if v is None else v) for v in x[1]]))
-    soft = estimate(patterns)
-    # every pattern counts as both classes, by its probability; logarithmic counts keep rare patterns heard
-    rows = [{"kind": k, **dict(zip(LABELERS, votes)), "label": float(y), "weight": math.log1p(n) * (q if y else 1 - q)}
-            for (k, votes, n), q in zip(patterns, soft) for y in (1, 0)]
-    schema = "array<struct<kind:int," + "".join(f"{j}:int," for j in LABELERS) + "label:double,weight:double>>"
-    table = cands.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+    rows = [{"kind": k, **dict(zip(LABELERS, votes)), "q": q} for (k, votes, _), q in zip(patterns, estimate(patterns))]
+    schema = "array<struct<kind:int," + "".join(f"{j}:int," for j in LABELERS) + "q:double>>"
+    soft = cands.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema))) \
+        .select(_pattern(F.col("kind"), F.struct(*LABELERS)).alias("pattern"), "q")
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
-    x = table.select(array_to_vector(F.array(*features(F.col("kind"), F.struct(*LABELERS)))).alias("features"), "label", "weight")
+    # every combination counts as both classes, by its probability; logarithmic counts keep rare ones heard
+    classes = F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("part")),
+                      F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("part")))
+    x = counts.withColumn("pattern", _pattern(F.col("kind"), F.col("votes"))).join(F.broadcast(soft), "pattern") \
+        .select("n", array_to_vector(F.array(*features(F.col("kind"), F.col("votes"), F.col("shape")))).alias("features"),
+                F.explode(classes).alias("c")) \
+        .select("features", "c.label", (F.log1p("n") * F.col("c.part")).alias("weight"))
     model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=50, standardization=False).fit(x)
     return [float(model.intercept), *map(float, model.coefficients.toArray())]
 
@@ -215,7 +261,7 @@ def detect(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", ke
 
     def accepted(s: Column) -> Column:
         z = F.lit(weights[0])
-        for w, x in zip(weights[1:], features(s["kind"], s["votes"])):
+        for w, x in zip(weights[1:], features(s["kind"], s["votes"], s["shape"])):
             z = z + F.lit(w) * x
         return 1 / (1 + F.exp(-z)) >= threshold
 

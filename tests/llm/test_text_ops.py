@@ -86,6 +86,39 @@ def test_pii_adds_proposed_spans_and_redacts(spark):
     assert text[100] == "contact <EMAIL> now"
 
 
+def test_compressed_addresses_are_proposed_and_code_is_not(spark):
+    found = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8::", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "1:2:3:4:5:6::8"]
+    other = ["std::vector", "a::b", "at 12:30::", "12:30:59", "1:2:3:4:5:6::7:8:9", "x2001:db8::1", "ab::cd", "key::1value", "::", "a:b:c:d:e:f:a"]
+    raw = frame(spark, [(i, f"server {t}. ok") for i, t in enumerate(found + other)])
+    got = {r["row"]["doc_id"]: [(s["start"], s["end"]) for s in r["proposed"] if s["kind"] == 1] for r in pii.candidates(raw).collect()}
+    for i, t in enumerate(found):
+        assert got[i] == [(7, 7 + len(t))], t
+    for i, t in enumerate(other, len(found)):
+        assert got[i] == [], t
+
+
+def test_span_classifier_learns_from_shape_and_context(spark):
+    # the votes of both groups are alike; base spans tell nothing about a number before a letter
+    votes = {j: 1 for j in pii.LABELERS}
+    mixed = [dict(votes, edges=0, cue=None, list=None) for _ in range(40)]
+    rows = [(i, [], [(0, 3, 9, tuple(v[j] for j in pii.LABELERS), (1, 2, 0, 1, 1))]) for i, v in enumerate([votes] * 400 + mixed)]
+    rows += [(1000 + i, [], [(0, 3, 9, (None, 0, 0, 0, 0), (1, 2, 0, 2, 2))]) for i in range(400)]
+    cands = spark.createDataFrame(rows, f"doc_id long, base array<{pii.SPAN}>, proposed array<{pii.SPAN}>")
+    weights = pii.train(cands)
+    names = [f"{k}{v}" for k, n in pii.SHAPE.items() for v in range(n)]
+    shape = dict(zip(names, weights[-len(names):]))
+    assert len(weights) == 1 + 4 + 2 * len(pii.LABELERS) + sum(pii.SHAPE.values())
+    assert shape["left1"] > shape["left2"] and shape["right1"] > shape["right2"]
+    assert pii.train(cands.limit(0)) is None
+
+
+def test_pii_columns_with_clashing_names(spark):
+    rows = [(i, f"mail a{i}@b.com or (415) 555-2671", "x", 1, "y", 2, "z") for i in range(5)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, base string, s int, votes string, n int, kind string")
+    plain = sorted(map(tuple, pii.digest(pii.detect(extra.select("doc_id", "text"))).collect()))
+    assert sorted(map(tuple, pii.digest(pii.detect(extra)).collect())) == plain
+
+
 def test_pii_estimates_reliable_labelers():
     # labeler 0 is right, labeler 1 is noise: the truth follows labeler 0
     table = [(0, (1, 1, 1, 1, None), 900), (0, (1, 1, 0, 1, None), 850), (0, (None, 0, 1, 0, None), 40), (0, (None, 0, 0, 0, None), 45)]
