@@ -259,19 +259,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 def proximity(docs: DataFrame, benchmark: DataFrame, rarest: int = 4, span: int = 2 * WINDOW,
               block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id as a string) where an item's ``rarest`` rarest terms all stand within ``span`` words
-    of the rarest one, in any order: paraphrased or shuffled items that no phrase search finds."""
+    of the rarest one, in any order: paraphrased or shuffled items that no phrase search finds.
+
+    Only words that the corpus holds are ranked, so words that a paraphrase brought in don't hide an item.
+    An item needs two of them (one if it has no more words), or it matches nothing; null ids of documents
+    are ids like any other, an item without words and empty tables give no rows."""
     spark = docs.sparkSession
     index = build_index(docs, scratch_path(spark, "positional-index"))
     out = None
     for items in item_blocks(benchmark, block_words):
         counts = term_counts(index, sorted({t for _, w in items for t in w}))
-        plans = [(i, sorted(set(w), key=lambda t: (counts.get(t, 0), t))[:rarest]) for i, w in items]
+        known = [(i, set(w), sorted((t for t in set(w) if counts.get(t, 0) > 0), key=lambda t: (counts[t], t))[:rarest]) for i, w in items]
+        plans = [(i, terms) for i, all_terms, terms in known if len(terms) >= min(2, len(all_terms))]
 
         def run(batches: Iterator[pa.RecordBatch], plans=plans) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
                     s = Segment(batch, row)
-                    pairs = [(s.doc_ids[d], i) for i, terms in plans if terms[0] in s.lists
+                    pairs = [(s.doc_ids[d], i) for i, terms in plans if all(t in s.lists for t in terms)
                              for d in near(s, terms, span).tolist()]
                     yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string())],
                                           names=["doc_id", "item_id"])

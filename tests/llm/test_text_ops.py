@@ -290,6 +290,31 @@ def test_proximity_finds_shuffled_items(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontam.proximity(docs, items).collect()] == [(1, "1")]
 
 
+def test_proximity_with_unseen_words_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(vocabulary, 80))) for i in range(60)] + [(None, "w1 w2 w3 w4 w5"), (900, None)]
+    items = [(f"i{k}", " ".join([*rng.choice(vocabulary, 5, replace=False), *["unseen%d" % j for j in range(k % 4)]])) for k in range(40)]
+    items += [("one", "w1 nowhere"), ("none", "nowhere at all"), ("empty", "")]
+    where = [(d, t.split()) for d, t in docs if t]
+    counts = {}
+    for _, w in where:
+        for t in w:
+            counts[t] = counts.get(t, 0) + 1
+    want = set()
+    for name, text in items:
+        words = set(text.split())
+        terms = sorted((t for t in words if t in counts), key=lambda t: (counts[t], t))[:4]
+        if words and len(terms) >= min(2, len(words)):
+            for d, w in where:
+                places = {t: [i for i, x in enumerate(w) if x == t] for t in terms}
+                if any(all(any(abs(p - q) <= 20 for q in places[t]) for t in terms[1:]) for p in places[terms[0]]):
+                    want.add((d, name))
+    got = decontam.proximity(frame(spark, docs), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert any(int(n[1:]) % 4 for _, n in want if n[1:].isdigit())
+
+
 def test_intersection():
     import numpy as np
     a, b = np.array([1, 4, 6, 9]), np.array([0, 4, 9, 12])
