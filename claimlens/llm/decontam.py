@@ -9,13 +9,13 @@ A phrase search takes a window's terms from the rarest of the corpus on, shifts
 each posting list by the term's offset in the window and intersects them.  A
 proximity search asks for an item's rarest terms within a span of each other.
 
-Test items go to the searchers in blocks of at most ``BLOCK_WORDS`` words.  If one
-block holds them all, only their terms are indexed (a list of no test term is
-never read); otherwise all terms are, once, and every block searches the index.
+Test items are dealt into blocks of about ``BLOCK_WORDS`` words by a hash, each with
+the corpus counts of its words (a join), and groups of index segments meet every
+block in a co-group.  No item and no count passes through the driver.
 
 Defined results: null text has no words and counts as such; an item without
 words, or null, occurs nowhere; items that repeat an id are one item with all
-their windows; an item with a null id marks words but is in no list; null and
+their windows; an item with a null id marks words but is in no list, near or exact; null and
 repeated document ids are kept, one row each; empty tables give no rows, or rows
 without hits; columns beside the named ones are ignored.
 """
@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.tokens import WRITE_OPTIONS, text_slices
-from claimlens.session import scratch_path
+from claimlens.session import materialize, scratch_path
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -99,13 +100,11 @@ def build_index(docs: DataFrame, path: str, terms: list[bytes] | None = None,
     return docs.sparkSession.read.schema(SEGMENT).parquet(path)
 
 
-def term_counts(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
-    """How often each of the given terms stands in the whole corpus (at most one row a given term)."""
+def term_counts(index: DataFrame) -> DataFrame:
+    """(term, n): how often each indexed term stands in the whole corpus."""
     lists = index.select(F.posexplode("terms").alias("i", "term"), "ends").select(
         "term", (F.get("ends", F.col("i")) - F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))).alias("n"))
-    wanted = index.sparkSession.createDataFrame([(t.decode("utf-8", "surrogatepass"),) for t in terms], "w string")
-    rows = lists.groupBy("term").agg(F.sum("n").alias("n")).join(wanted, F.col("term") == F.col("w"), "left_semi").collect()
-    return {r["term"].encode("utf-8", "surrogatepass"): r["n"] for r in rows}
+    return lists.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Segment:
@@ -177,117 +176,151 @@ def windows(items: list[tuple[str | None, list[bytes]]], width: int) -> dict[tup
     return found
 
 
-HITS = "segment string, number int, doc_id long, n_words long, hits array<int>, items array<string>"
+ITEMS = "item string, words array<string>"
 
 
-def _search_partition(items: list, counts: dict[bytes, int], width: int):
-    plans = []
-    for window, of in windows(items, width).items():
-        steps = sorted(((t, i) for i, t in enumerate(window)), key=lambda s: (counts.get(s[0], 0), s))
-        if counts.get(steps[0][0], 0):
-            plans.append((steps, len(window), sorted(x for x in of if x is not None)))
-
+def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item: the id as a string, words) of every item that has words; full repeats once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                s = Segment(batch, row)
-                marked = np.zeros(int(s.starts[-1]) + 1, dtype=bool)
-                of: dict[int, set] = {}
-                for steps, n, names in plans:
-                    if steps[0][0] not in s.lists or steps[1 % len(steps)][0] not in s.lists:
-                        continue
-                    starts = phrase(s, steps)
-                    if len(starts):
-                        for j in range(n):
-                            marked[starts + j] = True
-                        for d in np.unique(s.document(starts)).tolist():
-                            of.setdefault(d, set()).update(names)
-                at = np.flatnonzero(marked)
-                doc = s.document(at)
-                cuts = np.searchsorted(doc, np.arange(len(s.sizes) + 1))
-                local = (at - s.starts[doc]).astype(np.int32)
-                yield pa.record_batch([
-                    pa.array([s.name] * len(s.sizes)), pa.array(np.arange(len(s.sizes), dtype=np.int32)),
-                    pa.array(s.doc_ids, pa.int64()), pa.array(s.sizes),
-                    pa.ListArray.from_arrays(cuts.astype(np.int32), local),
-                    pa.array([sorted(of.get(d, ())) for d in range(len(s.sizes))], pa.list_(pa.string())),
-                ], names=["segment", "number", "doc_id", "n_words", "hits", "items"])
-
-    return run
-
-
-def item_blocks(items: DataFrame, block_words: int, item_id: str = "item_id", text: str = "text") -> Iterator[list]:
-    """The items as (id as a string, words), in blocks of bounded size."""
-    held, size = [], 0
-    for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        w = words(r["t"])
-        if w:
-            held.append((r["i"], w))
-            size += len(w)
-        if size >= block_words:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (places of words inside a window), items (ids, sorted)."""
+            yield pa.record_batch([batch.column(0), pa.array(
+                [[w.decode("utf-8", "surrogatepass") for w in words(t)] for t in batch.column(1).to_pylist()], pa.list_(pa.string()))],
+                names=["item", "words"])
+
+    rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, ITEMS).filter(F.size("words") > 0).distinct()
+
+
+BLOCK = "block int, item string, words array<string>, n long"
+
+
+def item_blocks(items: DataFrame, index: DataFrame, blocks: int) -> DataFrame:
+    """Rows of the blocks: items (n is null), dealt by a hash, and the corpus counts (n) of each block's words."""
+    dealt = items.select(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int").alias("block"), "item", "words")
+    terms = dealt.select("block", F.explode("words").alias("t")).distinct()
+    counts = terms.join(term_counts(index), F.col("t") == F.col("term"))
+    return dealt.withColumn("n", F.lit(None).cast("long")).union(
+        counts.select("block", F.lit(None).cast("string").alias("item"), F.array("t").alias("words"), "n"))
+
+
+class Block:
+    """A block of items, opened: phrases as (steps, length, items), sets of near terms as (item, terms)."""
+
+    def __init__(self, table: pa.Table, width: int, rarest: int):
+        items, counts = [], {}
+        for item, w, n in zip(*(table.column(c).to_pylist() for c in ("item", "words", "n"))):
+            w = [x.encode("utf-8", "surrogatepass") for x in w]
+            if n is None:
+                items.append((item, w))
+            else:
+                counts[w[0]] = n
+        self.phrases = []
+        for window, of in windows(items, width).items():
+            steps = sorted(((t, i) for i, t in enumerate(window)), key=lambda s: (counts.get(s[0], 0), s))
+            if counts.get(steps[0][0], 0):
+                self.phrases.append((steps, len(window), sorted(x for x in of if x is not None)))
+        self.sets = []
+        for item, w in items:
+            known = sorted((t for t in set(w) if counts.get(t, 0)), key=lambda t: (counts[t], t))[:rarest]
+            if item is not None and len(known) >= min(2, len(set(w))):
+                self.sets.append((item, known))
+
+
+HITS = "segment string, number int, doc_id long, n_words long, hits array<int>, items array<string>, near array<string>"
+
+
+def search(s: Segment, block: Block, span: int) -> pa.RecordBatch:
+    """What a block's items leave in the documents of a segment, one row a document."""
+    n_docs = len(s.sizes)
+    marked = np.zeros(int(s.starts[-1]) + 1, dtype=bool)
+    of: dict[int, set] = {}
+    close: dict[int, set] = {}
+    for steps, n, names in block.phrases:
+        if steps[0][0] not in s.lists or steps[1 % len(steps)][0] not in s.lists:
+            continue
+        starts = phrase(s, steps)
+        if len(starts):
+            for j in range(n):
+                marked[starts + j] = True
+            for d in np.unique(s.document(starts)).tolist():
+                of.setdefault(d, set()).update(names)
+    for item, terms in block.sets:
+        if all(t in s.lists for t in terms):
+            for d in near(s, terms, span).tolist():
+                close.setdefault(d, set()).add(item)
+    at = np.flatnonzero(marked)
+    doc = s.document(at)
+    cuts = np.searchsorted(doc, np.arange(n_docs + 1))
+    return pa.record_batch([
+        pa.array([s.name] * n_docs, pa.string()), pa.array(np.arange(n_docs, dtype=np.int32)),
+        pa.array(s.doc_ids, pa.int64()), pa.array(s.sizes),
+        pa.ListArray.from_arrays(cuts.astype(np.int32), (at - s.starts[doc]).astype(np.int32)),
+        pa.array([sorted(of.get(d, ())) for d in range(n_docs)], pa.list_(pa.string())),
+        pa.array([sorted(close.get(d, ())) for d in range(n_docs)], pa.list_(pa.string())),
+    ], names=[c.split()[0] for c in HITS.split(", ")])
+
+
+#: Segments of the index that one task opens, one after another, for one block of items.
+SEGMENTS = 64
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS,
+                  rarest: int = 4, span: int = 2 * WINDOW, index_terms: int = BLOCK_WORDS) -> DataFrame:
+    """One row per document: doc_id, n_words, hits (places of words inside a window), items (ids, sorted) and
+    near (ids, sorted): the items whose ``rarest`` rarest words all stand within ``span`` words of the rarest
+    one, in any order, so paraphrased or shuffled items that no phrase search finds.
+
+    Only words that the corpus holds are ranked for ``near``, so words that a paraphrase brought in don't hide
+    an item; an item needs two of them (one if it has no more words), or it is near nothing.
+
+    Index segments and blocks of items meet by a co-group.  The index holds the items' words only, if these are
+    at most ``index_terms`` different ones (they go to every task), else all words; the result is the same."""
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, block_words)
-    first, second = next(blocks, []), next(blocks, None)
-    terms = sorted({t for _, w in first for t in w}) if second is None else None
-    index = build_index(docs, scratch_path(spark, "positional-index"), terms)
-
-    def search(items: list) -> DataFrame:
-        counts = term_counts(index, sorted({t for _, w in items for t in w})) if items else {}
-        return index.mapInArrow(_search_partition(items, counts, width), HITS)
-
-    found = search(first)
-    if second is None:
-        return found.select("doc_id", "n_words", "hits", "items")
-    parts = [found, search(second), *(search(b) for b in blocks)]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.union(p.filter("size(hits) > 0"))
-    return both.groupBy("segment", "number").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("segment", "number")
+    items = materialize(item_words(benchmark), "benchmark-words")
+    total = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    terms = [r["t"].encode("utf-8", "surrogatepass")
+             for r in items.select(F.explode("words").alias("t")).distinct().limit(index_terms + 1).collect()]
+    index = build_index(docs, scratch_path(spark, "positional-index"), sorted(terms) if len(terms) <= index_terms else None)
+    blocks = max(1, -(-total // block_words))
+    segments = index.count()
+    groups = max(1, -(-segments // SEGMENTS), min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    left = index.withColumn("g", F.pmod(F.xxhash64("segment"), F.lit(groups)).cast("int"))
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else left.withColumn("b", F.lit(0))
+    right = materialize(item_blocks(items, index, blocks), "benchmark-blocks").select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("block").alias("b"), "item", "words", "n")
+
+    schema = pa.schema([("segment", pa.string()), ("number", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+                        ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+
+    def run(key: tuple, rows: pa.Table, of: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        block = Block(of, width, rarest)
+        found = pa.Table.from_batches([search(Segment(batch, i), block, span).cast(schema)
+                                       for batch in rows.to_batches() for i in range(batch.num_rows)], schema)
+        if key[1].as_py():  # every document comes once from the first block
+            some = pc.or_(pc.greater(pc.list_value_length(found["hits"]), 0), pc.greater(pc.list_value_length(found["near"]), 0))
+            found = found.filter(some)
+        return found
+
+    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(run, HITS)
+    if blocks > 1:
+        both = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near")]
+        found = found.groupBy("segment", "number").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *both)
+    return found.drop("segment", "number")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, rarest: int = 4, span: int = 2 * WINDOW,
               block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id as a string) where an item's ``rarest`` rarest terms all stand within ``span`` words
-    of the rarest one, in any order: paraphrased or shuffled items that no phrase search finds.
-
-    Only words that the corpus holds are ranked, so words that a paraphrase brought in don't hide an item.
-    An item needs two of them (one if it has no more words), or it matches nothing; null ids of documents
-    are ids like any other, an item without words and empty tables give no rows."""
-    spark = docs.sparkSession
-    index = build_index(docs, scratch_path(spark, "positional-index"))
-    out = None
-    for items in item_blocks(benchmark, block_words):
-        counts = term_counts(index, sorted({t for _, w in items for t in w}))
-        known = [(i, set(w), sorted((t for t in set(w) if counts.get(t, 0) > 0), key=lambda t: (counts[t], t))[:rarest]) for i, w in items]
-        plans = [(i, terms) for i, all_terms, terms in known if len(terms) >= min(2, len(all_terms))]
-
-        def run(batches: Iterator[pa.RecordBatch], plans=plans) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    s = Segment(batch, row)
-                    pairs = [(s.doc_ids[d], i) for i, terms in plans if all(t in s.lists for t in terms)
-                             for d in near(s, terms, span).tolist()]
-                    yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string())],
-                                          names=["doc_id", "item_id"])
-
-        found = index.mapInArrow(run, "doc_id long, item_id string")
-        out = found if out is None else out.union(found)
-    return (spark.createDataFrame([], "doc_id long, item_id string") if out is None else out).distinct()
+    """(doc_id, item_id as a string) of the proximity matches of :func:`contamination`, each pair once."""
+    found = contamination(docs, benchmark, block_words=block_words, rarest=rarest, span=span)
+    return found.select("doc_id", F.explode("near").alias("item_id")).distinct()
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The rows of op3."""
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("hits").cast("long").alias("n_hit"),
                         F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+                        F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))

@@ -42,11 +42,23 @@ wd AS (SELECT doc_id, p, n, list_slice(w, p, p + n - 1) AS win FROM (
 m AS (SELECT doc_id, p, n, item_id FROM wd JOIN wi USING (win)),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (
-  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id),
+it AS (SELECT CAST(item_id AS VARCHAR) AS s, w, len(list_distinct(w)) AS n_terms, row_number() OVER () AS k FROM i WHERE item_id IS NOT NULL AND len(w) > 0),
+kt AS (SELECT k, s, n_terms, unnest(list_distinct(w)) AS term FROM it),
+po AS (SELECT doc_id, p, w[p] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0)
+  WHERE w[p] IN (SELECT term FROM kt)),
+ct AS (SELECT term, count(*) AS c FROM po GROUP BY term),
+rk AS (SELECT k, s, n_terms, term, row_number() OVER (PARTITION BY k ORDER BY c, term) AS r, count(*) OVER (PARTITION BY k) AS known FROM kt JOIN ct USING (term)),
+pk AS (SELECT * FROM rk WHERE r <= 4 AND known >= least(2, n_terms)),
+an AS (SELECT a.k, a.s, least(a.known, 4) AS want, po.doc_id, po.p FROM pk a JOIN po USING (term) WHERE a.r = 1),
+nr AS (SELECT doc_id, s FROM (
+  SELECT an.k, an.s, an.want, an.doc_id, an.p, count(DISTINCT pk.r) AS got FROM an JOIN pk ON pk.k = an.k JOIN po ON po.term = pk.term
+    AND po.doc_id = an.doc_id AND po.p BETWEEN an.p - 20 AND an.p + 20 GROUP BY ALL) WHERE got = want),
+ng AS (SELECT doc_id, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS near FROM (SELECT DISTINCT doc_id, s FROM nr) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
   coalesce(t.n_items, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
-  coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+  coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(ng.n_near, 0)::BIGINT AS n_near, sha256(coalesce(ng.near, '')) AS near_sha256
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN ng ON ng.doc_id = d.doc_id"""
 
 
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', " \

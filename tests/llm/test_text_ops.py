@@ -315,6 +315,21 @@ def test_proximity_with_unseen_words_equals_brute_force(spark):
     assert any(int(n[1:]) % 4 for _, n in want if n[1:].isdigit())
 
 
+@pytest.mark.parametrize("block_words,index_terms", [(10**6, 2), (3, 10**6), (3, 2)])
+def test_blocks_and_whole_index_change_no_row(spark, block_words, index_terms):
+    """Clashing columns beside the named ones, several blocks, and an index of all words."""
+    items = spark.createDataFrame(ITEMS + [(77, "seven unseen one nine"), (78, "seven unseen one nine"), (78, "x y")], "item_id long, text string")
+    items = items.withColumns({c: F.lit(1) for c in ("item", "words", "n", "block", "t", "g", "b")})
+    docs = frame(spark, TEXTS).withColumns({c: F.lit(1) for c in ("segment", "number", "n_words", "hits", "items", "near", "g", "b", "term")})
+
+    def rows(**how):
+        return sorted((repr(r) for r in decontam.contamination(docs, items, **how).collect()))
+
+    want = rows()
+    assert rows(block_words=block_words, index_terms=index_terms) == want and len(want) == len(TEXTS)
+    assert sum("'77', '78']" in r for r in want) == 2
+
+
 def test_intersection():
     import numpy as np
     a, b = np.array([1, 4, 6, 9]), np.array([0, 4, 9, 12])
