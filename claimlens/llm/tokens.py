@@ -8,13 +8,14 @@ delta-encoded; row groups and pages are small and carry a page index, so a read
 of some documents, or of the counts alone, touches few bytes.
 
 Defined results: null text is the empty text (its only id is the end id); null
-document ids come first; rows that repeat a document id are kept, in text
-order; an empty table gives an empty store; columns beside the two named ones
+document ids come first; rows that repeat a document id (null too) are kept, in
+text order, and may fill several files; an empty table gives an empty store; columns beside the two named ones
 are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -41,13 +42,35 @@ _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-įĲ-ňŊ-ž]|<\\|")
 _WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ž]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9ß-öø-ž]+")
 
 
+#: The settings of a vocabulary file for which ``_OTHER`` and ``_WORDS`` hold (fixed values of the file format).
+_SETTINGS = {
+    "truncation": None, "padding": None, "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def splits_into_words(file: str) -> bool:
+    """Whether a vocabulary file normalises and splits texts as ``_OTHER`` and ``_WORDS`` do."""
+    with open(file, encoding="utf-8") as f:
+        have = json.load(f)
+    return all(have.get(k) == v for k, v in _SETTINGS.items()) and have["model"]["type"] == "BPE" \
+        and not have["model"].get("dropout") and all("<|" in t["content"] for t in have["added_tokens"])
+
+
 class Encoder:
     """``tokenizers`` over whole texts, with a memory of words: the library merges inside
-    pre-tokens only, so a text's ids are those of its pre-tokens, one after another."""
+    pre-tokens only, so a text's ids are those of its pre-tokens, one after another.  With a
+    vocabulary of other settings every text goes to the library whole."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(file)
+        self.splits = splits_into_words(file)
         self.by_word = Tokenizer.from_file(file)  # for single pre-tokens, already normalised
         self.by_word.normalizer = normalizers.Sequence([])
         self.by_word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -64,7 +87,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.  Holds the pre-tokens of
         all texts given beside the bounded memory of words, so pass slices of texts."""
-        split = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        split = [None if not self.splits or _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
         met = set().union(*[w for w in split if w is not None])
         if len(self.words) > CACHE_WORDS:  # words not met since the last time are forgotten
             self.words, self.older = {}, self.words
@@ -149,12 +172,18 @@ def _encode_partition(file: str, end_id: int):
     return run
 
 
+#: Characters of a text in a range key (the driver holds a sample of the keys).
+RANGE_CHARS = 32
+
+
 def write_store(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_ID,
                 doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode ``docs`` and write the store to the folder ``out``.  Only texts are shuffled, once, into ranges."""
+    """Encode ``docs`` and write the store to the folder ``out``.  Only texts are shuffled, once, into ranges of
+    (id, beginning of the text): an id that many rows share is split, in text order; rows that agree in both
+    stay in one task, one after another."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text")
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(by_id, F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(by_id, "text")
     ordered.mapInArrow(_encode_partition(vocabulary, end_id), STORE_SCHEMA).write.options(**WRITE_OPTIONS).parquet(out)
 
 

@@ -402,6 +402,33 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+def test_other_vocabularies_equal_the_library():
+    from tokenizers import Tokenizer
+    file = os.path.join(os.path.dirname(tokens.vocabulary_file()), "byte_bpe_50k.json")
+    assert tokens.splits_into_words(tokens.vocabulary_file()) and not tokens.splits_into_words(file)
+    texts = ["", "It's a  Test,\n\nÄÖ 12 34", "x" * 3000, "<|endoftext|> 😀 1a2b"]
+    want = [e.ids for e in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
+    assert [list(np.frombuffer(b, "<u4")) for b in tokens.Encoder(file).encode(texts)] == want
+
+
+def test_token_store_splits_a_hot_id(spark, tmp_path):
+    """20,000 rows without an id and 2,000 copies of one row, beside clashing columns."""
+    rows = [(None, f"{i * 7919 % 20_000:05d} words") for i in range(20_000)] + [(5, "the same")] * 2000 + [(i, "x") for i in range(6, 100)]
+    at = str(tmp_path / "hot")
+    docs = frame(spark, rows).repartition(4).withColumns({c: F.lit(1) for c in ("part", "n_tokens", "tokens", "start", "base", "b_part")})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables make small ranges
+    try:
+        tokens.write_store(docs, at, tokens.vocabulary_file())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(at).groupBy("part").agg(F.sum(F.col("doc_id").isNull().cast("int")).alias("n")).filter("n > 0").collect()
+    assert len(parts) > 2 and max(r["n"] for r in parts) < 15_000
+    back = tokens.read_store(spark, at).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r["doc_id"] for r in back] == [r[0] for r in order]
+    assert [list(r["tokens"]) for r in back] == reference_ids([t for _, t in order])
+
+
 def test_token_store_round_trip(spark, tmp_path):
     rows = [(i * 3 % 101, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "first of all"), (0, "again zero")]
     at = str(tmp_path / "s")
