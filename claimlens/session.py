@@ -57,9 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A unique path for a written table, in the application's own folder under the shared
+    checkpoint folder.  The whole folder is removed when the session's JVM ends."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"claimlens-{spark.sparkContext.applicationId}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -72,6 +77,4 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
