@@ -94,3 +94,48 @@ def test_bins_rise_with_the_count(spark):
     df = spark.range(1, 200_000, 7).select("id", T._bin(F.col("id")).alias("b"))
     bins = [r["b"] for r in df.orderBy("id").collect()]
     assert bins == sorted(bins) and bins[0] == 1 and len(set(bins)) < 2000
+
+
+@pytest.mark.parametrize("cfg", [T.TfidfConfig("word", (1, 2), None), T.TfidfConfig("char_wb", (2, 4), None)])
+def test_partitions_of_the_counts_follow_the_texts(spark, cfg, monkeypatch):
+    from collections import Counter
+    from tests.test_text import python_char_wb
+    docs = [(i, " ".join(f"wörd{(i * j) % 11}" for j in range(30))) for i in range(40)] + [(50, None), (51, ""), (52, "a b"), (1, "zz aa"), (None, "zz zz")]
+    df = spark.createDataFrame(docs, "row_id long, text string")
+    want = Counter()
+    for i, t in docs:
+        if cfg.analyzer == "char_wb":
+            want.update((i, g) for g in python_char_wb(t or "", 2, 4))
+        else:
+            words = [w for w in (t or "").split() if len(w) > 1]
+            want.update((i, g) for g in words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    monkeypatch.setattr(T, "PART_CHARS", 100)
+    tf = T.term_counts(df, "text", cfg)
+    chars = sum(len(t or "") for _, t in docs)
+    assert tf.rdd.getNumPartitions() == -(-chars // 100)   # not coalesced by the bytes of the texts
+    assert {(r[0], r[1]): r[2] for r in tf.collect()} == want
+    some = spark.createDataFrame([("zz",), ("aa",), ("not there",)], "term string")
+    got = T.term_counts(df, "text", cfg, among=some)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {k: n for k, n in want.items() if k[1] in ("zz", "aa")}
+
+
+def test_counts_of_all_terms_are_not_written_for_one_vocabulary(spark, monkeypatch):
+    written = []
+    real = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: written.append(name) or real(df, name))
+    df = spark.createDataFrame([(i, "TRAIN" if i % 3 else "TEST", f"aa bb w{i} w{i % 4}") for i in range(20)], "row_id long, data_type string, text string")
+    w, v = T.tfidf(df, "text", T.TfidfConfig("word", (1, 2), 4), fit_on=("data_type", "TRAIN"))
+    assert v.count() == 4 and w.select("term").distinct().count() == 4 and w.select("row_id").distinct().count() == 20
+    assert "term-counts" not in written
+
+
+def test_wanted_terms_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 7, f"t{i}") for i in range(50)], "tid long, term string")
+    wanted = spark.createDataFrame([(2,), (5,)], "tid long")
+    assert T.BROADCAST_LIMIT_BYTES <= 64 << 20   # the driver builds a broadcast in its own memory
+    monkeypatch.setattr(T, "BROADCAST_LIMIT_BYTES", 0)
+    got = T.only(df, wanted, "tid")
+    assert {r["tid"] for r in got.collect()} == {2, 5} and "BroadcastHashJoin LeftSemi, BuildRight, hint" not in got._jdf.queryExecution().toString()
+    terms = T.Terms(df.select(F.lit(1).alias("row_id"), "tid", F.lit(1).alias("tf")), lambda: df.select("term"), lambda salt: None)
+    ids = df.filter("tid = 2").select(T.term_id("term", 0).alias("tid"))
+    assert sorted(r["term"] for r in terms.strings(ids).collect()) == sorted(f"t{i}" for i in range(50) if i % 7 == 2)
