@@ -287,3 +287,20 @@ def test_certificate_equals_dense_arithmetic(spark, small_vectors, spec):
     assert got["n_train"] == 5 and got["n_features"] == 5
     assert got["grad_max"] == pytest.approx(np.max(np.abs(g))) and got["primal"] == pytest.approx(reg + spec.C * lost)
     assert got["dual"] == pytest.approx(dual) and got["gap"] == pytest.approx((reg + spec.C * lost - dual) / (reg + spec.C * lost))
+
+
+def test_terms_that_no_run_can_hold_are_dropped_and_no_other(spark):
+    from claimlens.operators import tfidf as T
+    rnd = np.random.default_rng(5)
+    rows = [(int(i), f"t{t:03d}", int(n)) for i in range(60) for t, n in zip(range(200), rnd.integers(1, 4, 200)) if rnd.random() < 2 / (2 + t / 8)]
+    tf = spark.createDataFrame(rows, "row_id long, term string, tf long")
+    roles = MD.Roles(spark.createDataFrame([(i, "".join("2" if i % 4 == r else "1" for r in range(4))) for i in range(60)], "row_id long, roles string"),
+                     [0, 1, 2, 3], True)
+    for k in (7, 20, 500):
+        cfg = T.TfidfConfig("word", (1, 1), k)
+        voc, names, left = MD.run_term_ids(T.Terms.of_counts(tf), roles, cfg)
+        got = {(r["run"], r["term"], round(r["idf"], 12)) for r in voc.join(names.select("tid", "term"), "tid").collect()}
+        want = {(r["run"], r["term"], round(r["idf"], 12)) for r in MD.run_vocabularies(tf, roles, cfg).collect()}
+        assert got == want
+        # with fewer than k terms a run any may be in a vocabulary
+        assert (left.counts.count() < tf.count()) == (k < 500) and (names.count() < 100) == (k < 500)
